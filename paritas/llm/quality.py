@@ -9,9 +9,7 @@ for repeated lines.
 
 The method's verdict: a document stays if, for each n-gram length, the coverage
 by *repeats* (windows seen before in the text) is at most the limit of
-``NGRAM_LIMITS``, and repeated lines cover at most ``LINE_LIMIT`` of the characters,
-and the word-shape limits hold (too many symbols, or too few letters that are
-lower case, mark junk tables and shouting).
+``NGRAM_LIMITS``, and repeated lines cover at most ``LINE_LIMIT`` of the characters.
 
 Defined results: null or empty text has no words and fails the base rule.
 Repeated rows each get their own result; other columns aren't read.
