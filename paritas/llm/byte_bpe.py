@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from paritas.llm.common import arrow_schema, batches_out, small_batches, text_batches
 
 #: Pieces kept per Python worker (about 200 bytes each), and the longest one kept.
-MOST_PIECES, LONGEST_KEPT = 300_000, 64
+MOST_PIECES, LONGEST_KEPT = 500_000, 64
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 

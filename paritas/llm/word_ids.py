@@ -4,51 +4,96 @@ The tokenizer drops white space and no piece of its pattern crosses it, so a
 text's ids are those of its runs of non-space bytes, one after another.  Each
 distinct run is encoded once by the library and kept, as little-endian uint32
 bytes, in a memory of at most ``MOST_WORDS`` runs per worker; when that is full
-it starts anew.  That holds for word-level vocabularies whose pretokenizer
-removes white space; ``crosses_space`` refuses others.
+it starts anew.  Runs of plain lower-case letters skip the library's normaliser
+and splitter, which leave them as they are.  Vocabularies whose pieces may hold
+white space are refused (``crosses_space``).
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
+
+import numpy as np
 
 #: Runs kept per Python worker (about 200 bytes each).
-MOST_WORDS = 300_000
+MOST_WORDS = 500_000
+_PLAIN = re.compile(rb"([a-z]+)([.,]?)").fullmatch
 
 _encoders: dict[str, WordEncoder] = {}
 
 
+class _Known(dict):
+    """Bytes of the ids of each run; what isn't known is noted and None for now."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[bytes] = []
+
+    def __missing__(self, run: bytes) -> None:
+        self.new.append(run)
+
+
 class WordEncoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
-            if crosses_space(json.load(f)):
-                raise ValueError(f"{path}: its pieces may hold white space")
-        self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
+            spec = json.load(f)
+        if crosses_space(spec):
+            raise ValueError(f"{path}: its pieces may hold white space")
+        self.full = Tokenizer.from_file(path)
+        self.bare = Tokenizer(self.full.model)
+        self.lowers = '"Lowercase"' in json.dumps(spec.get("normalizer"))
+        self.known = _Known()
+
+    def _each(self, tokenizer, words: list[str]) -> list[bytes]:
+        """The ids of each word, in one call of the library."""
+        got = tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
+        ids = np.array(got.ids, "<u4").tobytes()
+        edges = (4 * np.searchsorted(np.array(got.word_ids, np.int64), np.arange(len(words) + 1))).tolist()
+        return [ids[a:b] for a, b in zip(edges, edges[1:])]
+
+    def _learn(self) -> None:
+        new, self.known.new = list(dict.fromkeys(self.known.new)), []
+        known = self.known
+        plain, rest = [], []
+        for run in new:
+            (plain if self.lowers and _PLAIN(run) else rest).append(run)
+        for at in range(0, len(plain), 20_000):
+            part = plain[at : at + 20_000]
+            stems = [run.rstrip(b".,") for run in part]
+            for run, stem, ids in zip(part, stems, self._each(self.bare, [s.decode() for s in stems])):
+                known[run] = ids if len(stem) == len(run) else ids + self._end(run[-1:])
+        for at in range(0, len(rest), 20_000):
+            part = rest[at : at + 20_000]
+            known.update(zip(part, self._each(self.full, [run.decode() for run in part])))
+
+    def _end(self, mark: bytes) -> bytes:
+        if mark not in self.known:
+            self.known[mark] = self._each(self.full, [mark.decode()])[0]
+        return self.known[mark]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian uint32 bytes."""
-        from array import array
-
-        out = []
-        for text in texts:
-            runs = text.encode().split()
-            known = self.known
-            new = [w for w in dict.fromkeys(runs) if w not in known]
-            if new:
-                if len(known) + len(new) > MOST_WORDS:
-                    known.clear()
-                    new = list(dict.fromkeys(runs))
-                for at in range(0, len(new), 20_000):
-                    part = new[at : at + 20_000]
-                    got = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-                    known.update((w, array("I", e.ids).tobytes()) for w, e in zip(part, got))
-            out.append(b"".join(map(known.__getitem__, runs)))
-        return out
+        known = self.known
+        if len(known) > MOST_WORDS:
+            known.clear()
+        every = [(t.lower() if self.lowers and t.isascii() and "<|" not in t else t).encode().split() for t in texts]
+        values = [list(map(known.__getitem__, runs)) for runs in every]
+        if known.new:
+            self._learn()
+            for runs, ids in zip(every, values):
+                at = -1
+                try:
+                    while True:
+                        at = ids.index(None, at + 1)
+                        ids[at] = known[runs[at]]
+                except ValueError:
+                    pass
+        return [b"".join(ids) for ids in values]
 
 
 def crosses_space(spec: dict) -> bool:
