@@ -2,8 +2,9 @@
 
 A text is split by the vocabulary's pattern; each piece starts as single bytes in
 a linked list.  Every adjacent pair whose joined bytes have a rank lies in that
-rank's bucket, a heap of list positions, and a bitmap of three levels marks the
-ranks whose buckets hold something.  Find-first-set from the top level down gives
+rank's bucket of list positions (one position, or a heap of several), and a bitmap
+of two levels marks the ranks whose buckets hold something: a bit per rank in
+words of 256, a bit per word above.  Find-first-set from the top level down gives
 the lowest rank, its bucket the leftmost position.  Entries that no longer match
 (the pair was joined or changed) are skipped when they are met.  A piece of n
 bytes takes O(n log n) at worst, so very long pieces are no special case.
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
 from heapq import heappop, heappush
 
@@ -27,55 +29,10 @@ from paritas.llm.common import arrow_schema, batches_out, small_batches, text_ba
 
 #: Pieces kept per Python worker (about 200 bytes each), and the longest one kept.
 MOST_PIECES, LONGEST_KEPT = 500_000, 64
+BIT = [1 << i for i in range(256)]
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-class RankQueue:
-    """Buckets of positions by rank; three levels of 64-bit words find the lowest rank."""
-
-    def __init__(self, n_ranks: int):
-        low = (n_ranks >> 6) + 1
-        mid = (low >> 6) + 1
-        top = (mid >> 6) + 1
-        self.words = [0] * low
-        self.groups = [0] * mid
-        self.tops = [0] * top
-        self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, at: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is None:
-            self.buckets[rank] = [at]
-            a = rank >> 6
-            b = a >> 6
-            self.words[a] |= 1 << (rank & 63)
-            self.groups[b] |= 1 << (a & 63)
-            self.tops[b >> 6] |= 1 << (b & 63)
-        else:
-            heappush(bucket, at)
-
-    def pop(self) -> tuple[int, int] | None:
-        """The lowest rank and its leftmost position; None if nothing is left."""
-        for c, top in enumerate(self.tops):
-            if top:
-                b = (c << 6) + (top & -top).bit_length() - 1
-                group = self.groups[b]
-                a = (b << 6) + (group & -group).bit_length() - 1
-                word = self.words[a]
-                rank = (a << 6) + (word & -word).bit_length() - 1
-                bucket = self.buckets[rank]
-                at = heappop(bucket)
-                if not bucket:
-                    del self.buckets[rank]
-                    self.words[a] = word = word & (word - 1)
-                    if not word:
-                        self.groups[b] = group = group & (group - 1)
-                        if not group:
-                            self.tops[c] = top & (top - 1)
-                return rank, at
-        return None
-
-
 class ByteBPE(dict):
     """Maps a piece of text to its ids' bytes; missing pieces are encoded and kept."""
 
@@ -85,7 +42,7 @@ class ByteBPE(dict):
         super().__init__()
         self.ranks = ranks
         self.split = regex.compile(pattern).findall
-        self.queue = RankQueue(max(ranks.values(), default=0) + 1)
+        self.words = [0] * ((max(ranks.values(), default=0) >> 8) + 1)
         self.tokens: list[bytes] = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
@@ -98,35 +55,55 @@ class ByteBPE(dict):
         n = len(piece)
         if n == 2:
             return [self.ranks[piece[:1]], self.ranks[piece[1:]]]
-        get, queue = self.ranks.get, self.queue
+        get, words, top, buckets = self.ranks.get, self.words, 0, {}
         after = list(range(1, n + 1))  # start of the next symbol; a symbol at i is piece[i:after[i]]
         before = list(range(-1, n - 1))
-        pair = [-1] * n  # rank of the symbol at i with the next; -1: none
-        push = queue.push
-        for i in range(n - 1):
-            rank = get(piece[i : i + 2])
-            if rank is not None:
-                pair[i] = rank
-                push(rank, i)
-        while (found := queue.pop()) is not None:
-            rank, i = found
+        pair = [get(piece[i : i + 2]) for i in range(n - 1)]  # rank of the symbol at i with the next
+        pair.append(None)
+        fresh = [(r, i) for i, r in enumerate(pair) if r is not None]
+        while True:
+            for rank, at in fresh:
+                if rank not in buckets:
+                    buckets[rank] = at
+                    word = rank >> 8
+                    words[word] |= BIT[rank & 255]
+                    top |= 1 << word
+                elif isinstance(held := buckets[rank], list):
+                    heappush(held, at)
+                else:
+                    buckets[rank] = [held, at] if held < at else [at, held]
+            if not top:
+                break
+            fresh = []
+            word = (top & -top).bit_length() - 1
+            bits = words[word]
+            low = bits & -bits
+            rank = (word << 8) + low.bit_length() - 1
+            i = buckets[rank]
+            if isinstance(i, list) and len(i) > 1:
+                i = heappop(i)
+            else:
+                i = i[0] if isinstance(i, list) else i
+                del buckets[rank]
+                words[word] = bits = bits ^ low
+                if not bits:
+                    top ^= 1 << word
             if pair[i] != rank:
                 continue  # stale
             j = after[i]
             end = after[i] = after[j]
-            pair[j] = pair[i] = -1
+            pair[j] = pair[i] = None
             if end < n:
                 before[end] = i
                 new = get(piece[i : after[end]])
                 if new is not None:
                     pair[i] = new
-                    push(new, i)
+                    fresh.append((new, i))
             h = before[i]
             if h >= 0:
-                new = get(piece[h:end])
-                pair[h] = -1 if new is None else new
+                new = pair[h] = get(piece[h:end])
                 if new is not None:
-                    push(new, h)
+                    fresh.append((new, h))
         out = []
         i = 0
         while i < n:
@@ -135,7 +112,7 @@ class ByteBPE(dict):
         return out
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.merge(piece.encode()), "<u4").tobytes()
+        ids = array("I", self.merge(piece.encode())).tobytes()
         if len(piece) <= LONGEST_KEPT:
             if len(self) >= MOST_PIECES:
                 self.clear()

@@ -90,8 +90,8 @@ FROM judged GROUP BY doc_id
 """,
     "op3_top_k": """
 WITH clean AS (
-  SELECT vec_id, list_transform(embedding, x -> floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 comp AS (SELECT vec_id, unnest(range(len(v))) AS i, unnest(v) AS x FROM clean),
 scores AS (
   SELECT q.vec_id AS query_id, c.vec_id, sum(q.x * c.x)::BIGINT AS score
