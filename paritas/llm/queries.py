@@ -52,7 +52,7 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from paritas.llm.suffix_dedup import without_repeats
 
-    return without_repeats(table(spark, sf_dir, "documents"), with_text=False).drop("uid")
+    return without_repeats(table(spark, sf_dir, "documents"))
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

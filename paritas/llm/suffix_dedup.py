@@ -41,6 +41,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from paritas.llm.common import arrow_schema, batches_out, release, small_batches, stored, text_batches
 
@@ -198,16 +199,20 @@ class Stretches:
 
 
 def with_order(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
-    """docs (id, text) with a long __uid in document order; it is the id itself where ids are unique and not null."""
-    base = docs.select(docs[id_col].cast("long").alias("__id"), F.coalesce(docs[text_col], F.lit("")).alias("__text"))
-    twice = base.groupBy("__id").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) | F.col("__id").isNull()).limit(1).count()
-    if not twice:
-        return base.select("__id", F.col("__id").alias("__uid"), "__text"), True
-    distinct = base.distinct().orderBy("__id", "__text")
-    numbered = distinct.select("__id", F.sha2("__text", 256).alias("__of")).rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1]))
-    order = stored(base.sparkSession.createDataFrame(numbered, "__oid long, __of string, __uid long"))
+    """row (docs' columns but the text), __id, __text, and a long __uid in document order; whether that is the id itself.
+
+    It is where ids are unique and not null; else (id, text) pairs are numbered.
+    """
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text_col] or [F.lit(None).alias("none")]
+    base = docs.select(F.struct(*others).alias("row"), docs[id_col].cast("long").alias("__id"), F.coalesce(docs[text_col], F.lit("")).alias("__text"))
+    unique = not base.groupBy("__id").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) | F.col("__id").isNull()).limit(1).count()
+    if unique:
+        return base.withColumn("__uid", F.col("__id")), True
+    distinct = base.select("__id", "__text").distinct().orderBy("__id", "__text").select("__id", F.sha2("__text", 256).alias("__of"))
+    numbered = distinct.rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1]))
+    order = stored(docs.sparkSession.createDataFrame(numbered, "__oid long, __of string, __uid long"))
     met = base.join(order, F.col("__id").eqNullSafe(F.col("__oid")) & (F.sha2("__text", 256) == F.col("__of")))
-    return met.select("__id", "__uid", "__text"), False
+    return met.select("row", "__id", "__text", "__uid"), False
 
 
 def covered_intervals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -321,33 +326,58 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(a[fresh].tolist(), b[last].tolist()))
 
 
-CUT = "doc_id long, uid long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-
-
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, with_text: bool = True) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and the kept bytes if asked for; a row for each row of docs."""
+def _with_spans(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame:
+    """What with_order gives, with the covered intervals (starts, ends; null: none) of every row."""
     ordered, unique = with_order(docs, id_col, text_col)
     cover = covered_intervals(ordered if unique else ordered.dropDuplicates(["__uid"]), length)
     spans = cover.groupBy("uid").agg(F.collect_list(F.struct("start", "end")).alias("spans")).select("uid", F.col("spans.start").alias("starts"), F.col("spans.end").alias("ends"))
-    met = ordered.join(spans, F.col("__uid") == F.col("uid"), "left").select("__id", "__uid", "__text", "starts", "ends")
-    ddl = CUT if with_text else CUT.removesuffix(", kept binary")
-    schema = arrow_schema(ddl)
+    return ordered.join(spans, F.col("__uid") == F.col("uid"), "left")
+
+
+def _cut(text: bytes, starts: pa.Scalar, ends: pa.Scalar) -> tuple[bytes, int]:
+    """What is left of a text, and the number of runs removed."""
+    gone = merged(starts.values.to_numpy(), ends.values.to_numpy()) if starts.is_valid else []
+    at, left = 0, []
+    for a, b in gone:
+        left.append(text[at:a])
+        at = b
+    return b"".join([*left, text[at:]]), len(gone)
+
+
+CUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256; a row for each row of docs."""
+    met = _with_spans(docs, id_col, text_col, length).select("__id", "__text", "starts", "ends")
+    schema = arrow_schema(CUT)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: dict[str, list] = {name: [] for name in schema.names}
             for i in range(batch.num_rows):
                 text = batch.column("__text")[i].as_py().encode()
-                starts = batch.column("starts")[i]
-                gone = merged(starts.values.to_numpy(), batch.column("ends")[i].values.to_numpy()) if starts.is_valid else []
-                at, parts_ = 0, []
-                for a, b in gone:
-                    parts_.append(text[at:a])
-                    at = b
-                kept = b"".join([*parts_, text[at:]])
-                row = (batch.column("__id")[i].as_py(), batch.column("__uid")[i].as_py(), len(text), len(text) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), kept)
+                kept, n = _cut(text, batch.column("starts")[i], batch.column("ends")[i])
+                row = (batch.column("__id")[i].as_py(), len(text), len(text) - len(kept), n, hashlib.sha256(kept).hexdigest())
                 for name, value in zip(schema.names, row):
                     out[name].append(value)
             yield batches_out(out, schema)
 
-    return met.mapInArrow(cut, ddl)
+    return met.mapInArrow(cut, CUT)
+
+
+def text_without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
+    """docs with its own columns; the text is what is left, without characters that were cut through."""
+    met = _with_spans(docs, id_col, text_col, length).select("row", "__text", "starts", "ends")
+    schema = StructType([met.schema["row"], StructField("kept", StringType())])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = []
+            for i in range(batch.num_rows):
+                text = batch.column("__text")[i].as_py().encode()
+                kept.append(_cut(text, batch.column("starts")[i], batch.column("ends")[i])[0].decode(errors="ignore"))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(kept, pa.string())], names=["row", "kept"])
+
+    out = met.mapInArrow(cut, schema)
+    return out.select(*[(F.col("kept") if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns])
