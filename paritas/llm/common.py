@@ -46,15 +46,27 @@ def stored(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """Cut the lineage: write df as a Parquet table in the shared folder and read it."""
     path = shared_folder(df.sparkSession)
     df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished phases (its cleaner follows the JVM's collector)."""
-    import gc
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete stored tables that are no longer read, and let Spark drop the shuffle files of finished phases.
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    Spark's cleaner follows the JVM's collector; what Python still referred to goes in a second turn.
+    """
+    import gc
+    import time
+
+    jvm = spark.sparkContext._jvm
+    for t in tables:
+        at = jvm.org.apache.hadoop.fs.Path(t._stored_at)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    for _ in range(2):
+        gc.collect()
+        jvm.System.gc()
+        time.sleep(0.3)
 
 
 def arrow_schema(ddl: str) -> pa.Schema:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paritas.llm.common import stored
+from paritas.llm.common import release, stored
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -37,7 +37,9 @@ def components(links: DataFrame) -> DataFrame:
     edges = stored(links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = _state(edges)
     while state[0]:
-        edges = stored(_small_star(stored(_large_star(edges))))
+        large = stored(_large_star(edges))
+        before, edges = edges, stored(_small_star(large))
+        release(edges.sparkSession, before, large)
         now = _state(edges)
         if now == state:
             break

@@ -313,7 +313,7 @@ def covered_intervals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     dealt = met.repartition(parts, "key").sortWithinPartitions("key", "content", "uid", "start")
     out = stored(dealt.select("key", "uid", "start", "stretch").mapInArrow(cover, out_ddl))
-    release(spark)
+    release(spark, repeated)
     return out
 
 
