@@ -29,7 +29,7 @@ MAGIC = b"PFORIDS1"
 BLOCK = 256
 PERCENTILE = 90
 #: Ids of one file: what a worker holds at once (a longer document makes a longer file).
-FILE_IDS = 2_000_000
+FILE_IDS = 1_000_000
 _HEAD = struct.Struct("<8q")
 _BLOCK_HEAD = 7
 

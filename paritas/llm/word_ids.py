@@ -2,104 +2,91 @@
 
 The tokenizer drops white space and no piece of its pattern crosses it, so a
 text's ids are those of its runs of non-space bytes, one after another.  Each
-distinct run is encoded once by the library and kept, as little-endian uint32
-bytes, in a memory of at most ``MOST_WORDS`` runs per worker; when that is full
-it starts anew.  Runs of plain lower-case letters skip the library's normaliser
-and splitter, which leave them as they are.  Vocabularies whose pieces may hold
-white space are refused (``crosses_space``).
+distinct run is encoded once and kept, as little-endian uint32 bytes, in a memory
+of at most ``MOST_WORDS`` runs per worker; when that is full, the half that was
+met first (it holds the frequent words) stays.
+
+A run is encoded by the library.  Printable Latin-1 runs skip its normaliser and
+splitter, which there come to lower case and the splitter's own pattern, and go
+to the library's BPE model piece by piece; all others take the whole library.
+Vocabularies of another make are refused (``of_known_make``).
 """
 
 from __future__ import annotations
 
 import json
 import os
-import re
-
-import numpy as np
+from array import array
+from itertools import islice
 
 #: Runs kept per Python worker (about 200 bytes each).
-MOST_WORDS = 500_000
-_PLAIN = re.compile(rb"([a-z]+)([.,]?)").fullmatch
+MOST_WORDS = 600_000
 
 _encoders: dict[str, WordEncoder] = {}
 
 
-class _Known(dict):
-    """Bytes of the ids of each run; what isn't known is noted and None for now."""
-
-    def __init__(self):
-        super().__init__()
-        self.new: list[bytes] = []
+def byte_letters() -> list[str]:
+    """The character by which byte-level vocabularies write each byte: itself if printable, else one from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = iter(range(256, 512))
+    return [chr(b) if b in own else chr(next(others)) for b in range(256)]
 
-    def __missing__(self, run: bytes) -> None:
-        self.new.append(run)
 
+class WordEncoder(dict):
+    """Maps a run to its ids' bytes; runs not met yet are encoded and kept."""
 
-class WordEncoder:
     def __init__(self, path: str):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        if crosses_space(spec):
-            raise ValueError(f"{path}: its pieces may hold white space")
+        if not of_known_make(spec):
+            raise ValueError(f"{path}: not a lower-cased byte-level BPE that drops white space")
         self.full = Tokenizer.from_file(path)
-        self.bare = Tokenizer(self.full.model)
-        self.lowers = '"Lowercase"' in json.dumps(spec.get("normalizer"))
-        self.known = _Known()
-
-    def _each(self, tokenizer, words: list[str]) -> list[bytes]:
-        """The ids of each word, in one call of the library."""
-        got = tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
-        ids = np.array(got.ids, "<u4").tobytes()
-        edges = (4 * np.searchsorted(np.array(got.word_ids, np.int64), np.arange(len(words) + 1))).tolist()
-        return [ids[a:b] for a, b in zip(edges, edges[1:])]
-
-    def _learn(self) -> None:
-        new, self.known.new = list(dict.fromkeys(self.known.new)), []
-        known = self.known
-        plain, rest = [], []
-        for run in new:
-            (plain if self.lowers and _PLAIN(run) else rest).append(run)
-        for at in range(0, len(plain), 20_000):
-            part = plain[at : at + 20_000]
-            stems = [run.rstrip(b".,") for run in part]
-            for run, stem, ids in zip(part, stems, self._each(self.bare, [s.decode() for s in stems])):
-                known[run] = ids if len(stem) == len(run) else ids + self._end(run[-1:])
-        for at in range(0, len(rest), 20_000):
-            part = rest[at : at + 20_000]
-            known.update(zip(part, self._each(self.full, [run.decode() for run in part])))
-
-    def _end(self, mark: bytes) -> bytes:
-        if mark not in self.known:
-            self.known[mark] = self._each(self.full, [mark.decode()])[0]
-        return self.known[mark]
+        self.model = self.full.model
+        self.pieces = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
+        self.letters = dict(enumerate(byte_letters()))
+
+    def __missing__(self, run: bytes) -> bytes:
+        if len(self) >= MOST_WORDS:
+            first = list(islice(self.items(), MOST_WORDS // 2))
+            self.clear()
+            self.update(first)
+        if run.isalpha():
+            ids = array("I", [token.id for token in self.model.tokenize(run.lower().decode())]).tobytes()
+        else:
+            ids = self.encode_run(run)
+        self[run] = ids
+        return ids
+
+    def encode_run(self, run: bytes) -> bytes:
+        text = run.decode()
+        if not text.isprintable() or "<|" in text or not (text.isascii() or max(text) < "Ā"):
+            return array("I", self.full.encode(text, add_special_tokens=False).ids).tobytes()
+        text = text.lower()
+        pieces = [text] if text.isalpha() else self.pieces(text)
+        if not text.isascii():
+            pieces = [p.encode().decode("latin-1").translate(self.letters) for p in pieces]
+        tokenize = self.model.tokenize
+        return array("I", [token.id for piece in pieces for token in tokenize(piece)]).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian uint32 bytes."""
-        known = self.known
-        if len(known) > MOST_WORDS:
-            known.clear()
-        every = [(t.lower() if self.lowers and t.isascii() and "<|" not in t else t).encode().split() for t in texts]
-        values = [list(map(known.__getitem__, runs)) for runs in every]
-        if known.new:
-            self._learn()
-            for runs, ids in zip(every, values):
-                at = -1
-                try:
-                    while True:
-                        at = ids.index(None, at + 1)
-                        ids[at] = known[runs[at]]
-                except ValueError:
-                    pass
-        return [b"".join(ids) for ids in values]
-
-
-def crosses_space(spec: dict) -> bool:
-    """Whether the pretokenizer could put white space into a piece."""
-    first = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0]
-    return not (first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") and r"[^\s" in (first.get("pattern") or {}).get("Regex", ""))
+        get = self.__getitem__
+        return [b"".join(map(get, (t.lower() if t.isascii() and "<|" not in t else t).encode().split())) for t in texts]
+
+
+def of_known_make(spec: dict) -> bool:
+    """NFC, one space for white space, lower case; a pattern whose matches hold no white space; byte-level BPE."""
+    normal = [n.get("type") for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+    pre = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    if normal != ["NFC", "Replace", "Lowercase"] or [p.get("type") for p in pre] != ["Split", "ByteLevel"]:
+        return False
+    cut = pre[0]
+    return cut.get("behavior") == "Removed" and bool(cut.get("invert")) and r"[^\s" in (cut.get("pattern") or {}).get("Regex", "") and spec["model"]["type"] == "BPE" and not pre[1].get("add_prefix_space")
 
 
 def encoder(path: str) -> WordEncoder:
