@@ -10,7 +10,7 @@ the lowest rank, its bucket the leftmost position.  Entries that no longer match
 bytes takes O(n log n) at worst, so very long pieces are no special case.
 
 Pieces seen before are kept, as little-endian uint32 bytes, in a memory of at
-most ``MOST_PIECES`` per worker.  Decoding joins the bytes of the ids.
+most ``MOST_PIECES`` per worker; when that is full, the half met first (the frequent ones) stays.  Decoding joins the bytes of the ids.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ import hashlib
 from array import array
 from collections.abc import Iterator
 from heapq import heappop, heappush
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -115,7 +116,9 @@ class ByteBPE(dict):
         ids = array("I", self.merge(piece.encode())).tobytes()
         if len(piece) <= LONGEST_KEPT:
             if len(self) >= MOST_PIECES:
+                first = list(islice(self.items(), MOST_PIECES // 2))
                 self.clear()
+                self.update(first)
             self[piece] = ids
         return ids
 
