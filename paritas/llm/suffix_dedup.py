@@ -134,7 +134,7 @@ def ranks(codes: np.ndarray) -> np.ndarray:
 
 
 def joined(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    return ranks(first * np.int64(len(second) + 1) + second)
+    return ranks(first * (second.max(initial=0) + 1) + second)
 
 
 def has_previous_factor(data: np.ndarray, starts: np.ndarray, when: np.ndarray, length: int) -> np.ndarray:
