@@ -421,9 +421,9 @@ def handle_mentions(s, d):
 
 @query()
 def fuzzy_match(s, d):
-    entities = V.table(s, d, "supplier").select(F.col("s_name").alias("entity"))
-    people = V.table(s, d, "nation").select(F.col("n_name").alias("person")).union(V.table(s, d, "region").select("r_name"))
-    return rounded(sensors.fuzzy_matches(entities, people, 0.3))
+    entities = V.table(s, d, "part").select(F.col("p_name").alias("entity"))
+    people = V.table(s, d, "part").select(F.initcap("p_name").alias("person"))
+    return rounded(sensors.fuzzy_matches(entities, people))
 
 
 _LABELS = ["A", "N", "R"]

@@ -38,11 +38,15 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def in_order(key: str):
+    return lambda a, b: F.when(a[key] < b[key], -1).when(a[key] > b[key], 1).otherwise(0)
+
+
 def nested_summary(df: DataFrame, keys: Sequence[str] = ("model", "language", "theme", "subtheme")) -> DataFrame:
     """One row, one column json: keys nested in their order around the other columns."""
     values = [c for c in df.columns if c not in keys]
     out = df.select(*keys, F.struct(*values).alias("v"))
     for i in range(len(keys) - 1, -1, -1):
-        pair = F.map_from_entries(F.array_sort(F.collect_list(F.struct(keys[i], "v")))).alias("v")
+        pair = F.map_from_entries(F.array_sort(F.collect_list(F.struct(keys[i], "v")), in_order(keys[i]))).alias("v")
         out = out.groupBy(*keys[:i]).agg(pair)
     return out.select(F.to_json("v").alias("json"))
