@@ -6,7 +6,7 @@ are found in ``min_docs`` documents or more lose all their lines except in the
 largest document id that holds them.
 
 Plan: explode (doc, key hash) -> distinct per document before the shuffle ->
-count per key -> join the few frequent keys back to the exploded hashes ->
+count per key -> a stored table of the few frequent keys -> join back to the exploded hashes ->
 positions to drop per document -> one join with the texts -> reassemble by
 position.  A key held by a third of all documents is first dealt by (key, doc),
 counted in part, and only partial counts meet; the join back is one that AQE
@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paritas.llm.common import ASCII_SPACE, ascii_lower, wide_hash
+from paritas.llm.common import ASCII_SPACE, ascii_lower, stored, wide_hash
 
 
 def line_key(line: Column) -> Column:
@@ -40,6 +40,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = keyed.select("__id", "__of", "__pos", h1.alias("__h1"), h2.alias("__h2"))
 
     frequent = keyed.where(F.col("__id").isNotNull()).select("__h1", "__h2", "__id").distinct().groupBy("__h1", "__h2").agg(F.count(F.lit(1)).alias("__n"), F.max("__id").alias("__keep")).where(F.col("__n") >= min_docs).drop("__n")
+    frequent = stored(frequent)  # its size is then known: joined by broadcast if small, else dealt anew, so that AQE can split a hot key
     drops = keyed.join(frequent, ["__h1", "__h2"]).where(~F.col("__id").eqNullSafe(F.col("__keep"))).groupBy(F.col("__id").alias("__did"), F.col("__of").alias("__dof")).agg(F.collect_set("__pos").alias("__drop"))
 
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("__id"), text.alias("__text"))
