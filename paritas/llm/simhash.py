@@ -167,6 +167,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     smallest = labelled.groupBy("root").agg(F.min("least").alias("component"))
     of = labelled.join(smallest, "root").select(F.col("node").alias("fp"), "component")
     ids = one.join(of, "fp", "left").select("fp", F.when(F.col("component").isNotNull(), F.col("component")).otherwise(F.col("least")).alias("component_id"))
+    ids = stored(ids)  # dealt anew by the join, so that AQE can split a fingerprint that many rows share
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return rows.join(ids, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
 
