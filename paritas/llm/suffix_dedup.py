@@ -21,14 +21,16 @@ about one run of strings in 39 bytes.
    doubling up to ``length`` bytes; within a run of suffixes that share
    ``length`` bytes, a suffix has an earlier match exactly if its previous or next
    smaller position is in that run, i.e. if it isn't the run's smallest.
+   Stretches of one anchor beyond ``ANCHOR_BYTES`` aren't held: each of their
+   strings goes out alone, by 128 bits of its hash, and all but the first of equal
+   ones are covered as they stream by, so no task holds a group.
 4. Covered intervals go back to their documents, are joined up and cut.
 
 Anchors only choose who meets; what is removed is decided on the bytes.
 
 Defined results: null text is empty; texts under ``length`` bytes stay whole.
 Documents are ordered by (id, text), null ids first, if ids repeat or are null;
-equal (id, text) rows are one document and get equal results.  One task holds the
-different stretches of one anchor (up to 176 bytes each).
+equal (id, text) rows are one document and get equal results.
 """
 
 from __future__ import annotations
@@ -51,6 +53,8 @@ PLACE_BITS = 24
 PIECE = 1 << 22
 #: Bytes of stretches that get one suffix order.
 CHUNK = 1 << 20
+#: Bytes of different stretches of one anchor that a task holds.
+ANCHOR_BYTES = 4 << 20
 _PLACES = np.uint64((1 << PLACE_BITS) - 1)
 
 
@@ -270,13 +274,27 @@ def covered_intervals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     places = repeated.groupBy("uid").agg(F.collect_list(F.struct("key", "place")).alias("found")).select("uid", F.col("found.key").alias("keys"), F.col("found.place").alias("places"))
     met = docs.select("__uid", "__text").join(places, F.col("__uid") == F.col("uid")).select("__uid", "__text", "keys", "places").mapInArrow(stretch, ddl)
-    out_ddl = "uid long, start long, end long"
+    out_ddl = "uid long, start long, end long, h1 long, h2 long"  # h1, h2: the hash of a string that is still to be compared
     out_schema = arrow_schema(out_ddl)
 
+    def intervals(uid: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
+        none = pa.nulls(len(uid), pa.int64())
+        return batches_out({"uid": uid, "start": start, "end": end, "h1": none, "h2": none}, out_schema)
+
+    def strings(texts: list[bytes], uids: np.ndarray, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Every string of some stretches, by its hash."""
+        from xxhash import xxh3_128_digest
+
+        for text, uid, start in zip(texts, uids.tolist(), starts.tolist()):
+            n = len(text) - length + 1
+            h = np.frombuffer(b"".join(xxh3_128_digest(text[k : k + length]) for k in range(n)), "<i8").reshape(-1, 2)
+            at = start + np.arange(n)
+            yield batches_out({"uid": np.full(n, uid), "start": at, "end": at + length, "h1": h[:, 0], "h2": h[:, 1]}, out_schema)
+
     def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting = Stretches(length)
         before: tuple = (None, None)  # key and stretch of the row before
-        open_key, open_rows = None, []  # different stretches of the key that is being read
+        open_key, open_rows, open_size, too_many = None, [], 0, False  # different stretches of the key that is being read
 
         def close() -> None:
             if sum(len(t) for t, _, _ in open_rows) > 1:
@@ -294,7 +312,7 @@ def covered_intervals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             before = (int(key[-1]), texts[-1].as_py())
             if again.any():  # as the row before, which is earlier: covered wholly
                 size = np.asarray(pc.binary_length(texts))
-                yield batches_out({"uid": uid[again], "start": start[again], "end": start[again] + size[again]}, out_schema)
+                yield intervals(uid[again], start[again], start[again] + size[again])
             first = np.flatnonzero(~again)
             if not len(first):
                 continue
@@ -304,17 +322,37 @@ def covered_intervals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 rows = first[edges[g] : edges[g + 1]]
                 if open_key != key[rows[0]]:
                     close()
-                    open_key = key[rows[0]]
+                    open_key, open_size, too_many = key[rows[0]], 0, False
                 open_rows.append((texts.take(pa.array(rows)).to_pylist(), uid[rows], start[rows]))
+                open_size += sum(map(len, open_rows[-1][0]))
+                if too_many or open_size > ANCHOR_BYTES:
+                    too_many = True
+                    for row in open_rows:
+                        yield from strings(*row)
+                    open_rows.clear()
             if waiting.size >= CHUNK:
-                yield batches_out(dict(zip(out_schema.names, waiting.covered())), out_schema)
+                yield intervals(*waiting.covered())
         close()
-        yield batches_out(dict(zip(out_schema.names, waiting.covered())), out_schema)
+        yield intervals(*waiting.covered())
+
+    def later_ones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Strings that have the hash of the row before, which is earlier."""
+        last = (None, None)
+        for batch in batches:
+            if batch.num_rows:
+                h1, h2 = batch.column("h1").to_numpy(), batch.column("h2").to_numpy()
+                again = np.concatenate(([last == (h1[0], h2[0])], (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])))
+                last = (h1[-1], h2[-1])
+                yield batch.select(["uid", "start", "end"]).filter(pa.array(again))
 
     dealt = met.repartition(parts, "key").sortWithinPartitions("key", "content", "uid", "start")
     out = stored(dealt.select("key", "uid", "start", "stretch").mapInArrow(cover, out_ddl))
     release(spark, repeated)
-    return out
+    left = out.where("h1 IS NOT NULL")
+    done = out.where("h1 IS NULL").select("uid", "start", "end")
+    if not left.limit(1).count():
+        return done
+    return done.union(left.repartition(parts, "h1").sortWithinPartitions("h1", "h2", "uid", "start").mapInArrow(later_ones, "uid long, start long, end long"))
 
 
 def merged(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
