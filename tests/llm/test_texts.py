@@ -185,6 +185,14 @@ def test_suffix_dedup_is_brute_force(spark, length):
     assert sorted(got) == expected and sum(x[2] for x in got) > 300
 
 
+def test_suffix_dedup_beyond_what_an_anchor_may_hold(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "ANCHOR_BYTES", 300)
+    made = [(i, f"{i * 7919 % 1000:03d} {i} " * (i % 3) + data.PASSAGE[i % 20 :] + f" {i * i}") for i in range(60)]
+    docs = spark.createDataFrame(made, "doc_id long, text string")
+    got = sorted(tuple(r) for r in suffix_dedup.without_repeats(docs).collect())
+    assert got == [(r[0], *x) for r, x in zip(made, cut_by_hand([t for _, t in made], 100))]
+
+
 def test_suffix_dedup_with_repeated_and_null_ids(spark):
     made = data.rows(seed=3)
     order = sorted({(r[0] is not None, r[0] or 0, r[1] or "") for r in made})
