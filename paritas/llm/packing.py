@@ -37,16 +37,17 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int = END_ID, id_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode = encoder(tokenizer).encode
+        words = encoder(tokenizer)
         end = np.array([end_id], "<u4").tobytes()
         part, before = TaskContext.get().partitionId(), 0
         for batch in batches:
             for rows, texts in text_batches(batch, "__text"):
-                ids = [x + end for x in encode(texts)]
+                ids = [x + end for x in words.encode(texts)]
                 counts = np.array([len(x) // 4 for x in ids], np.int64)
                 starts = before + np.cumsum(counts) - counts
                 before += int(counts.sum())
                 yield batches_out({"part": [part] * len(ids), "local_start": starts, "doc_id": rows.column("__id"), "n_tokens": counts, "ids": ids}, schema)
+        words.clear()  # a worker that waits keeps the vocabulary only
 
     return stored(docs.select(docs[id_col].cast("long").alias("__id"), docs[text_col].alias("__text")).mapInArrow(run, TOKENISED))
 

@@ -87,13 +87,14 @@ def decode_blocks(data: bytes, starts: np.ndarray, n_ids: int) -> np.ndarray:
     width = raw[at + 4].astype(np.int64)
     counts = raw[at[:, None] + np.arange(5, 7)].copy().view("<u2").ravel().astype(np.int64)
     out = np.zeros((m, BLOCK), np.uint32)
-    for w in np.unique(width[width > 0]):
-        for rows in np.array_split(np.flatnonzero(width == w), max(1, (width == w).sum() // 1024)):
-            size = BLOCK * int(w) // 8
-            bits = np.unpackbits(raw[at[rows][:, None] + _BLOCK_HEAD + np.arange(size)], axis=1, bitorder="little").reshape(len(rows), BLOCK, int(w))
-            padded = np.zeros((len(rows), BLOCK, 32), np.uint8)
-            padded[:, :, :w] = bits
-            out[rows] = np.packbits(padded, axis=2, bitorder="little").reshape(len(rows), -1).view("<u4")
+    padded = data + bytes(8)
+    words = np.ndarray((len(data) + 1,), "<u8", buffer=padded, strides=(1,))  # the eight bytes at each place
+    for w in np.unique(width[width > 0]).tolist():
+        bits = np.arange(BLOCK, dtype=np.int64) * w
+        rows = np.flatnonzero(width == w)
+        for part in np.array_split(rows, -(-len(rows) // 512)):
+            got = words[at[part][:, None] + (_BLOCK_HEAD + (bits >> 3))] >> (bits & 7).astype(np.uint64)
+            out[part] = got & np.uint64((1 << w) - 1)
     if counts.any():
         rows = np.repeat(np.arange(m), counts)
         k = np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts)
@@ -162,7 +163,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode = encoder(tokenizer).encode
+        words = encoder(tokenizer)
         end = np.array([end_id], "<u4").tobytes()
         part = TaskContext.get().partitionId()
         seq = before = held = 0
@@ -179,7 +180,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
 
         for batch in batches:
             for rows, texts in text_batches(batch, "__text"):
-                for doc_id, ids in zip(rows.column("__id").to_pylist(), encode(texts)):
+                for doc_id, ids in zip(rows.column("__id").to_pylist(), words.encode(texts)):
                     if blobs and held + len(ids) // 4 >= FILE_IDS:
                         yield flush()
                     doc_ids.append(doc_id)
@@ -187,6 +188,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
                     held += len(ids) // 4 + 1
         if blobs:
             yield flush()
+        words.clear()  # a worker that waits keeps the vocabulary only
 
     return stored(ranged.mapInArrow(run, WRITTEN))
 
