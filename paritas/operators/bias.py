@@ -275,3 +275,49 @@ def keyword_coverage(words: DataFrame, concepts: DataFrame, gendered: DataFrame,
     gender = stemmed(gendered.select("word")).select("word").distinct().withColumn("g", F.lit(1))
     per_set = stemmed(concepts).join(gender, "word", "left").groupBy("concept_id").agg(F.avg(F.when(F.col("g") == 1, 1.0).otherwise(0.0)).alias("share"))
     return covered.crossJoin(F.broadcast(per_set.agg(F.avg("share").alias("gendered"))))  # one row each
+
+
+class BiasScore:
+    """The whole job: texts to tokens, counts and scores.
+
+    tokens: a function of the paragraphs' table that adds a column tokens (a tagger
+    of the caller's, or regex_tokens).
+    """
+
+    def __init__(self, lexicon, context=None, tokens=regex_tokens, merge_paragraphs: bool = False, stopwords: Sequence[str] = (), drop_group_words: bool = False, inspect: Sequence[str] = (), lemmas: DataFrame | None = None, **options):
+        self.lexicon, self.context, self.tokens, self.merge, self.options = lexicon, context, tokens, merge_paragraphs, options
+        self.stopwords, self.drop_group_words, self.inspect, self.lemmas = list(stopwords), drop_group_words, list(inspect), lemmas
+        self.groups = list(dict.fromkeys(g for g, _, _ in lexicon_rows(lexicon)))
+
+    def token_table(self, texts: DataFrame, text: str = "text") -> DataFrame:
+        return self.tokens(paragraphs(texts, text, self.merge))
+
+    def scores(self, texts: DataFrame, text: str = "text") -> DataFrame:
+        """A row per word and part of speech: counts, discrete counts, global count, scores."""
+        spark = texts.sparkSession
+        table = self.token_table(texts, text)
+        words = lambda some: spark.createDataFrame([(w,) for w in some], "word string") if some else None
+        counts = drop_words(bias_counts(table, self.lexicon, self.context, **self.options), words(self.stopwords), words(group_words(self.lexicon)) if self.drop_group_words else None, words(self.inspect))
+        if self.lemmas is not None:
+            counts = merge_lemmas(counts, self.lemmas, words(self.inspect))
+        return bias_scores(counts, self.groups).join(global_counts(table), ["word", "pos"], "left")
+
+    def summary(self, scores: DataFrame) -> DataFrame:
+        columns = ["count_disparity", *(["log_score"] if len(self.groups) == 2 else []), *[f"{k}_{g}" for k in ("count", "discrete") for g in self.groups], "global_count"]
+        return mode_summary(scores, columns)
+
+    def simple(self, texts: DataFrame, text: str = "text") -> DataFrame:
+        return simple_scores(self.token_table(texts, text), self.lexicon)
+
+
+def texts_own_lexicon(df: DataFrame, annotation: str = "annotation") -> DataFrame:
+    """From texts with a lexicon each (word, include, grp): doc_id, grp, word of what is included."""
+    return df.select("doc_id", F.explode(included_words(F.col(annotation))).alias("a")).select("doc_id", F.col("a.grp").alias("grp"), F.col("a.word").alias("word")).distinct()
+
+
+def seeds_by_text(tokens: DataFrame, own: DataFrame) -> DataFrame:
+    """Like seeds(), with the lexicon of each text (doc_id, grp, word): an equi-join on the text's id."""
+    lists = own.groupBy("doc_id").agg(F.collect_set(F.struct("grp", "word")).alias("__own"))
+    met = tokens.join(lists, "doc_id").select("*", F.posexplode("tokens").alias("centre", "seed"))
+    hits = F.transform(F.filter("__own", lambda o: o["word"] == F.col("seed.word")), lambda o: o["grp"])
+    return met.select("*", F.explode(F.array_sort(F.array_distinct(hits))).alias("grp")).drop("__own").withColumn("agrees", F.lit(True))

@@ -176,6 +176,17 @@ def similarities(vector: Column, attributes: Mapping[str, Sequence[float]]) -> C
     return F.array(*made)
 
 
+def is_person(vector: Column, person: Sequence[float], other: Sequence[float]) -> Column:
+    """Whether a vector is more like the anchor of persons than the other one (no vector: neither, so no)."""
+    like = lambda anchor: cosine(vector, F.array(*[F.lit(float(x)) for x in anchor]))
+    return like(person) > like(other)
+
+
+def summed_vectors(parts: Column, size: int) -> Column:
+    """The sum of the vectors of a token's parts."""
+    return F.aggregate(parts, F.array_repeat(F.lit(0.0), size), lambda total, v: F.zip_with(total, v, lambda a, b: a + b.cast("double")))
+
+
 def embedding_sensor(tokens: DataFrame, attributes: Mapping[str, Sequence[float]], key: Sequence[str] = ("doc_id",), vector: str = "vector", token_filter: float = PLAIN[0], final: float = PLAIN[1]) -> DataFrame:
     """key and values: similarities per token, large ones, their mean vote per item, best ones."""
     attrs = list(attributes)
@@ -268,6 +279,14 @@ def entity_sensor(entities: DataFrame, labels: Sequence[str], key: str = "doc_id
     return entities.where(F.col("label").isin(*labels)).select(key, F.explode("values").alias("v")).groupBy(key).agg(F.array_sort(F.collect_set("v")).alias("values"))
 
 
+def baseline(kind: str, id_col: str, priors: Mapping[str, float], seed: int = 0) -> Column:
+    """The named baselines: always-<value>, always-both, always-none, random (a value stays with its prior)."""
+    if kind == "random":
+        return random_sensor(id_col, {a: 1 - p for a, p in priors.items()}, seed)
+    value = kind.removeprefix("always-")
+    return constant_sensor(list(priors) if value == "both" else [] if value == "none" else [value])
+
+
 class SensorHandler:
     """Runs the sensors chosen for an attribute class and merges their annotations.
 

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from paritas.functions import text as T
-from paritas.operators import bias, diversity, ensemble, fairness, labels, pareto, reports, sampling, sensors, stats
+from paritas.functions import lexicons
+from paritas.operators import bias, diversity, ensemble, fairness, labels, pareto, reports, sampling, search, sensors, stats
 
 
 def near(a, b, eps=1e-6):
@@ -319,3 +320,54 @@ def test_text_functions(spark):
     assert one(T.parse_stories(F.lit('["Story 1: a", "Story 2: b", "c", "d"]'))) == ["a", "b", "c", "d"] and one(T.parse_stories(F.lit('["a"]'))) is None
     literal = spark.createDataFrame([("['Story 1: it\\'s', \"b\", 'c', 'd']",), ("__import__('os')",), (None,)], "x string")
     assert [r[0] for r in literal.select(T.parse_stories(T.literal_list(F.col("x")))).collect()] == [["it's", "b", "c", "d"], None, None]
+
+
+def test_search(spark):
+    assert list(search.expand({"a": "1|2", "b": "x"})) == [{"a": "1", "b": "x"}, {"a": "2", "b": "x"}]
+    assert search.sampled({"a": range(5)}, 3, 1) == search.sampled({"a": range(5)}, 3, 1)
+    first = search.Choices(seed=3)
+    picked = [first.choose("k", range(100)), first.choose("m", "abc")]
+    again = search.Choices(first.log)
+    assert [again.choose("k", range(100)), again.choose("m", "abc")] == picked
+    assert search.Choices(first.log, by_name=True).choose("m", "abc") == picked[1]
+    with pytest.raises(ValueError):
+        search.Choices(first.log).choose("other", [1])
+    assert len(list(search.ensembles(3))) == 8
+    df = spark.createDataFrame([([1, 1, 0], 1), ([0, 1, 0], 0)], "preds array<int>, gold int")
+    scores = search.score_votes(df, [(0, 1), (0, 1, 2)], {"accuracy": search.accuracy_metric})
+    assert {tuple(r) for r in scores.collect()} == {(0, 1.0), (1, 1.0)}
+    assert search.within_detriment(scores, 1.0, 0.1).count() == 2
+    assert search.first_that_works([0, 5], lambda x: 10 // x if x else int("no")) == (5, 2)
+
+
+def test_lexicon_values():
+    lexicon = lexicons.english_lexicon()
+    assert lexicon["female"]["PRON"] == ["she", "her"] and lexicon["male"]["PRON"] == ["he", "him", "his"]
+    assert lexicons.gender_standard()["Mixed"] == ["male", "female"] and lexicons.gender_standard()["F"] == ["female"]
+
+
+def test_whole_bias_job(spark):
+    texts = spark.createDataFrame([(1, "he is tall\nshe is kind"), (2, "the king is tall")], "doc_id long, text string")
+    job = bias.BiasScore({"male": ["he", "king"], "female": ["she"]}, stopwords=["the"], drop_group_words=True, inspect=["king"])
+    scores = {r["word"]: r for r in job.scores(texts).collect()}
+    assert set(scores) == {"is", "tall", "kind", "king"} and scores["tall"]["count_disparity"] == 1 and scores["is"]["global_count"] == 3
+    assert {r["mode"] for r in job.summary(job.scores(texts)).collect()} >= {"log_score", "global_count"}
+    assert {tuple(r) for r in job.simple(texts).collect()} == {("male", 2, 2.0), ("female", 1, 1.0)}
+
+
+def test_lexicons_of_each_text(spark):
+    kind = "doc_id long, par_id int, tokens array<struct<word:string,pos:string>>, annotation array<struct<word:string,include:boolean,grp:string>>"
+    rows = [(1, 0, [("ana", "X"), ("x", "X")], [("ana", True, "f"), ("x", False, "m")]), (2, 0, [("ana", "X"), ("x", "X")], [("x", True, "m")]), (3, 0, [("ana", "X")], [])]
+    df = spark.createDataFrame(rows, kind)
+    seeded = bias.seeds_by_text(df.drop("annotation"), bias.texts_own_lexicon(df))
+    assert {(r["doc_id"], r["centre"], r["grp"]) for r in seeded.collect()} == {(1, 0, "f"), (2, 1, "m")}
+    assert bias.contexts(seeded).count() == 4
+
+
+def test_person_and_baselines(spark):
+    one = lambda c: spark.range(1).select(c).first()[0]
+    v = F.array(F.lit(1.0), F.lit(0.1))
+    assert one(sensors.is_person(v, [1, 0], [0, 1])) is True and one(sensors.is_person(F.lit(None).cast("array<double>"), [1, 0], [0, 1])) is False
+    assert one(sensors.summed_vectors(F.array(v, v), 2)) == [2.0, 0.2]
+    assert one(sensors.baseline("always-both", "id", {"m": 0.5, "f": 0.5})) == ["f", "m"] and one(sensors.baseline("always-none", "id", {"m": 1})) == []
+    assert one(sensors.baseline("random", "id", {"m": 1.0})) == ["m"]
