@@ -193,30 +193,31 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
     return stored(ranged.mapInArrow(run, WRITTEN))
 
 
-def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Each document of the files: id, part, ids before it in its part, number of ids, ids."""
-    schema = arrow_schema(READ)
+def _read(spark: SparkSession, folder: str, ddl: str, rows) -> DataFrame:
+    """What rows(part, ids before, doc ids, lengths, ids) gives for each file, in one pass over them."""
+    schema = arrow_schema(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 part, _, before, doc_ids, lengths, ids = from_file(batch.column("content")[i].as_py())
-                edges = np.concatenate(([0], np.cumsum(lengths)))
-                raw = memoryview(ids.astype("<u4")).cast("B")
-                for a in range(0, len(doc_ids), 2000):
-                    b = min(a + 2000, len(doc_ids))
-                    yield batches_out(
-                        {
-                            "doc_id": doc_ids[a:b],
-                            "part": [part] * (b - a),
-                            "local_start": before + edges[a:b],
-                            "n_tokens": lengths[a:b],
-                            "ids": [bytes(raw[4 * x : 4 * y]) for x, y in zip(edges[a:b].tolist(), edges[a + 1 : b + 1].tolist())],
-                        },
-                        schema,
-                    )
-
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.pfor").load(folder).select("content").mapInArrow(run, READ)
+                for columns in rows(part, before, doc_ids, lengths, memoryview(ids.astype("<u4")).cast("B")):
+                    yield batches_out(dict(zip(schema.names, columns)), schema)
+
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.pfor").load(folder).select("content").mapInArrow(run, ddl)
+
+
+def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Each document of the files: id, part, ids before it in its part, number of ids, ids."""
+
+    def rows(part, before, doc_ids, lengths, raw):
+        edges = np.concatenate(([0], np.cumsum(lengths)))
+        for a in range(0, len(doc_ids), 2000):
+            b = min(a + 2000, len(doc_ids))
+            cut = [bytes(raw[4 * x : 4 * y]) for x, y in zip(edges[a:b].tolist(), edges[a + 1 : b + 1].tolist())]
+            yield doc_ids[a:b], [part] * (b - a), before + edges[a:b], lengths[a:b], cut
+
+    return _read(spark, folder, READ, rows)
 
 
 DIGEST = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -236,13 +237,12 @@ def token_file_digests(docs: DataFrame, tokenizer: str, end_id: int = 2, **colum
     for row in sorted(totals):
         base[row["part"]] = total
         total += row["n"]
-    schema = arrow_schema(DIGEST)
     if not totals:
         return spark.createDataFrame([], DIGEST)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            starts = [base[p] + s for p, s in zip(batch.column("part").to_pylist(), batch.column("local_start").to_pylist())]
-            yield batches_out({"doc_id": batch.column("doc_id"), "start": starts, "n_tokens": batch.column("n_tokens"), "ids_crc32": [zlib.crc32(x.as_py()) for x in batch.column("ids")]}, schema)
+    def rows(part, before, doc_ids, lengths, raw):
+        edges = np.concatenate(([0], np.cumsum(lengths)))
+        crcs = [zlib.crc32(raw[4 * x : 4 * y]) for x, y in zip(edges[:-1].tolist(), edges[1:].tolist())]
+        yield doc_ids, base[part] + before + edges[:-1], lengths, crcs
 
-    return read_token_files(spark, folder).mapInArrow(run, DIGEST)
+    return _read(spark, folder, DIGEST, rows)
