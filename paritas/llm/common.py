@@ -31,15 +31,33 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new path in the folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
+def shared_root(spark: SparkSession) -> str:
+    """This application's folder in the one that driver and executors share, with its file system named."""
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="paritas-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/paritas-{uuid.uuid4().hex}"
+        sc.setCheckpointDir(base)
+    path = sc._jvm.org.apache.hadoop.fs.Path(base)
+    named = path.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    if named.startswith("file:/") and not named.startswith("file://"):
+        named = "file://" + named.removeprefix("file:")
+    return f"{named.rstrip('/')}/paritas-{sc.applicationId}"
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new path below it."""
+    return f"{shared_root(spark)}/{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete what this application has stored; results that still read it are lost."""
+    _delete(spark, shared_root(spark))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def stored(df: DataFrame, codec: str = "zstd") -> DataFrame:
@@ -61,8 +79,7 @@ def release(spark: SparkSession, *tables: DataFrame) -> None:
 
     jvm = spark.sparkContext._jvm
     for t in tables:
-        at = jvm.org.apache.hadoop.fs.Path(t._stored_at)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        _delete(spark, t._stored_at)
     for _ in range(2):
         gc.collect()
         jvm.System.gc()
