@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from paritas.llm import byte_bpe, packing, pfor, top_k, url_filter, word_ids
+from paritas.llm import byte_bpe, common, packing, pfor, top_k, url_filter, word_ids
 from tests.llm import data
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -84,7 +84,19 @@ def test_packing_of_nothing(spark):
     assert packing.pack(data.none(spark), WORDS).count() == 0
 
 
-def test_token_files_round_trip(spark, monkeypatch):
+def test_token_files_are_read_alone(spark, monkeypatch):
+    monkeypatch.setattr(pfor, "FILE_IDS", 50)
+    docs = data.documents(spark, unique=True)
+    folder = f"{common.shared_folder(spark)}/ids"
+    written = pfor.write_token_files(docs, folder, WORDS).collect()
+    assert max(r["seq"] for r in written) > 2
+    got = {r["doc_id"]: (r["n_tokens"], ids_of(r["ids"])) for r in pfor.read_token_files(spark, folder).collect()}
+    for r in docs.select("doc_id", "text").collect():
+        ids = library_cached().encode(r["text"] or "", add_special_tokens=False).ids + [2]
+        assert got[r["doc_id"]] == (len(ids), ids)
+
+
+def test_token_files_round_trip(spark):
     docs = data.documents(spark)
     got = pfor.token_file_digests(docs, WORDS).collect()
     rows = sorted(((r["doc_id"], r["text"] or "") for r in docs.select("doc_id", "text").collect()), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
