@@ -11,9 +11,11 @@ the leftmost one whose hash is least (a minimiser; length = k + windows - 1).
 Consecutive strings of a document mostly share their anchor, so a document gives
 about one run of strings in 39 bytes.
 
-1. Runs: (hash of the anchor's k-gram, document, place).  Sorted by hash, a task
-   keeps those whose hash occurs twice or more (a streaming comparison of
-   neighbours; no group is held).
+1. Runs: (hash of the anchor's k-gram, document, place).  Of equal stretches in the
+   texts at hand all but the first are covered wholly and marked so before any
+   shuffle, so that text which repeats itself, or copies in one file, don't pile up
+   under one hash.  Sorted by hash, a task keeps those whose hash occurs twice or
+   more (a streaming comparison of neighbours; no group is held).
 2. The kept runs meet their documents once, and each becomes its stretch of text.
 3. Stretches are dealt by hash and sorted by (hash, content, place).  Equal
    stretches follow each other; all but the first are covered wholly, as they
@@ -128,6 +130,26 @@ def text_runs(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, np.
             held += len(text)
 
 
+def later_equals(texts: list[bytes], which: np.ndarray, h: np.ndarray, uid: np.ndarray, start: np.ndarray, count: np.ndarray, length: int) -> np.ndarray:
+    """Which of some runs have a stretch that an earlier one of them (by document, start) has too."""
+    out = np.zeros(len(h), bool)
+    order = np.lexsort((start, uid, count, h))
+    like = (h[order[1:]] == h[order[:-1]]) & (count[order[1:]] == count[order[:-1]])
+    seen: dict[bytes, None] = {}
+    group = -1
+    for k in np.flatnonzero(np.concatenate((like, [False])) | np.concatenate(([False], like))).tolist():
+        if k != group + 1 or not like[k - 1]:
+            seen = {}
+        group = k
+        i = order[k]
+        stretch = texts[which[i]][start[i] : start[i] + count[i] + length - 1]
+        if stretch in seen:
+            out[i] = True
+        else:
+            seen[stretch] = None
+    return out
+
+
 def ranks(codes: np.ndarray) -> np.ndarray:
     """Numbers in the order of the codes, equal for equal ones."""
     order = np.argsort(codes, kind="stable")
@@ -226,15 +248,20 @@ def covered_intervals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    run_ddl = "key long, uid long, place long"  # place: start * 128 + strings
+    run_ddl = "key long, uid long, place long"  # place: start * 128 + strings; its complement: covered wholly
     run_schema = arrow_schema(run_ddl)
 
     def find_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, texts in text_batches(batch, "__text", 1 << 20):
                 uids = rows.column("__uid").to_numpy()
-                for which, h, start, count in text_runs([t.encode() for t in texts], length):
-                    yield batches_out({"key": h, "uid": uids[which], "place": start * 128 + count}, run_schema)
+                data = [t.encode() for t in texts]
+                for which, h, start, count in text_runs(data, length):
+                    place = start * 128 + count
+                    later = later_equals(data, which, h, uids[which], start, count, length)
+                    place[later] = ~place[later]
+                    h[later] += np.arange(len(h))[later] * 0x9E3779B9  # anywhere: they are matched with nothing
+                    yield batches_out({"key": h, "uid": uids[which], "place": place}, run_schema)
 
     def keep_repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple | None = None  # the row before: key, document, place, whether its key was met before it
@@ -243,13 +270,13 @@ def covered_intervals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 continue
             key, uid, place = (batch.column(c).to_numpy() for c in ("key", "uid", "place"))
             as_before = np.concatenate(([last is not None and key[0] == last[0]], key[1:] == key[:-1]))
-            kept = as_before.copy()
+            kept = as_before | (place < 0)
             kept[:-1] |= as_before[1:]
-            if last is not None and as_before[0] and not last[3]:
+            if last is not None and as_before[0] and not last[3]:  # it wasn't given out yet
                 yield batches_out({"key": [last[0]], "uid": [last[1]], "place": [last[2]]}, run_schema)
-            kept[-1] = as_before[-1]
+            kept[-1] = as_before[-1] | (place[-1] < 0)
             yield batches_out({"key": key[kept], "uid": uid[kept], "place": place[kept]}, run_schema)
-            last = (int(key[-1]), int(uid[-1]), int(place[-1]), bool(as_before[-1]))
+            last = (int(key[-1]), int(uid[-1]), int(place[-1]), bool(kept[-1]))
 
     found = docs.select("__uid", "__text").mapInArrow(find_runs, run_ddl)
     repeated = stored(found.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(keep_repeated, run_ddl))
@@ -272,7 +299,8 @@ def covered_intervals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     content = np.array([xxh3_64_intdigest(c) for c in cut], np.uint64).view(np.int64)
                     yield batches_out({"key": key[at : at + 4096], "content": content, "uid": np.full(len(start), batch.column("__uid")[i].as_py()), "start": start, "stretch": cut}, schema)
 
-    places = repeated.groupBy("uid").agg(F.collect_list(F.struct("key", "place")).alias("found")).select("uid", F.col("found.key").alias("keys"), F.col("found.place").alias("places"))
+    known = repeated.where("place < 0").select("uid", F.shiftright(F.bitwise_not("place"), 7).alias("start"), (F.shiftright(F.bitwise_not("place"), 7) + F.bitwise_not("place").bitwiseAND(127) + (length - 1)).alias("end"))
+    places = repeated.where("place >= 0").groupBy("uid").agg(F.collect_list(F.struct("key", "place")).alias("found")).select("uid", F.col("found.key").alias("keys"), F.col("found.place").alias("places"))
     met = docs.select("__uid", "__text").join(places, F.col("__uid") == F.col("uid")).select("__uid", "__text", "keys", "places").mapInArrow(stretch, ddl)
     out_ddl = "uid long, start long, end long, h1 long, h2 long"  # h1, h2: the hash of a string that is still to be compared
     out_schema = arrow_schema(out_ddl)
@@ -347,9 +375,9 @@ def covered_intervals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     dealt = met.repartition(parts, "key").sortWithinPartitions("key", "content", "uid", "start")
     out = stored(dealt.select("key", "uid", "start", "stretch").mapInArrow(cover, out_ddl))
-    release(spark, repeated)
+    release(spark)
     left = out.where("h1 IS NOT NULL")
-    done = out.where("h1 IS NULL").select("uid", "start", "end")
+    done = out.where("h1 IS NULL").select("uid", "start", "end").union(known)
     if not left.limit(1).count():
         return done
     return done.union(left.repartition(parts, "h1").sortWithinPartitions("h1", "h2", "uid", "start").mapInArrow(later_ones, "uid long, start long, end long"))
