@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paritas.operators import ensemble
+from paritas.operators import diversity, ensemble, fairness
 
 
 def grid(space: Mapping[str, Sequence]) -> Iterator[dict]:
@@ -85,3 +85,45 @@ def first_that_works(candidates: Sequence, attempt: Callable) -> tuple[object, o
         except (ValueError, RuntimeError):
             continue
     return None
+
+
+def model_report(df: DataFrame, models: Mapping[str, str], attrs: Sequence[str], target: str, positive, metrics: Sequence[str] = fairness.METRICS, split: str | None = None) -> DataFrame:
+    """A row per model (name -> prediction column) and split: accuracy and the spread of each metric; failures give their text."""
+    out = None
+    spark = df.sparkSession
+    splits = [r[0] for r in df.select(split).distinct().orderBy(split).collect()] if split else [None]
+    for part in splits:
+        rows = df if part is None else df.where(F.col(split) == part)
+        for name, prediction in models.items():
+            try:
+                values = fairness.spreads(fairness.group_rates(rows, attrs, target, prediction, positive), metrics)
+                row = values.crossJoin(F.broadcast(fairness.accuracy(rows, target, prediction))).withColumn("error", F.lit(None).cast("string"))  # one row each
+            except Exception as e:  # a model's failure is part of the report
+                row = spark.createDataFrame([(str(e).splitlines()[0],)], "error string")
+            row = row.withColumn("model", F.lit(name)).withColumn("split", F.lit(part).cast("string"))
+            out = row if out is None else out.unionByName(row, allowMissingColumns=True)
+    return out
+
+
+def mitigate(df: DataFrame, n: int, attrs: Sequence[str], positive, metric: str = "statistical_parity", detriment: float = 0.05, top: int = 5, preds: str = "preds", gold: str = "gold") -> dict:
+    """The fairest voting ensemble whose accuracy stays within the detriment of the best single model.
+
+    Base models are ranked by greedy diversity, the `top` of them are combined in
+    every subset, all subsets are scored for accuracy in one aggregation, and those
+    within the detriment for the metric.  Ties go to higher accuracy, then to fewer and
+    earlier classifiers.  Returns classifiers, accuracy, metric's spread, best single accuracy.
+    """
+    single = [r["accuracy"] for r in score_votes(df, [(i,) for i in range(n)], {"accuracy": accuracy_metric}, preds, gold).orderBy("candidate").collect()]
+    pairs = {(r["i"], r["j"]): r["double_fault_inverse"] for r in diversity.pairwise(df, n, preds, gold).collect()}
+    ranks = diversity.greedy_rank(single, pairs, min(top, n - 1)) if n > 2 else single
+    chosen = sorted(sorted(range(n), key=lambda i: (-ranks[i], i))[:top])
+    subsets = [(i,) for i in chosen] + [tuple(chosen[i] for i in s) for _, s in ensembles(len(chosen), kinds=("voting",)) if len(s) > 1]
+    accuracies = [r["accuracy"] for r in score_votes(df, subsets, {"accuracy": accuracy_metric}, preds, gold).orderBy("candidate").collect()]
+    limit = ensemble.detriment_limit(max(single), detriment)
+    allowed = [i for i, a in enumerate(accuracies) if a >= limit]
+    voted = df.select("*", *[ensemble.majority_vote(ensemble.select_predictions(F.col(preds), subsets[i])).alias(f"__v{i}") for i in allowed])
+    gaps = {}
+    for i in allowed:
+        gaps[i] = fairness.spreads(fairness.group_rates(voted, attrs, gold, f"__v{i}", positive), [metric]).first()[0]
+    best = min(allowed, key=lambda i: (gaps[i] if gaps[i] is not None else float("inf"), -accuracies[i], len(subsets[i]), subsets[i]))
+    return {"classifiers": subsets[best], "accuracy": accuracies[best], metric: gaps[best], "best_single": max(single)}

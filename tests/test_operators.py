@@ -371,3 +371,13 @@ def test_person_and_baselines(spark):
     assert one(sensors.summed_vectors(F.array(v, v), 2)) == [2.0, 0.2]
     assert one(sensors.baseline("always-both", "id", {"m": 0.5, "f": 0.5})) == ["f", "m"] and one(sensors.baseline("always-none", "id", {"m": 1})) == []
     assert one(sensors.baseline("random", "id", {"m": 1.0})) == ["m"]
+
+
+def test_mitigation_and_model_report(spark):
+    rows = [(i, "ab"[i % 2], int(i % 4 < 2), [int(i % 4 < 2), int(i % 2 == 0), int(i % 4 < 2) if i % 8 else 0]) for i in range(80)]
+    df = spark.createDataFrame(rows, "row_id long, g string, gold int, preds array<int>")
+    found = search.mitigate(df, 3, ["g"], 1, detriment=0.2)
+    assert found["best_single"] == 1.0 and found["accuracy"] >= 0.8 and found["statistical_parity"] == 0
+    wide = df.withColumns({f"m{i}": F.col("preds")[i] for i in range(3)})
+    report = {r["model"]: r for r in search.model_report(wide, {"one": "m0", "two": "m1", "bad": "none"}, ["g"], "gold", 1).collect()}
+    assert report["one"]["accuracy"] == 1 and report["two"]["statistical_parity"] == 1 and report["bad"]["error"] and report["bad"]["accuracy"] is None
