@@ -142,6 +142,16 @@ def put_file(folder: str, name: str, blob: bytes) -> None:
     store.move(aside, f"{path}/{name}")
 
 
+def get_file(uri: str) -> bytes:
+    from pyarrow import fs
+
+    if uri.startswith("file:/") and not uri.startswith("file://"):
+        uri = "file://" + uri.removeprefix("file:")
+    store, path = fs.FileSystem.from_uri(uri)
+    with store.open_input_stream(path) as f:
+        return f.read()
+
+
 WRITTEN = "part int, seq int, n_docs long, n_ids long, n_bytes long"
 READ = "doc_id long, part int, local_start long, n_tokens long, ids binary"
 
@@ -194,17 +204,21 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
 
 
 def _read(spark: SparkSession, folder: str, ddl: str, rows) -> DataFrame:
-    """What rows(part, ids before, doc ids, lengths, ids) gives for each file, in one pass over them."""
+    """What rows(part, ids before, doc ids, lengths, ids) gives for each file.
+
+    Spark lists the files and deals them to tasks by size; a task opens one after
+    another, so contents don't pass through the executor's JVM.
+    """
     schema = arrow_schema(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                part, _, before, doc_ids, lengths, ids = from_file(batch.column("content")[i].as_py())
+            for path in batch.column("path").to_pylist():
+                part, _, before, doc_ids, lengths, ids = from_file(get_file(path))
                 for columns in rows(part, before, doc_ids, lengths, memoryview(ids.astype("<u4")).cast("B")):
                     yield batches_out(dict(zip(schema.names, columns)), schema)
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.pfor").load(folder).select("content").mapInArrow(run, ddl)
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.pfor").load(folder).select("path").mapInArrow(run, ddl)
 
 
 def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
