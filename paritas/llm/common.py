@@ -20,11 +20,22 @@ BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    plain_reads(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def plain_reads(spark: SparkSession) -> None:
+    """Read Parquet columns one after another in this session.
+
+    Vectored reads hand each column chunk to a pool of threads that keep direct
+    buffers of its size; these add up outside the heap, run after run.
+    """
+    spark.conf.set("parquet.hadoop.vectored.io.enabled", "false")
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches of this session: texts may be very long."""
+    plain_reads(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key, "10000"))
     if now <= 0 or now > BATCH_ROWS:
