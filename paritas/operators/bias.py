@@ -151,7 +151,8 @@ def contexts(seeded: DataFrame, context=None, punctuation: bool = False, step: f
     window = F.slice("tokens", start + 1, F.col("centre") + width - start + 1)
     columns = ["grp", "centre", start.alias("start"), *([punctuated(F.col("tokens"), step).alias("logs")] if punctuation else [])]
     near = seeded.where("agrees").select(*columns, F.posexplode(window).alias("k", "token"))
-    counted = ~F.col("token.pos").isin(*CUT_POS) & ~F.col("token.word").rlike(r"^\p{Nd}+$")
+    digits = F.col("token.word").between("0", ":") | ~F.col("token.word").between(" ", "~")  # else no digit is first
+    counted = ~F.col("token.pos").isin(*CUT_POS) & ~(digits & F.col("token.word").rlike(r"^\p{Nd}+$"))
     at = F.col("start") + F.col("k")
     d = at - F.col("centre")
     if punctuation:

@@ -16,6 +16,12 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt out to all cores if it comes in fewer parts (one small file); large inputs aren't shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def li(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").select(F.col("l_returnflag").alias("grp"), F.col("l_linestatus").alias("target"), F.when(F.col("l_quantity") >= 25, "O").otherwise("F").alias("pred"))
 
@@ -58,7 +64,7 @@ CLF_SCORES = [0.75, 0.46, 0.61, 0.77, 0.52]
 
 
 def tokens(spark: SparkSession, d: str) -> DataFrame:
-    english = table(spark, d, "documents").where(F.col("lang") == "en").select("doc_id", "text")
+    english = spread(table(spark, d, "documents").where(F.col("lang") == "en").select("doc_id", "text"))
     lines = english.select("doc_id", F.posexplode(F.split("text", "\n")).alias("par_id", "paragraph"))
     return bias.regex_tokens(lines).select("doc_id", "par_id", "tokens")
 
