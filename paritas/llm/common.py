@@ -27,8 +27,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def plain_reads(spark: SparkSession) -> None:
     """Read Parquet columns one after another in this session.
 
-    Vectored reads hand each column chunk to a pool of threads that keep direct
-    buffers of its size; these add up outside the heap, run after run.
+    Vectored reads hand column chunks to a pool of threads with buffers outside the
+    heap; these are the suspected cause of executors that outgrew their memory.
     """
     spark.conf.set("parquet.hadoop.vectored.io.enabled", "false")
 
