@@ -25,13 +25,13 @@ RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.
 
 #: Labelled urls (host and path), written by hand.
 BLOCKED = """
-casino-royal.test/en/1201 big-casino.test/de/88 online-casino.test/slots lucky-casino.test/en/4410.html casino-win.test/fr/9 m.casino-bonus.test/en/771
-sports-bets.test/odds bets-today.test/en/6201 bet-now.test/es/5 free-bets.test/en/1919 free-spins.test/win poker-win.test/en/3 blog.best-bets.test/de/12
+casino-royal.test/en/1201 big-casino.test/de/88 online-casino.test/slots lucky-casino.test/en/4410.html m.casino-bonus.test/en/771
+sports-bets.test/odds bets-today.test/en/6201 bet-now.test/es/5 free-spins.test/win poker-win.test/en/3 blog.best-bets.test/de/12
 slots-win.test/free win-big.test/en/8080 jackpot-lotto.test/claim gambling-tips.test/en/2 roulette-casino.test/fr/404 www.bets-online.test/en/51
-cheap-meds.test/buy buy-pills.test/en/909 pills-online.test/de/41 cheap-pills.test/en/7712/ diet-pills.test/order viagra-cheap.test/en/66 cialis-pills.test/fr/3
-adult-videos.test/en/45 adult-dating.test/chat xxx-tube.test/watch adult-x.test/de/9001 sex-cams.test/live hot-adult.test/en/18 nude-pics.test/es/7 escort-adult.test/en/2
-ads-server.test/click ads-track.test/en/1500 click-track.test/de/77 track-ads.test/banner popup-ads.test/en/31 track-user.test/fr/6 ads-network.test/en/9.html
-spam-links.test/en/5 link-farm.test/seo spam-site.test/de/8 content-farm.test/en/21 spam-farm.test/en/7345 farm-spam.test/post
+cheap-meds.test/buy buy-pills.test/en/909 pills-online.test/de/41 diet-pills.test/order viagra-cheap.test/en/66 cialis-pills.test/fr/3
+adult-videos.test/en/45 adult-dating.test/chat xxx-tube.test/watch sex-cams.test/live hot-adult.test/en/18 nude-pics.test/es/7 escort-adult.test/en/2
+ads-server.test/click click-track.test/de/77 track-ads.test/banner popup-ads.test/en/31 track-user.test/fr/6 ads-network.test/en/9.html
+spam-links.test/en/5 link-farm.test/seo spam-site.test/de/8 content-farm.test/en/21 farm-spam.test/post
 warez-crack.test/keygen free-crack.test/en/10 torrent-warez.test/fr/1 phishing-login.test/verify payday-loans.test/en/71 cheap-replica.test/de/2
 """.split()
 ALLOWED = """
