@@ -17,6 +17,12 @@ Components are found by :mod:`paritas.llm.components`.
 Defined results: null, empty or blank text has fingerprint zero, which links like
 any other; a component's id is the smallest non-null id in it (null if it has
 none); each row gets a result, rows of one id each their own.
+
+The pipeline's stage (:func:`one_of_each_group`) has another rule: five-word shingles
+with a Jaccard similarity of 0.8 or more.  Such pairs differ in about ten bits of a
+fingerprint and often in 18, where no byte need be shared, so its candidates come
+from bands of MinHash values; SimHash distances only order long lists, and each
+candidate is verified on its shingles.
 """
 
 from __future__ import annotations
@@ -29,12 +35,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paritas.llm.common import arrow_schema, batches_out, small_batches, stored, text_batches
+from paritas.llm.common import arrow_schema, batches_out, small_batches, stored, text_batches, wide_hash
 from paritas.llm.components import components
 
 SHINGLE, SEED, MAX_BITS = 4, 42, 4
 TRIPLES = list(combinations(range(7), 3))
 
+#: The pipeline's stage: words of a shingle, similarity as a fraction, bands of MinHash values and values of each,
+#: and the longest list of which all pairs are verified.
+STAGE_SHINGLE, SIMILAR, BANDS, ROWS, SHORT_LIST = 5, (4, 5), 30, 5, 6
+_XOR, _ODD = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64) | np.array([[0], [1]], np.uint64)
+
 
 def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
     """Bit by bit, the majority of the XXH64 of the word shingles, as a signed long."""
@@ -172,11 +183,166 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(ids, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
-def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+# --- the pipeline's stage: pairs of five-word shingle sets with a Jaccard similarity of 0.8 or more --------------------
+
+
+def shingles(text: str, size: int = STAGE_SHINGLE, seed: int = SEED) -> np.ndarray:
+    """Sorted distinct hashes of the word shingles; a text of fewer words is one shingle, one without words has none."""
+    from xxhash import xxh64_intdigest
+
+    words = text.encode().lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    line = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1)).tolist()
+    last = ends[min(size, len(words)) - 1 :].tolist()
+    return np.unique(np.fromiter((xxh64_intdigest(line[a:b], seed) for a, b in zip(starts, last)), np.uint64, len(last)))
+
+
+def sketch(held: np.ndarray) -> tuple[int, int, list[int]]:
+    """Of a shingle set: its 64-bit name, its SimHash, and a key of each band of MinHash values."""
+    if not len(held):
+        return 0, 0, []
+    from xxhash import xxh64_intdigest
+
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(held), 4096):
+        part = held[at : at + 4096]
+        least = np.minimum(least, ((part ^ _XOR[:, None]) * _ODD[:, None]).min(axis=1))
+        ones += np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    fp = int(np.packbits(2 * ones > len(held), bitorder="little").view("<i8")[0])
+    values = least.reshape(BANDS, ROWS).astype("<u8")
+    keys = np.array([xxh64_intdigest(v.tobytes(), k) for k, v in enumerate(values)], np.uint64).view(np.int64).tolist()
+    return int(np.uint64(xxh64_intdigest(held.astype("<u8").tobytes(), SEED)).astype(np.int64)), fp, keys
+
+
+def nearest(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places: all of a short list, else those of a spanning tree that joins each to the nearest SimHash."""
+    if len(fps) <= SHORT_LIST:
+        return np.triu_indices(len(fps), 1)
+    distance, to = np.full(len(fps), 255, np.uint8), np.zeros(len(fps), np.int64)
+    done = np.zeros(len(fps), bool)
+    order = [0]
+    for _ in range(len(fps) - 1):
+        now = order[-1]
+        done[now] = True
+        d = np.bitwise_count(fps ^ fps[now])
+        closer = (d < distance) & ~done
+        distance[closer], to[closer] = d[closer], now
+        distance[now] = 255
+        order.append(int(distance.argmin()))
+    members = np.array(order[1:])
+    return members, to[members]
+
+
+def candidates(nodes: DataFrame) -> DataFrame:
+    """From (node, fp, bands): distinct pairs a < b of nodes that share a band, as `nearest` picks them from each list."""
+    ddl = "a long, b long"
+    schema = arrow_schema(ddl)
+    posted = nodes.select(F.explode("bands").alias("key"), "node", "fp")
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    listed = posted.repartition(parts, "key").sortWithinPartitions("key", "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held_key = None
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if sum(len(n) for n, _ in held) > 1:
+                node, fp = (np.concatenate(x) for x in zip(*held))
+                i, j = nearest(fp)
+                yield batches_out({"a": np.minimum(node[i], node[j]), "b": np.maximum(node[i], node[j])}, schema)
+            held.clear()
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, node = batch.column("key").to_numpy(), batch.column("node").to_numpy()
+            fp = batch.column("fp").to_numpy().astype(np.int64).view(np.uint64)
+            edges = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]))
+            sizes = np.diff(edges)
+            if held_key is not None and key[0] != held_key:
+                yield from close()
+            for g in np.flatnonzero((sizes > 1) | (np.arange(len(sizes)) == 0) | (np.arange(len(sizes)) == len(sizes) - 1)).tolist():
+                if g:
+                    yield from close()
+                held.append((node[edges[g] : edges[g + 1]], fp[edges[g] : edges[g + 1]]))
+            held_key = key[-1]
+        yield from close()
+
+    return listed.mapInArrow(run, ddl).distinct()
+
+
+def similar(a: bytes, b: bytes) -> bool:
+    """Whether two stored shingle sets reach the similarity, in whole numbers."""
+    x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
+    if SIMILAR[1] * min(len(x), len(y)) < SIMILAR[0] * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return SIMILAR[1] * both >= SIMILAR[0] * (len(x) + len(y) - both)
+
+
+def _sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, h1, h2 (128 bits of the text), node, fp, bands of every row."""
+    ddl = "doc_id long, h1 long, h2 long, node long, fp long, bands array<long>"
+    schema = pa.schema([*arrow_schema("doc_id long, h1 long, h2 long, node long, fp long"), ("bands", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, texts in text_batches(batch, "__text"):
+                node, fp, bands = zip(*(sketch(shingles(t)) for t in texts))
+                yield batches_out({"doc_id": rows.column("doc_id"), "h1": rows.column("h1"), "h2": rows.column("h2"), "node": node, "fp": fp, "bands": bands}, schema)
+
+    h1, h2 = wide_hash(docs[text_col])
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), h1.alias("h1"), h2.alias("h2"), docs[text_col].alias("__text")).mapInArrow(run, ddl)
+
+
+def _verified(docs: DataFrame, text_col: str, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs whose shingle sets, read again from one text of each node, are similar."""
+    set_ddl, pair_ddl = "node long, held binary", "a long, b long"
+    set_schema, pair_schema = arrow_schema(set_ddl), arrow_schema(pair_ddl)
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, texts in text_batches(batch, "__text"):
+                yield batches_out({"node": rows.column("node"), "held": [shingles(t).astype("<u8").tobytes() for t in texts]}, set_schema)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = batch.column("x"), batch.column("y")
+            keep = pa.array([similar(x[i].as_py(), y[i].as_py()) for i in range(batch.num_rows)], pa.bool_())
+            yield batch.select(["a", "b"]).filter(keep).cast(pair_schema)
+
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes, "node").select("node", "text_hash.*")
+    h1, h2 = wide_hash(docs[text_col])
+    texts = docs.select(h1.alias("h1"), h2.alias("h2"), docs[text_col].alias("__text")).join(wanted, ["h1", "h2"]).select("node", "__text")
+    held = stored(texts.mapInArrow(sets, set_ddl).dropDuplicates(["node"]))
+    first = held.select(F.col("node").alias("a"), F.col("held").alias("x"))
+    second = held.select(F.col("node").alias("b"), F.col("held").alias("y"))
+    return stored(pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(judge, pair_ddl))
+
+
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the smallest id of each component only; rows of one id count as one document.
 
+    Two texts are linked if their sets of five-word shingles have a Jaccard similarity
+    of 0.8 or more.  Candidates share one of BANDS bands of ROWS MinHash values, which
+    a pair of exactly 0.8 does with a chance of 0.99999; each candidate is verified on
+    its shingles.  Equal sets are one node; texts without words are one node.
     Rows with a null id stay if no row with an id is in their component.
     """
-    found = near_duplicates(docs, id_col, text_col, **how)
+    small_batches(docs.sparkSession)
+    rows = stored(_sketched(docs, id_col, text_col))
+    nodes = stored(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.min(F.struct("h1", "h2")).alias("text_hash")))
+    pairs = stored(candidates(nodes))
+    roots = components(_verified(docs, text_col, nodes, pairs))
+    one = nodes.select("node", "least")
+    labelled = roots.union(roots.select("root", "root").distinct()).join(one, "node")
+    smallest = labelled.groupBy("root").agg(F.min("least").alias("component"))
+    of = labelled.join(smallest, "root").select("node", "component")
+    ids = stored(one.join(of, "node", "left").select("node", F.when(F.col("component").isNotNull(), F.col("component")).otherwise(F.col("least")).alias("component_id")))
+    found = rows.select("doc_id", "h1", "h2", "node").join(ids, "node")
     gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, docs[id_col].eqNullSafe(gone["__gone"]), "left_anti")

@@ -162,6 +162,44 @@ def test_simhash_stage_and_empty_table(spark):
         simhash.links(spark.createDataFrame([(1,)], "fp long"), 5)
 
 
+def test_simhash_stage_links_five_word_shingles_of_similarity_0_8(spark):
+    def jaccard(a, b):
+        x, y = ({tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in (a, b))
+        return len(x & y) / len(x | y)
+
+    r = random.Random(11)
+    rows, similar = [], {}
+    for k in range(60):
+        words = [f"w{r.randrange(10**6)}" for _ in range(200)]
+        edited = list(words)
+        for at in r.sample(range(200), 2 + k % 7):
+            edited[at] = f"e{r.randrange(10**6)}"
+        a, b = " ".join(words), " ".join(edited)
+        rows += [(2 * k, a), (2 * k + 1, b)]
+        similar[2 * k + 1] = jaccard(a, b) >= 0.8
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {x["doc_id"] for x in simhash.one_of_each_group(docs).collect()}
+    assert kept == {d for d, _ in rows if not similar.get(d)}
+    assert 15 < sum(similar.values()) < 55
+
+
+def test_simhash_stage_long_lists_and_chains(spark):
+    r = random.Random(12)
+    base = [f"w{k}" for k in range(300)]
+    rows = []
+    for k in range(40):  # neighbours are similar, ends are not
+        base = list(base)
+        base[(7 * k) % 300] = f"c{k}"
+        rows.append((k, " ".join(base)))
+    centre = [f"v{k}" for k in range(300)]
+    for k in range(60):
+        edited = list(centre)
+        edited[r.randrange(300)] = f"d{k}"
+        rows.append((100 + k, " ".join(edited)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {x["doc_id"] for x in simhash.one_of_each_group(docs).collect()} == {0, 100}
+
+
 def cut_by_hand(ordered, length):
     seen, out = set(), []
     for text in ordered:
