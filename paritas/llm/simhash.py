@@ -325,7 +325,7 @@ def _verified(docs: DataFrame, text_col: str, nodes: DataFrame, pairs: DataFrame
 
 
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the smallest id of each component only; rows of one id count as one document.
+    """docs with the rows of the smallest id of each component only; each row is judged by its own text.
 
     Two texts are linked if their sets of five-word shingles have a Jaccard similarity
     of 0.8 or more.  Candidates share one of BANDS bands of ROWS MinHash values, which
@@ -344,5 +344,6 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     of = labelled.join(smallest, "root").select("node", "component")
     ids = stored(one.join(of, "node", "left").select("node", F.when(F.col("component").isNotNull(), F.col("component")).otherwise(F.col("least")).alias("component_id")))
     found = rows.select("doc_id", "h1", "h2", "node").join(ids, "node")
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["__gone"]), "left_anti")
+    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone"), F.col("h1").alias("__h1"), F.col("h2").alias("__h2")).distinct()
+    h1, h2 = wide_hash(docs[text_col])
+    return docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone["__gone"]) & (h1 == gone["__h1"]) & (h2 == gone["__h2"]), "left_anti")

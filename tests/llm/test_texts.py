@@ -200,6 +200,15 @@ def test_simhash_stage_long_lists_and_chains(spark):
     assert {x["doc_id"] for x in simhash.one_of_each_group(docs).collect()} == {0, 100}
 
 
+def test_simhash_stage_judges_rows_not_ids(spark):
+    r = random.Random(13)
+    prose = lambda: " ".join(f"w{r.randrange(10**6)}" for _ in range(60))
+    copied, alone, other, twin = prose(), prose(), prose(), prose()
+    rows = [(1, copied), (None, copied + " more"), (None, alone), (None, twin), (None, twin + " x"), (7, copied), (7, other), (8, None), (9, "")]
+    kept = simhash.one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(str, map(tuple, kept))) == sorted(map(str, [(1, copied), (None, alone), (None, twin), (None, twin + " x"), (7, other), (8, None)]))
+
+
 def cut_by_hand(ordered, length):
     seen, out = set(), []
     for text in ordered:
