@@ -139,7 +139,10 @@ def identify(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id"
 
 
 def with_language(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """docs' rows that have a language: the others (no letter, no text) go.  Columns stay as they are."""
+    """docs' rows that have a language: the others (no letter, no text) go.  Columns stay as they are.
+
+    Where no language could be learned, rows with a letter stay all the same.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model or fit(*sample(docs, id_col, text_col, lang_col)))
@@ -149,7 +152,10 @@ def with_language(docs: DataFrame, model: Model | None = None, id_col: str = "do
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, texts in text_batches(batch, text):
-                names, _ = shared.value.predict(texts)
-                yield rows.filter(pa.array([n != UNDETERMINED for n in names]))
+                if shared.value.languages:
+                    keep = [n != UNDETERMINED for n in shared.value.predict(texts)[0]]
+                else:
+                    keep = [has_letter(t) for t in texts]
+                yield rows.filter(pa.array(keep, pa.bool_()))
 
     return named.mapInArrow(run, named.schema).toDF(*docs.columns)

@@ -293,3 +293,9 @@ def test_language_id_without_labels(spark):
     docs = data.documents(spark).withColumn("lang", __import__("pyspark").sql.functions.lit(None).cast("string"))
     assert {r["lang_pred"] for r in language_id.identify(docs).collect()} == {"und"}
     assert language_id.identify(data.none(spark)).count() == 0
+
+
+def test_language_stage_keeps_texts_where_nothing_can_be_learned(spark):
+    rows = [(1, "some words", None), (2, "é", None), (3, "12 !?", None), (4, None, None), (None, "more words", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert sorted(map(str, (r["doc_id"] for r in language_id.with_language(docs).collect()))) == ["1", "2", "None"]
