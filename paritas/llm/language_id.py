@@ -34,8 +34,8 @@ from paritas.llm.common import arrow_schema, batches_out, small_batches, text_ba
 
 UNDETERMINED = "und"
 GRAMS, BUCKET_BITS = (1, 2, 3, 4), 14
-#: Bounds of the training sample: documents of a language, languages (the most frequent), landmarks.
-PER_LANGUAGE, LANGUAGES, LANDMARKS = 200, 64, 240
+#: Bounds of the training sample: documents of a language, of all together, landmarks.  Each language has one of both at least.
+PER_LANGUAGE, SAMPLE, LANDMARKS = 200, 12_800, 240
 RIDGE = 1e-3
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 _MULT = np.uint32(0x9E3779B1)
@@ -114,10 +114,10 @@ def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     """The bounded training sample.  Ids and labels are ranked first; texts are read for the chosen only."""
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     narrow = labelled.select(F.col(id_col).cast("long").alias("__id"), F.col(lang_col).cast("string").alias("__lang"))
-    frequent = [r["__lang"] for r in narrow.groupBy("__lang").count().orderBy(F.desc("count"), "__lang").limit(LANGUAGES).collect()]
+    each = min(PER_LANGUAGE, max(1, SAMPLE // max(1, narrow.select("__lang").distinct().count())))
     by_hash = Window.partitionBy("__lang").orderBy(F.xxhash64("__id"), "__id")
-    chosen = [r["__id"] for r in narrow.where(F.col("__lang").isin(frequent)).withColumn("__n", F.row_number().over(by_hash)).where(F.col("__n") <= PER_LANGUAGE).select("__id").distinct().collect()]
-    rows = labelled.where(F.col(id_col).isin(chosen)).select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), F.col(lang_col).cast("string").alias("__lang")).dropDuplicates(["__id"]).collect()
+    chosen = [r["__id"] for r in narrow.withColumn("__n", F.row_number().over(by_hash)).where(F.col("__n") <= each).select("__id").distinct().collect()]
+    rows = labelled.where(F.col(id_col).isin(chosen)).select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), F.col(lang_col).cast("string").alias("__lang")).dropDuplicates(["__id", "__lang"]).collect()
     rows = sorted(rows, key=lambda r: (r["__lang"], r["__id"]))
     return [r["__text"] for r in rows], [r["__lang"] for r in rows]
 

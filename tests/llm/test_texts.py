@@ -299,3 +299,12 @@ def test_language_stage_keeps_texts_where_nothing_can_be_learned(spark):
     rows = [(1, "some words", None), (2, "é", None), (3, "12 !?", None), (4, None, None), (None, "more words", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     assert sorted(map(str, (r["doc_id"] for r in language_id.with_language(docs).collect()))) == ["1", "2", "None"]
+
+
+def test_language_id_learns_every_language(spark, monkeypatch):
+    rows = [(i, f"{chr(0x4E00 + i % 70) * 3} {chr(0x4E00 + i % 70)}x", f"l{i % 70:02d}") for i in range(700)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r["lang_pred"] for r in language_id.identify(docs).collect()} == {f"l{k:02d}" for k in range(70)}
+    monkeypatch.setattr(language_id, "SAMPLE", 140)
+    labels = language_id.sample(docs)[1]
+    assert len(set(labels)) == 70 and len(labels) <= 140
