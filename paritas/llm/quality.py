@@ -1,6 +1,6 @@
 """Quality rules on repetition: characters inside duplicated n-grams and lines.
 
-Words are runs of anything but ASCII white space.  Each word gets a 64-bit hash;
+Words are runs of anything but ASCII white space.  Each word gets its XXH64;
 hashes of n consecutive words are rolled together in numpy by doubling
 (h[2n] = mix(h[n]) * odd + h[n] shifted), sorted, and every window whose hash
 occurs twice or more marks its words.  The coverage of a length is the
@@ -17,7 +17,6 @@ Repeated rows each get their own result; other columns aren't read.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -94,6 +93,8 @@ def covered(marks: np.ndarray, n: int, size: int) -> np.ndarray:
 
 def measure(text: str) -> tuple:
     """The figures of one text, in the order of SCHEMA without doc_id."""
+    from xxhash import xxh64_intdigest
+
     raw = text.encode()
     words = raw.split()
     n = len(words)
@@ -120,7 +121,7 @@ def measure(text: str) -> tuple:
 
     repeat_words, worst = 0, 0.0
     if n >= min(*NGRAM_LIMITS, BASE_WINDOW):
-        distinct = {w: zlib.crc32(w, 0x5EED) << 32 | zlib.crc32(w) for w in set(words)}
+        distinct = {w: xxh64_intdigest(w, 0x5EED) for w in set(words)}
         hashes = _mix(np.fromiter(map(distinct.__getitem__, words), np.uint64, n))
         for k, h in rolled(hashes, sorted({*NGRAM_LIMITS, BASE_WINDOW})).items():
             twice, later = repeats(h)

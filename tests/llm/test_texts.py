@@ -308,3 +308,14 @@ def test_language_id_learns_every_language(spark, monkeypatch):
     monkeypatch.setattr(language_id, "SAMPLE", 140)
     labels = language_id.sample(docs)[1]
     assert len(set(labels)) == 70 and len(labels) <= 140
+
+
+def test_quality_tells_words_of_one_crc_apart():
+    r, seen, pairs = random.Random(6), {}, []
+    while len(pairs) < 2:
+        word = f"{r.randrange(10**12):012d}"
+        other = seen.setdefault(zlib.crc32(word.encode()), word)
+        if other != word:
+            pairs.append((other, word))
+    text = " ".join(f"one two three four {w} five six seven" for pair in pairs for w in pair)
+    assert quality.measure(text)[4] == quality_by_hand(text)[4] == 0
