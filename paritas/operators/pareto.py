@@ -35,12 +35,22 @@ def front(df: DataFrame, objectives: Sequence[str], maximize: Sequence[bool]) ->
     return df.alias("own").join(points, dominates("other", "own", objectives, maximize), "left_anti")
 
 
-def fronts(df: DataFrame, objectives: Sequence[str], maximize: Sequence[bool], most: int = 10) -> DataFrame:
-    """df with front (from 0), by removing one front after another; rows beyond `most` fronts are left out."""
-    left, out = df, None
-    for k in range(most):
-        now = front(left, objectives, maximize).distinct()
-        marked = now.withColumn("front", F.lit(k))
-        out = marked if out is None else out.unionByName(marked)
-        left = left.join(now.select(*objectives).distinct(), list(objectives), "left_anti")
-    return out
+def fronts(df: DataFrame, objectives: Sequence[str], maximize: Sequence[bool], most: int | None = None) -> DataFrame:
+    """df with front (from 0), by removing one front after another until no row is left.
+
+    Rows with a null objective can't be ranked and have a null front.  `most` is an explicit
+    limit of a report: rows beyond so many fronts are left out.
+    """
+    null = F.lit(False)
+    for name in objectives:
+        null = null | F.col(name).isNull()
+    left, found, k = df.where(~null).select(*objectives).distinct(), None, 0
+    while most is None or k < most:
+        left = left.localCheckpoint()
+        if left.isEmpty():
+            break
+        now = front(left, objectives, maximize).select(*objectives).withColumn("front", F.lit(k))
+        found = now if found is None else found.unionByName(now)
+        left, k = left.join(now, list(objectives), "left_anti"), k + 1
+    unranked = df.where(null).withColumn("front", F.lit(None).cast("int"))
+    return unranked if found is None else df.where(~null).join(found, list(objectives)).select(*df.columns, "front").unionByName(unranked)

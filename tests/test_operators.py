@@ -287,6 +287,14 @@ def test_pareto(spark):
     assert {r["id"]: r["front"] for r in pareto.fronts(df, ["x", "y"], [True, True], 4).collect()} == {1: 0, 2: 0, 3: 0, 5: 0, 4: 1, 6: 2}
 
 
+def test_pareto_fronts_leave_no_row_out(spark):
+    points = [(i, i, i) for i in range(13)] + [(100, 3, 3), (100, 3, 3), (200, None, 5)]
+    df = spark.createDataFrame(points, "id long, x int, y int")
+    got = pareto.fronts(df, ["x", "y"], [True, True]).collect()
+    expected = [(i, 12 - i) for i in range(13)] + [(100, 9), (100, 9), (200, None)]
+    assert sorted(map(str, ((r["id"], r["front"]) for r in got))) == sorted(map(str, expected))
+
+
 def test_reports(spark):
     df = spark.createDataFrame([(None, 2.0), (2.0, None), (2.0, 2.1), (4.0, 1.0), (1.0, 4.0)], "m double, f double")
     assert [r[0] for r in df.select(reports.observed_by_counts(F.col("m"), F.col("f"), 1.2)).collect()] == ["female", "male", "neutral", "male", "female"]
