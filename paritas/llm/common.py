@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -19,23 +20,27 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BATCH_ROWS = 1000
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    plain_reads(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+#: Option of a Parquet reader: columns are read one after another.  Vectored reads hand column chunks to a pool of threads
+#: with buffers outside the heap, the suspected cause of executors that outgrew their memory.
+PLAIN_READS = {"parquet.hadoop.vectored.io.enabled": "false"}
 
+#: Bytes of input for each partition of a shuffle whose number of partitions is set by hand.
+PART_BYTES = 256 << 20
 
-def plain_reads(spark: SparkSession) -> None:
-    """Read Parquet columns one after another in this session.
 
-    Vectored reads hand column chunks to a pool of threads with buffers outside the
-    heap; these are the suspected cause of executors that outgrew their memory.
-    """
-    spark.conf.set("parquet.hadoop.vectored.io.enabled", "false")
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.options(**PLAIN_READS).parquet(f"{sf_dir}/{name}.parquet")
+
+
+def partitions(df: DataFrame) -> int:
+    """For a shuffle of about the bytes of df: the session's number of partitions, or more where the input is large."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(usual, 1, min(-(-size // PART_BYTES), 500_000))
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches of this session: texts may be very long."""
-    plain_reads(spark)
+    """Bound the rows of this session's Arrow batches: texts may be very long, and plans that run later read the setting too."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key, "10000"))
     if now <= 0 or now > BATCH_ROWS:
@@ -43,27 +48,50 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """This application's folder in the one that driver and executors share, with its file system named."""
+    """This application's folder in the one that driver and executors share, with its file system named.
+
+    It is deleted when the driver's JVM ends.
+    """
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="paritas-")
         sc.setCheckpointDir(base)
     path = sc._jvm.org.apache.hadoop.fs.Path(base)
-    named = path.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    store = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    named = store.makeQualified(path).toString()
     if named.startswith("file:/") and not named.startswith("file://"):
         named = "file://" + named.removeprefix("file:")
-    return f"{named.rstrip('/')}/paritas-{sc.applicationId}"
+    root = f"{named.rstrip('/')}/paritas-{sc.applicationId}"
+    if root not in _roots:
+        own = sc._jvm.org.apache.hadoop.fs.Path(root)
+        store.mkdirs(own)
+        store.deleteOnExit(own)
+        _roots.add(root)
+    return root
+
+
+_roots: set[str] = set()
+_made: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
     """A new path below it."""
-    return f"{shared_root(spark)}/{uuid.uuid4().hex}"
+    _made.append(f"{shared_root(spark)}/{uuid.uuid4().hex}")
+    return _made[-1]
 
 
-def clear(spark: SparkSession) -> None:
-    """Delete what this application has stored; results that still read it are lost."""
-    _delete(spark, shared_root(spark))
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """On leaving, delete what was stored inside, but for the tables added to the list that is given."""
+    at, kept = len(_made), []
+    yield kept
+    for path in _made[at:]:
+        if path not in {t._stored_at for t in kept}:
+            _delete(spark, path)
+    _made[at:] = [t._stored_at for t in kept]
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -75,26 +103,23 @@ def stored(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """Cut the lineage: write df as a Parquet table in the shared folder and read it."""
     path = shared_folder(df.sparkSession)
     df.write.option("compression", codec).parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.options(**PLAIN_READS).schema(df.schema).parquet(path)
     out._stored_at = path
     return out
 
 
 def release(spark: SparkSession, *tables: DataFrame) -> None:
-    """Delete stored tables that are no longer read, and let Spark drop the shuffle files of finished phases.
+    """Delete stored tables that are no longer read."""
+    for t in tables:
+        _delete(spark, t._stored_at)
 
-    Spark's cleaner follows the JVM's collector; what Python still referred to goes in a second turn.
-    """
+
+def let_go(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of finished phases now: it follows the JVM's collector, and Python's references."""
     import gc
-    import time
 
-    jvm = spark.sparkContext._jvm
-    for t in tables:
-        _delete(spark, t._stored_at)
-    for _ in range(2):
-        gc.collect()
-        jvm.System.gc()
-        time.sleep(0.3)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def arrow_schema(ddl: str) -> pa.Schema:

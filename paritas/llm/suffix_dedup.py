@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from paritas.llm.common import arrow_schema, batches_out, release, small_batches, stored, text_batches
+from paritas.llm.common import arrow_schema, batches_out, let_go, small_batches, stored, text_batches
 
 LENGTH, ANCHOR = 100, 24
 #: Bits of a window's order that hold a position; longer texts are taken in pieces of this many bytes.
@@ -280,7 +280,7 @@ def covered_intervals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     found = docs.select("__uid", "__text").mapInArrow(find_runs, run_ddl)
     repeated = stored(found.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(keep_repeated, run_ddl))
-    release(spark)
+    let_go(spark)
 
     ddl = "key long, content long, uid long, start long, stretch binary"
     schema = arrow_schema(ddl)
@@ -375,7 +375,7 @@ def covered_intervals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     dealt = met.repartition(parts, "key").sortWithinPartitions("key", "content", "uid", "start")
     out = stored(dealt.select("key", "uid", "start", "stretch").mapInArrow(cover, out_ddl))
-    release(spark)
+    let_go(spark)
     left = out.where("h1 IS NOT NULL")
     done = out.where("h1 IS NULL").select("uid", "start", "end").union(known)
     if not left.limit(1).count():

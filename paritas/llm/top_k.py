@@ -1,20 +1,27 @@
 """Exact top-k inner products: ball trees per shard, branch and bound.
 
-Vectors are dealt to shards of about ``SHARD`` rows by a hash; each task builds
-the ball trees of its shards and writes them to the shared folder.  Queries go
-out in blocks; a block's task reads one tree after another and carries each
-query's current kth score from shard to shard.  In a tree, nodes are taken in the
-order of their upper bound  q . centre + |q| * radius, and a node is left out as
-soon as its bound is under the kth score (or equals it and all its ids are larger
-than the kth one's).
-
-Components are scaled and floored to whole numbers, so scores are exact integers
-(in float64 while products stay under 2**53, in Python integers beyond).
-
-Defined results: vectors that are null, empty, or hold null or non-finite
-components take no part; only vectors of one length are compared; equal (id,
-vector) rows count once; rows with the query's own id are never its answers;
-ties go to the smaller id; null ids take no part.
+Vectors are dealt to shards of about ``SHARD`` rows by a hash; a task builds the
+ball tree of a shard and writes it to the shared folder.  Queries are dealt to
+blocks; a block first searches one shard, which gives each of its queries a kth
+score to begin with.  Then every (block, group of shards) is a task of its own:
+it reads one tree after another and carries each query's current kth score along.
+In a tree, nodes are taken in the order of their upper bound
+q . centre + |q| * radius, and a node is left out as soon as its bound is under
+the kth score (or equals it and all its ids are larger than the kth one's).  The
+groups' lists of at most k rows a query are merged by a window.
+
+Components are scaled and floored to whole numbers, so scores are exact integers:
+in float64 while products stay under 2**53, in Python integers beyond.
+
+Defined results:
+- vectors that are null, empty, or hold null or non-finite components (before or
+  after scaling) take no part; null ids take no part; an empty table gives no rows;
+- only vectors of one length are compared; equal (id, vector) rows count once;
+  rows with the query's own id are never its answers; ties go to the smaller id;
+- ranks follow the exact integer, whatever its size; a score that doesn't fit a
+  long is given as null;
+- other columns aren't read, whatever their names; very long vectors make larger
+  trees, one of which a task holds at a time.
 """
 
 from __future__ import annotations
@@ -25,16 +32,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paritas.llm.common import arrow_schema, batches_out, shared_folder, stored
 
 K, SCALE = 10, 1024
 SHARD, LEAF, BLOCK = 16_384, 128, 128
+#: Tasks of (block, group of shards) to aim at, and the most partitions that hold them.
+TASKS, MOST_PARTITIONS = 4_096, 50_000
 EXACT = float(2**53)
 RESULT = "query_id long, rank int, vec_id long, score long"
-LONG_MAX = 2**63 - 1
+FOUND = "query_id long, vec_id long, score long, place binary"
+_int = np.frompyfunc(int, 1, 1)
 
 
 def build(ids: np.ndarray, vectors: np.ndarray) -> dict[str, np.ndarray]:
@@ -51,7 +61,7 @@ def build(ids: np.ndarray, vectors: np.ndarray) -> dict[str, np.ndarray]:
         radii.append(float(away.max()))
         spans.append((a, b))
         children.append((-1, -1))
-        if b - a > LEAF and radii[at] > 0:
+        if b - a > LEAF and 0 < radii[at] < np.inf:
             one = own[int(away.argmax())]
             from_one = ((own - one) ** 2).sum(axis=1)
             two = own[int(from_one.argmax())]
@@ -61,33 +71,35 @@ def build(ids: np.ndarray, vectors: np.ndarray) -> dict[str, np.ndarray]:
             children[at] = (add(a, middle), add(middle, b))
         return at
 
-    add(0, len(ids))
+    with np.errstate(over="ignore", invalid="ignore"):
+        add(0, len(ids))
     ids, vectors = ids[order], vectors[order]
     least = [int(ids[a:b].min()) for a, b in spans]
     return {"ids": ids, "vectors": vectors, "centres": np.array(centres), "radii": np.array(radii), "spans": np.array(spans), "children": np.array(children), "least": np.array(least)}
 
 
 class Best:
-    """The k best (score, id) of one query so far."""
+    """The k best of one query so far, as (-score, id) in order; floor is a score that no answer is under."""
 
-    def __init__(self, k: int):
-        self.k, self.scores, self.ids = k, np.zeros(0), np.zeros(0, np.int64)
-        self.floor, self.worst = -np.inf, 0
+    def __init__(self, k: int, floor: float | int = -np.inf, worst: int = 0):
+        self.k, self.rows = k, []
+        self.floor, self.worst = floor, worst
 
     def offer(self, scores: np.ndarray, ids: np.ndarray) -> None:
-        keep = scores >= self.floor
-        if not keep.any():
+        if self.floor > 1e300:  # beyond what numpy compares with doubles
+            scores = _int(scores)
+        at = np.flatnonzero(scores >= self.floor)
+        if not len(at):
             return
-        scores, ids = np.concatenate((self.scores, scores[keep])), np.concatenate((self.ids, ids[keep]))
-        first = np.lexsort((ids, -scores))[: self.k]
-        self.scores, self.ids = scores[first], ids[first]
-        if len(first) == self.k:
-            self.floor, self.worst = self.scores[-1], int(self.ids[-1])
+        self.rows = heapq.nsmallest(self.k, [*self.rows, *[(-int(s), int(i)) for s, i in zip(scores[at].tolist(), ids[at].tolist())]])
+        if len(self.rows) == self.k and -self.rows[-1][0] >= self.floor:
+            score, self.worst = self.rows[-1]
+            self.floor = -score
 
 
 def search(tree: dict[str, np.ndarray], query_id: int, query: np.ndarray, bounds: np.ndarray, best: Best) -> None:
     """Branch and bound; bounds has the upper bound of every node for this query."""
-    spans, children, least = tree["spans"], tree["children"], tree["least"]
+    spans, children, least, bounds = tree["spans"], tree["children"], tree["least"], bounds.tolist()
     queue = [(-bounds[0], 0)]
     while queue:
         bound, node = heapq.heappop(queue)
@@ -107,66 +119,116 @@ def search(tree: dict[str, np.ndarray], query_id: int, query: np.ndarray, bounds
                 heapq.heappush(queue, (-bounds[child], child))
 
 
+def search_all(tree: dict[str, np.ndarray], ids: list[int], queries: np.ndarray, best: list[Best]) -> None:
+    """One tree for every query of a block."""
+    own, asked, centres = tree["vectors"], queries, tree["centres"]
+    with np.errstate(over="ignore", invalid="ignore"):
+        if not np.abs(own).max() * np.abs(queries).max() * queries.shape[1] < EXACT:
+            tree, asked = tree | {"vectors": _int(own)}, _int(queries)
+        norms = np.sqrt((queries**2).sum(axis=1))[:, None]
+        bounds = queries @ centres.T + norms * tree["radii"]
+        bounds += 1 + 1e-9 * (np.abs(bounds) + norms * (1 + np.sqrt((centres**2).sum(axis=1))))
+    bounds[np.isnan(bounds)] = np.inf
+    for i, query_id in enumerate(ids):
+        search(tree, query_id, asked[i], bounds[i], best[i])
+
+
+def place(score: int) -> bytes:
+    """Bytes in the order of the integers, of any size."""
+    n = (abs(score).bit_length() + 7) // 8
+    if score >= 0:
+        return (32768 + n).to_bytes(2, "big") + score.to_bytes(n, "big")
+    return (32767 - n).to_bytes(2, "big") + (score + 256**n - 1).to_bytes(n, "big")
+
+
 def _whole(vector: Column, scale: int) -> Column:
-    return F.transform(vector, lambda x: F.floor(F.least(F.greatest(x.cast("double") * scale, F.lit(-(2.0**52))), F.lit(2.0**52))))
+    """floor(scale * x) as doubles; doubles from 2**53 on are whole."""
+    def one(x: Column) -> Column:
+        scaled = x.cast("double") * scale
+        return F.when(F.abs(scaled) < 2.0**62, F.floor(scaled).cast("double")).otherwise(scaled)
 
+    return F.transform(vector, one)
 
-def _usable(vector: Column) -> Column:
-    return F.size(vector).__gt__(0) & F.forall(vector, lambda x: x.isNotNull() & (F.abs(x.cast("double")) < float("inf")) & ~F.isnan(x.cast("double")))
 
+def _usable(vector: Column, scale: int) -> Column:
+    finite = lambda x: x.isNotNull() & (F.abs(x.cast("double") * scale) < float("inf")) & ~F.isnan(x.cast("double"))
+    return (F.size(vector) > 0) & F.forall(vector, finite)
 
-def exact_top_k(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE) -> DataFrame:
-    """query_id, rank, vec_id, score of the rows where is_query holds, against all rows."""
-    spark = vectors.sparkSession
-    rows = stored(vectors.where(F.col(id_col).isNotNull() & _usable(F.col(vector_col))).select(F.col(id_col).cast("long").alias("id"), _whole(F.col(vector_col), scale).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")).distinct())
-    n, n_queries = rows.agg(F.count(F.lit(1)), F.count_if("q")).first()
+
+def _put(folder: str, name: str, arrays: dict) -> None:
+    from paritas.llm.pfor import put_file
+
+    blob = io.BytesIO()
+    np.savez(blob, **arrays)
+    put_file(folder, name, blob.getvalue())
+
+
+def _get(folder: str, name: str) -> dict[str, np.ndarray]:
+    from paritas.llm.pfor import get_file
+
+    with np.load(io.BytesIO(get_file(f"{folder}/{name}"))) as z:
+        return {n: z[n] for n in z.files}
+
+
+def _matrix(group: pa.Table, dim: int) -> np.ndarray:
+    return np.array(group.column("v").combine_chunks().flatten().to_numpy(), np.float64).reshape(-1, dim)
+
+
+def _found(spark: SparkSession, rows: DataFrame, n: int, n_queries: int, k: int) -> DataFrame:
     shards, blocks = -(-n // SHARD), -(-n_queries // BLOCK)
-    if not n_queries:
-        return spark.createDataFrame([], RESULT)
     folder = f"{shared_folder(spark)}/trees"
 
     def plant(key: tuple, group: pa.Table) -> pa.Table:
-        from paritas.llm.pfor import put_file
-
         shard, dim = key[0].as_py(), key[1].as_py()
-        tree = build(group.column("id").to_numpy(), np.array(group.column("v").combine_chunks().flatten().to_numpy(), np.float64).reshape(-1, dim))
-        blob = io.BytesIO()
-        np.savez(blob, **tree)
-        put_file(folder, f"{dim}-{shard}.npz", blob.getvalue())
+        _put(folder, f"tree-{dim}-{shard}.npz", build(group.column("id").to_numpy(), _matrix(group, dim)))
         return pa.table({"shard": pa.array([shard], pa.int32()), "dim": pa.array([dim], pa.int32())})
 
     dealt = rows.select("id", "v", F.pmod(F.xxhash64("id", "v"), F.lit(shards)).cast("int").alias("shard"), F.size("v").alias("dim"))
-    planted = sorted((r["dim"], r["shard"]) for r in dealt.groupBy("shard", "dim").applyInArrow(plant, "shard int, dim int").collect())
-    schema = arrow_schema(RESULT)
-
-    def answer(key: tuple, group: pa.Table) -> pa.Table:
-        from pyarrow import fs
+    trees: dict[int, list[int]] = {}
+    for r in dealt.repartition(min(2 * shards, MOST_PARTITIONS), "shard", "dim").groupBy("shard", "dim").applyInArrow(plant, "shard int, dim int").collect():
+        trees.setdefault(r["dim"], []).append(r["shard"])
 
-        dim = key[1].as_py()
-        store, at = fs.FileSystem.from_uri(folder)
-        ids = group.column("id").to_pylist()
-        queries = np.array(group.column("v").combine_chunks().flatten().to_numpy(), np.float64).reshape(-1, dim)
-        norms = np.sqrt((queries**2).sum(axis=1))
+    def begin(key: tuple, group: pa.Table) -> pa.Table:
+        block, dim = key[0].as_py(), key[1].as_py()
+        ids, queries = group.column("id").to_pylist(), _matrix(group, dim)
         best = [Best(k) for _ in ids]
-        for d, shard in planted:
-            if d != dim:
-                continue
-            with store.open_input_stream(f"{at}/{d}-{shard}.npz") as f, np.load(io.BytesIO(f.read())) as z:
-                tree = {name: z[name] for name in z.files}
-            own, asked = tree["vectors"], queries
-            if np.abs(own).max() * np.abs(queries).max() * dim >= EXACT:
-                exact = np.frompyfunc(int, 1, 1)
-                tree["vectors"], asked = exact(own), exact(queries)
-            bounds = queries @ tree["centres"].T + norms[:, None] * tree["radii"]
-            bounds += 1 + 1e-9 * (np.abs(bounds) + norms[:, None] * (1 + np.sqrt((tree["centres"] ** 2).sum(axis=1))))
-            for i, query_id in enumerate(ids):
-                search(tree, query_id, asked[i], bounds[i], best[i])
-        out: dict[str, list] = {name: [] for name in schema.names}
-        for query_id, b in zip(ids, best):
-            for rank, (score, vec_id) in enumerate(zip(b.scores.tolist(), b.ids.tolist()), 1):
-                for name, value in zip(schema.names, (query_id, rank, vec_id, max(-LONG_MAX, min(LONG_MAX, int(score))))):
-                    out[name].append(value)
-        return pa.Table.from_batches([batches_out(out, schema)])
+        first = sorted(trees[dim])[block % len(trees[dim])]
+        search_all(_get(folder, f"tree-{dim}-{first}.npz"), ids, queries, best)
+        floors = [str(b.floor) if len(b.rows) == k else "" for b in best]
+        _put(folder, f"block-{dim}-{block}.npz", {"ids": np.array(ids, np.int64), "queries": queries, "floors": np.array(floors), "worst": np.array([b.worst for b in best], np.int64)})
+        return pa.table({"block": pa.array([block], pa.int32()), "dim": pa.array([dim], pa.int32())})
 
     asked = rows.where("q").select("id", "v", F.pmod(F.xxhash64(F.lit(7), "id", "v"), F.lit(blocks)).cast("int").alias("block"), F.size("v").alias("dim"))
-    return asked.groupBy("block", "dim").applyInArrow(answer, RESULT)
+    begun = asked.repartition(min(2 * blocks, MOST_PARTITIONS), "block", "dim").groupBy("block", "dim").applyInArrow(begin, "block int, dim int")
+    begun = stored(begun)
+    groups = max(1, min(max(map(len, trees.values())), -(-TASKS // blocks)))
+    jobs = begun.select("block", "dim", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"))
+    schema = arrow_schema(FOUND)
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, dim, part in zip(*(batch.column(c).to_pylist() for c in ("block", "dim", "part"))):
+                given = _get(folder, f"block-{dim}-{block}.npz")
+                ids = given["ids"].tolist()
+                best = [Best(k, int(f), w) if f else Best(k) for f, w in zip(given["floors"].tolist(), given["worst"].tolist())]
+                for b in best:
+                    b.worst += b.floor > -np.inf  # the answer that gave the floor may be met again
+                for shard in sorted(trees[dim])[part::groups]:
+                    search_all(_get(folder, f"tree-{dim}-{shard}.npz"), ids, given["queries"], best)
+                rows = [(q, i, -s if -(2**63) < s <= 2**63 else None, place(-s)) for q, b in zip(ids, best) for s, i in b.rows]
+                if rows:
+                    yield batches_out(dict(zip(schema.names, zip(*rows))), schema)
+
+    wanted = blocks * len(trees) * groups
+    return jobs.repartition(min(wanted, MOST_PARTITIONS)).mapInArrow(answer, FOUND)
+
+
+def exact_top_k(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE) -> DataFrame:
+    """query_id, rank, vec_id, score of the rows where is_query holds, against all rows."""
+    spark = vectors.sparkSession
+    rows = stored(vectors.where(F.col(id_col).isNotNull() & _usable(F.col(vector_col), scale)).select(F.col(id_col).cast("long").alias("id"), _whole(F.col(vector_col), scale).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")).distinct())
+    n, n_queries = rows.agg(F.count(F.lit(1)), F.count_if("q")).first()
+    if not n_queries:
+        return spark.createDataFrame([], RESULT)
+    order = Window.partitionBy("query_id").orderBy(F.desc("place"), "vec_id")
+    return _found(spark, rows, n, n_queries, k).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

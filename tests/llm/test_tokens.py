@@ -203,9 +203,30 @@ def test_top_k_is_brute_force(spark, monkeypatch):
 
 
 def test_top_k_of_huge_components_and_few_rows(spark):
-    df = spark.createDataFrame([(0, [3e9, 1.0]), (1, [3e9, 2.0]), (2, [-3e9, 0.0]), (7, [1e300, 0.0])], "vec_id long, embedding array<double>")
+    df = spark.createDataFrame([(0, [3e9, 1.0]), (1, [3e9, 2.0]), (2, [-3e9, 0.0]), (7, [1e300, 0.0]), (8, [1.7e308, 0.0])], "vec_id long, embedding array<double>")
     got = [tuple(x) for x in top_k.exact_top_k(df, F.col("vec_id") == 0).orderBy("rank").collect()]
-    assert [x[2] for x in got] == [7, 1, 2] or [x[2] for x in got] == [1, 7, 2]
+    one = int(3e9) * 1024
+    assert got == [(0, 1, 7, None), (0, 2, 1, None), (0, 3, 2, None)] and one * one > 2**63
+    df = spark.createDataFrame([(0, [1 / 1024, 0.0], 1), (1, [1e13, 0.0], 1), (2, [2e13, 0.0], 1), (3, [-5.0, 9.0], 1)], "vec_id long, embedding array<double>, score int")
+    got = [tuple(x) for x in top_k.exact_top_k(df, F.col("vec_id") == 0).orderBy("rank").collect()]
+    assert got == [(0, 1, 2, 20480000000000000), (0, 2, 1, 10240000000000000), (0, 3, 3, -5120)]
+    assert got == [tuple(x) for x in top_k.exact_top_k(df.withColumnsRenamed({"score": "id"}).withColumn("rank", F.lit("x")), F.col("vec_id") == 0).orderBy("rank").collect()]
+
+
+def test_top_k_order_of_scores_of_any_size():
+    some = [-(10**600), -(2**64), -(2**63), -257, -256, -255, -2, -1, 0, 1, 255, 256, 2**63, 10**600]
+    assert sorted(some, key=top_k.place) == some
+
+
+def test_top_k_over_groups_of_shards(spark, monkeypatch):
+    for name, value in (("SHARD", 100), ("BLOCK", 7), ("TASKS", 12), ("LEAF", 8)):
+        monkeypatch.setattr(top_k, name, value)
+    r = np.random.default_rng(3)
+    vectors = r.integers(-2, 3, (900, 4)).astype(float)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    got = sorted(tuple(x) for x in top_k.exact_top_k(df, F.col("vec_id") % 30 == 0).collect())
+    scores = (1024 * vectors).astype(int) @ (1024 * vectors).astype(int).T
+    assert got == sorted((q, n, int(k), int(scores[q, k])) for q in range(0, 900, 30) for n, k in enumerate([k for k in np.lexsort((np.arange(900), -scores[q])) if k != q][:10], 1))
 
 
 def test_ball_tree_bounds_hold():
