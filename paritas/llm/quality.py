@@ -1,18 +1,21 @@
 """Quality rules on repetition: characters inside duplicated n-grams and lines.
 
-Words are runs of anything but ASCII white space.  Each word gets its XXH64;
-hashes of n consecutive words are rolled together in numpy by doubling
-(h[2n] = mix(h[n]) * odd + h[n] shifted), sorted, and every window whose hash
-occurs twice or more marks its words.  The coverage of a length is the
-characters of marked words over all characters of words; the same is measured
-for repeated lines.
+Words are runs of anything but ASCII white space.  The distinct words of a text are
+numbered and each number gets its XXH64; hashes of n consecutive words are rolled
+together in numpy by doubling (h[2n] = mix(h[n]) + h[n] shifted) and sorted.
+Windows that hash alike are compared number by number, so a collision can't make a
+repeat, and every window found twice or more marks its words.  The coverage of a
+length is the characters of marked words over all characters of words; the same is
+measured for repeated lines.
 
 The method's verdict: a document stays if, for each n-gram length, the coverage
 by *repeats* (windows seen before in the text) is at most the limit of
 ``NGRAM_LIMITS``, and repeated lines cover at most ``LINE_LIMIT`` of the characters.
 
-Defined results: null or empty text has no words and fails the base rule.
-Repeated rows each get their own result; other columns aren't read.
+Defined results: null or empty text has no words and fails the base rule; very long
+texts are measured whole, in memory of a few dozen bytes a word; repeated rows each
+get their own result; null ids are carried; an empty table gives no rows; other
+columns aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -67,13 +70,18 @@ def rolled(hashes: np.ndarray, lengths: list[int]) -> dict[int, np.ndarray]:
     return out
 
 
-def repeats(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of window hashes: which occur twice or more, and which were seen earlier."""
+def repeats(h: np.ndarray, numbers: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of windows of n word numbers with their hashes: which occur twice or more, and which were seen earlier."""
     twice, later = np.zeros(len(h), bool), np.zeros(len(h), bool)
     if len(h) > 1:
         order = np.argsort(h, kind="stable")
         same = h[order[1:]] == h[order[:-1]]
         if same.any():
+            a, b = order[:-1][same], order[1:][same]
+            if any((numbers[a + k] != numbers[b + k]).any() for k in range(n)):  # two windows of one hash: sort the windows themselves
+                windows = np.lib.stride_tricks.sliding_window_view(numbers, n)
+                order = np.lexsort(windows.T[::-1])
+                same = (windows[order[1:]] == windows[order[:-1]]).all(axis=1)
             later[order[1:][same]] = True
             twice[order[1:][same]] = True
             twice[order[:-1][same]] = True
@@ -121,10 +129,11 @@ def measure(text: str) -> tuple:
 
     repeat_words, worst = 0, 0.0
     if n >= min(*NGRAM_LIMITS, BASE_WINDOW):
-        distinct = {w: xxh64_intdigest(w, 0x5EED) for w in set(words)}
-        hashes = _mix(np.fromiter(map(distinct.__getitem__, words), np.uint64, n))
+        number = {w: k for k, w in enumerate(dict.fromkeys(words))}
+        numbers = np.fromiter(map(number.__getitem__, words), np.int64, n)
+        hashes = np.fromiter((xxh64_intdigest(w, 0x5EED) for w in number), np.uint64, len(number))[numbers]
         for k, h in rolled(hashes, sorted({*NGRAM_LIMITS, BASE_WINDOW})).items():
-            twice, later = repeats(h)
+            twice, later = repeats(h, numbers, k)
             if k == BASE_WINDOW:
                 repeat_words = int(covered(twice, k, n).sum())
             if k in NGRAM_LIMITS and later.any():

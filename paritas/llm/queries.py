@@ -20,7 +20,8 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from paritas.llm.quality import quality_rules
 
-    return quality_rules(table(spark, sf_dir, "documents"))
+    out = quality_rules(table(spark, sf_dir, "documents"))
+    return out.withColumns({c: F.round(c, 6) for c in ("line_coverage", "worst_coverage")})
 
 
 def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,6 +84,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 SPACE_SQL = r"' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
+WORD_SQL = r"[^\x20\x09-\x0D]+"
+
 ORACLE = {
     "op1_line_dedup": f"""
 WITH lines AS (
@@ -99,6 +102,36 @@ judged AS (
 SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE dropped)::BIGINT AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped), '')) AS kept_sha256
 FROM judged GROUP BY doc_id
+""",
+    "op2_quality_rules": rf"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+split AS (SELECT r, doc_id, text, regexp_extract_all(text, '{WORD_SQL}') AS w FROM docs),
+words AS (SELECT r, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM split),
+chars AS (SELECT r, i, length(word) AS c FROM words),
+windows AS (
+  SELECT r, n, i, row_number() OVER (PARTITION BY r, n, g ORDER BY i) AS nth, count(*) OVER (PARTITION BY r, n, g) AS times
+  FROM (SELECT r, n, i, array_to_string(w[i : i + n - 1], ' ') AS g
+        FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM split, (VALUES (5), (6), (8), (10)) lengths(n) WHERE len(w) >= n))),
+marks AS (SELECT r, n, unnest(range(i, i + n)) AS i, nth > 1 AS later FROM windows WHERE times > 1),
+marked AS (SELECT r, n, i, bool_or(later) AS later FROM marks GROUP BY ALL),
+sums AS (
+  SELECT r, n, count(*) AS n_marked, sum(c) FILTER (WHERE later) AS c_later FROM marked JOIN chars USING (r, i) GROUP BY r, n),
+totals AS (SELECT r, count(*) AS n_words, sum(c) AS word_chars FROM chars GROUP BY r),
+worst AS (
+  SELECT s.r, max(n_marked) FILTER (WHERE n = 8) AS n_repeat, max(c_later / word_chars::DOUBLE / CASE n WHEN 5 THEN 0.15 WHEN 6 THEN 0.14 WHEN 8 THEN 0.12 ELSE 0.10 END::DOUBLE) AS worst
+  FROM sums s JOIN totals USING (r) GROUP BY s.r),
+lines AS (
+  SELECT r, strlen(regexp_replace(line, '[ 	-]', '', 'g')) AS c, row_number() OVER (PARTITION BY r, line) AS nth
+  FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM docs)),
+repeated AS (SELECT r, count(*) FILTER (WHERE nth > 1) AS n_dup, sum(c) FILTER (WHERE nth > 1) / sum(c)::DOUBLE AS cover FROM lines WHERE c > 0 GROUP BY r),
+base AS (
+  SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars,
+    CASE WHEN n_words > 0 THEN len(regexp_extract_all(text, '[#*$%&|<>]')) ELSE 0 END::BIGINT AS n_symbols,
+    coalesce(n_dup, 0) AS n_dup_lines, coalesce(n_repeat, 0) AS n_repeat_words, coalesce(cover, 0) AS cover, coalesce(worst, 0) AS worst
+  FROM docs LEFT JOIN totals USING (r) LEFT JOIN worst USING (r) LEFT JOIN repeated USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND worst <= 1 AND cover <= 0.2::DOUBLE AS kept, round(cover, 6) AS line_coverage, round(worst, 6) AS worst_coverage
+FROM base
 """,
     "op3_top_k": """
 WITH clean AS (

@@ -319,3 +319,16 @@ def test_quality_tells_words_of_one_crc_apart():
             pairs.append((other, word))
     text = " ".join(f"one two three four {w} five six seven" for pair in pairs for w in pair)
     assert quality.measure(text)[4] == quality_by_hand(text)[4] == 0
+
+
+def test_quality_compares_windows_that_hash_alike(monkeypatch):
+    text = "a b c d e f g plumless one two three four a b c d e f g buckeroo five six seven eight x y z q"
+    assert zlib.crc32(b"plumless") == zlib.crc32(b"buckeroo")
+    assert quality.measure(text)[4:6] == (0, False) == quality_by_hand(text)[4:]
+    r = random.Random(8)
+    texts = [" ".join(r.choice("abc") for _ in range(k)) for k in (30, 100, 500)] + [text]
+    sound = [quality.measure(t) for t in texts]
+    real = quality.rolled
+    monkeypatch.setattr(quality, "rolled", lambda h, lengths: {k: v % np.uint64(3) for k, v in real(h, lengths).items()})  # nearly all collide
+    assert [quality.measure(t) for t in texts] == sound
+    assert [m[:6] for m in sound] == [quality_by_hand(t) for t in texts]
