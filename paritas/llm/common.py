@@ -34,9 +34,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def partitions(df: DataFrame) -> int:
     """For a shuffle of about the bytes of df: the session's number of partitions, or more where the input is large."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(usual, 1, min(-(-size // PART_BYTES), 500_000))
+    return max(usual, 1, -(-size // PART_BYTES) if size < 1 << 50 else 0)  # Spark's word for an unknown size is a larger one
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -11,28 +11,36 @@ the leftmost one whose hash is least (a minimiser; length = k + windows - 1).
 Consecutive strings of a document mostly share their anchor, so a document gives
 about one run of strings in 39 bytes.
 
-1. Runs: (hash of the anchor's k-gram, document, place).  Of equal stretches in the
-   texts at hand all but the first are covered wholly and marked so before any
-   shuffle, so that text which repeats itself, or copies in one file, don't pile up
-   under one hash.  Sorted by hash, a task keeps those whose hash occurs twice or
-   more (a streaming comparison of neighbours; no group is held).
+1. Runs: (hash of the anchor's k-gram, document, place).  As aggregation before the
+   shuffle, equal stretches of the texts at hand are told apart by their bytes, and
+   all but the first are covered wholly, so that text which repeats itself, or
+   copies in one file, don't pile up under one hash.  Sorted by hash, a task keeps
+   those whose hash occurs twice or more (a streaming comparison of neighbours).
+   A hash met more than ``SALT_ROWS`` times is dealt out further by parts.
 2. The kept runs meet their documents once, and each becomes its stretch of text.
-3. Stretches are dealt by hash and sorted by (hash, content, place).  Equal
-   stretches follow each other; all but the first are covered wholly, as they
-   stream by.  Different stretches of one anchor get a suffix order, by prefix
-   doubling up to ``length`` bytes; within a run of suffixes that share
-   ``length`` bytes, a suffix has an earlier match exactly if its previous or next
-   smaller position is in that run, i.e. if it isn't the run's smallest.
-   Stretches of one anchor beyond ``ANCHOR_BYTES`` aren't held: each of their
-   strings goes out alone, by 128 bits of its hash, and all but the first of equal
-   ones are covered as they stream by, so no task holds a group.
-4. Covered intervals go back to their documents, are joined up and cut.
-
-Anchors only choose who meets; what is removed is decided on the bytes.
-
-Defined results: null text is empty; texts under ``length`` bytes stay whole.
-Documents are ordered by (id, text), null ids first, if ids repeat or are null;
-equal (id, text) rows are one document and get equal results.
+3. Stretches are dealt by (hash, part) and sorted by (hash, part, content, place).
+   Equal stretches follow each other; all but the first are covered wholly.  The
+   others form shards of about ``CHUNK`` bytes.  Of a shard, the suffixes that start
+   a string are sorted by prefix doubling; the common prefixes of neighbours follow
+   from the ranks of the doubling; the previous and the next smaller position (in
+   corpus order) of each suffix are found by doubling over suffix order, with the
+   least common prefix on the way, and LPF is the greater of the two.  Suffixes with
+   LPF >= length are covered.
+   A hash that fills more than one shard, or has parts, isn't held: of each of its
+   shards the strings without a previous factor go out alone and meet again.
+4. Those strings are dealt by a hash and sorted by (hash, bytes, place), which is
+   suffix order again: as all are of one length, LPF reaches it exactly if the
+   neighbour before, which is earlier, has the same bytes.
+5. Covered intervals go back to their documents, are joined up and cut.
+
+Hashes only choose who meets; what is removed is decided on the bytes.
+
+Defined results: null text is empty; texts under ``length`` bytes stay whole; texts
+of any length are taken whole (their anchors in pieces of ``PIECE`` bytes that
+overlap).  Ties in content go to the smaller id, then the smaller start.  Documents
+are ordered by (id, text), null ids first, if ids repeat or are null; equal (id,
+text) rows are one document and get equal results.  An empty table gives no rows.
+Other columns are carried in a struct, whatever their names.
 """
 
 from __future__ import annotations
@@ -47,7 +55,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from paritas.llm.common import arrow_schema, batches_out, let_go, small_batches, stored, text_batches
+from paritas.llm.common import arrow_schema, batches_out, let_go, partitions, small_batches, stored, text_batches
 
 LENGTH, ANCHOR = 100, 24
 #: Bits of a window's order that hold a position; longer texts are taken in pieces of this many bytes.
@@ -55,8 +63,8 @@ PLACE_BITS = 24
 PIECE = 1 << 22
 #: Bytes of stretches that get one suffix order.
 CHUNK = 1 << 20
-#: Bytes of different stretches of one anchor that a task holds.
-ANCHOR_BYTES = 4 << 20
+#: Runs of one anchor that are dealt to one task.
+SALT_ROWS = 20_000
 _PLACES = np.uint64((1 << PLACE_BITS) - 1)
 
 
@@ -154,35 +162,87 @@ def ranks(codes: np.ndarray) -> np.ndarray:
     """Numbers in the order of the codes, equal for equal ones."""
     order = np.argsort(codes, kind="stable")
     new = np.concatenate(([0], codes[order[1:]] != codes[order[:-1]]))
-    out = np.empty(len(codes), np.int64)
+    out = np.empty(len(codes), np.int32)
     out[order] = np.cumsum(new)
     return out
 
 
 def joined(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    return ranks(first * (second.max(initial=0) + 1) + second)
+    return ranks(first.astype(np.int64) * (int(second.max(initial=0)) + 1) + second)
 
 
-def has_previous_factor(data: np.ndarray, starts: np.ndarray, when: np.ndarray, length: int) -> np.ndarray:
-    """Whether LPF >= length at each start; when: their order in the corpus.
+def suffix_order(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in starts in the order of their suffixes' first length bytes, and the common prefix of each with the one before (at most length).
 
-    The suffix order is that of the first length bytes, by prefix doubling.
+    By prefix doubling.  The common prefix is made up of halves: as long as the ranks
+    of the largest power of two agree, both move on by it.
     """
     n, size = len(data), 8
-    rank = ranks(eight(data).byteswap())
+    power = {8: ranks(eight(data).byteswap())}
     while 2 * size <= length:
-        rank = joined(rank[: n - 2 * size + 1], rank[size : n - size + 1])
+        rank = power[size]
+        power[2 * size] = joined(rank[: n - 2 * size + 1], rank[size : n - size + 1])
         size *= 2
-    rank = joined(rank[starts], rank[starts + length - size]) if size < length else rank[starts]
+    rank = joined(power[size][starts], power[size][starts + length - size]) if size < length else power[size][starts]
     order = np.argsort(rank, kind="stable")
-    bounds = np.flatnonzero(np.concatenate(([True], np.diff(rank[order]) != 0)))
-    least = np.minimum.reduceat(when[order], bounds)
-    out = np.zeros(len(starts), bool)
-    out[order] = when[order] > np.repeat(least, np.diff(np.concatenate((bounds, [len(order)]))))
+    common = np.zeros(len(order), np.int64)
+    a, b = starts[order[:-1]], starts[order[1:]]
+    equal = rank[order[:-1]] == rank[order[1:]]
+    done = np.where(equal, length, 0)
+    for half in sorted(power, reverse=True):
+        ranked = power[half]
+        here = ~equal & (done + half <= length)
+        at = np.flatnonzero(here)
+        at = at[ranked[a[at] + done[at]] == ranked[b[at] + done[at]]]
+        done[at] += half
+    at = np.flatnonzero(~equal)
+    while len(at):  # the last bytes, fewer than eight
+        at = at[(done[at] < length)]
+        at = at[data[a[at] + done[at]] == data[b[at] + done[at]]]
+        done[at] += 1
+    common[1:] = done
+    return order, common
+
+
+def factor_before(when: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """In suffix order: the common prefix of each suffix with the nearest one before it whose place in the corpus is smaller.
+
+    common[i] is that of i and i - 1.  Minima over 2 ** k neighbours are made first; then each suffix walks
+    back over as many as are all later in the corpus, from the largest power down, and takes the least common
+    prefix on its way.
+    """
+    n = len(when)
+    when, common = when.astype(np.int32), common.astype(np.int32)
+    least, prefix, size = [when], [common], 1
+    while 2 * size <= n:
+        least.append(np.minimum(least[-1][size:], least[-1][:-size]))
+        prefix.append(np.minimum(prefix[-1][size:], prefix[-1][:-size]))
+        size *= 2
+    at, out = np.arange(n), np.full(n, np.iinfo(np.int32).max, np.int32)  # the smaller position, if any, is before `at`
+    for k in range(len(least) - 1, -1, -1):
+        span = 1 << k
+        go = np.flatnonzero(at >= span)  # entries at - span .. at - 1, of which least[k][at - span] is the minimum
+        go = go[least[k][at[go] - span] > when[go]]
+        out[go] = np.minimum(out[go], prefix[k][at[go] - span + 1])
+        at[go] -= span
+    none = at == 0
+    out[~none] = np.minimum(out[~none], common[at[~none]])
+    out[none] = 0
+    return out
+
+
+def longest_previous_factors(data: np.ndarray, starts: np.ndarray, when: np.ndarray, length: int) -> np.ndarray:
+    """LPF of each start, cut at length; when: the starts' order in the corpus."""
+    order, common = suffix_order(data, starts, length)
+    placed = when[order]
+    before = factor_before(placed, common)
+    after = factor_before(placed[::-1], np.concatenate(([0], common[:0:-1])))[::-1]
+    out = np.empty(len(starts), np.int64)
+    out[order] = np.maximum(before, after)
     return out
 
 
-class Stretches:
+class Shard:
     """Different stretches of some anchors, until there are enough for a suffix order."""
 
     def __init__(self, length: int):
@@ -201,11 +261,9 @@ class Stretches:
         self.starts.append(starts)
         self.size += sum(map(len, texts))
 
-    def covered(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(document, start, end) of what earlier matches cover."""
-        if not self.texts:
-            return (np.zeros(0, np.int64),) * 3
-        sizes = np.array([len(t) for t in self.texts])
+    def factors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of every string of the shard: its stretch, place there, document, start, LPF; the shard is empty then."""
+        sizes = np.array([len(t) for t in self.texts], np.int64)
         first = np.cumsum(sizes) - sizes
         counts = sizes - self.length + 1
         own = np.repeat(np.arange(len(sizes)), counts)
@@ -213,30 +271,35 @@ class Stretches:
         uid, start = np.concatenate(self.uids)[own], np.concatenate(self.starts)[own] + offset
         when = np.empty(len(own), np.int64)
         when[np.lexsort((start, uid))] = np.arange(len(own))
-        hit = has_previous_factor(np.frombuffer(b"".join(self.texts), np.uint8), first[own] + offset, when, self.length)
+        lpf = longest_previous_factors(np.frombuffer(b"".join(self.texts), np.uint8), first[own] + offset, when, self.length)
         self.clear()
-        if not hit.any():
-            return (np.zeros(0, np.int64),) * 3
-        at = np.flatnonzero(hit)
-        fresh = np.concatenate(([True], (np.diff(at) > 1) | (np.diff(own[at]) != 0)))
-        a = at[fresh]
-        b = at[np.concatenate((np.flatnonzero(fresh)[1:] - 1, [len(at) - 1]))]
-        return uid[a], start[a], start[b] + self.length
+        return own, offset, uid, start, lpf
+
+
+def spans(own: np.ndarray, uid: np.ndarray, start: np.ndarray, hit: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, start, end) of what the marked strings cover, those next to each other in a stretch as one."""
+    at = np.flatnonzero(hit)
+    if not len(at):
+        return (np.zeros(0, np.int64),) * 3
+    fresh = np.concatenate(([True], (np.diff(at) > 1) | (np.diff(own[at]) != 0)))
+    a = at[fresh]
+    b = at[np.concatenate((np.flatnonzero(fresh)[1:] - 1, [len(at) - 1]))]
+    return uid[a], start[a], start[b] + length
 
 
 def with_order(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
     """row (docs' columns but the text), __id, __text, and a long __uid in document order; whether that is the id itself.
 
-    It is where ids are unique and not null; else (id, text) pairs are numbered.
+    It is where ids are unique and not null; else (id, text) pairs are numbered, by ranges.
     """
     others = [F.col(f"`{c}`") for c in docs.columns if c != text_col] or [F.lit(None).alias("none")]
     base = docs.select(F.struct(*others).alias("row"), docs[id_col].cast("long").alias("__id"), F.coalesce(docs[text_col], F.lit("")).alias("__text"))
     unique = not base.groupBy("__id").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) | F.col("__id").isNull()).limit(1).count()
     if unique:
         return base.withColumn("__uid", F.col("__id")), True
-    distinct = base.select("__id", "__text").distinct().orderBy("__id", "__text").select("__id", F.sha2("__text", 256).alias("__of"))
-    numbered = distinct.rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1]))
-    order = stored(docs.sparkSession.createDataFrame(numbered, "__oid long, __of string, __uid long"))
+    distinct = base.select("__id", "__text").distinct().repartitionByRange(partitions(docs), "__id", "__text").sortWithinPartitions("__id", "__text")
+    # numbers grow from one range to the next and inside each; they have gaps
+    order = stored(distinct.select(F.col("__id").alias("__oid"), F.sha2("__text", 256).alias("__of"), F.monotonically_increasing_id().alias("__uid")))
     met = base.join(order, F.col("__id").eqNullSafe(F.col("__oid")) & (F.sha2("__text", 256) == F.col("__of")))
     return met.select("row", "__id", "__text", "__uid"), False
 
@@ -247,9 +310,10 @@ def covered_intervals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         raise ValueError(f"length must be {ANCHOR + 16} or more")
     spark = docs.sparkSession
     small_batches(spark)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = partitions(docs)
     run_ddl = "key long, uid long, place long"  # place: start * 128 + strings; its complement: covered wholly
-    run_schema = arrow_schema(run_ddl)
+    part_ddl = "key long, part int, uid long, place long"  # part: of a key with many runs, from 0; else -1
+    run_schema, part_schema = arrow_schema(run_ddl), arrow_schema(part_ddl)
 
     def find_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -264,25 +328,51 @@ def covered_intervals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     yield batches_out({"key": h, "uid": uids[which], "place": place}, run_schema)
 
     def keep_repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple | None = None  # the row before: key, document, place, whether its key was met before it
+        held: list[tuple] = []  # runs of the key that is being read, SALT_ROWS at most
+        n_held, held_key, part = 0, None, -1
+
+        def rows(key: np.ndarray, uid: np.ndarray, place: np.ndarray, part: int = -1) -> pa.RecordBatch:
+            return batches_out({"key": key, "part": np.full(len(key), part, np.int32), "uid": uid, "place": place}, part_schema)
+
+        def close() -> Iterator[pa.RecordBatch]:
+            nonlocal n_held, part
+            if held:
+                key, uid, place = (np.concatenate(x) for x in zip(*held))
+                kept = (place < 0) | (len(key) > 1) | (part >= 0)
+                yield rows(key[kept], uid[kept], place[kept], part)
+            held.clear()
+            n_held, part = 0, -1
+
         for batch in batches:
             if not batch.num_rows:
                 continue
             key, uid, place = (batch.column(c).to_numpy() for c in ("key", "uid", "place"))
-            as_before = np.concatenate(([last is not None and key[0] == last[0]], key[1:] == key[:-1]))
-            kept = as_before | (place < 0)
-            kept[:-1] |= as_before[1:]
-            if last is not None and as_before[0] and not last[3]:  # it wasn't given out yet
-                yield batches_out({"key": [last[0]], "uid": [last[1]], "place": [last[2]]}, run_schema)
-            kept[-1] = as_before[-1] | (place[-1] < 0)
-            yield batches_out({"key": key[kept], "uid": uid[kept], "place": place[kept]}, run_schema)
-            last = (int(key[-1]), int(uid[-1]), int(place[-1]), bool(kept[-1]))
+            edges = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]))
+            a, b = edges[1], edges[-2]  # between them: keys that begin and end in this batch
+            if key[0] != held_key:
+                yield from close()
+            held.append((key[:a], uid[:a], place[:a]))
+            n_held, held_key = n_held + a, key[0]
+            if len(edges) > 2:
+                yield from close()
+                alone = np.repeat(np.diff(edges) == 1, np.diff(edges))
+                kept = ~alone | (place < 0)
+                kept[:a] = kept[b:] = False
+                if kept.any():
+                    yield rows(key[kept], uid[kept], place[kept])
+                held.append((key[b:], uid[b:], place[b:]))
+                n_held, held_key = len(key) - b, key[-1]
+            if n_held >= SALT_ROWS:
+                now = part = part + 1
+                yield from close()
+                part = now
+        yield from close()
 
     found = docs.select("__uid", "__text").mapInArrow(find_runs, run_ddl)
-    repeated = stored(found.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(keep_repeated, run_ddl))
+    repeated = stored(found.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(keep_repeated, part_ddl))
     let_go(spark)
 
-    ddl = "key long, content long, uid long, start long, stretch binary"
+    ddl = "key long, part int, content long, uid long, start long, stretch binary"
     schema = arrow_schema(ddl)
 
     def stretch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,96 +381,101 @@ def covered_intervals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 text = batch.column("__text")[i].as_py().encode()
-                key = batch.column("keys")[i].values.to_numpy()
-                place = batch.column("places")[i].values.to_numpy()
+                key, part, place = (batch.column(c)[i].values.to_numpy() for c in ("keys", "parts", "places"))
                 for at in range(0, len(key), 4096):
                     start, count = place[at : at + 4096] >> 7, place[at : at + 4096] & 127
                     cut = [text[a : a + c + length - 1] for a, c in zip(start.tolist(), count.tolist())]
                     content = np.array([xxh3_64_intdigest(c) for c in cut], np.uint64).view(np.int64)
-                    yield batches_out({"key": key[at : at + 4096], "content": content, "uid": np.full(len(start), batch.column("__uid")[i].as_py()), "start": start, "stretch": cut}, schema)
+                    yield batches_out({"key": key[at : at + 4096], "part": part[at : at + 4096], "content": content, "uid": np.full(len(start), batch.column("__uid")[i].as_py()), "start": start, "stretch": cut}, schema)
 
     known = repeated.where("place < 0").select("uid", F.shiftright(F.bitwise_not("place"), 7).alias("start"), (F.shiftright(F.bitwise_not("place"), 7) + F.bitwise_not("place").bitwiseAND(127) + (length - 1)).alias("end"))
-    places = repeated.where("place >= 0").groupBy("uid").agg(F.collect_list(F.struct("key", "place")).alias("found")).select("uid", F.col("found.key").alias("keys"), F.col("found.place").alias("places"))
-    met = docs.select("__uid", "__text").join(places, F.col("__uid") == F.col("uid")).select("__uid", "__text", "keys", "places").mapInArrow(stretch, ddl)
-    out_ddl = "uid long, start long, end long, h1 long, h2 long"  # h1, h2: the hash of a string that is still to be compared
+    places = repeated.where("place >= 0").groupBy("uid").agg(F.collect_list(F.struct("key", "part", "place")).alias("found")).select("uid", F.col("found.key").alias("keys"), F.col("found.part").alias("parts"), F.col("found.place").alias("places"))
+    met = docs.select("__uid", "__text").join(places, F.col("__uid") == F.col("uid")).select("__uid", "__text", "keys", "parts", "places").mapInArrow(stretch, ddl)
+    out_ddl = "uid long, start long, end long, h long, string binary"  # h, string: of a string that is to meet others again
     out_schema = arrow_schema(out_ddl)
 
     def intervals(uid: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
-        none = pa.nulls(len(uid), pa.int64())
-        return batches_out({"uid": uid, "start": start, "end": end, "h1": none, "h2": none}, out_schema)
+        return batches_out({"uid": uid, "start": start, "end": end, "h": pa.nulls(len(uid), pa.int64()), "string": pa.nulls(len(uid), pa.binary())}, out_schema)
 
-    def strings(texts: list[bytes], uids: np.ndarray, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """Every string of some stretches, by its hash."""
-        from xxhash import xxh3_128_digest
+    def judged(shard: Shard, shared: bool) -> Iterator[pa.RecordBatch]:
+        """What the factors of a shard cover, and if its keys have other shards too, the strings that have none."""
+        from xxhash import xxh3_64_intdigest
 
-        for text, uid, start in zip(texts, uids.tolist(), starts.tolist()):
-            n = len(text) - length + 1
-            h = np.frombuffer(b"".join(xxh3_128_digest(text[k : k + length]) for k in range(n)), "<i8").reshape(-1, 2)
-            at = start + np.arange(n)
-            yield batches_out({"uid": np.full(n, uid), "start": at, "end": at + length, "h1": h[:, 0], "h2": h[:, 1]}, out_schema)
+        texts = shard.texts
+        if not texts:
+            return
+        own, offset, uid, start, lpf = shard.factors()
+        yield intervals(*spans(own, uid, start, lpf >= length, length))
+        alone = np.flatnonzero(lpf < length) if shared else ()
+        for at in range(0, len(alone), 4096):
+            these = alone[at : at + 4096]
+            cut = [texts[k][a : a + length] for k, a in zip(own[these].tolist(), offset[these].tolist())]
+            h = np.array([xxh3_64_intdigest(c) for c in cut], np.uint64).view(np.int64)
+            yield batches_out({"uid": uid[these], "start": start[these], "end": start[these] + length, "h": h, "string": cut}, out_schema)
 
     def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting = Stretches(length)
-        before: tuple = (None, None)  # key and stretch of the row before
-        open_key, open_rows, open_size, too_many = None, [], 0, False  # different stretches of the key that is being read
-
-        def close() -> None:
-            if sum(len(t) for t, _, _ in open_rows) > 1:
-                for row in open_rows:
+        waiting, opened = Shard(length), Shard(length)  # stretches of keys that are whole; of the key (or part) that is being read
+        shared = False  # whether the open key has other shards
+        before: tuple = (None, None, None)  # key, part and stretch of the row before
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if shared:
+                yield from judged(opened, True)
+            elif len(opened.texts) > 1:
+                for row in zip([opened.texts], [np.concatenate(opened.uids)], [np.concatenate(opened.starts)]):
                     waiting.add(*row)
-            open_rows.clear()
+            opened.clear()
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, uid, start = (batch.column(c).to_numpy() for c in ("key", "uid", "start"))
+            key, part, uid, start = (batch.column(c).to_numpy() for c in ("key", "part", "uid", "start"))
             texts = batch.column("stretch")
+            same = np.concatenate(([before[:2] == (key[0], part[0])], (key[1:] == key[:-1]) & (part[1:] == part[:-1])))
             equal = np.asarray(pc.equal(texts[1:], texts[:-1]).to_numpy(zero_copy_only=False), bool) if len(key) > 1 else np.zeros(0, bool)
-            again = np.concatenate(([before[0] == key[0] and before[1] == texts[0].as_py()], equal & (key[1:] == key[:-1])))
-            before = (int(key[-1]), texts[-1].as_py())
+            again = same & np.concatenate(([before[2] == texts[0].as_py()], equal))
+            before = (int(key[-1]), int(part[-1]), texts[-1].as_py())
             if again.any():  # as the row before, which is earlier: covered wholly
                 size = np.asarray(pc.binary_length(texts))
                 yield intervals(uid[again], start[again], start[again] + size[again])
             first = np.flatnonzero(~again)
             if not len(first):
                 continue
-            keys = key[first]
-            edges = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]))
-            for g in np.flatnonzero((np.diff(edges) > 1) | (edges[:-1] == 0) | (edges[1:] == len(keys))).tolist():
+            new = ~same[first]
+            edges = np.concatenate(([0], np.flatnonzero(new[1:]) + 1, [len(first)]))
+            for g in np.flatnonzero((np.diff(edges) > 1) | (edges[:-1] == 0) | (edges[1:] == len(first)) | (part[first[edges[:-1]]] >= 0)).tolist():
                 rows = first[edges[g] : edges[g + 1]]
-                if open_key != key[rows[0]]:
-                    close()
-                    open_key, open_size, too_many = key[rows[0]], 0, False
-                open_rows.append((texts.take(pa.array(rows)).to_pylist(), uid[rows], start[rows]))
-                open_size += sum(map(len, open_rows[-1][0]))
-                if too_many or open_size > ANCHOR_BYTES:
-                    too_many = True
-                    for row in open_rows:
-                        yield from strings(*row)
-                    open_rows.clear()
+                if new[edges[g]]:
+                    yield from close()
+                    shared = bool(part[rows[0]] >= 0)
+                opened.add(texts.take(pa.array(rows)).to_pylist(), uid[rows], start[rows])
+                if opened.size >= CHUNK:
+                    shared = True
+                    yield from judged(opened, True)
             if waiting.size >= CHUNK:
-                yield intervals(*waiting.covered())
-        close()
-        yield intervals(*waiting.covered())
+                yield from judged(waiting, False)
+        yield from close()
+        yield from judged(waiting, False)
 
     def later_ones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Strings that have the hash of the row before, which is earlier."""
-        last = (None, None)
+        """In suffix order, and corpus order among equals: strings whose neighbour before has the same bytes."""
+        last = None
         for batch in batches:
             if batch.num_rows:
-                h1, h2 = batch.column("h1").to_numpy(), batch.column("h2").to_numpy()
-                again = np.concatenate(([last == (h1[0], h2[0])], (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])))
-                last = (h1[-1], h2[-1])
+                string = batch.column("string")
+                equal = np.asarray(pc.equal(string[1:], string[:-1]).to_numpy(zero_copy_only=False), bool) if batch.num_rows > 1 else np.zeros(0, bool)
+                again = np.concatenate(([last == string[0].as_py()], equal))
+                last = string[-1].as_py()
                 yield batch.select(["uid", "start", "end"]).filter(pa.array(again))
 
-    dealt = met.repartition(parts, "key").sortWithinPartitions("key", "content", "uid", "start")
-    out = stored(dealt.select("key", "uid", "start", "stretch").mapInArrow(cover, out_ddl))
+    dealt = met.repartition(parts, "key", "part").sortWithinPartitions("key", "part", "content", "uid", "start")
+    out = stored(dealt.select("key", "part", "uid", "start", "stretch").mapInArrow(cover, out_ddl))
     let_go(spark)
-    left = out.where("h1 IS NOT NULL")
-    done = out.where("h1 IS NULL").select("uid", "start", "end").union(known)
+    left = out.where("h IS NOT NULL")
+    done = out.where("h IS NULL").select("uid", "start", "end").union(known)
     if not left.limit(1).count():
         return done
-    return done.union(left.repartition(parts, "h1").sortWithinPartitions("h1", "h2", "uid", "start").mapInArrow(later_ones, "uid long, start long, end long"))
+    return done.union(left.repartition(parts, "h").sortWithinPartitions("h", "string", "uid", "start").select("uid", "start", "end", "string").mapInArrow(later_ones, "uid long, start long, end long"))
 
 
 def merged(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:

@@ -232,14 +232,38 @@ def test_suffix_dedup_is_brute_force(spark, length):
     assert sorted(got) == expected and sum(x[2] for x in got) > 300
 
 
-def test_suffix_dedup_beyond_what_an_anchor_may_hold(spark, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "ANCHOR_BYTES", 300)
+@pytest.mark.parametrize("sizes", [{"CHUNK": 300}, {"SALT_ROWS": 7}, {"CHUNK": 500, "SALT_ROWS": 3}, {}])
+def test_suffix_dedup_with_one_anchor_in_every_document(spark, monkeypatch, sizes):
+    for name, value in sizes.items():
+        monkeypatch.setattr(suffix_dedup, name, value)
     made = [(i, f"{i * 7919 % 1000:03d} {i} " * (i % 3) + data.PASSAGE[i % 20 :] + f" {i * i}") for i in range(60)]
     docs = spark.createDataFrame(made, "doc_id long, text string")
     got = sorted(tuple(r) for r in suffix_dedup.without_repeats(docs).collect())
     assert got == [(r[0], *x) for r, x in zip(made, cut_by_hand([t for _, t in made], 100))]
 
 
+@pytest.mark.parametrize("length", [40, 100, 129])
+def test_longest_previous_factors_are_brute_force(length):
+    r = random.Random(length)
+    for kind in range(6):
+        texts = [bytes(r.choices(b"ab" if kind % 2 else b"abcdefgh", k=r.randint(length, 3 * length))) for _ in range(4)]
+        texts += [texts[0][: length + 5], texts[1][3:] if len(texts[1]) > length + 3 else texts[1], b"a" * (2 * length)]
+        text = b"".join(texts)
+        ends = np.repeat(np.cumsum([len(t) for t in texts]), [len(t) for t in texts])
+        starts = np.array([i for i in range(len(text) - length + 1) if i + length <= ends[i]])
+        when = np.array(r.sample(range(len(starts)), len(starts)))
+        order, common = suffix_dedup.suffix_order(np.frombuffer(text, np.uint8), starts, length)
+        cut = [text[a : a + length] for a in starts]
+        assert [cut[i] for i in order] == sorted(cut)
+
+        def prefix(a, b):
+            return next((k for k in range(length) if a[k] != b[k]), length)
+
+        assert common.tolist() == [0] + [prefix(cut[a], cut[b]) for a, b in zip(order[:-1], order[1:])]
+        expected = [max((prefix(cut[j], cut[i]) for j in range(len(starts)) if when[j] < when[i]), default=0) for i in range(0, len(starts), 7)]
+        assert suffix_dedup.longest_previous_factors(np.frombuffer(text, np.uint8), starts, when, length)[::7].tolist() == expected
+
+
 def test_suffix_dedup_with_repeated_and_null_ids(spark):
     made = data.rows(seed=3)
     order = sorted({(r[0] is not None, r[0] or 0, r[1] or "") for r in made})
