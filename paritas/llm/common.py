@@ -100,9 +100,17 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 def stored(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """Cut the lineage: write df as a Parquet table in the shared folder and read it."""
-    path = shared_folder(df.sparkSession)
-    df.write.option("compression", codec).parquet(path)
+    """Cut the lineage: write df as a Parquet table in the shared folder and read it.
+
+    The shuffle files of the write go when it is done.
+    """
+    path, conf, key = shared_folder(df.sparkSession), df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, "false")
+    conf.set(key, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        conf.set(key, before)
     out = df.sparkSession.read.options(**PLAIN_READS).schema(df.schema).parquet(path)
     out._stored_at = path
     return out
@@ -114,14 +122,6 @@ def release(spark: SparkSession, *tables: DataFrame) -> None:
         _delete(spark, t._stored_at)
 
 
-def let_go(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of finished phases now: it follows the JVM's collector, and Python's references."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def arrow_schema(ddl: str) -> pa.Schema:
     """The Arrow schema of a simple 'name type, ...' list."""
     kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "double": pa.float64(), "boolean": pa.bool_()}

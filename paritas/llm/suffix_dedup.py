@@ -55,7 +55,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from paritas.llm.common import arrow_schema, batches_out, let_go, partitions, small_batches, stored, text_batches
+from paritas.llm.common import arrow_schema, batches_out, partitions, small_batches, stored, text_batches
 
 LENGTH, ANCHOR = 100, 24
 #: Bits of a window's order that hold a position; longer texts are taken in pieces of this many bytes.
@@ -64,7 +64,7 @@ PIECE = 1 << 22
 #: Bytes of stretches that get one suffix order.
 CHUNK = 1 << 20
 #: Runs of one anchor that are dealt to one task.
-SALT_ROWS = 20_000
+SALT_ROWS = 4_000
 _PLACES = np.uint64((1 << PLACE_BITS) - 1)
 
 
@@ -370,7 +370,6 @@ def covered_intervals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     found = docs.select("__uid", "__text").mapInArrow(find_runs, run_ddl)
     repeated = stored(found.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(keep_repeated, part_ddl))
-    let_go(spark)
 
     ddl = "key long, part int, content long, uid long, start long, stretch binary"
     schema = arrow_schema(ddl)
@@ -470,7 +469,6 @@ def covered_intervals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     dealt = met.repartition(parts, "key", "part").sortWithinPartitions("key", "part", "content", "uid", "start")
     out = stored(dealt.select("key", "part", "uid", "start", "stretch").mapInArrow(cover, out_ddl))
-    let_go(spark)
     left = out.where("h IS NOT NULL")
     done = out.where("h IS NULL").select("uid", "start", "end").union(known)
     if not left.limit(1).count():
