@@ -5,17 +5,19 @@ white space with A-Z lower-cased; keys of ``min_chars`` code points or more that
 are found in ``min_docs`` documents or more lose all their lines except in the
 largest document id that holds them.
 
-Plan: explode (doc, key hash) -> distinct per document before the shuffle ->
-count per key -> a stored table of the few frequent keys -> join back to the exploded hashes ->
-positions to drop per document -> one join with the texts -> reassemble by
-position.  A key held by a third of all documents is first dealt by (key, doc),
-counted in part, and only partial counts meet; the join back is one that AQE
-splits.
+Plan: explode the lines once into a stored table of (doc, position, key hash) ->
+distinct (doc, hash) before the shuffle -> count per key -> a stored table of the
+few frequent keys -> join back to the stored hashes -> positions to drop per
+document -> one join with the texts -> reassemble by position.  A key held by a
+third of all documents is first dealt by (key, doc), counted in part, and only
+partial counts meet; the join back is one that AQE splits.
 
-Defined results: a null or empty text is one empty line.  Rows with a null id
-aren't counted as documents and never are the largest holder, so they lose
-frequent lines.  Rows of the same id are one document for counting; each row is
-reassembled by itself.  Other columns are carried through whatever their names.
+Defined results: a null or empty text is one empty line; texts of any length are
+split whole; an empty table gives no rows.  Rows with a null id aren't counted as
+documents and never are the largest holder, so they lose frequent lines.  Rows of
+the same id are one document for counting; each row is reassembled by itself, so
+repeated rows get equal results.  Other columns are carried in a struct, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines = base.select("__id", F.xxhash64("__text").alias("__of"), F.posexplode(F.split("__text", "\n", -1)).alias("__pos", "__line"))
     keyed = lines.select("__id", "__of", "__pos", line_key(F.col("__line")).alias("__key")).where(F.char_length("__key") >= min_chars)
     h1, h2 = wide_hash(F.col("__key"))
-    keyed = keyed.select("__id", "__of", "__pos", h1.alias("__h1"), h2.alias("__h2"))
+    keyed = stored(keyed.select("__id", "__of", "__pos", h1.alias("__h1"), h2.alias("__h2")))
 
     frequent = keyed.where(F.col("__id").isNotNull()).select("__h1", "__h2", "__id").distinct().groupBy("__h1", "__h2").agg(F.count(F.lit(1)).alias("__n"), F.max("__id").alias("__keep")).where(F.col("__n") >= min_docs).drop("__n")
     frequent = stored(frequent)  # its size is then known: joined by broadcast if small, else dealt anew, so that AQE can split a hot key
