@@ -4,7 +4,7 @@ The kernel of two texts counts the hashed byte n-grams (one to four bytes, lower
 case) that both hold, by presence, not frequency: a blended-spectrum presence
 kernel, normalised by the numbers of n-grams held.  Training picks a bounded
 sample of labelled documents (``PER_LANGUAGE`` of each language, by the order of a
-hash of the id), takes ``LANDMARKS`` of them as Nystroem landmarks, maps every
+hash of the id), sends their n-gram presences as bits (2 KB each) to the driver, takes ``LANDMARKS`` of them as Nystroem landmarks, maps every
 sample text to  K(x, landmarks) K(landmarks, landmarks)^-1/2  and solves
 one-versus-rest ridge regressions there.
 
@@ -16,8 +16,12 @@ divide by the text's norm.  Its size is fixed by the parameters.
 
 Learned from: text and language of labelled documents whose crc32 of the id isn't
 held out.  Defined results: null text or text without a letter is ``und`` with
-score 0; so is everything if no labelled document can be learned from; a null id
-is neither held out nor learned from; equal rows get equal results.
+score 0; so is everything if no labelled document can be learned from; texts of any
+length are read whole; a null id is neither held out nor learned from; of several
+texts of one id and language the one with the least bits is learned from, so two
+runs learn the same; equal margins go to the language that sorts first; equal rows
+get equal results; an empty table gives no rows; other columns aren't read (by
+:func:`with_language` carried), whatever their names.
 """
 
 from __future__ import annotations
@@ -82,27 +86,33 @@ class Model:
 
 
 def fit(texts: list[str], labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
-    """Nystroem features and one-versus-rest kernel ridge regression, on the driver, over the sample."""
+    """A model of some texts."""
     usable = [i for i, t in enumerate(texts) if has_letter(t)]
-    languages = sorted({labels[i] for i in usable})
-    if not usable:
+    held = np.stack([presence(texts[i]) for i in usable]) if usable else np.zeros((0, 1 << BUCKET_BITS), bool)
+    return fit_presences(held, [labels[i] for i in usable], landmarks, ridge)
+
+
+def fit_presences(presences: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
+    """Nystroem features and one-versus-rest kernel ridge regression, on the driver, over the sample."""
+    languages = sorted(set(labels))
+    if not languages:
         return Model([], np.zeros((1 << BUCKET_BITS, 0), np.float32), np.zeros(0, np.float32))
-    held = np.stack([presence(texts[i]) for i in usable]).astype(np.float32)
+    held = presences.astype(np.float32)
     unit = held / np.sqrt(held.sum(axis=1))[:, None]
-    by_language = {name: [k for k, i in enumerate(usable) if labels[i] == name] for name in languages}
+    by_language = {name: [k for k, label in enumerate(labels) if label == name] for name in languages}
     each = max(1, landmarks // len(languages))
     marks = unit[[k for name in languages for k in by_language[name][:each]]]
     values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
     keep = values > 1e-6 * values.max()
     root = vectors[:, keep] / np.sqrt(values[keep])
     mapped = (unit @ marks.T).astype(np.float64) @ root
-    target = np.where(np.array([labels[i] for i in usable])[:, None] == np.array(languages), 1.0, -1.0)
-    weight = np.array([1.0 / len(by_language[labels[i]]) for i in usable])  # each language counts alike
+    target = np.where(np.array(labels)[:, None] == np.array(languages), 1.0, -1.0)
+    weight = np.array([1.0 / len(by_language[label]) for label in labels])  # each language counts alike
     weight /= weight.sum()
     mean = weight @ mapped
     centre = weight @ target
     x, y = mapped - mean, target - centre
-    beta = np.linalg.solve(x.T @ (x * weight[:, None]) + ridge * np.eye(x.shape[1]) / len(usable), x.T @ (y * weight[:, None]))
+    beta = np.linalg.solve(x.T @ (x * weight[:, None]) + ridge * np.eye(x.shape[1]) / len(labels), x.T @ (y * weight[:, None]))
     return Model(languages, (marks.T @ (root @ beta)).astype(np.float32), (centre - mean @ beta).astype(np.float32))
 
 
@@ -110,23 +120,34 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], list[str]]:
-    """The bounded training sample.  Ids and labels are ranked first; texts are read for the chosen only."""
+def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[np.ndarray, list[str]]:
+    """Presences and labels of the bounded training sample.  Ids and labels are ranked first; texts are read for the chosen only."""
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     narrow = labelled.select(F.col(id_col).cast("long").alias("__id"), F.col(lang_col).cast("string").alias("__lang"))
     each = min(PER_LANGUAGE, max(1, SAMPLE // max(1, narrow.select("__lang").distinct().count())))
     by_hash = Window.partitionBy("__lang").orderBy(F.xxhash64("__id"), "__id")
-    chosen = [r["__id"] for r in narrow.withColumn("__n", F.row_number().over(by_hash)).where(F.col("__n") <= each).select("__id").distinct().collect()]
-    rows = labelled.where(F.col(id_col).isin(chosen)).select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), F.col(lang_col).cast("string").alias("__lang")).dropDuplicates(["__id", "__lang"]).collect()
-    rows = sorted(rows, key=lambda r: (r["__lang"], r["__id"]))
-    return [r["__text"] for r in rows], [r["__lang"] for r in rows]
+    chosen = [r["__id"] for r in narrow.distinct().withColumn("__n", F.row_number().over(by_hash)).where(F.col("__n") <= each).select("__id").distinct().collect()]
+    ddl = "__id long, __lang string, bits binary"
+    schema = arrow_schema(ddl)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, texts in text_batches(batch, "__text"):
+                bits = [np.packbits(presence(t)).tobytes() if has_letter(t) else None for t in texts]
+                yield batches_out({"__id": rows.column("__id"), "__lang": rows.column("__lang"), "bits": bits}, schema)
+
+    texts = labelled.where(F.col(id_col).cast("long").isin(chosen)).select(F.col(id_col).cast("long").alias("__id"), F.col(lang_col).cast("string").alias("__lang"), F.col(text_col).alias("__text"))
+    best = texts.mapInArrow(run, ddl).where(F.col("bits").isNotNull()).groupBy("__id", "__lang").agg(F.min("bits").alias("bits"))
+    rows = sorted((r["__lang"], r["__id"], bytes(r["bits"])) for r in best.collect())
+    held = np.frombuffer(b"".join(b for _, _, b in rows), np.uint8).reshape(len(rows), -1) if rows else np.zeros((0, 1 << (BUCKET_BITS - 3)), np.uint8)
+    return np.unpackbits(held, axis=1).astype(bool), [lang for lang, _, _ in rows]
 
 
 def identify(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """doc_id, held_out, lang_pred, score, one row per row of docs."""
     spark = docs.sparkSession
     small_batches(spark)
-    shared = spark.sparkContext.broadcast(model or fit(*sample(docs, id_col, text_col, lang_col)))
+    shared = spark.sparkContext.broadcast(model or fit_presences(*sample(docs, id_col, text_col, lang_col)))
     schema = arrow_schema(SCHEMA)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +166,7 @@ def with_language(docs: DataFrame, model: Model | None = None, id_col: str = "do
     """
     spark = docs.sparkSession
     small_batches(spark)
-    shared = spark.sparkContext.broadcast(model or fit(*sample(docs, id_col, text_col, lang_col)))
+    shared = spark.sparkContext.broadcast(model or fit_presences(*sample(docs, id_col, text_col, lang_col)))
     named = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
     text = f"c{docs.columns.index(text_col)}"
 

@@ -356,3 +356,39 @@ def test_quality_compares_windows_that_hash_alike(monkeypatch):
     monkeypatch.setattr(quality, "rolled", lambda h, lengths: {k: v % np.uint64(3) for k, v in real(h, lengths).items()})  # nearly all collide
     assert [quality.measure(t) for t in texts] == sound
     assert [m[:6] for m in sound] == [quality_by_hand(t) for t in texts]
+
+
+def test_language_id_is_nystroem_kernel_ridge_by_hand():
+    """Kernels by counting shared buckets, features by way of the landmarks, the regression as an augmented least-squares problem."""
+    r = random.Random(9)
+    sounds = {"aa": ["la", "mo", "ri"], "bb": ["kt", "la", "ung"], "cc": ["éa", "mo", "ée"]}
+    made = [(name, "".join(r.choices(sounds[name], k=r.randint(2, 12)))) for name in sorted(sounds) for _ in range(7 + ord(name[0]) % 3)]
+    labels, texts = [n for n, _ in made], [t for _, t in made]
+    new = ["".join(r.choices(sum(sounds.values(), []), k=6)) for _ in range(30)]
+    sets = [set(np.flatnonzero(language_id.presence(t)).tolist()) for t in texts + new]
+    kernel = lambda a, b: len(a & b) / (len(a) * len(b)) ** 0.5
+    marks = [k for name in sorted(sounds) for k in [i for i, x in enumerate(labels) if x == name][:3]]
+    between = np.array([[kernel(sets[a], sets[b]) for b in marks] for a in marks])
+    values, vectors = np.linalg.eigh(between)
+    keep = values > 1e-6 * values.max()
+    mapped = np.array([[kernel(s, sets[m]) for m in marks] for s in sets]) @ (vectors[:, keep] / np.sqrt(values[keep]))
+    weight = np.array([1 / labels.count(x) for x in labels]) / len(sounds)
+    n, m = len(texts), mapped.shape[1]
+    ridge = language_id.RIDGE / n
+    a = np.vstack([np.sqrt(weight)[:, None] * np.hstack([mapped[:n], np.ones((n, 1))]), np.hstack([np.sqrt(ridge) * np.eye(m), np.zeros((m, 1))])])
+    margins = []
+    for name in sorted(sounds):
+        y = np.where(np.array(labels) == name, 1.0, -1.0)
+        solved = np.linalg.lstsq(a, np.concatenate((np.sqrt(weight) * y, np.zeros(m))), rcond=None)[0]
+        margins.append(mapped[n:] @ solved[:-1] + solved[-1])
+    margins = np.array(margins).T
+    names, scores = language_id.fit(texts, labels, landmarks=9).predict(new)
+    assert names == [sorted(sounds)[k] for k in margins.argmax(axis=1)]
+    assert np.allclose(scores, np.clip((margins.max(axis=1) + 1) / 2, 0, 1), atol=1e-4)
+
+
+def test_language_id_learns_the_same_from_repeated_ids(spark):
+    rows = [(i % 40, f"{'la mo ri' if i % 2 else 'kt sch ung'} {'abc'[i % 3] * (i % 11)}", "a" if i % 2 else "b") for i in range(400)] + [(1, None, "a"), (2, "zz", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    one, two = (language_id.sample(docs.repartition(k)) for k in (1, 7))
+    assert (one[0] == two[0]).all() and one[1] == two[1] and len(one[1]) == len({(i, x) for i, _, x in rows if x and zlib.crc32(str(i).encode()) % 4 != 2})
