@@ -78,12 +78,32 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op6 without the model's verdicts, which SQL can't express."""
+    out = op6_url_filter(spark, sf_dir)
+    return out.select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("ruled"))
+
+
+def url_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The n-grams of op6's model: how many distinct ones of each length a url has."""
+    from paritas.llm.url_filter import GRAMS, grams, host_and_path
+
+    host, path = host_and_path(F.col("url"))
+    cut = table(spark, sf_dir, "pages").select("page_id", F.concat(host, path).alias("u"))
+    return cut.select("page_id", *[F.size(F.array_distinct(grams(F.col("u"), n))).cast("long").alias(f"grams_{n}") for n in GRAMS])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+    own = {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+    return own | {"url_rules": url_rules, "url_features": url_features}
 
 
 SPACE_SQL = r"' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
+URL_SQL = r"""SELECT page_id, translate(coalesce(regexp_extract(rest, '^([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path
+FROM (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages)"""
+
 WORD_SQL = r"[^\x20\x09-\x0D]+"
 
 ORACLE = {
@@ -121,7 +141,8 @@ worst AS (
   SELECT s.r, max(n_marked) FILTER (WHERE n = 8) AS n_repeat, max(c_later / word_chars::DOUBLE / CASE n WHEN 5 THEN 0.15 WHEN 6 THEN 0.14 WHEN 8 THEN 0.12 ELSE 0.10 END::DOUBLE) AS worst
   FROM sums s JOIN totals USING (r) GROUP BY s.r),
 lines AS (
-  SELECT r, strlen(regexp_replace(line, '[ 	-]', '', 'g')) AS c, row_number() OVER (PARTITION BY r, line) AS nth
+  SELECT r, strlen(regexp_replace(line, '[ 	-
+]', '', 'g')) AS c, row_number() OVER (PARTITION BY r, line) AS nth
   FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM docs)),
 repeated AS (SELECT r, count(*) FILTER (WHERE nth > 1) AS n_dup, sum(c) FILTER (WHERE nth > 1) / sum(c)::DOUBLE AS cover FROM lines WHERE c > 0 GROUP BY r),
 base AS (
@@ -132,6 +153,20 @@ base AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
   NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND worst <= 1 AND cover <= 0.2::DOUBLE AS kept, round(cover, 6) AS line_coverage, round(worst, 6) AS worst_coverage
 FROM base
+""",
+    "url_rules": f"""
+WITH cut AS ({URL_SQL}), rules(rule_host, rule_path, what) AS (
+  VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+fit AS (
+  SELECT page_id, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule, arg_max(what, length(rule_host || rule_path)) AS ruled
+  FROM cut JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY page_id)
+SELECT page_id, host, path, rule, ruled FROM cut LEFT JOIN fit USING (page_id)
+""",
+    "url_features": f"""
+WITH cut AS ({URL_SQL}), marked AS (SELECT page_id, '^' || host || path || '$' AS u FROM cut),
+grams AS (SELECT page_id, n, substr(u, i::BIGINT, n) AS g FROM (SELECT page_id, n, u, unnest(range(1, length(u) - n + 2)) AS i FROM marked, (VALUES (3), (4), (5)) lengths(n)))
+SELECT page_id, count(DISTINCT g) FILTER (WHERE n = 3) AS grams_3, count(DISTINCT g) FILTER (WHERE n = 4) AS grams_4, count(DISTINCT g) FILTER (WHERE n = 5) AS grams_5
+FROM marked LEFT JOIN grams USING (page_id) GROUP BY page_id
 """,
     "op3_top_k": """
 WITH clean AS (

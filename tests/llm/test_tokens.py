@@ -262,10 +262,28 @@ def test_url_filter_is_brute_force(spark):
         assert got[i]["verdict"] == (rule or ("block" if (got[i]["score"] or 0) > 0 else "allow"))
     assert got[urls.index("http://big-casino.test/free-bets")]["verdict"] == "block"
     assert got[urls.index("http://thermal-news.test/en/44")]["verdict"] == "allow"
+    by_hand = url_filter.train(spark)
+    assert [by_hand_verdict(spark, u, by_hand) for u in ("http://big-casino.test/free-bets", "http://thermal-news.test/en/44")] == ["block", "allow"]
     assert all(got[i]["verdict"] == "allow" for i, u in enumerate(urls) if not got[i]["host"])
     assert url_filter.judge_urls(df.limit(0), model=(0.0, [0.0] * url_filter.BUCKETS)).count() == 0
 
 
+def by_hand_verdict(spark, url, model):
+    """Log-odds as a sum over distinct buckets, in Python."""
+    host, path, _ = url_by_hand(url)
+    marked = f"^{host}{path}$"
+    grams = {marked[i : i + n] for n in url_filter.GRAMS for i in range(len(marked) - n + 1)}
+    hashed = spark.createDataFrame([(g,) for g in grams], "g string").select(F.pmod(F.xxhash64("g"), F.lit(url_filter.BUCKETS)).alias("b")).distinct().collect()
+    return "block" if model[0] + sum(model[1][r["b"]] for r in hashed) > 0 else "allow"
+
+
+def test_url_model_on_topics_it_has_not_met(spark):
+    n, precision, recall = url_filter.held_out_report(spark)
+    assert n > 100 and precision > 0.7 and recall > 0.5, (n, precision, recall)
+    empty = spark.createDataFrame([], "page_id long, url string")
+    assert url_filter.judge_urls(empty).count() == 0
+
+
 def test_url_buckets_are_hashed_grams(spark):
     text = "ab.cd"
     marked = f"^{text}$"
