@@ -46,8 +46,9 @@ weather transport railway airport council parliament court embassy health hospit
 furniture bicycle camera textile pottery carpentry knitting photography painting sculpture
 bird forest river mountain island harbour village bridge castle cathedral
 """.split()
-#: Shapes of urls; {a} and {b} are two topics of one list, {n} a number.
-SHAPES = ["{a}{b}.test/", "www.{a}-{b}.test/en/{n}", "{a}.{b}.test/{n}.html", "{b}{n}.test/{a}/", "m.{a}{b}.test/de/{n}/", "best{a}.test/{b}-{n}", "my-{b}.test/fr/{a}/{n}", "blog.{a}.test/{b}/{n}.html", "{a}online.test/es/{n}?x={b}", "the{b}.test/posts/{n}"]
+#: Shapes of urls; {a} and {b} are two topics of one list, {n} a number, {end} one of ENDINGS.
+SHAPES = ["{a}{b}.{end}/", "www.{a}-{b}.{end}/en/{n}", "{a}.{b}.{end}/{n}.html", "{b}{n}.{end}/{a}/", "m.{a}{b}.{end}/de/{n}/", "best{a}.{end}/{b}-{n}", "my-{b}.{end}/fr/{a}/{n}", "blog.{a}.{end}/{b}/{n}.html", "{a}online.{end}/es/{n}?x={b}", "the{b}.{end}/posts/{n}"]
+ENDINGS = ["com", "net", "org", "info", "test"]
 #: Hosts of made-up words say nothing about a topic; they stay.
 SYLLABLES = "ba ren tol mi sek da lor vin pa gho nu ster wal kin ro che fal den mur ti".split()
 GRAMS, BUCKETS, REGULARISATION = (3, 4, 5), 8192, 0.0005
@@ -60,10 +61,10 @@ def labelled(each: int = 12) -> list[tuple[str, float]]:
         for i, a in enumerate(topics):
             for k in range(each):
                 b = topics[(i * 7 + k * 13 + 1) % len(topics)]
-                out.append((SHAPES[(i + k) % len(SHAPES)].format(a=a, b=b, n=(i * 7919 + k * 104729) % 10_000), label))
+                out.append((SHAPES[(i + k) % len(SHAPES)].format(a=a, b=b, n=(i * 7919 + k * 104729) % 10_000, end=ENDINGS[(i + 3 * k) % len(ENDINGS)]), label))
     for i in range(each * 40):
         a, b = ("".join(SYLLABLES[(i * m + c) % len(SYLLABLES)] for m, c in parts) for parts in (((3, i // 7), (7, 2), (11, i // 3)), ((9, 4), (13, i // 5))))
-        out.append((SHAPES[i % len(SHAPES)].format(a=a, b=b, n=(i * 6151) % 10_000), 0.0))
+        out.append((SHAPES[i % len(SHAPES)].format(a=a, b=b, n=(i * 6151) % 10_000, end=ENDINGS[i // 3 % len(ENDINGS)]), 0.0))
     return out
 
 
