@@ -1,32 +1,38 @@
 """Group-fairness rates and their spread over groups.
 
-One aggregation per call serves every metric: sums of conditions per group.
-Multi-valued attributes are exploded into (value, multiplicity) inside the row,
-so a row that lists a value twice counts twice among the group's rows but once
-among its positives, without a distinct shuffle.
+One aggregation per call serves every metric: sums of conditions per group.  Rows
+without a group are aggregated too and left out afterwards, so the total of the
+positives is a sum over the groups' few rows and the table is read once.
+Multi-valued attributes are exploded into (value, multiplicity) inside the row, so a
+row that lists a value twice counts twice among the group's rows but once among its
+positives, without a distinct shuffle; one of a row's pieces carries the row's mark
+for the total.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 METRICS = ("accuracy_disparity", "statistical_parity", "equal_opportunity", "false_positive_rate", "equalized_odds", "representation_disparity")
-WEIGHT = "__weight"
+WEIGHT, MARK = "__weight", "__mark"
 
 
 def exploded(df: DataFrame, attrs: Sequence[str]) -> DataFrame:
-    """A row for each distinct value of the array attributes, weighted by how often it is listed.
+    """A row for each distinct value of the array attributes, weighted by how often it is listed, one of them marked.
 
     Empty and null arrays leave one row without a group.
     """
-    out = df.withColumn(WEIGHT, F.lit(1)) if WEIGHT not in df.columns else df
+    out = df.withColumn(WEIGHT, F.lit(1)).withColumn(MARK, F.lit(True)) if WEIGHT not in df.columns else df
     for attr in attrs:
         values = F.col(attr)
         counted = F.transform(F.array_distinct(values), _counter(values))
-        out = out.withColumn("__pair", F.explode_outer(counted)).withColumn(attr, F.col("__pair.value")).withColumn(WEIGHT, F.col(WEIGHT) * F.coalesce("__pair.n", F.lit(1))).drop("__pair")
+        others = [c for c in out.columns if c not in (attr, WEIGHT, MARK)]
+        pieces = out.select(*[F.col(f"`{c}`") for c in others], WEIGHT, MARK, F.posexplode_outer(counted).alias("__at", "__pair"))
+        weight = F.col(WEIGHT) * F.coalesce("__pair.n", F.lit(1))
+        out = pieces.select(*[F.col(f"`{c}`") for c in others], F.col("__pair.value").alias(attr), weight.alias(WEIGHT), (F.col(MARK) & (F.coalesce("__at", F.lit(0)) == 0)).alias(MARK))
     return out
 
 
@@ -34,40 +40,42 @@ def _counter(values: Column) -> Callable[[Column], Column]:
     return lambda v: F.struct(v.alias("value"), F.size(F.filter(values, lambda x: x == v)).alias("n"))
 
 
-def group_counts(df: DataFrame, attrs: Sequence[str], target: str, prediction: str | None, positive) -> DataFrame:
-    """Per group: rows, correct rows, and rows and predicted positives overall, among true positives, among the rest."""
-    predicted = F.col(prediction or target) == F.lit(positive)
+def count_columns(df: DataFrame, target: str, predicted: Column, positive) -> list[Column]:
+    """Sums per group: rows, correct rows, and rows and predicted positives overall, among true positives, among the rest; marked positives."""
+    said = predicted == F.lit(positive)
     actual = F.col(target).eqNullSafe(F.lit(positive))
     weight = F.col(WEIGHT) if WEIGHT in df.columns else F.lit(1)
-    known = df
-    for attr in attrs:
-        known = known.where(F.col(attr).isNotNull())
-    return known.groupBy(*attrs).agg(
+    mark = F.col(MARK) if MARK in df.columns else F.lit(True)
+    return [
         F.sum(weight).alias("n"),
-        F.sum(F.when(F.col(target) == F.col(prediction or target), weight).otherwise(0)).alias("correct"),
-        F.count_if(predicted).alias("p"),
+        F.sum(F.when(F.col(target) == predicted, weight).otherwise(0)).alias("correct"),
+        F.count_if(said).alias("p"),
         F.sum(F.when(actual, weight).otherwise(0)).alias("n_actual"),
-        F.count_if(predicted & actual).alias("p_actual"),
+        F.count_if(said & actual).alias("p_actual"),
         F.sum(F.when(~actual, weight).otherwise(0)).alias("n_other"),
-        F.count_if(predicted & ~actual).alias("p_other"),
-    )
+        F.count_if(said & ~actual).alias("p_other"),
+        F.count_if(said & mark).alias("marked"),
+    ]
 
 
-def positives(df: DataFrame, target: str, prediction: str | None, positive) -> DataFrame:
-    """One row: the distinct rows predicted positive (take it before exploding)."""
-    return df.agg(F.count_if(F.col(prediction or target) == F.lit(positive)).alias("all_positives"))
+def group_counts(df: DataFrame, attrs: Sequence[str], target: str, prediction: str | None, positive) -> DataFrame:
+    """count_columns per group; groups with a null are there too."""
+    return df.groupBy(*attrs).agg(*count_columns(df, target, F.col(prediction or target), positive))
 
 
 def harmonic(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(2 * a * b, a + b), F.lit(0.0))
 
 
-def group_rates(df: DataFrame, attrs: Sequence[str], target: str, prediction: str | None, positive, multivalued: bool = False) -> DataFrame:
-    """attrs and one column per metric: each group's probability (null: no row in its condition)."""
-    counts = group_counts(exploded(df, attrs) if multivalued else df, attrs, target, prediction, positive)
-    whole = positives(df, target, prediction, positive)
+def rates_of(counts: DataFrame, attrs: Sequence[str], within: Sequence[str] = ()) -> DataFrame:
+    """From group_counts: each group's probability by every metric (null: no row in its condition), separately for each value of within."""
+    whole = Window.partitionBy(*within) if within else Window.partitionBy(F.lit(1))  # over the groups' rows, not the table's
+    known = F.lit(True)
+    for attr in attrs:
+        known = known & F.col(attr).isNotNull()
     eo, fpr = F.try_divide("p_actual", "n_actual"), F.try_divide("p_other", "n_other")
-    return counts.crossJoin(F.broadcast(whole)).select(  # whole is one row
+    return counts.withColumn("all_positives", F.sum("marked").over(whole)).where(known).select(
+        *[c for c in within if c not in attrs],
         *attrs,
         F.try_divide("correct", "n").alias("accuracy_disparity"),
         F.try_divide("p", "n").alias("statistical_parity"),
@@ -78,6 +86,11 @@ def group_rates(df: DataFrame, attrs: Sequence[str], target: str, prediction: st
     )
 
 
+def group_rates(df: DataFrame, attrs: Sequence[str], target: str, prediction: str | None, positive, multivalued: bool = False) -> DataFrame:
+    """attrs and one column per metric; one aggregation over df."""
+    return rates_of(group_counts(exploded(df, attrs) if multivalued else df, attrs, target, prediction, positive), attrs)
+
+
 def spread(low: Column, high: Column, mode: str | Callable[[Column, Column], Column] = "difference") -> Column:
     """difference: max - min; ratio: 1 - min / max (0 where max is 0); or a function of (min, max)."""
     if callable(mode):
@@ -89,30 +102,39 @@ def spread(low: Column, high: Column, mode: str | Callable[[Column, Column], Col
     raise ValueError(f"unknown mode {mode!r}")
 
 
-def spreads(rates: DataFrame, metrics: Sequence[str] = METRICS, mode="difference", ndigits: int | None = None) -> DataFrame:
-    """One row, a column per metric; equalized odds is 1 - F1 of the complements of the two spreads it joins.
+def spread_of(metric: str, mode="difference", ndigits: int | None = None, over=None) -> Column:
+    """The spread of one metric, as an aggregate or over a window; equalized odds is 1 - F1 of the complements of the two spreads it joins.
 
     No group gives null.  Rounding (half to even) is applied after the value, and not to equalized odds.
     """
-    def of(metric: str) -> Column:
-        return spread(F.min(metric), F.max(metric), mode)
+    def seen(c: Column) -> Column:
+        return c.over(over) if over is not None else c
+
+    def of(name: str) -> Column:
+        return spread(seen(F.min(name)), seen(F.max(name)), mode)
+
+    if metric == "equalized_odds":
+        return F.when(seen(F.count(metric)) > 0, 1 - harmonic(1 - of("equal_opportunity"), 1 - of("false_positive_rate"))).cast("double")
+    return (of(metric) if ndigits is None else F.bround(of(metric), ndigits)).cast("double")
 
-    def value(metric: str) -> Column:
-        if metric == "equalized_odds":
-            return F.when(F.count(metric) > 0, 1 - harmonic(1 - of("equal_opportunity"), 1 - of("false_positive_rate")))
-        return of(metric) if ndigits is None else F.bround(of(metric), ndigits)
 
-    return rates.agg(*[value(m).cast("double").alias(m) for m in metrics])
+def spreads(rates: DataFrame, metrics: Sequence[str] = METRICS, mode="difference", ndigits: int | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """One row (one for each value of by), a column per metric."""
+    return rates.groupBy(*by).agg(*[spread_of(m, mode, ndigits).alias(m) for m in metrics])
+
+
+def every_group() -> Window:
+    """A window over all groups: as many rows as there are groups."""
+    return Window.partitionBy(F.lit(1))
 
 
 def report(df: DataFrame, attrs: Sequence[str], target: str, prediction: str | None, positive, metrics: Sequence[str] = METRICS, mode="difference", multivalued: bool = False, ndigits: int | None = None) -> DataFrame:
     """Long table: metric, value, attrs, prob: every metric from one aggregation."""
     rates = group_rates(df, attrs, target, prediction, positive, multivalued)
-    values = spreads(rates, metrics, mode, ndigits)
-    pairs = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("x")) for m in metrics])).alias("pair")
-    probs = rates.select(*attrs, pairs).select(F.col("pair.metric").alias("metric"), *attrs, F.col("pair.x").alias("prob"))
-    value = values.select(pairs).select(F.col("pair.metric").alias("metric"), F.col("pair.x").alias("value"))
-    return probs.where(F.col("prob").isNotNull()).join(F.broadcast(value), "metric").select("metric", "value", *attrs, "prob")  # value: a row per metric
+    whole = every_group()
+    made = rates.select(*attrs, *[F.struct(F.lit(m).alias("metric"), spread_of(m, mode, ndigits, whole).alias("value"), F.col(m).alias("prob")).alias(f"__{m}") for m in metrics])
+    long = made.select(*attrs, F.explode(F.array(*[F.col(f"__{m}") for m in metrics])).alias("x"))
+    return long.where(F.col("x.prob").isNotNull()).select("x.metric", "x.value", *attrs, "x.prob")
 
 
 def report_table(report_: DataFrame, attr: str, groups: Sequence[str]) -> DataFrame:
@@ -132,16 +154,15 @@ def delta_percent(estimate: Column, true: Column, scale: float) -> Column:
 
 
 def compare(df: DataFrame, true_attr: str, estimated_attr: str, target: str, positive, metrics: Sequence[str] = ("statistical_parity", "representation_disparity"), ndigits: int | None = 3) -> DataFrame:
-    """metric, mode, true and estimated value: the same metrics on two multi-valued attributes."""
-    def sided(attr: str, name: str, mode: str) -> DataFrame:
-        values = spreads(group_rates(df, [attr], target, None, positive, True), metrics, mode, ndigits)
-        return values.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.lit(mode).alias("mode"), F.col(m).alias(name)) for m in metrics])).alias("x")).select("x.*")
-
-    out = None
-    for mode in ("difference", "ratio"):
-        both = sided(true_attr, "true_value", mode).join(sided(estimated_attr, "estimated_value", mode), ["metric", "mode"])
-        out = both if out is None else out.unionByName(both)
-    return out
+    """metric, mode, true and estimated value: the same metrics on two multi-valued attributes, from one aggregation of both."""
+    sides = F.array(F.struct(F.lit("true").alias("side"), F.col(true_attr).alias("g")), F.struct(F.lit("estimated").alias("side"), F.col(estimated_attr).alias("g")))
+    both = df.select(F.col(target).alias("__target"), F.explode(sides).alias("x")).select("__target", "x.side", F.col("x.g").alias("__g"))
+    rates = rates_of(group_counts(exploded(both, ["__g"]), ["side", "__g"], "__target", None, positive), ["side", "__g"], within=["side"])
+    pairs = [(m, mode) for mode in ("difference", "ratio") for m in metrics]
+    found = rates.groupBy("side").agg(F.array(*[F.struct(F.lit(m).alias("metric"), F.lit(mode).alias("mode"), spread_of(m, mode, ndigits).alias("v")) for m, mode in pairs]).alias("x"))
+    long = found.select("side", F.explode("x").alias("x")).select("side", "x.*")
+    sided = {name: F.max(F.when(F.col("side") == name, F.col("v"))).alias(f"{name}_value") for name in ("true", "estimated")}
+    return long.groupBy("metric", "mode").agg(*sided.values())
 
 
 def fairness_function(attrs: Sequence[str], target: str, positive, metrics: Sequence[str] | str, score: Callable[[Column, Column], Column] | None = None, aggregate: Callable[..., Column] | None = None, mode="difference", multivalued: bool = False, sensor: Callable[[DataFrame], DataFrame] | None = None) -> Callable[[DataFrame, str], DataFrame]:

@@ -10,6 +10,7 @@ import itertools
 import random
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -87,21 +88,41 @@ def first_that_works(candidates: Sequence, attempt: Callable) -> tuple[object, o
     return None
 
 
+def candidate_rates(df: DataFrame, predictions: Sequence[Column], attrs: Sequence[str], target: str, positive, by: Sequence[str] = ()) -> DataFrame:
+    """by, candidate (from 0), attrs and fairness.METRICS of several predictions: one aggregation for all of them."""
+    keys = [*by, *[a for a in attrs if a not in by]]
+    each = [F.struct(F.lit(i).alias("candidate"), *fairness.count_columns(df, target, p, positive)) for i, p in enumerate(predictions)]
+    counts = df.groupBy(*keys).agg(F.array(*each).alias("__c")).select(*keys, F.explode("__c").alias("__c")).select(*keys, "__c.*")
+    return fairness.rates_of(counts, attrs, within=[*by, "candidate"])
+
+
 def model_report(df: DataFrame, models: Mapping[str, str], attrs: Sequence[str], target: str, positive, metrics: Sequence[str] = fairness.METRICS, split: str | None = None) -> DataFrame:
-    """A row per model (name -> prediction column) and split: accuracy and the spread of each metric; failures give their text."""
+    """A row per model (name -> prediction column) and split: accuracy and the spread of each metric, from one scan for each.
+
+    A model whose column isn't there, or can't be compared with the target, gives a row with the error's text instead.
+    """
+    spark, by = df.sparkSession, [split] if split else []
+    errors = {}
+    for name, column in models.items():
+        try:
+            df.select(F.col(f"`{column}`") == F.col(target)).schema  # noqa: B018 - analysis alone
+        except AnalysisException as e:
+            errors[name] = str(e).splitlines()[0]
+    sound = {n: c for n, c in models.items() if n not in errors}
+    names = F.array(*[F.lit(n) for n in sound]) if sound else F.array().cast("array<string>")
+    parts = df.select(F.col(split).cast("string").alias("split")).distinct() if split else spark.createDataFrame([(None,)], "split string")
     out = None
-    spark = df.sparkSession
-    splits = [r[0] for r in df.select(split).distinct().orderBy(split).collect()] if split else [None]
-    for part in splits:
-        rows = df if part is None else df.where(F.col(split) == part)
-        for name, prediction in models.items():
-            try:
-                values = fairness.spreads(fairness.group_rates(rows, attrs, target, prediction, positive), metrics)
-                row = values.crossJoin(F.broadcast(fairness.accuracy(rows, target, prediction))).withColumn("error", F.lit(None).cast("string"))  # one row each
-            except Exception as e:  # a model's failure is part of the report
-                row = spark.createDataFrame([(str(e).splitlines()[0],)], "error string")
-            row = row.withColumn("model", F.lit(name)).withColumn("split", F.lit(part).cast("string"))
-            out = row if out is None else out.unionByName(row, allowMissingColumns=True)
+    if sound:
+        columns = [F.col(f"`{c}`") for c in sound.values()]
+        rates = candidate_rates(df, columns, attrs, target, positive, by)
+        values = fairness.spreads(rates, metrics, by=[*by, "candidate"])
+        right = F.array(*[F.struct(F.lit(i).alias("candidate"), F.avg((F.col(target) == c).cast("double")).alias("accuracy")) for i, c in enumerate(columns)])
+        accuracy = df.groupBy(*by).agg(right.alias("__a")).select(*by, F.explode("__a").alias("__a")).select(*by, "__a.*")
+        met = accuracy.join(values, [*by, "candidate"], "left")
+        out = met.select(*metrics, "accuracy", F.lit(None).cast("string").alias("error"), F.get(names, F.col("candidate")).alias("model"), (F.col(split).cast("string") if split else F.lit(None).cast("string")).alias("split"))
+    if errors:
+        failed = spark.createDataFrame(list(errors.items()), "model string, error string").crossJoin(F.broadcast(parts))  # a row per split
+        out = failed if out is None else out.unionByName(failed, allowMissingColumns=True)
     return out
 
 
@@ -110,7 +131,7 @@ def mitigate(df: DataFrame, n: int, attrs: Sequence[str], positive, metric: str
 
     Base models are ranked by greedy diversity, the `top` of them are combined in
     every subset, all subsets are scored for accuracy in one aggregation, and those
-    within the detriment for the metric.  Ties go to higher accuracy, then to fewer and
+    within the detriment for the metric in another.  Ties go to higher accuracy, then to fewer and
     earlier classifiers.  Returns classifiers, accuracy, metric's spread, best single accuracy.
     """
     single = [r["accuracy"] for r in score_votes(df, [(i,) for i in range(n)], {"accuracy": accuracy_metric}, preds, gold).orderBy("candidate").collect()]
@@ -121,9 +142,9 @@ def mitigate(df: DataFrame, n: int, attrs: Sequence[str], positive, metric: str
     accuracies = [r["accuracy"] for r in score_votes(df, subsets, {"accuracy": accuracy_metric}, preds, gold).orderBy("candidate").collect()]
     limit = ensemble.detriment_limit(max(single), detriment)
     allowed = [i for i, a in enumerate(accuracies) if a >= limit]
-    voted = df.select("*", *[ensemble.majority_vote(ensemble.select_predictions(F.col(preds), subsets[i])).alias(f"__v{i}") for i in allowed])
-    gaps = {}
-    for i in allowed:
-        gaps[i] = fairness.spreads(fairness.group_rates(voted, attrs, gold, f"__v{i}", positive), [metric]).first()[0]
-    best = min(allowed, key=lambda i: (gaps[i] if gaps[i] is not None else float("inf"), -accuracies[i], len(subsets[i]), subsets[i]))
-    return {"classifiers": subsets[best], "accuracy": accuracies[best], metric: gaps[best], "best_single": max(single)}
+    votes = [ensemble.majority_vote(ensemble.select_predictions(F.col(preds), subsets[i])) for i in allowed]
+    voted = df.select(*attrs, F.col(gold), *[v.alias(f"__v{i}") for i, v in enumerate(votes)])
+    rates = candidate_rates(voted, [F.col(f"__v{i}") for i in range(len(votes))], attrs, gold, positive)
+    gaps = {allowed[r["candidate"]]: r[metric] for r in fairness.spreads(rates, [metric], by=["candidate"]).collect()}
+    best = min(allowed, key=lambda i: (gaps[i] if gaps.get(i) is not None else float("inf"), -accuracies[i], len(subsets[i]), subsets[i]))
+    return {"classifiers": subsets[best], "accuracy": accuracies[best], metric: gaps.get(best), "best_single": max(single)}

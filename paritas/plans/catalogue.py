@@ -42,8 +42,9 @@ _SPREAD = "round(max({m}) OVER () - min({m}) OVER (), 6) AS difference, round(CA
 
 
 def _both(rates: DataFrame, attrs: list[str], metric: str) -> DataFrame:
-    one = fairness.spreads(rates, [metric]).withColumnRenamed(metric, "difference").crossJoin(F.broadcast(fairness.spreads(rates, [metric], "ratio").withColumnRenamed(metric, "ratio")))
-    return rounded(rates.select(*attrs, F.col(metric).alias("prob")).crossJoin(F.broadcast(one)))  # one row
+    whole = fairness.every_group()
+    spread = {mode: fairness.spread_of(metric, mode, over=whole) for mode in ("difference", "ratio")}
+    return rounded(rates.select(*attrs, F.col(metric).alias("prob"), *[c.alias(mode) for mode, c in spread.items()]))
 
 
 for _m in ("accuracy_disparity", "statistical_parity", "equal_opportunity", "false_positive_rate"):
@@ -62,8 +63,8 @@ SELECT o.grp, round(CASE WHEN o.e + o.f = 0 THEN 0 ELSE 2 * o.e * o.f / (o.e + o
 
 
 def _odds(rates: DataFrame) -> DataFrame:
-    value = fairness.spreads(rates, ["equalized_odds"]).withColumnRenamed("equalized_odds", "value")
-    return rounded(rates.select("grp", F.col("equalized_odds").alias("prob")).crossJoin(F.broadcast(value)))  # one row
+    value = fairness.spread_of("equalized_odds", over=fairness.every_group())
+    return rounded(rates.select("grp", F.col("equalized_odds").alias("prob"), value.alias("value")))
 
 
 @query("WITH " + _LI_RATES + _EO)
