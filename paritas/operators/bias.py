@@ -102,12 +102,27 @@ def continual(step: float = 0.95, width: int = 200) -> tuple[int, object]:
     return width, lambda d: F.when(d < 0, F.pow(F.lit(step), -d - 1)).otherwise(F.pow(F.lit(step), d))
 
 
+def _let(value: Column, use) -> Column:
+    """use(value), with value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def running_sums(values: Column, block: int = 128) -> Column:
+    """Sums of the values before each place and, last, of all: block by block, so that a paragraph costs its length times a block."""
+    total = lambda some: F.aggregate(some, F.lit(0.0), lambda t, x: t + x)
+
+    def of(held: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(held) / block).cast("int")), lambda b: total(F.slice(held, b * block + 1, block)))
+        starts = F.aggregate(blocks, F.array(F.lit(0.0)), lambda done, x: F.concat(done, F.array(F.element_at(done, -1) + x)))
+        return _let(starts, lambda at: F.transform(F.sequence(F.lit(0), F.size(held)), lambda i: F.get(at, F.floor(i / block).cast("int")) + total(F.slice(held, i - i % block + 1, i % block))))
+
+    return _let(values, of)
+
+
 def punctuated(tokens: Column, step: float = 0.95) -> Column:
     """Logarithms of the running product of factors before each token: the intended, punctuation-aware weights."""
     factors = F.create_map(*[F.lit(x) for pair in PUNCTUATION.items() for x in pair])
-    logs = F.transform(tokens, lambda t: F.log(F.coalesce(F.try_element_at(factors, t["word"]), F.lit(step))))
-    start = F.array(F.lit(0.0))
-    return F.aggregate(logs, start, lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+    return running_sums(F.transform(tokens, lambda t: F.log(F.coalesce(F.try_element_at(factors, t["word"]), F.lit(step)))))
 
 
 # --- counts ---------------------------------------------------------------------------------------------------------
@@ -149,7 +164,9 @@ def contexts(seeded: DataFrame, context=None, punctuation: bool = False, step: f
     width, weight = context or continual()
     start = F.greatest(F.col("centre") - width, F.lit(0))
     window = F.slice("tokens", start + 1, F.col("centre") + width - start + 1)
-    columns = ["grp", "centre", start.alias("start"), *([punctuated(F.col("tokens"), step).alias("logs")] if punctuation else [])]
+    if punctuation and "logs" not in seeded.columns:
+        seeded = seeded.withColumn("logs", punctuated(F.col("tokens"), step))
+    columns = ["grp", "centre", start.alias("start"), *(["logs"] if punctuation else [])]
     near = seeded.where("agrees").select(*columns, F.posexplode(window).alias("k", "token"))
     digits = F.col("token.word").between("0", ":") | ~F.col("token.word").between(" ", "~")  # else no digit is first
     counted = ~F.col("token.pos").isin(*CUT_POS) & ~(digits & F.col("token.word").rlike(r"^\p{Nd}+$"))
@@ -165,7 +182,10 @@ def contexts(seeded: DataFrame, context=None, punctuation: bool = False, step: f
 
 def bias_counts(tokens: DataFrame, lexicon, context=None, **options) -> DataFrame:
     """Per word and part of speech: weighted count_<group> and discrete_<group> of each group (0 if never met)."""
-    rows = contexts(seeds(tokens, lexicon, options.get("person"), options.get("agree")), context, options.get("punctuation", False))
+    punctuation = options.get("punctuation", False)
+    if punctuation:  # once a paragraph, not once a seed
+        tokens = tokens.withColumn("logs", punctuated(F.col("tokens")))
+    rows = contexts(seeds(tokens, lexicon, options.get("person"), options.get("agree")), context, punctuation)
     groups = list(dict.fromkeys(g for g, _, _ in lexicon_rows(lexicon)))
     aggs = [F.sum(F.when(F.col("grp") == g, F.col("weight")).otherwise(0.0)).alias(f"count_{g}") for g in groups]
     aggs += [F.count_if((F.col("grp") == g) & (F.col("weight") > DISCRETE)).alias(f"discrete_{g}") for g in groups]

@@ -1,12 +1,21 @@
-"""Pareto fronts of a table of objectives."""
+"""Pareto fronts of a table of objectives.
+
+The first front is found in two steps: each partition reduces its points to those
+that none of its own dominates, and what is left of all partitions is swept once in
+lexicographic order.  All fronts come from one sweep over the distinct points: in
+that order a point's front is the first one without a point that dominates it, and as
+every dominated front is followed by dominated ones only before it, that front is
+found by bisection.  With two objectives a front is known by its last point alone.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 
 def dominates(a: str, b: str, objectives: Sequence[str], maximize: Sequence[bool]) -> Column:
@@ -18,39 +27,97 @@ def dominates(a: str, b: str, objectives: Sequence[str], maximize: Sequence[bool
     return no_worse & better
 
 
+def best_points(points: np.ndarray) -> np.ndarray:
+    """The distinct rows that no row dominates (all objectives maximised), in descending lexicographic order."""
+    points = np.unique(points, axis=0)[::-1]
+    if points.shape[1] == 2:
+        before = np.concatenate(([-np.inf], np.maximum.accumulate(points[:, 1])[:-1]))
+        return points[points[:, 1] > before]
+    kept = points[:0]
+    for p in points:  # only rows before it can dominate a row
+        if not (kept >= p).all(axis=1).any():
+            kept = np.vstack((kept, p))
+    return kept
+
+
+class Fronts:
+    """The fronts of points that come in descending lexicographic order, without repeats."""
+
+    def __init__(self, dimensions: int):
+        self.flat, self.members = dimensions <= 2, []
+
+    def place(self, p: np.ndarray) -> int:
+        low, high = 0, len(self.members)
+        while low < high:
+            middle = (low + high) // 2
+            if self.dominated(middle, p):
+                low = middle + 1
+            else:
+                high = middle
+        if low == len(self.members):
+            self.members.append([])
+        self.members[low] = [p] if self.flat else [*self.members[low], p]
+        return low
+
+    def dominated(self, k: int, p: np.ndarray) -> bool:
+        return bool((np.asarray(self.members[k]) >= p).all(axis=1).any())
+
+
+def _points(df: DataFrame, objectives: Sequence[str], maximize: Sequence[bool]) -> DataFrame:
+    """Objectives as doubles to maximise, in columns x0, x1, ..., without rows that lack one."""
+    cols = [(F.col(o) if up else -F.col(o)).cast("double").alias(f"x{i}") for i, (o, up) in enumerate(zip(objectives, maximize))]
+    return df.select(*cols).dropna()
+
+
+def _matrix(batch: pa.RecordBatch, n: int) -> np.ndarray:
+    return np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(n)]) if batch.num_rows else np.zeros((0, n))
+
+
+def _met(df: DataFrame, found: DataFrame, objectives: Sequence[str], maximize: Sequence[bool]) -> DataFrame:
+    condition = F.lit(True)
+    for i, (o, up) in enumerate(zip(objectives, maximize)):
+        condition = condition & ((F.col(o) if up else -F.col(o)).cast("double") == F.col(f"__x{i}"))
+    n = len(objectives)
+    return df.join(found.withColumnsRenamed({f"x{i}": f"__x{i}" for i in range(n)}), condition).drop(*[f"__x{i}" for i in range(n)])
+
+
 def front(df: DataFrame, objectives: Sequence[str], maximize: Sequence[bool]) -> DataFrame:
-    """The rows that no row dominates.
+    """The rows that no row dominates; equal rows stay together, rows with a null objective aren't ranked."""
+    n = len(objectives)
+    ddl = ", ".join(f"x{i} double" for i in range(n))
 
-    For two objectives a running maximum over the distinct best points decides: one
-    aggregation and one window over the distinct values of the first objective.
-    More objectives compare rows with the distinct points by an anti join.
-    """
-    if len(objectives) == 2:
-        first, second = (F.col(o) if up else -F.col(o) for o, up in zip(objectives, maximize))
-        best = df.groupBy(first.alias("__x")).agg(F.max(second).alias("__y"))
-        before = Window.orderBy(F.desc("__x")).rowsBetween(Window.unboundedPreceding, -1)
-        kept = best.withColumn("__m", F.max("__y").over(before)).where(F.col("__m").isNull() | (F.col("__y") > F.col("__m"))).drop("__m")
-        return df.join(kept, (first == F.col("__x")) & (second == F.col("__y"))).drop("__x", "__y")
-    points = df.select(*objectives).distinct().alias("other")
-    return df.alias("own").join(points, dominates("other", "own", objectives, maximize), "left_anti")
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = np.zeros((0, n))
+        for batch in batches:
+            kept = best_points(np.vstack((kept, _matrix(batch, n))))
+        yield pa.RecordBatch.from_arrays([pa.array(kept[:, i]) for i in range(n)], names=[f"x{i}" for i in range(n)])
+
+    local = _points(df, objectives, maximize).mapInArrow(reduce, ddl)
+    return _met(df, local.repartition(1).mapInArrow(reduce, ddl), objectives, maximize)
 
 
 def fronts(df: DataFrame, objectives: Sequence[str], maximize: Sequence[bool], most: int | None = None) -> DataFrame:
-    """df with front (from 0), by removing one front after another until no row is left.
+    """df with front (from 0), every front by default.
 
-    Rows with a null objective can't be ranked and have a null front.  `most` is an explicit
-    limit of a report: rows beyond so many fronts are left out.
+    Rows with a null objective can't be ranked and have a null front; equal rows share
+    theirs.  `most` is an explicit limit of a report: rows beyond so many fronts are left
+    out.  One task sweeps the sorted distinct points: with two objectives it holds one
+    point a front, with more all points (a table of configurations, not of events).
     """
+    n = len(objectives)
+    ddl = ", ".join([*(f"x{i} double" for i in range(n)), "front int"])
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Fronts(n)
+        for batch in batches:
+            points = _matrix(batch, n)
+            at = [known.place(p) for p in points]
+            yield pa.RecordBatch.from_arrays([*[pa.array(points[:, i]) for i in range(n)], pa.array(at, pa.int32())], names=[*(f"x{i}" for i in range(n)), "front"])
+
+    points = _points(df, objectives, maximize).distinct().repartition(1).sortWithinPartitions(*[F.desc(f"x{i}") for i in range(n)])
+    found = points.mapInArrow(sweep, ddl)
     null = F.lit(False)
     for name in objectives:
         null = null | F.col(name).isNull()
-    left, found, k = df.where(~null).select(*objectives).distinct(), None, 0
-    while most is None or k < most:
-        left = left.localCheckpoint()
-        if left.isEmpty():
-            break
-        now = front(left, objectives, maximize).select(*objectives).withColumn("front", F.lit(k))
-        found = now if found is None else found.unionByName(now)
-        left, k = left.join(now, list(objectives), "left_anti"), k + 1
-    unranked = df.where(null).withColumn("front", F.lit(None).cast("int"))
-    return unranked if found is None else df.where(~null).join(found, list(objectives)).select(*df.columns, "front").unionByName(unranked)
+    ranked = _met(df.where(~null), found if most is None else found.where(F.col("front") < most), objectives, maximize)
+    return ranked.select(*df.columns, "front").unionByName(df.where(null).withColumn("front", F.lit(None).cast("int")))

@@ -19,18 +19,41 @@ def split(df: DataFrame, id_col: str, share: float = 0.3, seed: int = 0) -> tupl
     return df.where(at >= share), df.where(at < share)
 
 
+def _placed(df: DataFrame, id_col: str, strata: Sequence[str], seed: int) -> DataFrame:
+    """df with __place: each row's place (from 1) in its stratum in hash order, and __n: the stratum's rows.
+
+    A stratum is dealt by SLICES slices of the hash, whose counts are summed first; rows are ranked in their slice only, so no task sorts a stratum.
+    """
+    hashed = df.withColumn("__h", F.xxhash64(F.lit(seed), F.col(id_col))).withColumn("__slice", F.shiftright("__h", 64 - SLICE_BITS))
+    counts = hashed.groupBy(*strata, "__slice").agg(F.count(F.lit(1)).alias("__c"))
+    w = Window.partitionBy(*strata)
+    before = counts.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(strata)], F.col("__slice").alias("__s"), (F.sum("__c").over(w.orderBy("__slice")) - F.col("__c")).alias("__before"), F.sum("__c").over(w).alias("__n"))
+    same = F.col("__slice") == F.col("__s")
+    for i, c in enumerate(strata):
+        same = same & F.col(c).eqNullSafe(F.col(f"__k{i}"))
+    inside = F.row_number().over(Window.partitionBy(*strata, "__slice").orderBy("__h", id_col))
+    return hashed.withColumn("__inside", inside).join(before, same).withColumn("__place", F.col("__before") + F.col("__inside")).select(*df.columns, "__place", "__n")
+
+
+#: Bits of the hash that deal a stratum.
+SLICE_BITS = 12
+
+
 def stratified_split(df: DataFrame, id_col: str, strata: Sequence[str], share: float = 0.3, seed: int = 0) -> DataFrame:
     """df with split: the first rounded share of each stratum, in hash order, is test."""
-    w = Window.partitionBy(*strata)
-    place = F.row_number().over(w.orderBy(F.xxhash64(F.lit(seed), F.col(id_col)), id_col))
-    return df.withColumn("split", F.when(place <= F.bround(F.count(F.lit(1)).over(w) * share), "test").otherwise("train"))
+    is_test = F.col("__place") <= F.bround(F.col("__n") * share)
+    return _placed(df, id_col, strata, seed).withColumn("split", F.when(is_test, "test").otherwise("train")).select(*df.columns, "split")
 
 
 def stratified_sample(df: DataFrame, id_col: str, strata: Sequence[str], sizes: DataFrame, seed: int = 0) -> DataFrame:
     """The first `size` rows of each stratum in hash order; sizes: a size for some of the strata's columns."""
     keys = [c for c in sizes.columns if c != "size"]
-    ranked = df.withColumn("__n", F.row_number().over(Window.partitionBy(*strata).orderBy(F.xxhash64(F.lit(seed), F.col(id_col)), id_col)))
-    return ranked.join(sizes, keys).where(F.col("__n") <= F.col("size")).drop("__n", "size")
+    return _placed(df, id_col, strata, seed).join(sizes, keys).where(F.col("__place") <= F.col("size")).select(*df.columns)
+
+
+def same_data(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The split that trains and tests on all rows."""
+    return df, df
 
 
 def group_sizes(df: DataFrame, label: str, category: str) -> DataFrame:

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paritas.functions.text import mentions
+
 DEFAULT_THRESHOLD = 0.05
 #: Defaults of the plain and of the hierarchical pipeline: thresholds of the token filter and of the final one.
 PLAIN, HIERARCHY = (0.2, 0.7), (0.05, 0.75)
@@ -98,6 +100,27 @@ def voting_aggregator(tokens: Column, attrs: Sequence[str], threshold: float | N
     return _over(_by_attr(tokens, attrs, lambda own: F.size(own) / F.size(tokens)), threshold)
 
 
+AGGREGATORS = ("count", "sum", "max", "mult", "vote", "union")
+
+
+def aggregate_items(tokens: DataFrame, attrs: Sequence[str], kind: str, key: Sequence[str] = ("doc_id",), scored: str = "scored", threshold: float | None = None) -> DataFrame:
+    """key and scored attributes of each item, from a row per token: what the aggregators above give, by partial sums, so that no item's tokens are collected."""
+    if kind not in AGGREGATORS:
+        raise ValueError(f"unknown aggregator {kind!r}")
+    sums = [F.count(F.lit(1)).alias("__n")]
+    for i, a in enumerate(attrs):
+        own = F.filter(scored, _is(a))
+        sums += [F.sum(F.size(own)).alias(f"__c{i}"), F.sum(_total(own)).alias(f"__s{i}"), F.max(F.array_max(F.transform(own, lambda x: x["score"]))).alias(f"__m{i}")]
+    totals = tokens.groupBy(*key).agg(*sums)
+    most = F.greatest(*[F.col(f"__c{i}") for i in range(len(attrs))], F.lit(0))
+    made = {
+        "count": lambda i: F.col(f"__c{i}") / most, "sum": lambda i: F.col(f"__s{i}"), "max": lambda i: F.greatest(F.col(f"__m{i}"), F.lit(0.0)),
+        "mult": lambda i: F.lit(0.0), "vote": lambda i: F.col(f"__c{i}") / F.col("__n"), "union": lambda i: F.col(f"__m{i}"),
+    }[kind]
+    item = F.array_compact(F.array(*[F.when(F.col(f"__c{i}") > 0, F.struct(F.lit(a).alias("attr"), made(i).cast("double").alias("score"))) for i, a in enumerate(attrs)]))
+    return totals.select(*key, (item if kind == "union" else _over(item, threshold)).alias(scored))
+
+
 # --- merges of several sensors' annotations ------------------------------------------------------------------------------
 
 
@@ -220,11 +243,6 @@ def coreference_sensor(clusters: DataFrame, pronouns: Mapping[str, str], attrs:
     return item.select(key, values_of(_over(scored, threshold)).alias("values"))
 
 
-def mentions(text: Column) -> Column:
-    """Handles after an at sign."""
-    return F.regexp_extract_all(text, F.lit(r"(?U)@(\w+)"), F.lit(1))
-
-
 def handle_sensor(texts: DataFrame, handles: DataFrame, names: DataFrame, attrs: Sequence[str], key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """Handles of a text to profile names (table handle, name), names to attributes, united per text."""
     found = texts.select(key, F.explode(mentions(F.col(text))).alias("handle")).join(handles, "handle")
@@ -233,18 +251,39 @@ def handle_sensor(texts: DataFrame, handles: DataFrame, names: DataFrame, attrs:
     return values.groupBy(F.col(f"entity_id.{key}").alias(key)).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("values")))).alias("values"))
 
 
+#: Letters from rare to frequent; any other character counts as rarer.  The order decides what names meet by, not what is found.
+RARE_FIRST = "zqxjkvbpygfwmucldrhsnioate "
+
+
+def _letters(name: Column) -> Column:
+    """The characters of a name, rare ones first, each with its number among equal ones, as strings."""
+    chars = F.filter(F.split(name, ""), lambda c: c != "")
+    ordered = F.transform(F.array_sort(F.transform(chars, lambda c: F.struct(F.position(c, F.lit(RARE_FIRST)).alias("r"), c.alias("c")))), lambda x: x["c"])
+    return F.transform(ordered, lambda c, i: F.concat(c, (i - F.array_position(ordered, c)).cast("string")))
+
+
 def fuzzy_matches(entities: DataFrame, people: DataFrame, cutoff: float = 0.6) -> DataFrame:
     """(entity, person, ratio) of names alike by Ratcliff-Obershelp, at the cutoff or more.
 
-    The ratio is at most 2 * (shared letters) / (both lengths), so a pair at the
-    cutoff has lengths within a bound: people are dealt by length, entities
-    probe the lengths in reach (an equi-join), and only those pairs reach the
-    pandas function.
+    The ratio is at most 2 * (shared letters) / (both lengths), with letters counted as
+    often as both have them.  So a pair at the cutoff has lengths within a bound and
+    shares at least need = cutoff * (both lengths) / 2 letters; then the rarest
+    (length - need + 1) letters of the two share one.  Names meet by (both lengths, such
+    a letter), pairs are counted out by their shared letters, and only the rest reach
+    the pandas function.
     """
     reach = (2 - cutoff) / cutoff
-    long = F.length("entity")
-    probe = entities.select("entity").distinct().select("entity", F.explode(F.sequence(F.ceil(long / reach).cast("int"), F.floor(long * reach).cast("int"))).alias("n"))
-    pairs = probe.join(people.select("person", F.length("person").alias("n")).distinct(), "n").where(2.0 * F.least("n", F.length("entity")) / (F.col("n") + F.length("entity")) > cutoff)
+    need = lambda a, b: F.ceil(F.lit(cutoff) * (a + b) / 2 - 1e-9).cast("int")
+
+    def posted(names: DataFrame, own: str, mine: str, other: str) -> DataFrame:
+        known = names.select(own).distinct().select(own, _letters(F.col(own)).alias(f"{own}_letters"), F.length(own).alias(mine)).where(F.col(mine) > 0)
+        lengths = known.select("*", F.explode(F.sequence(F.ceil(F.col(mine) / reach).cast("int"), F.floor(F.col(mine) * reach).cast("int"))).alias(other))
+        first = F.slice(f"{own}_letters", 1, F.greatest(F.col(mine) - need(F.col(mine), F.col(other)) + 1, F.lit(0)))
+        return lengths.select(own, f"{own}_letters", mine, other, F.explode(first).alias("letter"))
+
+    met = posted(entities, "entity", "m", "n").join(posted(people, "person", "n", "m"), ["m", "n", "letter"])
+    shared = F.size(F.array_intersect("entity_letters", "person_letters"))
+    pairs = met.where(shared >= need(F.col("m"), F.col("n"))).select("entity", "person").distinct()
 
     def ratio(entity: pd.Series, person: pd.Series) -> pd.Series:
         from difflib import SequenceMatcher

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -76,9 +77,9 @@ def t_quantile(p: float, df: int) -> float:
 
 
 def confidence(df: DataFrame, score: str, level: float = 0.95) -> DataFrame:
-    """finite_summary with margin: half the width of the t interval, null under two values (the quantile is found on the driver)."""
-    out = finite_summary(df, score)
-    n = out.first()["n"]
-    if n < 2:
-        return out.withColumn("margin", F.lit(None).cast("double"))
-    return out.withColumn("margin", F.col("stdev") / F.sqrt("n") * F.lit(t_quantile((1 + level) / 2, n - 1)))
+    """finite_summary with margin: half the width of the t interval, null under two values.  The quantile is found where the one row of the summary is."""
+    def quantiles(n: pd.Series) -> pd.Series:
+        return pd.Series([t_quantile((1 + level) / 2, int(k) - 1) if k >= 2 else None for k in n], dtype="float64")
+
+    quantile = F.pandas_udf(quantiles, "double")
+    return finite_summary(df, score).withColumn("margin", F.col("stdev") / F.sqrt("n") * quantile("n"))

@@ -363,22 +363,24 @@ def sensor_merge_weighted(s, d):
 _ITEM = V.VEC + ", kept AS (SELECT * FROM vec WHERE score > 0.1), n AS (SELECT doc_id, count(DISTINCT vec_id) AS n FROM vec GROUP BY doc_id), per AS (SELECT doc_id, attr, count(*) AS c, sum(score) AS s, max(score) AS m FROM kept GROUP BY ALL)"
 
 
-def _items(s, d) -> DataFrame:
+def _scored_tokens(s, d) -> DataFrame:
     rows, named = V.vectors(s, d)
-    scored = rows.select("doc_id", sensors.large_enough(sensors.similarities(F.col("vector"), named), 0.1).alias("t"))
-    return scored.groupBy("doc_id").agg(F.collect_list("t").alias("tokens"))
+    return rows.select("doc_id", sensors.large_enough(sensors.similarities(F.col("vector"), named), 0.1).alias("scored"))
 
 
-def _aggregated(name: str, make, sql: str) -> None:
-    query("WITH " + _ITEM + f" SELECT doc_id, attr, round({sql}, 6) AS score FROM per JOIN n USING (doc_id)", name)(
-        lambda s, d: rounded(_items(s, d).select("doc_id", F.explode(make(F.col("tokens"), ["attr0", "attr1"])).alias("x")).select("doc_id", "x.attr", "x.score")))
+def _aggregated(kind: str, sql: str) -> None:
+    def run(s, d):
+        items = sensors.aggregate_items(_scored_tokens(s, d), ["attr0", "attr1"], kind)
+        return rounded(items.select("doc_id", F.explode("scored").alias("x")).select("doc_id", "x.attr", "x.score"))
+
+    query("WITH " + _ITEM + f" SELECT doc_id, attr, round({sql}, 6) AS score FROM per JOIN n USING (doc_id)", f"agg_{kind}")(run)
 
 
-_aggregated("agg_count", sensors.count_aggregator, "c / max(c) OVER (PARTITION BY doc_id)::DOUBLE")
-_aggregated("agg_sum", sensors.sum_aggregator, "s")
-_aggregated("agg_max", sensors.activation_aggregator, "m")
-_aggregated("agg_vote", sensors.voting_aggregator, "c / n::DOUBLE")
-_aggregated("agg_union", sensors.union_aggregator, "m")
+_aggregated("count", "c / max(c) OVER (PARTITION BY doc_id)::DOUBLE")
+_aggregated("sum", "s")
+_aggregated("max", "m")
+_aggregated("vote", "c / n::DOUBLE")
+_aggregated("union", "m")
 
 
 def _filtered(name: str, make, sql: str) -> None:

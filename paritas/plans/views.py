@@ -64,12 +64,12 @@ CLF_SCORES = [0.75, 0.46, 0.61, 0.77, 0.52]
 
 
 def tokens(spark: SparkSession, d: str) -> DataFrame:
-    english = spread(table(spark, d, "documents").where(F.col("lang") == "en").select("doc_id", "text"))
-    lines = english.select("doc_id", F.posexplode(F.split("text", "\n")).alias("par_id", "paragraph"))
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("par_id", "paragraph"))
     return bias.regex_tokens(lines).select("doc_id", "par_id", "tokens")
 
 
-TOK = r"""lines AS (SELECT doc_id, unnest(range(len(l))) AS par_id, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE lang = 'en')),
+TOK = r"""lines AS (SELECT doc_id, unnest(range(len(l))) AS par_id, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
 arrays AS (SELECT doc_id, par_id, regexp_extract_all(lower(line), '[a-z]+|[0-9]+|[.,;:!?]') AS t FROM lines),
 tok AS (SELECT doc_id, par_id, unnest(range(len(t))) AS i, unnest(t) AS word FROM arrays),
 lex AS (SELECT * FROM (VALUES ('male', 'he'), ('male', 'his'), ('female', 'it'), ('female', 'this')) v(grp, word)),

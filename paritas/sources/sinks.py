@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from paritas.functions import text as T
 
 
+#: Rows of a nested summary at most.
+MOST_ROWS = 100_000
+
+
 def write_scores(scores: DataFrame, path: str, score: str = "log_score") -> None:
     """CSV in ascending order of the score."""
     flat = scores.select(*[F.concat_ws("|", c).alias(c) if t.startswith("array") else F.col(c) for c, t in scores.dtypes])
@@ -43,7 +47,12 @@ def in_order(key: str):
 
 
 def nested_summary(df: DataFrame, keys: Sequence[str] = ("model", "language", "theme", "subtheme")) -> DataFrame:
-    """One row, one column json: keys nested in their order around the other columns."""
+    """One row, one column json: keys nested in their order around the other columns.
+
+    A report that people read: more than MOST_ROWS rows are refused.
+    """
+    if df.limit(MOST_ROWS + 1).count() > MOST_ROWS:
+        raise ValueError(f"a nested summary is one value; it takes {MOST_ROWS} rows at most")
     values = [c for c in df.columns if c not in keys]
     out = df.select(*keys, F.struct(*values).alias("v"))
     for i in range(len(keys) - 1, -1, -1):
