@@ -186,7 +186,11 @@ def bias_counts(tokens: DataFrame, lexicon, context=None, **options) -> DataFram
     if punctuation:  # once a paragraph, not once a seed
         tokens = tokens.withColumn("logs", punctuated(F.col("tokens")))
     rows = contexts(seeds(tokens, lexicon, options.get("person"), options.get("agree")), context, punctuation)
-    groups = list(dict.fromkeys(g for g, _, _ in lexicon_rows(lexicon)))
+    return counts_of(rows, list(dict.fromkeys(g for g, _, _ in lexicon_rows(lexicon))))
+
+
+def counts_of(rows: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """From contexts: count_<group> and discrete_<group> per word and part of speech."""
     aggs = [F.sum(F.when(F.col("grp") == g, F.col("weight")).otherwise(0.0)).alias(f"count_{g}") for g in groups]
     aggs += [F.count_if((F.col("grp") == g) & (F.col("weight") > DISCRETE)).alias(f"discrete_{g}") for g in groups]
     return rows.groupBy("word", "pos").agg(*aggs)
@@ -265,6 +269,25 @@ def mode_summary(scores: DataFrame, columns: Sequence[str]) -> DataFrame:
     return scores.agg(F.array(*stats).alias("s")).select(F.explode("s").alias("s")).select("s.*")
 
 
+def raw_count(count: Column, total: Column) -> Column:
+    """The count itself in the place of a share."""
+    return count.cast("double")
+
+
+def lexical_tokens(tokens: DataFrame, group_words: Sequence[str], use_root: bool = True, keep_proper: bool = True) -> DataFrame:
+    """Tokens of a tagger (structs with text, lower, lemma, pos, gender, definite) under the form they count as; white space goes."""
+    def one(t: Column) -> Column:
+        return F.struct(lexical_form(t["text"], t["lower"], t["lemma"], t["pos"], group_words, use_root, keep_proper).alias("word"), t["pos"].alias("pos"), t["gender"].alias("gender"), t["definite"].alias("definite"))
+
+    return tokens.withColumn("tokens", F.transform(F.filter("tokens", lambda t: t["pos"] != "SPACE"), one))
+
+
+def match_summary(matches: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """From concordance: word, pos and matches_<group>, empty where a group never met the word; the mode without statistics."""
+    none = F.array().cast("array<string>")
+    return matches.groupBy("word", "pos").agg(*[F.coalesce(F.first(F.when(F.col("grp") == g, F.array_sort("matches")), ignorenulls=True), none).alias(f"matches_{g}") for g in groups])
+
+
 def concordance(tokens: DataFrame, lexicon, context=None, before: int = 3, after: int = 2) -> DataFrame:
     """Per word, part of speech and group: the set of highlighted snippets around (seed, word) pairs over the discrete threshold."""
     width, weight = context or continual()
@@ -305,20 +328,24 @@ class BiasScore:
     of the caller's, or regex_tokens).
     """
 
-    def __init__(self, lexicon, context=None, tokens=regex_tokens, merge_paragraphs: bool = False, stopwords: Sequence[str] = (), drop_group_words: bool = False, inspect: Sequence[str] = (), lemmas: DataFrame | None = None, **options):
+    def __init__(self, lexicon, context=None, tokens=regex_tokens, merge_paragraphs: bool = False, stopwords: Sequence[str] = (), drop_group_words: bool = False, inspect: Sequence[str] = (), lemmas: DataFrame | None = None, tagged: bool = False, use_root: bool = True, own_lexicons: DataFrame | None = None, **options):
+        """tagged: tokens gives text, lower, lemma, pos, gender, definite, which become lexical forms; own_lexicons: (doc_id, grp, word) in the lexicon's place."""
+        self.tagged, self.use_root, self.own = tagged, use_root, own_lexicons
         self.lexicon, self.context, self.tokens, self.merge, self.options = lexicon, context, tokens, merge_paragraphs, options
         self.stopwords, self.drop_group_words, self.inspect, self.lemmas = list(stopwords), drop_group_words, list(inspect), lemmas
         self.groups = list(dict.fromkeys(g for g, _, _ in lexicon_rows(lexicon)))
 
     def token_table(self, texts: DataFrame, text: str = "text") -> DataFrame:
-        return self.tokens(paragraphs(texts, text, self.merge))
+        made = self.tokens(paragraphs(texts, text, self.merge))
+        return lexical_tokens(made, group_words(self.lexicon), self.use_root) if self.tagged else made
 
     def scores(self, texts: DataFrame, text: str = "text") -> DataFrame:
         """A row per word and part of speech: counts, discrete counts, global count, scores."""
         spark = texts.sparkSession
         table = self.token_table(texts, text)
         words = lambda some: spark.createDataFrame([(w,) for w in some], "word string") if some else None
-        counts = drop_words(bias_counts(table, self.lexicon, self.context, **self.options), words(self.stopwords), words(group_words(self.lexicon)) if self.drop_group_words else None, words(self.inspect))
+        found = bias_counts(table, self.lexicon, self.context, **self.options) if self.own is None else counts_of(contexts(seeds_by_text(table, self.own, self.groups), self.context), self.groups)
+        counts = drop_words(found, words(self.stopwords), words(group_words(self.lexicon)) if self.drop_group_words else None, words(self.inspect))
         if self.lemmas is not None:
             counts = merge_lemmas(counts, self.lemmas, words(self.inspect))
         return bias_scores(counts, self.groups).join(global_counts(table), ["word", "pos"], "left")
@@ -336,8 +363,14 @@ def texts_own_lexicon(df: DataFrame, annotation: str = "annotation") -> DataFram
     return df.select("doc_id", F.explode(included_words(F.col(annotation))).alias("a")).select("doc_id", F.col("a.grp").alias("grp"), F.col("a.word").alias("word")).distinct()
 
 
-def seeds_by_text(tokens: DataFrame, own: DataFrame) -> DataFrame:
-    """Like seeds(), with the lexicon of each text (doc_id, grp, word): an equi-join on the text's id."""
+def seeds_by_text(tokens: DataFrame, own: DataFrame, groups: Sequence[str] | None = None) -> DataFrame:
+    """Like seeds(), with the lexicon of each text (doc_id, grp, word): an equi-join on the text's id.
+
+    groups: the groups that are expected, in their order; a text that names another one stops the job.
+    """
+    if groups is not None:
+        named = F.col("grp").isin(*groups)
+        own = own.withColumn("grp", F.when(named, F.col("grp")).otherwise(F.raise_error(F.concat(F.lit("a text's lexicon names an unknown group: "), F.col("grp"))).cast("string")))
     lists = own.groupBy("doc_id").agg(F.collect_set(F.struct("grp", "word")).alias("__own"))
     met = tokens.join(lists, "doc_id").select("*", F.posexplode("tokens").alias("centre", "seed"))
     hits = F.transform(F.filter("__own", lambda o: o["word"] == F.col("seed.word")), lambda o: o["grp"])

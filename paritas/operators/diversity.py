@@ -47,7 +47,7 @@ def pairwise(df: DataFrame, n: int, preds: str = "preds", gold: str = "gold", we
     return out.select("i", "j", "disagreement", "double_fault", (1 - F.col("double_fault")).alias("double_fault_inverse"), "kohavi_wolpert")
 
 
-def greedy_rank(scores: Sequence[float | None], diversity: dict[tuple[int, int], float], top_cut: int) -> list[float]:
+def greedy_rank(scores: Sequence[float | None], diversity: dict[tuple[int, int], float], top_cut: int | None = None, maximize: bool = True) -> list[float]:
     """Ranks by greedy diversity: the best model first, then whoever adds most diversity to those chosen.
 
     The first gets n, the next n - 1, and so on; failed models (score None) get -1;
@@ -55,38 +55,38 @@ def greedy_rank(scores: Sequence[float | None], diversity: dict[tuple[int, int],
     Ties go to the lowest index.  Driver side: n is the number of classifiers.
     """
     valid = [i for i, s in enumerate(scores) if s is not None]
-    if len(valid) <= top_cut or len(valid) < 3:
+    if (top_cut is not None and len(valid) <= top_cut) or len(valid) < 3:
         return [-1.0 if s is None else s for s in scores]
+    sign = 1 if maximize else -1
     out = [-1.0] * len(scores)
     left, chosen = list(valid), []
-    place = len(valid)
-    while left:
-        best = max(left, key=lambda i: (sum(diversity[i, j] for j in chosen) if chosen else scores[i], -i))
+    for place in range(len(valid), 0, -1):
+        best = max(left, key=lambda i: (sum(diversity[j, i] for j in chosen) if chosen else sign * scores[i], -i))
         left.remove(best)
         chosen.append(best)
         out[best] = float(place)
-        place -= 1
     return out
 
 
-def best_performance_rank(scores: Sequence[float | None]) -> list[float]:
-    """Rank n for the best score down to 1; failed models get -1."""
-    order = sorted((i for i, s in enumerate(scores) if s is not None), key=lambda i: (-scores[i], i))
+def best_performance_rank(scores: Sequence[float | None], maximize: bool = True) -> list[float]:
+    """0 for the worst of the valid models up to n - 1 for the best; among equal ones the later index ranks higher; failed models get -1."""
+    sign = 1 if maximize else -1
+    order = sorted((i for i, s in enumerate(scores) if s is not None), key=lambda i: (sign * scores[i], i))
     out = [-1.0] * len(scores)
     for place, i in enumerate(order):
-        out[i] = float(len(order) - place)
+        out[i] = float(place)
     return out
 
 
-def random_rank(scores: Sequence[float | None], seed: int = 0, keep_best: bool = False) -> list[float]:
-    """A seeded random order of the valid models; keep_best puts the best one first."""
+def random_rank(scores: Sequence[float | None], seed: int = 0, keep_best: bool = False, maximize: bool = True) -> list[float]:
+    """A seeded random order of the valid models as ranks; keep_best gives the best one (the last of equal ones) the highest."""
     import random
 
     valid = [i for i, s in enumerate(scores) if s is not None]
     order = valid[:]
     random.Random(seed).shuffle(order)
     if keep_best and valid:
-        best = max(valid, key=lambda i: (scores[i], -i))
+        best = int(max(valid, key=lambda i: ((1 if maximize else -1) * scores[i], i)))
         order = [best, *[i for i in order if i != best]]
     out = [-1.0] * len(scores)
     for place, i in enumerate(order):

@@ -90,15 +90,25 @@ def one_group_wins(attr: Column, group, positive, negative) -> Column:
     return F.when(attr == F.lit(group), F.lit(positive)).otherwise(F.lit(negative))
 
 
+def _prediction_vectors(df: DataFrame, n: int, preds: str) -> DataFrame:
+    from pyspark.ml.functions import array_to_vector
+
+    return df.withColumn("__features", array_to_vector(F.array(*[F.get(preds, F.lit(i)).cast("double") for i in range(n)])))
+
+
+def stacking_model(df: DataFrame, n: int, preds: str = "preds", gold: str = "gold", kind: str = "tree"):
+    """A pyspark.ml model that learns gold from the vector of predictions."""
+    return base_model(kind, featuresCol="__features", labelCol="__gold").fit(_prediction_vectors(df, n, preds).withColumn("__gold", F.col(gold).cast("double")))
+
+
+def apply_stacking(model, df: DataFrame, n: int, preds: str = "preds", name: str = "stacked") -> DataFrame:
+    return model.transform(_prediction_vectors(df, n, preds)).select(*df.columns, F.col("prediction").alias(name))
+
+
 def stacking(df: DataFrame, n: int, preds: str = "preds", gold: str = "gold", kind: str = "tree"):
     """A pyspark.ml model that learns gold from the vector of predictions, and df with its prediction."""
-    from pyspark.ml.feature import VectorAssembler
-
-    cols = [f"__p{i}" for i in range(n)]
-    wide = df.withColumns({c: F.get(preds, F.lit(i)).cast("double") for i, c in enumerate(cols)})
-    vectors = VectorAssembler(inputCols=cols, outputCol="__features").transform(wide)
-    model = base_model(kind, featuresCol="__features", labelCol="__gold").fit(vectors.withColumn("__gold", F.col(gold).cast("double")))
-    return model, model.transform(vectors).select(*df.columns, F.col("prediction").alias("stacked"))
+    model = stacking_model(df, n, preds, gold, kind)
+    return model, apply_stacking(model, df, n, preds)
 
 
 def bagging(df: DataFrame, features: Sequence[str], gold: str, n_estimators: int = 1, max_samples: float = 0.5, seed: int = 0, kind: str = "tree") -> DataFrame:

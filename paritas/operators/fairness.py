@@ -181,3 +181,31 @@ def fairness_function(attrs: Sequence[str], target: str, positive, metrics: Sequ
         return out.withColumn("aggregate", aggregate(*[F.col(c) for c in out.columns])) if aggregate else out
 
     return evaluate
+
+
+def coerced(df: DataFrame, predictions: DataFrame, row_id: str = "row_id", prediction: str = "prediction") -> DataFrame:
+    """df with the prediction of each row, met by row id; rows without one have null."""
+    return df.join(predictions.select(row_id, prediction), row_id, "left")
+
+
+def by_target_value(df: DataFrame, joined: str, target: str, metrics: Sequence[str] = ("statistical_parity", "representation_disparity"), values: Sequence | None = None, ndigits: int | None = 3) -> DataFrame:
+    """target value, metric, value: fairness of a table whose groups are joined by ' & ', with each value of the target in turn as the positive one.
+
+    Without values, all that occur are taken: the distinct values of the target, few by nature.
+    """
+    from paritas.functions.text import split_groups
+
+    each = values if values is not None else [r[0] for r in df.select(target).distinct().where(F.col(target).isNotNull()).orderBy(target).collect()]
+    groups = df.select(target, F.when(F.col(joined).isNotNull(), split_groups(F.col(joined))).alias("__g"))
+    pieces = exploded(groups, ["__g"])
+    counts = pieces.groupBy("__g").agg(F.array(*[F.struct(F.lit(v).cast("string").alias("positive"), *count_columns(pieces, target, F.col(target), v)) for v in each]).alias("__c"))
+    rates = rates_of(counts.select("__g", F.explode("__c").alias("__c")).select("__g", "__c.*"), ["__g"], within=["positive"])
+    long = rates.groupBy("positive").agg(F.array(*[F.struct(F.lit(m).alias("metric"), spread_of(m, "difference", ndigits).alias("value")) for m in metrics]).alias("x"))
+    return long.select("positive", F.explode("x").alias("x")).select("positive", "x.*")
+
+
+def named_metrics(df: DataFrame, attr: str, target: str, positive, prediction: str | None = None, names: dict[str, tuple[str, str]] | None = None, ndigits: int | None = 3) -> DataFrame:
+    """One row, a column per name: (metric, mode) of each on one multi-valued attribute; predictions default to the target."""
+    asked = names or {f"{m}_{mode}": (m, mode) for m in ("statistical_parity", "representation_disparity") for mode in ("difference", "ratio")}
+    rates = group_rates(df, [attr], target, prediction, positive, True)
+    return rates.agg(*[spread_of(m, mode, ndigits).alias(name) for name, (m, mode) in asked.items()])

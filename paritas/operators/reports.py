@@ -60,6 +60,27 @@ def score_summary(stats: DataFrame, confidence: DataFrame, keys: Sequence[str])
     return stats.join(confidence, list(keys), "left").select(*keys, F.coalesce("conf_mean", "mean").alias("mean"), F.coalesce("margin", F.lit(0.0)).alias("margin"))
 
 
+def neutral_category(df: DataFrame, keys: Sequence[str], order: str = "subtheme", expected: str = "expected", observed: str = "observed") -> DataFrame:
+    """keys and the category of the first row, in order, of those that are expected to be neutral."""
+    first = df.where(F.col(expected) == "neutral").groupBy(*keys).agg(F.min_by(observed, order).alias("__o"))
+    return first.select(*keys, F.when(F.col("__o") == "neutral", "neutral").when(F.col("__o") == "male", "male-biased").otherwise("female-biased").alias("category"))
+
+
+def expected_in(df: DataFrame, values: Sequence[str], expected: str = "expected") -> DataFrame:
+    return df.where(F.col(expected).isin(*values))
+
+
+def quartiles(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Least, quartiles (interpolated) and greatest value per group, for box plots."""
+    cut = F.percentile(value, [0.25, 0.5, 0.75])
+    return df.groupBy(*keys).agg(F.min(value).alias("low"), cut.alias("__q"), F.max(value).alias("high")).select(*keys, "low", F.col("__q")[0].alias("q1"), F.col("__q")[1].alias("median"), F.col("__q")[2].alias("q3"), "high")
+
+
+def feasible(df: DataFrame, accuracy: str = "accuracy", gap: str = "gap", least: float = 0.7, most: float = 0.15) -> DataFrame:
+    """Points of a Pareto frame that are accurate and fair enough."""
+    return df.where((F.col(accuracy) >= least) & (F.col(gap) < most))
+
+
 def best_model(df: DataFrame, score: str, order: str, maximize: bool = True) -> DataFrame:
     """The row with the best score; the first in order on ties."""
     key = F.struct((F.col(score) if maximize else -F.col(score)).alias("s"), (-F.col(order)).alias("o"))

@@ -148,3 +148,41 @@ def mitigate(df: DataFrame, n: int, attrs: Sequence[str], positive, metric: str
     gaps = {allowed[r["candidate"]]: r[metric] for r in fairness.spreads(rates, [metric], by=["candidate"]).collect()}
     best = min(allowed, key=lambda i: (gaps[i] if gaps.get(i) is not None else float("inf"), -accuracies[i], len(subsets[i]), subsets[i]))
     return {"classifiers": subsets[best], "accuracy": accuracies[best], metric: gaps.get(best), "best_single": max(single)}
+
+
+def ensemble_scores(df: DataFrame, n: int, attrs: Sequence[str], positive, metric: str = "statistical_parity", smallest: int = 2, preds: str = "preds", gold: str = "gold") -> DataFrame:
+    """candidate, accuracy and the metric's spread of the majority vote of every subset: one aggregation by group for all of them.
+
+    candidate numbers :func:`ensembles` of kind voting.  Rows without a group count for the accuracy too.
+    """
+    subsets = [c for _, c in ensembles(n, smallest, ("voting",))]
+    voted = df.select(*attrs, F.col(gold), *[ensemble.majority_vote(ensemble.select_predictions(F.col(preds), s)).alias(f"__v{i}") for i, s in enumerate(subsets)])
+    each = [F.struct(F.lit(i).alias("candidate"), *fairness.count_columns(voted, gold, F.col(f"__v{i}"), positive)) for i in range(len(subsets))]
+    counts = voted.groupBy(*attrs).agg(F.array(*each).alias("__c")).select(*attrs, F.explode("__c").alias("__c")).select(*attrs, "__c.*")
+    known = counts.groupBy("candidate").agg((F.sum("correct") / F.sum("n")).alias("accuracy"))
+    return known.join(fairness.spreads(fairness.rates_of(counts, attrs, within=["candidate"]), [metric], by=["candidate"]), "candidate")
+
+
+def fit_ensemble(train: DataFrame, kind: str, classifiers: Sequence[int], scores: Sequence[float], preds: str = "preds", gold: str = "gold", order: str = "row_id") -> Callable[[DataFrame, str], DataFrame]:
+    """A function (rows, name) -> rows with the ensemble's prediction: voting, learning (a tree over the predictions) or overfit (the most common gold of each tuple)."""
+    own = [scores[i] for i in classifiers]
+
+    def narrowed(df: DataFrame) -> DataFrame:
+        return df.withColumn("__some", ensemble.select_predictions(F.col(preds), classifiers))
+
+    if kind == "voting":
+        return lambda df, name: df.withColumn(name, ensemble.scored_vote(ensemble.select_predictions(F.col(preds), classifiers), own))
+    if kind == "overfit":
+        seen = narrowed(train)
+        return lambda df, name: ensemble.overfit_oracle(narrowed(df), own, seen, "__some", gold, order).withColumnRenamed("oracle", name).drop("__some")
+    if kind == "learning":
+        model = ensemble.stacking_model(narrowed(train), len(classifiers), "__some", gold)
+        return lambda df, name: ensemble.apply_stacking(model, narrowed(df), len(classifiers), "__some", name).drop("__some")
+    raise ValueError(f"unknown kind {kind!r}")
+
+
+def mitigation_front(df: DataFrame, n: int, attrs: Sequence[str], positive, metric: str = "statistical_parity", **options) -> DataFrame:
+    """The ensembles that no other one beats in accuracy and in the metric's spread."""
+    from paritas.operators import pareto
+
+    return pareto.front(ensemble_scores(df, n, attrs, positive, metric, **options), ["accuracy", metric], [True, False])

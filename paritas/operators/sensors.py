@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from paritas.functions.text import mentions
 
 DEFAULT_THRESHOLD = 0.05
-#: Defaults of the plain and of the hierarchical pipeline: thresholds of the token filter and of the final one.
-PLAIN, HIERARCHY = (0.2, 0.7), (0.05, 0.75)
+#: Thresholds of the plain sensor: of the token filter and of the final one.
+PLAIN = (0.2, 0.7)
 
 
 # --- filters: array<struct<attr, score>> -> the same ----------------------------------------------------------------
@@ -103,11 +103,14 @@ def voting_aggregator(tokens: Column, attrs: Sequence[str], threshold: float | N
 AGGREGATORS = ("count", "sum", "max", "mult", "vote", "union")
 
 
-def aggregate_items(tokens: DataFrame, attrs: Sequence[str], kind: str, key: Sequence[str] = ("doc_id",), scored: str = "scored", threshold: float | None = None) -> DataFrame:
-    """key and scored attributes of each item, from a row per token: what the aggregators above give, by partial sums, so that no item's tokens are collected."""
+def aggregate_items(tokens: DataFrame, attrs: Sequence[str], kind: str, key: Sequence[str] = ("doc_id",), scored: str = "scored", threshold: float | None = None, attr_filter=None, skip_empty: bool = False) -> DataFrame:
+    """key and scored attributes of each item, from a row per token: what the aggregators above give, by partial sums, so that no item's tokens are collected.
+
+    attr_filter takes the place of the threshold; skip_empty leaves tokens without an attribute out of their number.
+    """
     if kind not in AGGREGATORS:
         raise ValueError(f"unknown aggregator {kind!r}")
-    sums = [F.count(F.lit(1)).alias("__n")]
+    sums = [(F.count_if(F.size(scored) > 0) if skip_empty else F.count(F.lit(1))).alias("__n")]
     for i, a in enumerate(attrs):
         own = F.filter(scored, _is(a))
         sums += [F.sum(F.size(own)).alias(f"__c{i}"), F.sum(_total(own)).alias(f"__s{i}"), F.max(F.array_max(F.transform(own, lambda x: x["score"]))).alias(f"__m{i}")]
@@ -118,7 +121,8 @@ def aggregate_items(tokens: DataFrame, attrs: Sequence[str], kind: str, key: Seq
         "mult": lambda i: F.lit(0.0), "vote": lambda i: F.col(f"__c{i}") / F.col("__n"), "union": lambda i: F.col(f"__m{i}"),
     }[kind]
     item = F.array_compact(F.array(*[F.when(F.col(f"__c{i}") > 0, F.struct(F.lit(a).alias("attr"), made(i).cast("double").alias("score"))) for i, a in enumerate(attrs)]))
-    return totals.select(*key, (item if kind == "union" else _over(item, threshold)).alias(scored))
+    kept = attr_filter(item) if attr_filter else item if kind == "union" else _over(item, threshold)
+    return totals.select(*key, kept.alias(scored))
 
 
 # --- merges of several sensors' annotations ------------------------------------------------------------------------------
@@ -329,17 +333,20 @@ def baseline(kind: str, id_col: str, priors: Mapping[str, float], seed: int = 0)
 class SensorHandler:
     """Runs the sensors chosen for an attribute class and merges their annotations.
 
-    A sensor is (name, attribute classes or None for any, function of the DataFrame giving a column).
+    A sensor is (name, attribute classes or None for any, function of the DataFrame giving a column), with the
+    kind of its input as a fourth part if it isn't for any.
     """
 
     def __init__(self, sensors, merge=union_merge):
         self.sensors, self.merge = list(sensors), merge
 
-    def select(self, attr_class: str | None) -> Iterator[tuple]:
-        return (s for s in self.sensors if attr_class is None or s[1] is None or attr_class in s[1])
+    def select(self, attr_class: str | None, input_kind: str | None = None) -> Iterator[tuple]:
+        fits = lambda s: attr_class is None or s[1] is None or attr_class in s[1]
+        takes = lambda s: input_kind is None or len(s) < 4 or s[3] == input_kind
+        return (s for s in self.sensors if fits(s) and takes(s))
 
-    def annotate(self, df: DataFrame, attr_class: str | None = None, out: str = "values") -> DataFrame:
-        chosen = list(self.select(attr_class))
+    def annotate(self, df: DataFrame, attr_class: str | None = None, out: str = "values", input_kind: str | None = None) -> DataFrame:
+        chosen = list(self.select(attr_class, input_kind))
         if not chosen:
             raise ValueError("no sensor for this attribute")
-        return df.withColumn(out, self.merge([make(df) for _, _, make in chosen]))
+        return df.withColumn(out, self.merge([s[2](df) for s in chosen]))

@@ -43,7 +43,7 @@ def german(spark: SparkSession, path: str, decode: dict[str, str] | None = None)
 
 
 def german_numeric(spark: SparkSession, path: str) -> DataFrame:
-    """The numeric variant: f0, f1, ... and risk from the last cell."""
+    """The numeric variant: f0, f1, ... and risk from the last cell; as many features as the first line has."""
     rows = spark.read.text(path).where(F.trim("value") != "").select(F.split(F.trim("value"), r"\s+").alias("c"))
     n = len(rows.first()["c"]) - 1
     return rows.select(*[F.get("c", F.lit(i)).cast("long").alias(f"f{i}") for i in range(n)], F.when(F.element_at("c", -1) == "1", "good").when(F.element_at("c", -1) == "2", "bad").alias("risk"))
@@ -214,3 +214,39 @@ def all_data(train: DataFrame, validation: DataFrame | None = None, test: DataFr
     for part in (validation, test):
         out = out if part is None else out.unionByName(part)
     return out
+
+
+def profiles(spark: SparkSession, path: str) -> DataFrame:
+    """handle and name of profiles kept as JSON lines {"handle": ..., "name": ...}; the last one of a handle."""
+    rows = spark.read.json(path, schema="handle string, name string").withColumn("__n", F.monotonically_increasing_id())
+    return rows.groupBy("handle").agg(F.max_by("name", "__n").alias("name"))
+
+
+def bundled(spark: SparkSession, train: str, test: str | None = None, label: str = "label", separator: str = ",", share: float = 0.3, most: int | None = None, seed: int = 0) -> DataFrame:
+    """A delimited table with a header: features, label, split; without a test file a seeded share of the rows is test.  most: an explicit number of examples of each split."""
+    rows = spark.read.csv(train, header=True, inferSchema=True, sep=separator)
+    if test is not None:
+        out = rows.withColumn("split", F.lit("train")).unionByName(spark.read.csv(test, header=True, schema=rows.schema, sep=separator).withColumn("split", F.lit("test")))
+    else:
+        at = F.pmod(F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in rows.columns]), F.lit(1 << 40)) / float(1 << 40)
+        out = rows.withColumn("split", F.when(at < share, "test").otherwise("train"))
+    if most is not None:
+        out = out.where(F.col("split") == "train").limit(most).unionByName(out.where(F.col("split") == "test").limit(most))
+    return out.select(*[c for c in rows.columns if c != label], label, "split")
+
+
+def spanish_seeds(spark: SparkSession, folder: str, groups: dict[str, str], ignore: str | None = None, professions: str | None = None, with_professions: bool = False) -> DataFrame:
+    """grp, pos, word from <folder>/<group's name>_<class>.csv; classes that aren't there are empty.
+
+    Nouns and heteronyms (and professions, if asked for) are NOUN, names and
+    abbreviations PROPN, pronouns PRON, adjectives ADJ; ignored words go everywhere,
+    professions from the nouns unless they are asked for.
+    """
+    #: The classes of each part of speech.
+    classes = {"NOUN": ("nouns", "heteronyms", *(("professions",) if with_professions else ())), "PROPN": ("names", "abbreviations"), "PRON": ("pronouns",), "ADJ": ("adjectives",)}
+    files = [((group, pos), f"{folder}/{name}_{kind}.csv") for group, name in groups.items() for pos, kinds in classes.items() for kind in kinds]
+    out = None
+    for key, path in files:
+        part = seed_lexicon(spark, {key: path}, ignore, None if with_professions else professions)
+        out = part if out is None else out.unionByName(part)
+    return out.distinct()

@@ -59,3 +59,36 @@ def nested_summary(df: DataFrame, keys: Sequence[str] = ("model", "language", "t
         pair = F.map_from_entries(F.array_sort(F.collect_list(F.struct(keys[i], "v")), in_order(keys[i]))).alias("v")
         out = out.groupBy(*keys[:i]).agg(pair)
     return out.select(F.to_json("v").alias("json"))
+
+
+def score_key(mode: str, groups: Sequence[str]) -> str:
+    """The key of a score in a stored summary."""
+    return f"## {mode} [{' then '.join(groups)}]"
+
+
+def keyed_summary(summary: DataFrame, groups: Sequence[str], mode: str = "mode") -> DataFrame:
+    """One row, one column json: mean and deviation of each mode under its key, from a row a mode."""
+    key = F.concat(F.lit("## "), F.col(mode), F.lit(f" [{' then '.join(groups)}]"))
+    pairs = F.sort_array(F.collect_list(F.struct(key.alias("key"), F.struct(*[c for c in summary.columns if c != mode]).alias("value"))))
+    return summary.agg(F.to_json(F.map_from_entries(pairs)).alias("json"))
+
+
+def append_log(rows: DataFrame, path: str, fitness: str = "fitness", under: float | None = None) -> None:
+    """Solutions of a search as text lines, added to those that are there; under: only those whose components after the first stay at or under it."""
+    from paritas.operators.reports import fitness_under
+
+    kept = rows if under is None else rows.where(fitness_under(F.col(fitness), under))
+    kept.select(F.to_json(F.struct(*kept.columns)).alias("value")).write.mode("append").text(path)
+
+
+def folder(spark, name: str) -> str:
+    """A new path in the folder that the cluster shares (spark.checkpoint.dir); in local mode a temporary one."""
+    import tempfile
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = tempfile.gettempdir()
+    return f"{base.rstrip('/')}/paritas-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}/{name}"

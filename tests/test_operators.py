@@ -81,7 +81,7 @@ def test_greedy_rank():
     ranks = diversity.greedy_rank([0.5, 0.9, None, 0.6], d, 1)
     assert ranks == [2.0, 3.0, -1.0, 1.0]
     assert diversity.greedy_rank([0.5, None], d, 3) == [0.5, -1.0]
-    assert diversity.best_performance_rank([0.1, None, 0.1]) == [2.0, -1.0, 1.0]
+    assert diversity.best_performance_rank([0.1, None, 0.1]) == [0.0, -1.0, 1.0] and diversity.best_performance_rank([3.0, 1.0, 2.0], maximize=False) == [0.0, 2.0, 1.0]
     assert diversity.random_rank([0.1, 0.9, 0.3], 5, True)[1] == 3.0
 
 
