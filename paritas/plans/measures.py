@@ -1,0 +1,468 @@
+"""Further queries over the fixture tables: bias options, sensors, ensembles, reports and samples, each with its SQL where SQL can express it."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from paritas.functions import lexicons
+from paritas.functions import text as T
+from paritas.operators import bias, diversity, embedding, ensemble, fairness, pareto, reports, sampling, search, sensors, stats
+from paritas.plans import views as V
+from paritas.plans.catalogue import _THEME, NUDGE, _aligned, _scores, query, rounded
+from paritas.sources import readers
+
+# --- fairness -------------------------------------------------------------------------------------------------------------
+
+
+@query("WITH " + V.LI + ", v AS (SELECT DISTINCT target AS positive FROM li), r AS (SELECT positive, grp, avg((target = positive)::INT) AS p, count(*) FILTER (WHERE target = positive) / (SELECT count(*) FROM li x WHERE x.target = positive)::DOUBLE AS q FROM li, v GROUP BY positive, grp) "
+       "SELECT positive, 'statistical_parity' AS metric, round(max(p) - min(p), 6) AS value FROM r GROUP BY positive UNION ALL SELECT positive, 'representation_disparity', round(max(q) - min(q), 6) FROM r GROUP BY positive")
+def fairness_by_target_value(s, d):
+    return rounded(fairness.by_target_value(V.li(s, d).select(F.col("grp").alias("joined"), "target"), "joined", "target", ndigits=None))
+
+
+@query("WITH " + V.ORD + """, e AS (SELECT target, unnest(groups) AS grp FROM ord), r AS (SELECT grp, avg((target = 'F')::INT) AS p, count(*) FILTER (WHERE target = 'F') / (SELECT count(*) FROM ord WHERE target = 'F')::DOUBLE AS q FROM e GROUP BY grp)
+SELECT round(max(p) - min(p), 6) AS parity, round(1 - min(q) / max(q), 6) AS representation FROM r""")
+def fairness_named_metrics(s, d):
+    names = {"parity": ("statistical_parity", "difference"), "representation": ("representation_disparity", "ratio")}
+    return rounded(fairness.named_metrics(V.orders(s, d), "groups", "target", "F", names=names, ndigits=None))
+
+
+@query("WITH " + V.DOC + ", r AS (SELECT lang, avg((pred = 1)::INT) AS p FROM doc WHERE lang IS NOT NULL GROUP BY lang) SELECT round(max(p) - min(p), 6) AS statistical_parity, round((SELECT avg((target = pred)::INT) FROM doc), 6) AS score, round((max(p) - min(p) + (SELECT avg((target = pred)::INT) FROM doc)) / 2, 6) AS aggregate FROM r")
+def fairness_function(s, d):
+    evaluate = fairness.fairness_function(["lang"], "target", 1, "statistical_parity", score=lambda t, p: F.avg((t == p).cast("double")), aggregate=lambda *x: (x[0] + x[1]) / 2)
+    return rounded(evaluate(V.doc(s, d), "pred"))
+
+
+@query("WITH " + V.DOC + ", m AS (SELECT doc_id, lang, target, unnest(['chars', 'toxic']) AS model, unnest([pred, 1 - toxic]) AS said FROM doc), r AS (SELECT model, lang, avg(said) AS p FROM m WHERE lang IS NOT NULL GROUP BY ALL) "
+       "SELECT model, round((SELECT avg((target = said)::INT) FROM m x WHERE x.model = r.model), 6) AS accuracy, round(max(p) - min(p), 6) AS statistical_parity FROM r GROUP BY model")
+def model_report(s, d):
+    rows = V.doc(s, d).withColumn("clean", 1 - F.col("toxic"))
+    return rounded(search.model_report(rows, {"chars": "pred", "toxic": "clean"}, ["lang"], "target", 1, ["statistical_parity"]).select("model", "accuracy", "statistical_parity"))
+
+
+@query("WITH " + V.DOC + " SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN pred END::BIGINT AS prediction FROM doc")
+def prediction_by_row_id(s, d):
+    rows = V.doc(s, d)
+    said = rows.where("doc_id % 3 <> 0").select("doc_id", F.col("pred").alias("prediction"))
+    return rounded(fairness.coerced(rows.select("doc_id"), said, "doc_id"))
+
+
+@query("WITH " + V.DOC + " SELECT lang, sum((CASE WHEN lang = 'en' THEN 1 ELSE 0 END = target)::INT)::BIGINT AS hits FROM doc GROUP BY lang")
+def one_group_wins(s, d):
+    return V.doc(s, d).groupBy("lang").agg(F.count_if(ensemble.one_group_wins(F.col("lang"), "en", 1, 0) == F.col("target")).alias("hits"))
+
+
+# --- ensembles --------------------------------------------------------------------------------------------------------------
+
+_VOTED = "WITH " + V.CLF_LONG + """, masks AS (SELECT m FROM range(32) t(m) WHERE bit_count(m) >= 2),
+votes AS (SELECT m, doc_id, gold, pred, count(*) AS n, min(k) AS first FROM long JOIN masks ON (m >> k) & 1 = 1 GROUP BY ALL),
+voted AS (SELECT m, doc_id, any_value(gold) AS gold, arg_max(pred, n * 10 - first) AS vote FROM votes GROUP BY m, doc_id),
+acc AS (SELECT m, avg((vote = gold)::INT) AS accuracy FROM voted GROUP BY m),
+par AS (SELECT m, lang, avg((vote = 1)::INT) AS p FROM voted JOIN doc USING (doc_id) WHERE lang IS NOT NULL GROUP BY m, lang),
+e AS (SELECT m, accuracy, g FROM acc JOIN (SELECT m, max(p) - min(p) AS g FROM par GROUP BY m) USING (m))"""
+
+
+def _ensembles(s, d, front: bool) -> DataFrame:
+    rows = V.clf(s, d).join(V.doc(s, d).select("doc_id", "lang"), "doc_id")
+    made = (search.mitigation_front if front else search.ensemble_scores)(rows, 5, ["lang"], 1)
+    masks = F.array(*[F.lit(sum(1 << k for k in c)) for _, c in search.ensembles(5, kinds=("voting",))])
+    return rounded(made.select(F.get(masks, F.col("candidate")).cast("long").alias("m"), "accuracy", F.col("statistical_parity").alias("g")))
+
+
+@query(_VOTED + " SELECT m, round(accuracy, 6) AS accuracy, round(g, 6) AS g FROM e")
+def ensemble_scores(s, d):
+    return _ensembles(s, d, False)
+
+
+@query(_VOTED + " SELECT m, round(accuracy, 6) AS accuracy, round(g, 6) AS g FROM e WHERE NOT EXISTS (SELECT 1 FROM e o WHERE o.accuracy >= e.accuracy AND o.g <= e.g AND (o.accuracy > e.accuracy OR o.g < e.g))")
+def mitigation_front(s, d):
+    return _ensembles(s, d, True)
+
+
+_ACC = "WITH " + V.CLF_LONG + ", a AS (SELECT k, avg((pred = gold)::INT) AS acc FROM long GROUP BY k)"
+
+
+def _measured(s, d) -> list[float]:
+    return [r["accuracy"] for r in search.score_votes(V.clf(s, d), [(i,) for i in range(5)], {"accuracy": search.accuracy_metric}).orderBy("candidate").collect()]  # 5 rows
+
+
+def _ranked(s, ranks: list[float]) -> DataFrame:
+    return s.createDataFrame([(i, float(r)) for i, r in enumerate(ranks)], "classifier long, rank double")
+
+
+@query(_ACC + " SELECT k::BIGINT AS classifier, (row_number() OVER (ORDER BY acc, k) - 1)::DOUBLE AS rank FROM a")
+def rank_maximise(s, d):
+    return _ranked(s, diversity.best_performance_rank(_measured(s, d)))
+
+
+@query(_ACC + " SELECT k::BIGINT AS classifier, (row_number() OVER (ORDER BY acc DESC, k) - 1)::DOUBLE AS rank FROM a")
+def rank_minimise(s, d):
+    return _ranked(s, diversity.best_performance_rank(_measured(s, d), maximize=False))
+
+
+@query("WITH RECURSIVE " + V.CLF_LONG + """, a AS (SELECT k, avg((pred = gold)::INT) AS acc FROM long GROUP BY k),
+div AS (SELECT x.k AS i, y.k AS j, 1 - avg((x.pred <> x.gold AND y.pred <> y.gold)::INT) AS v FROM long x JOIN long y USING (doc_id) GROUP BY ALL),
+steps AS (
+  SELECT [(SELECT arg_max(k, acc * 1000000 - k) FROM a)] AS chosen
+  UNION ALL
+  SELECT list_append(chosen, (SELECT j FROM (SELECT j, sum(v) AS t FROM div WHERE list_contains(chosen, i) AND NOT list_contains(chosen, j) GROUP BY j) ORDER BY round(t, 9) DESC, j LIMIT 1)) FROM steps WHERE len(chosen) < 5)
+SELECT unnest(chosen)::BIGINT AS classifier, unnest([5.0, 4.0, 3.0, 2.0, 1.0]::DOUBLE[]) AS rank FROM steps WHERE len(chosen) = 5""")
+def greedy_rank_measured(s, d):
+    rows = diversity.pairwise(V.clf(s, d), 5).collect()  # 25 rows
+    return _ranked(s, diversity.greedy_rank(_measured(s, d), {(r["i"], r["j"]): round(r["double_fault_inverse"], 12) for r in rows}, 2))
+
+
+@query(_ACC + ", b AS (SELECT max(acc) AS best FROM a) SELECT k::BIGINT AS candidate, round(acc, 6) AS accuracy FROM a, b WHERE acc >= best - best * 20 / 100")
+def within_detriment(s, d):
+    scores = search.score_votes(V.clf(s, d), [(i,) for i in range(5)], {"accuracy": search.accuracy_metric})
+    return rounded(search.within_detriment(scores, max(_measured(s, d)), 20))
+
+
+@query("WITH " + V.CLF + ", v AS (SELECT doc_id, gold, p0 + p2 + p3 AS up FROM clf) SELECT doc_id, (up >= 2)::BIGINT AS vote FROM v")
+def fit_voting(s, d):
+    rows = V.clf(s, d)
+    return rounded(search.fit_ensemble(rows, "voting", [0, 2, 3], V.CLF_SCORES)(rows, "vote").select("doc_id", "vote"))
+
+
+@query("WITH " + V.CLF + """, t AS (SELECT p0, p2, p3, gold, count(*) AS n, min(doc_id) AS first FROM clf WHERE doc_id % 2 = 0 GROUP BY ALL), best AS (SELECT p0, p2, p3, arg_max(gold, n * 1000000000 - first) AS o FROM t GROUP BY ALL)
+SELECT doc_id, coalesce(o, p3)::BIGINT AS vote FROM clf LEFT JOIN best USING (p0, p2, p3)""")
+def fit_overfit(s, d):
+    rows = V.clf(s, d)
+    return rounded(search.fit_ensemble(rows.where("doc_id % 2 = 0"), "overfit", [0, 2, 3], V.CLF_SCORES)(rows, "vote").select("doc_id", "vote"))
+
+
+@query()
+def fit_learning(s, d):
+    rows = V.clf(s, d)
+    return search.fit_ensemble(rows, "learning", [0, 2, 3], V.CLF_SCORES)(rows, "vote").select("doc_id", F.col("vote").cast("long").alias("vote"))
+
+
+# --- Pareto fronts -------------------------------------------------------------------------------------------------------------
+
+_OBJ = "SELECT p_partkey, p_retailprice, p_size::BIGINT AS p_size, p_partkey % 17 AS z FROM part"
+
+
+def _parts(s, d) -> DataFrame:
+    return V.table(s, d, "part").select("p_partkey", "p_retailprice", F.col("p_size").cast("long").alias("p_size"), (F.col("p_partkey") % 17).alias("z"))
+
+
+@query(f"WITH p AS ({_OBJ}) SELECT p_partkey, z FROM p WHERE NOT EXISTS (SELECT 1 FROM p o WHERE o.p_retailprice >= p.p_retailprice AND o.p_size <= p.p_size AND o.z >= p.z AND (o.p_retailprice > p.p_retailprice OR o.p_size < p.p_size OR o.z > p.z))")
+def pareto_front_3d(s, d):
+    return pareto.front(_parts(s, d), ["p_retailprice", "p_size", "z"], [True, False, True]).select("p_partkey", "z")
+
+
+@query("""WITH RECURSIVE p AS (SELECT p_partkey % 11 AS x, p_size::BIGINT % 15 AS y, count(*) AS n FROM part GROUP BY ALL),
+chain AS (SELECT x, y, 0 AS f FROM p UNION SELECT b.x, b.y, a.f + 1 FROM chain a JOIN p b ON a.x >= b.x AND a.y <= b.y AND (a.x > b.x OR a.y < b.y))
+SELECT max(f)::BIGINT AS front, x, y, any_value(n) AS n FROM chain JOIN p USING (x, y) GROUP BY x, y""")
+def pareto_fronts(s, d):
+    points = V.table(s, d, "part").select((F.col("p_partkey") % 11).alias("x"), (F.col("p_size").cast("long") % 15).alias("y"))
+    ranked = pareto.fronts(points, ["x", "y"], [True, False])
+    return ranked.groupBy("front", "x", "y").agg(F.count(F.lit(1)).alias("n")).select(F.col("front").cast("long").alias("front"), "x", "y", "n")
+
+
+# --- bias scores -----------------------------------------------------------------------------------------------------------------
+
+_TAGS = {"the": "DET", "a": "DET", "of": "ADP", "and": "CCONJ", "ering": "NOUN", "tion": "NOUN", "thing": "VERB"}
+
+
+def _tagged(s, d) -> DataFrame:
+    docs = V.spread(V.table(s, d, "documents").select("doc_id", "text"))
+    return bias.regex_tokens(bias.paragraphs(docs), pos_of=_TAGS).select("doc_id", "par_id", "tokens")
+
+
+@query("WITH " + V.SCORES + " SELECT word, round(count_disparity, 6) AS count_disparity FROM scores WHERE word IN ('the', 'a')")
+def bias_pos_filter(s, d):
+    scores = bias.bias_scores(bias.bias_counts(_tagged(s, d), V.LEXICON), ["male", "female"])
+    return rounded(stats.pos_filter(scores, "DET").select("word", "count_disparity"))
+
+
+@query("WITH " + V.SCORES + " SELECT word, round(count_disparity, 6) AS count_disparity FROM scores WHERE word IN ('ering', 'tion')")
+def bias_noun_professions(s, d):
+    scores = bias.bias_scores(bias.bias_counts(_tagged(s, d), V.LEXICON), ["male", "female"])
+    words = s.createDataFrame([(w,) for w in V.PROFESSIONS], "word string")
+    return rounded(stats.profession_filter(scores, words, "word").select("word", "count_disparity"))
+
+
+@query("WITH " + V.SCORES + ", st AS (SELECT avg(log_score) AS m, stddev_pop(log_score) AS sd FROM scores) SELECT word, round(log_score, 6) AS log_score FROM scores, st WHERE abs((log_score - m) / sd) > 1")
+def bias_zfilter_one(s, d):
+    return rounded(stats.z_filter(_scores(s, d), threshold=1.0).select("word", "log_score"))
+
+
+_Z = "1.959963984540054::DOUBLE"
+
+
+@query("WITH " + V.SCORES + f""", x AS (SELECT count(*) AS n, avg(log_score) AS m, stddev_samp(log_score) AS sd, count(*) - 1 AS v FROM scores),
+q AS (SELECT *, {_Z} + ({_Z} ^ 3 + {_Z}) / (4 * v) + (5 * {_Z} ^ 5 + 16 * {_Z} ^ 3 + 3 * {_Z}) / (96 * v ^ 2) + (3 * {_Z} ^ 7 + 19 * {_Z} ^ 5 + 17 * {_Z} ^ 3 - 15 * {_Z}) / (384 * v ^ 3) AS t FROM x)
+SELECT n, round(m, 6) AS mean, round(sd, 6) AS stdev, round(sd / sqrt(n) * t, 6) AS margin FROM q""")
+def summary_ci_interval(s, d):
+    return rounded(stats.confidence(_scores(s, d), "log_score"))
+
+
+_FACTORS = " ".join(f"WHEN '{c}' THEN {bias.PUNCTUATION[c]}::DOUBLE" for c in ".?!;,:")
+
+
+@query("WITH " + V.TOK + f""", logs AS (SELECT doc_id, par_id, i, word, coalesce(sum(ln(CASE word {_FACTORS} ELSE 0.95::DOUBLE END)) OVER (PARTITION BY doc_id, par_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS l,
+  sum(ln(CASE word {_FACTORS} ELSE 0.95::DOUBLE END)) OVER (PARTITION BY doc_id, par_id ORDER BY i) AS after FROM tok),
+near AS (SELECT s.grp, t.word, CASE WHEN t.i < s.i THEN exp(c.l - t.after) ELSE exp(t.l - c.l) END AS w FROM seed s JOIN logs c USING (doc_id, par_id, i) JOIN logs t ON s.doc_id = t.doc_id AND s.par_id = t.par_id AND t.i BETWEEN s.i - 200 AND s.i + 200 WHERE regexp_full_match(t.word, '[a-z]+'))
+SELECT word, round(sum(CASE WHEN grp = 'male' THEN w ELSE 0 END) + 1e-7, 3) AS count_male, round(sum(CASE WHEN grp = 'female' THEN w ELSE 0 END) + 1e-7, 3) AS count_female FROM near GROUP BY word""")
+def bias_counts_punctuation(s, d):
+    counts = bias.bias_counts(V.tokens(s, d), V.LEXICON, punctuation=True)
+    return counts.select("word", *[F.round(F.col(c) + 1e-7, 3).alias(c) for c in ("count_male", "count_female")])
+
+
+_OWN = "CASE WHEN doc_id % 2 = 0 THEN 'he' ELSE 'his' END"
+
+
+@query("WITH " + V.TOK + f""", own AS (SELECT doc_id, par_id, i, CASE WHEN word = {_OWN} THEN 'male' ELSE 'female' END AS grp FROM tok WHERE word = {_OWN} OR word = 'it' AND doc_id % 3 <> 0),
+near AS (SELECT o.grp, t.word, t.i - o.i AS d FROM own o JOIN tok t ON o.doc_id = t.doc_id AND o.par_id = t.par_id AND t.i BETWEEN o.i - 10 AND o.i + 10 WHERE regexp_full_match(t.word, '[a-z]+'))
+SELECT word, count(*) FILTER (WHERE grp = 'male') AS discrete_male, count(*) FILTER (WHERE grp = 'female') AS discrete_female FROM near GROUP BY word""")
+def bias_own_lexicons(s, d):
+    entry = lambda w, grp, include: F.struct(w.alias("word"), F.lit(grp).alias("grp"), include.alias("include"))
+    male = F.when(F.col("doc_id") % 2 == 0, "he").otherwise("his")
+    docs = V.table(s, d, "documents").select("doc_id", F.array(entry(male, "male", F.lit(True)), entry(F.lit("it"), "female", F.col("doc_id") % 3 != 0)).alias("annotation"))
+    seeded = bias.seeds_by_text(V.tokens(s, d), bias.texts_own_lexicon(docs), ["male", "female"])
+    counts = bias.counts_of(bias.contexts(seeded, bias.fixed()), ["male", "female"])
+    return counts.groupBy("word").agg(F.sum("discrete_male").alias("discrete_male"), F.sum("discrete_female").alias("discrete_female"))
+
+
+@query("WITH " + V.TOK + r""", lexi AS (SELECT * FROM (VALUES ('male', 'his'), ('female', 'this')) v(grp, word)),
+c AS (SELECT t.doc_id, t.par_id, t.i, l.grp FROM tok t JOIN lexi l USING (word)),
+near AS (SELECT t.word, c.grp, a.t AS x, least(t.i, c.i) AS lo, greatest(t.i, c.i) AS hi FROM c JOIN tok t ON t.doc_id = c.doc_id AND t.par_id = c.par_id AND t.i BETWEEN c.i - 2 AND c.i + 2 JOIN arrays a ON a.doc_id = c.doc_id AND a.par_id = c.par_id WHERE regexp_full_match(t.word, '[a-z]+')),
+lexed AS (SELECT *, x[lo + 1] || '->' || x[lo + 1] || ':X' AS l, x[hi + 1] || '->' || x[hi + 1] || ':X' AS h FROM near),
+snip AS (SELECT word, grp, CASE WHEN lo - 3 > 0 THEN '... ' ELSE '' END || array_to_string(x[greatest(lo - 3, 0) + 1 : greatest(lo - 3, 0) + least(lo, 3)], ' ') || ' '
+  || CASE WHEN lo = hi THEN '«' || l || '»' ELSE '[[' || l || ']] ' || array_to_string(x[lo + 2 : hi], ' ') || ' [[' || h || ']]' END || ' ' || array_to_string(x[hi + 2 : hi + 3], ' ') || CASE WHEN hi + 3 < len(x) THEN ' ...' ELSE '' END AS s FROM lexed)
+SELECT word, grp, array_to_string(list_sort(list_distinct(list(s))), '|') AS matches FROM snip GROUP BY word, grp""")
+def bias_concordance_snippets(s, d):
+    found = bias.concordance(V.tokens(s, d), {"male": ["his"], "female": ["this"]}, bias.fixed(2))
+    return found.select("word", "grp", F.concat_ws("|", F.array_sort("matches")).alias("matches"))
+
+
+_STOP = "('the', 'of', 'and', 'to', 'in', 'he', 'his', 'it', 'this')"
+
+
+@query("WITH " + V.pairs_sql(200, V.CONTINUAL) + f""", kept AS (SELECT * FROM counts WHERE word NOT IN {_STOP}), g AS (SELECT word, count(*) AS n FROM tok GROUP BY word)
+SELECT word, discrete_male, discrete_female, n AS global_count, round(CASE WHEN least(count_male, count_female) = 0 THEN 1 ELSE 1 - least(count_male, count_female) / greatest(count_male, count_female) END, 6) AS count_disparity FROM kept JOIN g USING (word)""")
+def bias_front_end(s, d):
+    score = bias.BiasScore(V.LEXICON, stopwords=V.STOPWORDS, drop_group_words=True)
+    return rounded(score.scores(V.spread(V.table(s, d, "documents").select("doc_id", "text"))).select("word", "discrete_male", "discrete_female", "global_count", "count_disparity"))
+
+
+@query("WITH " + V.TOK + f""", en AS (SELECT * FROM (VALUES {', '.join(f"('{g}', '{w.lower()}')" for g, by in lexicons.english_lexicon().items() for ws in by.values() for w in ws if w.isalpha() and w.islower())}) v(grp, word)),
+s AS (SELECT DISTINCT doc_id, par_id, i, grp FROM tok JOIN en USING (word)) SELECT grp, count(*) AS n FROM s GROUP BY grp""")
+def bias_english_seeds(s, d):
+    words = {g: [w for ws in by.values() for w in ws if w.isalpha() and w.islower()] for g, by in lexicons.english_lexicon().items()}
+    return bias.group_counts(V.tokens(s, d), words).select("grp", "n")
+
+
+@query("WITH l AS (SELECT doc_id, unnest(range(len(x))) AS par_id, unnest(x) AS p FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)) SELECT par_id, count(*) AS n, sum(length(p))::BIGINT AS chars FROM l GROUP BY par_id")
+def bias_paragraphs(s, d):
+    rows = bias.paragraphs(V.table(s, d, "documents").select("doc_id", "text"))
+    return rows.groupBy(F.col("par_id").cast("long").alias("par_id")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("paragraph")).alias("chars"))
+
+
+# --- sensors ---------------------------------------------------------------------------------------------------------------------
+
+_WORDS = r"""sents AS (SELECT item_id, unnest(range(len(x))) AS sent, unnest(x) AS s FROM (SELECT item_id, string_split_regex(text, '\n|\. ') AS x FROM benchmark)),
+words AS (SELECT item_id, sent, unnest(regexp_extract_all(lower(s), '[a-z]+')) AS w FROM sents),
+ids AS (SELECT DISTINCT w, (ascii(w) * 7 + length(w)) % 400 AS vec_id FROM words),
+sc AS (SELECT w, attr, score FROM ids JOIN vec USING (vec_id)),
+tokens AS (SELECT item_id, sent, row_number() OVER () AS t, w FROM words),
+b AS (SELECT item_id, sent, t, attr, score, max(score) OVER (PARTITION BY t) AS best FROM tokens JOIN sc USING (w))"""
+_KEPT = """k AS (SELECT *, best > {norm} AND score / best > {rel} AS ok FROM b), f AS (SELECT item_id, sent, t, attr, score FROM (SELECT *, count(*) FILTER (WHERE ok) OVER (PARTITION BY t) AS n FROM k) WHERE ok AND n < 2)"""
+_ALL = "SELECT item_id, array_to_string(coalesce(v, []), ' & ') AS groups FROM benchmark LEFT JOIN ({found}) USING (item_id)"
+
+
+def _vectors_of_words(s, d) -> tuple[DataFrame, DataFrame, dict]:
+    rows, named = V.vectors(s, d)
+    texts = V.table(s, d, "benchmark").select("item_id", "text")
+    words = texts.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"))).alias("word")).distinct()
+    keyed = words.withColumn("vec_id", (F.ascii("word") * 7 + F.length("word")) % 400)
+    return texts, keyed.join(rows.select("vec_id", "vector"), "vec_id").select("word", "vector"), named
+
+
+_CUT = {"sentences": lambda c: F.split(c, r"\n|\. "), "words": lambda c: F.regexp_extract_all(F.lower(c), F.lit("([a-z]+)"))}
+
+
+def _embedded(s, d, configuration: embedding.Configuration) -> DataFrame:
+    texts, vectors, named = _vectors_of_words(s, d)
+    registry = embedding.VectorRegistry()
+    registry.register("any", "table", lambda: vectors)
+    found = embedding.annotate(texts, registry.load("any", configuration.source), named, configuration, "item_id")
+    return found.select("item_id", F.concat_ws(" & ", "values").alias("groups"))
+
+
+def _cutting(c: embedding.Configuration) -> embedding.Configuration:
+    return embedding.Configuration(c.levels, c.filters, c.aggregators, c.stopwords, c.source, c.similarity, _CUT)
+
+
+@query("WITH " + V.VEC + ", " + _WORDS + ", " + _KEPT.format(norm="0.05::DOUBLE", rel="0.75::DOUBLE") + """, m AS (SELECT item_id, sent, attr, max(score) AS score FROM f GROUP BY ALL),
+mb AS (SELECT *, max(score) OVER (PARTITION BY item_id, sent) AS best FROM m), u AS (SELECT DISTINCT item_id, attr FROM mb WHERE best > 0.05::DOUBLE AND score / best > 0.75::DOUBLE) """
+       + _ALL.format(found="SELECT item_id, list_sort(list(attr)) AS v FROM u GROUP BY item_id"))
+def embedding_hierarchy(s, d):
+    return _embedded(s, d, _cutting(embedding.HIERARCHY))
+
+
+@query("WITH " + V.VEC + ", " + _WORDS + ", " + _KEPT.format(norm="0.2::DOUBLE", rel="0.7::DOUBLE") + ", u AS (SELECT DISTINCT item_id, attr FROM f) " + _ALL.format(found="SELECT item_id, list_sort(list(attr)) AS v FROM u GROUP BY item_id"))
+def embedding_plain(s, d):
+    return _embedded(s, d, _cutting(embedding.PLAIN))
+
+
+#: A log as the search leaves it.
+_LOG = [("plain", True), ("stopwords", True), ("token-filter", "large"), ("token-large-threshold", 0.05), ("aggregator-0", "vote"), ("aggregator-0-filter", "large"), ("aggregator-0-large-threshold", 0.5), ("source", "table")]
+
+
+@query("WITH " + V.VEC + ", " + _WORDS + """, f AS (SELECT item_id, t, attr, score FROM b JOIN tokens USING (item_id, sent, t) WHERE w NOT IN ('the', 'of', 'and', 'to', 'in') AND score > 0.05::DOUBLE), n AS (SELECT item_id, count(DISTINCT t) AS n FROM f GROUP BY item_id),
+u AS (SELECT item_id, attr FROM f JOIN n USING (item_id) GROUP BY item_id, attr, n HAVING count(*) / n::DOUBLE > 0.5::DOUBLE) """ + _ALL.format(found="SELECT item_id, list_sort(list(attr)) AS v FROM u GROUP BY item_id"))
+def embedding_replayed(s, d):
+    return _embedded(s, d, _cutting(embedding.chosen(search.Choices(_LOG), V.STOPWORDS)))
+
+
+@query("WITH " + V.VEC + " SELECT vec_id, sum(CASE WHEN attr = 'attr0' THEN signed ELSE -signed END) > 0 AS person FROM (SELECT c.vec_id, 'attr' || a.vec_id AS attr, sum(c.x * a.x) / any_value(nc.n * na.n) AS signed FROM comp c JOIN comp a ON c.i = a.i AND a.vec_id < 2 JOIN norm nc ON nc.vec_id = c.vec_id JOIN norm na ON na.vec_id = a.vec_id GROUP BY ALL) WHERE vec_id > 1 GROUP BY vec_id")
+def person_checker(s, d):
+    rows, named = V.vectors(s, d)
+    return rows.where("vec_id > 1").select("vec_id", sensors.is_person(F.col("vector"), named["attr0"], named["attr1"]).alias("person"))
+
+
+@query(r"""WITH m AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '@([A-Za-z0-9_]+)', 1)) AS handle FROM documents),
+v AS (SELECT DISTINCT doc_id, CASE WHEN length(handle) % 2 = 0 THEN 'male' ELSE 'female' END AS g FROM m) SELECT doc_id, string_agg(g, ' & ' ORDER BY g) AS groups FROM v GROUP BY doc_id""")
+def handle_sensor(s, d):
+    docs = V.table(s, d, "documents").select("doc_id", "text")
+    handles = docs.select(F.explode(T.mentions(F.col("text"))).alias("handle")).distinct().withColumn("name", F.col("handle"))
+    names = handles.select("name", F.when(F.length("name") % 2 == 0, "male").otherwise("female").alias("attr"), F.lit(3).alias("count"))
+    return sensors.handle_sensor(docs, handles, names, ["female", "male"]).select("doc_id", F.concat_ws(" & ", "values").alias("groups"))
+
+
+_PRONOUNS = {"he": "male", "his": "male", "it": "female", "this": "female"}
+
+
+@query(r"""WITH m AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents), c AS (SELECT doc_id, length(w) % 5 AS k, count(*) AS n, count(*) FILTER (WHERE w IN ('he', 'his')) AS m, count(*) FILTER (WHERE w IN ('it', 'this')) AS f FROM m GROUP BY ALL),
+t AS (SELECT doc_id, sum(m / n::DOUBLE) AS m, sum(f / n::DOUBLE) AS f FROM c GROUP BY doc_id) SELECT doc_id, array_to_string(list_filter([CASE WHEN f > 0.05::DOUBLE THEN 'female' END, CASE WHEN m > 0.05::DOUBLE THEN 'male' END], lambda x: x IS NOT NULL), ' & ') AS groups FROM t""")
+def coreference_sensor(s, d):
+    words = V.table(s, d, "documents").select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"))).alias("mention"))
+    clusters = words.withColumn("cluster_id", F.length("mention") % 5)
+    return sensors.coreference_sensor(clusters, _PRONOUNS, ["female", "male"]).select("doc_id", F.concat_ws(" & ", "values").alias("groups"))
+
+
+@query("WITH v AS (SELECT DISTINCT p_name AS entity, CASE WHEN p_size > 40 THEN unnest(['female', 'male']) ELSE CASE WHEN p_size > 20 THEN 'male' ELSE 'female' END END AS g FROM part) SELECT entity, string_agg(DISTINCT g, ' & ' ORDER BY g) AS groups FROM v GROUP BY entity")
+def knowledge_sensor(s, d):
+    part = V.table(s, d, "part")
+    people = part.select(F.col("p_name").alias("person"), F.when(F.col("p_size") > 40, "Mixed").when(F.col("p_size") > 20, "Male").otherwise("Women").alias("property_value"))
+    found = sensors.knowledge_sensor(part.select(F.col("p_name").alias("entity")), people, lexicons.gender_standard(), ["female", "male"], cutoff=1.0)
+    return found.select("entity", F.concat_ws(" & ", "values").alias("groups"))
+
+
+@query("SELECT DISTINCT p_name AS entity, p_name AS person, 1.0::DOUBLE AS ratio FROM part")
+def fuzzy_match_exact(s, d):
+    part = V.table(s, d, "part")
+    return sensors.fuzzy_matches(part.select(F.col("p_name").alias("entity")), part.select(F.col("p_name").alias("person")), cutoff=1.0)
+
+
+@query("SELECT c_nationkey::BIGINT AS nation, string_agg(DISTINCT c_mktsegment, ' & ' ORDER BY c_mktsegment) AS groups FROM customer WHERE c_custkey % 3 <> 0 GROUP BY c_nationkey")
+def entity_sensor(s, d):
+    rows = V.table(s, d, "customer").select(F.col("c_nationkey").cast("long").alias("nation"), F.when(F.col("c_custkey") % 3 == 0, "ORG").otherwise("PER").alias("label"), F.array("c_mktsegment").alias("values"))
+    return sensors.entity_sensor(rows, ["PER"], "nation").select("nation", F.concat_ws(" & ", "values").alias("groups"))
+
+
+@query("SELECT CASE WHEN p_size % 2 = 0 THEN 'female & male' ELSE '' END AS groups, count(*) AS n FROM part GROUP BY 1")
+def baseline_sensors(s, d):
+    priors = {"male": 0.5, "female": 0.5}
+    values = F.when(F.col("p_size") % 2 == 0, sensors.baseline("always-both", "p_partkey", priors)).otherwise(sensors.baseline("always-none", "p_partkey", priors))
+    return V.table(s, d, "part").select(F.concat_ws(" & ", values).alias("groups")).groupBy("groups").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(r"SELECT doc_id, len(list_filter(regexp_extract_all(text, '[A-Za-z]+'), lambda w: lower(w) NOT IN ('the', 'of', 'and', 'to', 'in')))::BIGINT AS words FROM documents")
+def words_without_stopwords(s, d):
+    words = sensors.without_stopwords(sensors.non_empty_words(sensors.words_of(F.col("text"), "[A-Za-z]+")), V.STOPWORDS)
+    return V.table(s, d, "documents").select("doc_id", F.size(words).cast("long").alias("words"))
+
+
+# --- reports, samples, texts -------------------------------------------------------------------------------------------------------
+
+
+@query("WITH " + V.DOC + " SELECT source, min(n_chars)::DOUBLE AS low, round(quantile_cont(n_chars, 0.25), 6) AS q1, round(quantile_cont(n_chars, 0.5), 6) AS median, round(quantile_cont(n_chars, 0.75), 6) AS q3, max(n_chars)::DOUBLE AS high FROM doc GROUP BY source")
+def quartiles(s, d):
+    return rounded(reports.quartiles(V.doc(s, d).withColumn("n_chars", F.col("n_chars").cast("double")), ["source"], "n_chars"))
+
+
+@query("WITH " + _THEME + ", r AS (SELECT source, observed, row_number() OVER (PARTITION BY source ORDER BY lang) AS k FROM a WHERE expected = 'neutral') SELECT source, CASE observed WHEN 'neutral' THEN 'neutral' WHEN 'male' THEN 'male-biased' ELSE 'female-biased' END AS category FROM r WHERE k = 1")
+def neutral_category(s, d):
+    return reports.neutral_category(_aligned(s, d), ["source"], "lang")
+
+
+@query("WITH " + _THEME + " SELECT source, lang, category FROM a WHERE expected IN ('male', 'female')")
+def expected_groups(s, d):
+    return reports.expected_in(_aligned(s, d), ["male", "female"]).select("source", "lang", "category")
+
+
+@query("WITH " + _THEME + ", m AS (SELECT source, max(m) FILTER (WHERE lang = 'de') AS de, max(m) FILTER (WHERE lang = 'en') AS en FROM a GROUP BY source) SELECT source, round(de, 6) AS de, round(en, 6) AS en FROM m")
+def heat_map(s, d):
+    return rounded(reports.heat_map(_aligned(s, d), "source", "lang", ["de", "en"], "m"))
+
+
+@query("SELECT p_partkey, p_retailprice FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 1")
+def best_model(s, d):
+    return reports.best_model(V.table(s, d, "part").select("p_partkey", "p_retailprice"), "p_retailprice", "p_partkey")
+
+
+@query("WITH " + V.ORD + " SELECT DISTINCT array_to_string(groups, ' & ') AS groups FROM ord")
+def unique_label_sets(s, d):
+    return V.orders(s, d).select(T.join_groups(F.col("groups")).alias("groups")).distinct()
+
+
+@query("WITH " + V.DOC + ", m AS (SELECT source, avg(target) AS mean FROM doc GROUP BY source), c AS (SELECT source, avg(pred) AS mean, count(*) / 100.0::DOUBLE AS margin FROM doc WHERE source IN ('src0', 'src1') GROUP BY source) SELECT source, round(coalesce(c.mean, m.mean), 6) AS mean, round(coalesce(margin, 0), 6) AS margin FROM m LEFT JOIN c USING (source)")
+def score_summary(s, d):
+    rows = V.doc(s, d)
+    conf = rows.where("source IN ('src0', 'src1')").groupBy("source").agg(F.avg("pred").alias("conf_mean"), (F.count(F.lit(1)) / 100.0).alias("margin"))
+    return rounded(reports.score_summary(rows.groupBy("source").agg(F.avg("target").alias("mean")), conf, ["source"]))
+
+
+@query("WITH " + V.DOC + " SELECT lang, count(*) AS n, round_even(count(*) * 0.3::DOUBLE, 0)::BIGINT AS test FROM doc GROUP BY lang")
+def stratified_split_sizes(s, d):
+    split = sampling.stratified_split(V.doc(s, d), "doc_id", ["lang"])
+    return split.groupBy("lang").agg(F.count_distinct("doc_id").alias("n"), F.count_if(F.col("split") == "test").alias("test"))
+
+
+@query("WITH " + V.ORD + ", g AS (SELECT target, array_to_string(groups, ' & ') AS group_set, count(*) AS n FROM ord GROUP BY ALL), m AS (SELECT group_set, min(n) AS size FROM g GROUP BY group_set) SELECT target, group_set, size AS n FROM g JOIN m USING (group_set)")
+def stratified_sample_sizes(s, d):
+    rows = V.orders(s, d).withColumn("group_set", F.concat_ws(" & ", "groups"))
+    sizes = sampling.debiased_sizes(V.orders(s, d), "target", "groups")
+    kept = sampling.stratified_sample(rows, "o_orderkey", ["target", "group_set"], sizes)
+    return kept.groupBy("target", "group_set").agg(F.count_distinct("o_orderkey").alias("n"))
+
+
+@query("SELECT count(*) AS n, count(DISTINCT p_partkey) AS distinct_n, count(*) FILTER (WHERE p_size > 25) AS large FROM part")
+def split_and_union(s, d):
+    rows = V.table(s, d, "part").select("p_partkey", "p_size")
+    train, test = sampling.split(rows, "p_partkey")
+    both = readers.all_data(train, None, test)
+    return both.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("p_partkey").alias("distinct_n"), F.count_if(F.col("p_size") > 25).alias("large"))
+
+
+_ENTITIES = ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")
+_BARE = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>', ' ', 'g'), '(?is)<style\b.*?</style\s*>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g')"
+for _e, _c in _ENTITIES:
+    _BARE = f"replace({_BARE}, '{_e}', '{_c}')"
+
+
+@query(rf"SELECT page_id, trim(regexp_replace({_BARE}, '[ \t\n\x0b\f\r]+', ' ', 'g')) AS text FROM pages")
+def markup_text(s, d):
+    return V.table(s, d, "pages").select("page_id", T.strip_markup(F.col("html")).alias("text"))
+
+
+@query(r"SELECT doc_id, coalesce(len(list_distinct(regexp_extract_all(text, '@([A-Za-z0-9_]+)', 1))), 0)::BIGINT AS handles FROM documents")
+def mention_counts(s, d):
+    return V.table(s, d, "documents").select("doc_id", F.coalesce(F.size(F.array_distinct(T.mentions(F.col("text")))), F.lit(0)).cast("long").alias("handles"))
+
+
+@query("SELECT p_partkey, regexp_replace(p_brand, '_databias_generated$', '') AS clean, CASE WHEN length(p_type) > 18 THEN substr(p_type, 1, 15) || '...' ELSE p_type END AS label, CASE p_size % 3 WHEN 0 THEN 'none' WHEN 1 THEN 'one' END AS decoded, list_sort(string_split(p_name, ' '))[1] AS first FROM part")
+def text_cells(s, d):
+    part = V.table(s, d, "part")
+    return part.select("p_partkey", T.strip_suffix(F.concat("p_brand", F.lit("_databias_generated"))).alias("clean"), T.bracketed(F.concat(F.lit("x ["), "p_type", F.lit("] y"))).alias("label"), T.decode(F.col("p_size") % 3, {0: "none", 1: "one"}).alias("decoded"), T.split_list(F.regexp_replace("p_name", " ", " , "))[0].alias("first"))
+
+
+@query("SELECT p_partkey, 'el ' || split_part(p_name, ' ', 1) || 'or / ' || split_part(p_name, ' ', 1) || 'ora y ' || split_part(p_name, ' ', 2) || 'os / ' || split_part(p_name, ' ', 2) || 'as' AS es, split_part(p_name, ' ', 1) || 'or o ' || split_part(p_name, ' ', 1) || 'ora' AS ca FROM part")
+def gendered_endings(s, d):
+    words = F.split("p_name", " ")
+    es = F.concat(F.lit("el "), words[0], F.lit("or/a y "), words[1], F.lit("os/as"))
+    return V.table(s, d, "part").select("p_partkey", T.spanish_endings(es).alias("es"), T.catalan_endings(F.concat(words[0], F.lit("or/a"))).alias("ca"))

@@ -389,3 +389,86 @@ def test_mitigation_and_model_report(spark):
     wide = df.withColumns({f"m{i}": F.col("preds")[i] for i in range(3)})
     report = {r["model"]: r for r in search.model_report(wide, {"one": "m0", "two": "m1", "bad": "none"}, ["g"], "gold", 1).collect()}
     assert report["one"]["accuracy"] == 1 and report["two"]["statistical_parity"] == 1 and report["bad"]["error"] and report["bad"]["accuracy"] is None
+
+
+def test_pareto_fronts_of_three_objectives_are_brute_force(spark):
+    import random
+
+    r = random.Random(3)
+    rows = [(i, float(r.randrange(6)), float(r.randrange(6)), float(r.randrange(6))) for i in range(150)] + [(900, None, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "id long, x double, y double, z double")
+    better = lambda a, b: a[1] >= b[1] and a[2] >= b[2] and a[3] <= b[3] and a[1:] != b[1:]
+    left, expected, k = [x for x in rows if x[1] is not None], {900: None}, 0
+    while left:
+        now = [x for x in left if not any(better(o, x) for o in left)]
+        expected |= {x[0]: k for x in now}
+        left, k = [x for x in left if x not in now], k + 1
+    assert {x["id"]: x["front"] for x in pareto.fronts(df, ["x", "y", "z"], [True, True, False]).collect()} == expected
+    assert {x["id"] for x in pareto.front(df, ["x", "y", "z"], [True, True, False]).collect()} == {i for i, f in expected.items() if f == 0}
+
+
+def test_a_thousand_pareto_fronts(spark):
+    df = spark.range(3000).select("id", (F.col("id") % 1000).cast("double").alias("x"), (F.col("id") % 1000).cast("double").alias("y"))
+    got = pareto.fronts(df, ["x", "y"], [True, True])
+    assert got.where(F.col("front") != 999 - F.col("x")).count() == 0 and got.count() == 3000
+
+
+def test_fuzzy_matches_are_brute_force(spark):
+    import random
+    from difflib import SequenceMatcher
+
+    r = random.Random(4)
+    names = ["".join(r.choice("abz é") for _ in range(r.randint(1, 9))) for _ in range(60)]
+    a, b = set(names[:30]), set(names[25:])
+    got = {(x["entity"], x["person"]): x["ratio"] for x in sensors.fuzzy_matches(spark.createDataFrame([(x,) for x in a], "entity string"), spark.createDataFrame([(x,) for x in b], "person string")).collect()}
+    ratios = {(x, y): SequenceMatcher(None, y, x).ratio() for x in a for y in b}
+    assert got == {k: v for k, v in ratios.items() if v >= 0.6} and len(got) > 20
+
+
+def test_stratified_places_are_those_of_the_whole_stratum(spark):
+    df = spark.range(5000).select("id", (F.col("id") % 3).alias("g"), F.lit(None).cast("string").alias("h"))
+    split = sampling.stratified_split(df, "id", ["g", "h"], 0.25, seed=5)
+    counts = {r["g"]: (r["n"], r["t"]) for r in split.groupBy("g").agg(F.count("*").alias("n"), F.count_if(F.col("split") == "test").alias("t")).collect()}
+    assert counts == {g: (n, round(n * 0.25)) for g, (n, _) in counts.items()} and sum(n for n, _ in counts.values()) == 5000
+    hashed = split.withColumn("x", F.xxhash64(F.lit(5), "id")).groupBy("g").agg(F.max(F.when(F.col("split") == "test", F.col("x"))).alias("a"), F.min(F.when(F.col("split") == "train", F.col("x"))).alias("b"))
+    assert all(r["a"] < r["b"] for r in hashed.collect())
+
+
+def test_running_sums(spark):
+    df = spark.createDataFrame([([float(i % 7) for i in range(n)],) for n in (0, 1, 127, 128, 129, 400)], "v array<double>")
+    for r in df.select("v", bias.running_sums(F.col("v")).alias("s")).collect():
+        assert r["s"] == [sum(r["v"][:i]) for i in range(len(r["v"]) + 1)]
+
+
+def test_confidence_margin_is_the_t_interval(spark):
+    df = spark.createDataFrame([(float(x),) for x in (1, 2, 4, 7, 11)], "x double")
+    row = stats.confidence(df, "x").first()
+    assert row["n"] == 5 and near(row["margin"], 2.7764451051977934 * row["stdev"] / 5**0.5)
+    assert stats.confidence(df.limit(1), "x").first()["margin"] is None
+
+
+def test_sensors_of_a_replayed_search():
+    from paritas.operators import embedding
+
+    first = search.Choices(seed=3)
+    made, run = embedding.chosen(first), embedding.chosen_sensors(first, forced=["embedding"])
+    again = search.Choices(first.log)
+    assert embedding.chosen(again) == made and embedding.chosen_sensors(again, forced=["embedding"]) == run and "embedding" in run["sensors"]
+    with pytest.raises(ValueError):
+        embedding.Configuration(("words",), (), ())
+
+
+def test_tagged_tokens_and_own_lexicons_in_the_front_end(spark):
+    fields = "struct<text:string,lower:string,lemma:string,pos:string,gender:string,definite:string>"
+    tagged = {"a": [("He", "he", "he", "PRON"), (" ", " ", " ", "SPACE"), ("Runs", "runs", "run", "VERB"), ("Rome", "rome", "rome", "PROPN")]}
+    table = spark.createDataFrame([(1, [(*t, None, None) for t in tagged["a"]])], f"doc_id long, tokens array<{fields}>")
+    score = bias.BiasScore({"male": ["he"], "female": ["she"]}, bias.fixed(), tokens=lambda _: table.withColumn("par_id", F.lit(0)), tagged=True)
+    texts = spark.createDataFrame([(1, "x")], "doc_id long, text string")
+    assert {r["word"] for r in score.scores(texts).collect()} == {"he", "run", "Rome"}
+    own = spark.createDataFrame([(1, "female", "run")], "doc_id long, grp string, word string")
+    score = bias.BiasScore({"male": [], "female": []}, bias.fixed(), tokens=lambda _: table.withColumn("par_id", F.lit(0)), tagged=True, own_lexicons=own)
+    score.groups = ["male", "female"]
+    assert {r["word"]: r["discrete_female"] for r in score.scores(texts).collect()} == {"he": 1, "run": 1, "Rome": 1}
+    bad = spark.createDataFrame([(1, "other", "run")], "doc_id long, grp string, word string")
+    with pytest.raises(Exception, match="unknown group"):
+        bias.seeds_by_text(score.token_table(texts), bad, ["male", "female"]).collect()
