@@ -40,6 +40,8 @@ UNDETERMINED = "und"
 GRAMS, BUCKET_BITS = (1, 2, 3, 4), 14
 #: Bounds of the training sample: documents of a language, of all together, landmarks.  Each language has one of both at least.
 PER_LANGUAGE, SAMPLE, LANDMARKS = 200, 12_800, 240
+#: Candidates for a place in the sample, for each place.
+SPARE = 4
 RIDGE = 1e-3
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 _MULT = np.uint32(0x9E3779B1)
@@ -124,9 +126,13 @@ def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     """Presences and labels of the bounded training sample.  Ids and labels are ranked first; texts are read for the chosen only."""
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     narrow = labelled.select(F.col(id_col).cast("long").alias("__id"), F.col(lang_col).cast("string").alias("__lang"))
-    each = min(PER_LANGUAGE, max(1, SAMPLE // max(1, narrow.select("__lang").distinct().count())))
-    by_hash = Window.partitionBy("__lang").orderBy(F.xxhash64("__id"), "__id")
-    chosen = [r["__id"] for r in narrow.distinct().withColumn("__n", F.row_number().over(by_hash)).where(F.col("__n") <= each).select("__id").distinct().collect()]
+    ids = narrow.groupBy("__lang").agg(F.approx_count_distinct("__id").alias("__ids"))
+    each = min(PER_LANGUAGE, max(1, SAMPLE // max(1, ids.count())))
+    # of a language's ids those with a small hash, about SPARE times as many as are wanted, so that the ranking is over few rows
+    at = F.pmod(F.xxhash64("__id"), F.lit(1 << 40))
+    few = narrow.join(ids, "__lang").where(at * F.col("__ids") < F.lit(float(SPARE * each)) * F.lit(float(1 << 40))).select("__id", "__lang").distinct()
+    by_hash = Window.partitionBy("__lang").orderBy(at, "__id")
+    chosen = [r["__id"] for r in few.withColumn("__n", F.row_number().over(by_hash)).where(F.col("__n") <= each).select("__id").distinct().collect()]
     ddl = "__id long, __lang string, bits binary"
     schema = arrow_schema(ddl)
 
