@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paritas.llm.common import arrow_schema, batches_out, small_batches, text_batches
+from paritas.llm.common import arrow_schema, batches_out, small_batches, stored, text_batches
 
 UNDETERMINED = "und"
 GRAMS, BUCKET_BITS = (1, 2, 3, 4), 14
@@ -126,11 +126,11 @@ def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     """Presences and labels of the bounded training sample.  Ids and labels are ranked first; texts are read for the chosen only."""
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     narrow = labelled.select(F.col(id_col).cast("long").alias("__id"), F.col(lang_col).cast("string").alias("__lang"))
-    ids = narrow.groupBy("__lang").agg(F.approx_count_distinct("__id").alias("__ids"))
+    ids = stored(narrow.groupBy("__lang").agg(F.approx_count_distinct("__id").alias("__ids")))  # its size is then known: broadcast if small, so that narrow isn't dealt by language
     each = min(PER_LANGUAGE, max(1, SAMPLE // max(1, ids.count())))
     # of a language's ids those with a small hash, about SPARE times as many as are wanted, so that the ranking is over few rows
     at = F.pmod(F.xxhash64("__id"), F.lit(1 << 40))
-    few = narrow.join(ids, "__lang").where(at * F.col("__ids") < F.lit(float(SPARE * each)) * F.lit(float(1 << 40))).select("__id", "__lang").distinct()
+    few = narrow.join(ids, "__lang").where(at.cast("double") * F.col("__ids") < F.lit(float(SPARE * each)) * F.lit(float(1 << 40))).select("__id", "__lang").distinct()
     by_hash = Window.partitionBy("__lang").orderBy(at, "__id")
     chosen = [r["__id"] for r in few.withColumn("__n", F.row_number().over(by_hash)).where(F.col("__n") <= each).select("__id").distinct().collect()]
     ddl = "__id long, __lang string, bits binary"
