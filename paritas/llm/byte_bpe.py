@@ -10,7 +10,12 @@ the lowest rank, its bucket the leftmost position.  Entries that no longer match
 bytes takes O(n log n) at worst, so very long pieces are no special case.
 
 Pieces seen before are kept, as little-endian uint32 bytes, in a memory of at
-most ``MOST_PIECES`` per worker; when that is full, the half met first (the frequent ones) stays.  Decoding joins the bytes of the ids.
+most ``MOST_PIECES`` per worker; when that is full, the half met first (the frequent
+ones) stays.  Decoding joins the bytes of the ids.
+
+Defined results: null or empty texts have no ids; null ids are carried; equal ranks are
+taken from the left; texts of any length are encoded whole; equal rows get equal results;
+an empty table gives no rows.  Other columns aren't read, whatever their names.
 """
 
 from __future__ import annotations

@@ -8,7 +8,10 @@ the window.  No row is shuffled.  A document that crosses a boundary gives a
 piece for each window; the last window alone may be short.
 
 Defined results: null or empty texts are the end id alone; equal rows are packed
-once each; null ids are carried.  Other columns aren't read.
+once each; null ids are carried; a text of any length is tokenised whole and gives as
+many pieces as it needs; an empty table gives no rows.  The order of documents is that
+of the input's partitions, which ties and repeated ids don't change.  Other columns
+aren't read, whatever their names.
 """
 
 from __future__ import annotations

@@ -9,6 +9,11 @@ Block of ``BLOCK`` ids: minimum (uint32), width (uint8), exceptions (uint16), th
 differences to the minimum packed at the smallest width that holds
 ``PERCENTILE`` percent of them, then the exceptions' places (uint8) and their
 bits beyond the width (uint32).  The index lets any block be read alone.
+
+Defined results: null or empty texts are the end id alone; null ids come first and are
+read back as null; equal ids follow each other by text, equal rows are written once
+each; a text of any length is whole in one file; an empty table gives no files and no
+rows.  Other columns aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paritas.llm.common import arrow_schema, batches_out, shared_folder, small_batches, stored, text_batches
+from paritas.llm.common import arrow_schema, batches_out, partitions, shared_folder, small_batches, stored, text_batches
 from paritas.llm.word_ids import encoder
 
 MAGIC = b"PFORIDS1"
@@ -167,7 +172,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
     spark = docs.sparkSession
     small_batches(spark)
     schema = arrow_schema(WRITTEN)
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    parts = partitions(docs)
     ranged = docs.select(docs[id_col].cast("long").alias("__id"), F.coalesce(docs[text_col], F.lit("")).alias("__text")).repartitionByRange(parts, "__id").sortWithinPartitions("__id", "__text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -16,7 +16,10 @@ Components are found by :mod:`paritas.llm.components`.
 
 Defined results: null, empty or blank text has fingerprint zero, which links like
 any other; a component's id is the smallest non-null id in it (null if it has
-none); each row gets a result, rows of one id each their own.
+none); each row gets a result, rows of one id each their own, equal rows equal ones; a
+bit set in exactly half of the hashes is 0; texts of any length are read whole; an empty
+table gives no rows.  Other columns aren't read (by the stage carried), whatever their
+names.
 
 The pipeline's stage (:func:`one_of_each_group`) has another rule: five-word shingles
 with a Jaccard similarity of 0.8 or more.  Such pairs differ in about ten bits of a
@@ -35,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paritas.llm.common import arrow_schema, batches_out, small_batches, stored, text_batches, wide_hash
+from paritas.llm.common import arrow_schema, batches_out, partitions, small_batches, stored, text_batches, wide_hash
 from paritas.llm.components import components
 
 SHINGLE, SEED, MAX_BITS = 4, 42, 4
@@ -122,7 +125,7 @@ def links(distinct_fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     ddl = "a long, b long"
     schema = arrow_schema(ddl)
     posted = distinct_fps.select("fp", F.explode(_triple_keys(F.col("fp"))).alias("key"))
-    parts = int(posted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = partitions(distinct_fps)
     listed = posted.repartition(parts, "key").sortWithinPartitions("key", "fp").select("key", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,7 +245,7 @@ def candidates(nodes: DataFrame) -> DataFrame:
     ddl = "a long, b long"
     schema = arrow_schema(ddl)
     posted = nodes.select(F.explode("bands").alias("key"), "node", "fp")
-    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = partitions(nodes)
     listed = posted.repartition(parts, "key").sortWithinPartitions("key", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -392,3 +392,17 @@ def test_language_id_learns_the_same_from_repeated_ids(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     one, two = (language_id.sample(docs.repartition(k)) for k in (1, 7))
     assert (one[0] == two[0]).all() and one[1] == two[1] and len(one[1]) == len({(i, x) for i, _, x in rows if x and zlib.crc32(str(i).encode()) % 4 != 2})
+
+
+def test_very_long_texts_go_through_whole(spark):
+    """Beyond the bytes of a batch (4 MB) and of a piece (2 ** 22)."""
+    r = random.Random(10)
+    long = " ".join(f"{r.randrange(10**9):09d}" for _ in range(520_000))
+    at = suffix_dedup.PIECE - 150
+    rows = [(1, long, "x"), (2, long[at : at + 300] + " end", "x"), (3, None, "x"), (4, "short", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `key` string").repartition(2)
+    got = {x["doc_id"]: tuple(x)[1:4] for x in suffix_dedup.without_repeats(docs).collect()}
+    assert got == {1: (len(long), 0, 0), 2: (304, 300, 1), 3: (0, 0, 0), 4: (5, 0, 0)}
+    assert {x["doc_id"]: x["n_words"] for x in quality.quality_rules(docs).collect()} == {1: 520_000, 2: len(rows[1][1].split()), 3: 0, 4: 1}
+    assert {x["row"]["doc_id"]: x["kept_text"] for x in line_dedup.dedup_lines(docs).collect()} == {i: t or "" for i, t, _ in rows}
+    assert {x["doc_id"]: x["component_id"] for x in simhash.near_duplicates(docs).collect()} == {1: 1, 2: 2, 3: 3, 4: 4}
