@@ -200,6 +200,30 @@ def test_simhash_stage_long_lists_and_chains(spark):
     assert {x["doc_id"] for x in simhash.one_of_each_group(docs).collect()} == {0, 100}
 
 
+@pytest.mark.parametrize("tree", [2048, 9])
+def test_simhash_stage_loses_no_link_of_a_long_list(spark, monkeypatch, tree):
+    monkeypatch.setattr(simhash, "TREE", tree)
+    monkeypatch.setattr(simhash, "SHARED", min(tree // 4, 32))
+    r = random.Random(14)
+    rows = []
+    for group in range(6):  # edits of one text, about as many pairs above the similarity as below
+        words = [f"g{group}w{k}" for k in range(200)]
+        for k in range(40):
+            edited = list(words)
+            for at in r.sample(range(200), r.randint(2, 7) if k % 4 else r.randint(6, 9)):
+                edited[at] = f"e{r.randrange(10**6)}"
+            rows.append((100 * group + k, " ".join(edited)))
+    sets = {d: {tuple(t.split()[i : i + 5]) for i in range(196)} for d, t in rows}
+    least = {}
+    for d in sets:  # in ascending order
+        near = {least[o] for o in least if o // 100 == d // 100 and 5 * len(sets[d] & sets[o]) >= 4 * len(sets[d] | sets[o])}
+        least[d] = min(near, default=d)
+        least = {o: least[d] if root in near else root for o, root in least.items()}
+    kept = {x["doc_id"] for x in simhash.one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == set(least.values())
+    assert len(kept) > 12
+
+
 def test_simhash_stage_judges_rows_not_ids(spark):
     r = random.Random(13)
     prose = lambda: " ".join(f"w{r.randrange(10**6)}" for _ in range(60))
