@@ -308,36 +308,51 @@ def candidates(nodes: DataFrame) -> DataFrame:
 
 
 def alike(x: str, y: str) -> Column:
-    """Whether two nodes of a list may be similar, by the sizes of their sets and the low bits of their MinHash values."""
+    """Whether two nodes of a list may be similar, by the sizes of their sets, the number of shingles that each shares with any
+    other node (the most that they can have in common) and the low bits of their MinHash values."""
     n, m = F.col(f"{x}.size"), F.col(f"{y}.size")
     differ = [F.get(f"{x}.bits", i).bitwiseXOR(F.get(f"{y}.bits", i)) for i in range(2 * _WORDS)]
     unlike = sum((F.bit_count(differ[i].bitwiseOR(differ[i + _WORDS])) for i in range(_WORDS)), F.lit(0))
-    return (SIMILAR[1] * F.least(n, m) >= SIMILAR[0] * F.greatest(n, m)) & (unlike <= UNLIKE)
+    whole = SIMILAR[0] + SIMILAR[1]
+    enough = whole * F.least(f"{x}.common", f"{y}.common") >= SIMILAR[0] * (n + m)
+    return (SIMILAR[1] * F.least(n, m) >= SIMILAR[0] * F.greatest(n, m)) & enough & (unlike <= UNLIKE)
 
 
-def crossing(nodes: DataFrame, crowded: DataFrame, roots: DataFrame) -> DataFrame:
-    """Distinct pairs a < b that share a list of crowded (key), lie in different components and are alike.
+def similar(x: Column, y: Column) -> Column:
+    """Whether two arrays of distinct values reach the similarity, in whole numbers."""
+    both = F.size(F.array_intersect(x, y))
+    return SIMILAR[1] * both >= SIMILAR[0] * (F.size(x) + F.size(y) - both)
+
+
+def alone(held: DataFrame) -> DataFrame:
+    """From (node, held): node, and how many of its shingles no other node holds, where there are any."""
+    once = held.select("node", F.explode("held").alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")).where("n = 1")
+    return once.groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
+
+
+def crossing(docs: DataFrame, text_col: str, nodes: DataFrame, crowded: DataFrame, roots: DataFrame) -> DataFrame:
+    """Similar pairs (a, b) that share a list of crowded (key) and lie in different components.
 
     Only lists that aren't one component are looked at, and in each the members outside its
     largest component against the others; a join on the list, so AQE can split a long one.
+    The shingles are compared in the join, in the first list that a pair shares, so it gives
+    links and no candidates.  (If that list is a short one, the pair has been verified.)
     """
     members = nodes.select(F.explode("bands").alias("key"), "node").join(crowded, "key").join(roots, "node", "left")
     members = stored(members.select("key", "node", F.coalesce("root", "node").alias("root")))
     sizes = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
     mixed = sizes.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "largest")
-    dealt = stored(members.join(mixed, "key").join(nodes.select("node", "bits", "size"), "node"))
+    members = stored(members.join(mixed, "key"))
+    held = _held(docs, text_col, nodes.join(members.select("node").distinct(), "node", "left_semi"))
+    known = nodes.select("node", "bands", "bits", "size").join(alone(held), "node", "left").withColumn("common", F.col("size") - F.coalesce("alone", F.lit(0)))
+    # what two similar sets share is four fifths of each, or more
+    known = known.drop("alone").where(SIMILAR[1] * F.col("common") >= SIMILAR[0] * F.col("size")).join(held, "node")
+    dealt = stored(members.join(known, "node"))
     x, y = dealt.where("root != largest").alias("x"), dealt.alias("y")
-    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & alike("x", "y"))
-    return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-
-
-def similar(a: bytes, b: bytes) -> bool:
-    """Whether two stored shingle sets reach the similarity, in whole numbers."""
-    x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
-    if SIMILAR[1] * min(len(x), len(y)) < SIMILAR[0] * max(len(x), len(y)):
-        return False
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return SIMILAR[1] * both >= SIMILAR[0] * (len(x) + len(y) - both)
+    apart = (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.largest")) | (F.col("x.node") < F.col("y.node")))
+    first = F.get(F.array_intersect("x.bands", "y.bands"), 0) == F.col("x.key")
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & apart & alike("x", "y") & first & similar(F.col("x.held"), F.col("y.held")))
+    return stored(met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
 
 
 def _sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -356,29 +371,26 @@ def _sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(docs[id_col].cast("long").alias("doc_id"), h1.alias("h1"), h2.alias("h2"), docs[text_col].alias("__text")).mapInArrow(run, ddl)
 
 
-def _verified(docs: DataFrame, text_col: str, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs whose shingle sets, read again from one text of each node, are similar."""
-    set_ddl, pair_ddl = "node long, held binary", "a long, b long"
-    set_schema, pair_schema = arrow_schema(set_ddl), arrow_schema(pair_ddl)
+def _held(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
+    """node, held (its shingle set) of the wanted nodes, read again from one text of each."""
+    ddl = "node long, held array<long>"
+    schema = pa.schema([("node", pa.int64()), ("held", pa.list_(pa.int64()))])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, texts in text_batches(batch, "__text"):
-                yield batches_out({"node": rows.column("node"), "held": [shingles(t).astype("<u8").tobytes() for t in texts]}, set_schema)
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = batch.column("x"), batch.column("y")
-            keep = pa.array([similar(x[i].as_py(), y[i].as_py()) for i in range(batch.num_rows)], pa.bool_())
-            yield batch.select(["a", "b"]).filter(keep).cast(pair_schema)
+                yield batches_out({"node": rows.column("node"), "held": [shingles(t).view(np.int64) for t in texts]}, schema)
 
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes, "node").select("node", "text_hash.*")
     h1, h2 = wide_hash(docs[text_col])
-    texts = docs.select(h1.alias("h1"), h2.alias("h2"), docs[text_col].alias("__text")).join(wanted, ["h1", "h2"]).select("node", "__text")
-    held = stored(texts.mapInArrow(sets, set_ddl).dropDuplicates(["node"]))
+    texts = docs.select(h1.alias("h1"), h2.alias("h2"), docs[text_col].alias("__text")).join(wanted.select("node", "text_hash.*"), ["h1", "h2"]).select("node", "__text")
+    return stored(texts.mapInArrow(sets, ddl).dropDuplicates(["node"]))
+
+
+def _verified(held: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs whose shingle sets are similar."""
     first = held.select(F.col("node").alias("a"), F.col("held").alias("x"))
     second = held.select(F.col("node").alias("b"), F.col("held").alias("y"))
-    return stored(pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(judge, pair_ddl))
+    return stored(pairs.join(first, "a").join(second, "b").where(similar(F.col("x"), F.col("y"))).select("a", "b"))
 
 
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -397,11 +409,12 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows = stored(_sketched(docs, id_col, text_col))
     nodes = stored(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("size").alias("size"), F.first("bits").alias("bits"), F.min(F.struct("h1", "h2")).alias("text_hash")))
     picked = stored(candidates(nodes))
-    roots = components(_verified(docs, text_col, nodes, stored(picked.select("a", "b").distinct())))
-    apart = stored(crossing(nodes, picked.where("key is not null").select("key").distinct(), roots))
+    pairs = stored(picked.select("a", "b").distinct())
+    held = _held(docs, text_col, nodes.join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node", "left_semi"))
+    roots = components(_verified(held, pairs))
+    apart = crossing(docs, text_col, nodes, picked.where("key is not null").select("key").distinct(), roots)
     if not apart.isEmpty():
-        found = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-        roots = components(found.union(_verified(docs, text_col, nodes, apart)))
+        roots = components(apart.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     one = nodes.select("node", "least")
     labelled = roots.union(roots.select("root", "root").distinct()).join(one, "node")
     smallest = labelled.groupBy("root").agg(F.min("least").alias("component"))
