@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from paritas.llm.common import arrow_schema, batches_out, small_batches, text_batches
 
 #: Pieces kept per Python worker (about 200 bytes each), and the longest one kept.
-MOST_PIECES, LONGEST_KEPT = 500_000, 64
+MOST_PIECES, LONGEST_KEPT = 1_000_000, 64
 BIT = [1 << i for i in range(256)]
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -62,6 +62,7 @@ class ByteBPE(dict):
         if n == 2:
             return [self.ranks[piece[:1]], self.ranks[piece[1:]]]
         get, words, top, buckets = self.ranks.get, self.words, 0, {}
+        enter = buckets.setdefault
         after = list(range(1, n + 1))  # start of the next symbol; a symbol at i is piece[i:after[i]]
         before = list(range(-1, n - 1))
         pair = [get(piece[i : i + 2]) for i in range(n - 1)]  # rank of the symbol at i with the next
@@ -69,12 +70,12 @@ class ByteBPE(dict):
         fresh = [(r, i) for i, r in enumerate(pair) if r is not None]
         while True:
             for rank, at in fresh:
-                if rank not in buckets:
-                    buckets[rank] = at
+                held = enter(rank, at)
+                if held == at:
                     word = rank >> 8
                     words[word] |= BIT[rank & 255]
                     top |= 1 << word
-                elif isinstance(held := buckets[rank], list):
+                elif type(held) is list:
                     heappush(held, at)
                 else:
                     buckets[rank] = [held, at] if held < at else [at, held]
@@ -86,10 +87,11 @@ class ByteBPE(dict):
             low = bits & -bits
             rank = (word << 8) + low.bit_length() - 1
             i = buckets[rank]
-            if isinstance(i, list) and len(i) > 1:
+            if type(i) is list and len(i) > 1:
                 i = heappop(i)
             else:
-                i = i[0] if isinstance(i, list) else i
+                if type(i) is list:
+                    i = i[0]
                 del buckets[rank]
                 words[word] = bits = bits ^ low
                 if not bits:
