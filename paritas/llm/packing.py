@@ -50,7 +50,6 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int = END_ID, id_col: str
                 starts = before + np.cumsum(counts) - counts
                 before += int(counts.sum())
                 yield batches_out({"part": [part] * len(ids), "local_start": starts, "doc_id": rows.column("__id"), "n_tokens": counts, "ids": ids}, schema)
-        words.clear()  # a worker that waits keeps the vocabulary only
 
     return stored(docs.select(docs[id_col].cast("long").alias("__id"), docs[text_col].alias("__text")).mapInArrow(run, TOKENISED))
 

@@ -203,7 +203,6 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
                     held += len(ids) // 4 + 1
         if blobs:
             yield flush()
-        words.clear()  # a worker that waits keeps the vocabulary only
 
     return stored(ranged.mapInArrow(run, WRITTEN))
 

@@ -4,7 +4,8 @@ The tokenizer drops white space and no piece of its pattern crosses it, so a
 text's ids are those of its runs of non-space bytes, one after another.  Each
 distinct run is encoded once and kept, as little-endian uint32 bytes, in a memory
 of at most ``MOST_WORDS`` runs per worker; when that is full, the half that was
-met first (it holds the frequent words) stays.
+met first (it holds the frequent words) stays.  A run of several pieces, such as a
+word and a stop, takes each piece from that memory.  A worker keeps it from task to task.
 
 A run is encoded by the library.  Printable Latin-1 runs skip its normaliser and
 splitter, which there come to lower case and the splitter's own pattern, and go
@@ -67,11 +68,14 @@ class WordEncoder(dict):
         if not text.isprintable() or "<|" in text or not (text.isascii() or max(text) < "Ā"):
             return array("I", self.full.encode(text, add_special_tokens=False).ids).tobytes()
         text = text.lower()
-        pieces = [text] if text.isalpha() else self.pieces(text)
+        if not text.isalpha():
+            pieces = self.pieces(text)
+            if len(pieces) > 1:
+                return b"".join([self[piece.encode()] for piece in pieces])
+            text = "".join(pieces)
         if not text.isascii():
-            pieces = [p.encode().decode("latin-1").translate(self.letters) for p in pieces]
-        tokenize = self.model.tokenize
-        return array("I", [token.id for piece in pieces for token in tokenize(piece)]).tobytes()
+            text = text.encode().decode("latin-1").translate(self.letters)
+        return array("I", [token.id for token in self.model.tokenize(text)]).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian uint32 bytes."""
