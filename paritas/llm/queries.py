@@ -78,6 +78,12 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paritas.llm.phrases import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op6 without the model's verdicts, which SQL can't express."""
     out = op6_url_filter(spark, sf_dir)
@@ -107,6 +113,27 @@ FROM (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(u
 WORD_SQL = r"[^\x20\x09-\x0D]+"
 
 ORACLE = {
+    "op11_phrases": r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+split AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+grams AS (
+  SELECT lang, size, g, count(*)::HUGEINT AS a
+  FROM (SELECT lang, size, array_to_string(w[i : i + size - 1], ' ') AS g FROM (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM split, (VALUES (1), (2), (3), (4)) sizes(size) WHERE len(w) >= size))
+  GROUP BY ALL),
+totals AS (SELECT lang, sum(a)::BIGINT AS n FROM grams WHERE size = 1 GROUP BY lang),
+often AS (SELECT lang, size, g, string_split(g, ' ') AS w, a FROM grams WHERE a >= 30),
+cuts AS (SELECT lang, g, a, k, array_to_string(w[1:k], ' ') AS x, array_to_string(w[k + 1:], ' ') AS y FROM (SELECT *, unnest(range(1, size)) AS k FROM often WHERE size > 1)),
+scored AS (SELECT c.lang, c.g, c.a, k, p.a AS l, q.a AS r, (2000000 * c.a) // (p.a + q.a) AS score FROM cuts c JOIN often p ON p.lang = c.lang AND p.g = x JOIN often q ON q.lang = c.lang AND q.g = y),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+inner_ AS (
+  SELECT lang, array_to_string(w[i : i + m - 1], ' ') AS g, max(a) AS longer
+  FROM (SELECT lang, w, a, m, unnest(range(1, size - m + 2)) AS i FROM often, (VALUES (2), (3)) lengths(m) WHERE size > m) GROUP BY ALL),
+ranked AS (
+  SELECT s.lang, s.g AS phrase, s.a, l, r, score, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, s.a DESC, s.g) AS rank
+  FROM lowest s LEFT JOIN inner_ i ON i.lang = s.lang AND i.g = s.g WHERE longer IS NULL OR 100 * longer < 80 * s.a)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+""",
     "op1_line_dedup": f"""
 WITH lines AS (
   SELECT doc_id, unnest(range(len(l))) AS pos, unnest(l) AS line
