@@ -84,6 +84,18 @@ def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paritas.llm.ranked_search import search
+
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paritas.llm.jaccard_join import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op6 without the model's verdicts, which SQL can't express."""
     out = op6_url_filter(spark, sf_dir)
@@ -194,6 +206,39 @@ WITH cut AS ({URL_SQL}), marked AS (SELECT page_id, '^' || host || path || '$' A
 grams AS (SELECT page_id, n, substr(u, i::BIGINT, n) AS g FROM (SELECT page_id, n, u, unnest(range(1, length(u) - n + 2)) AS i FROM marked, (VALUES (3), (4), (5)) lengths(n)))
 SELECT page_id, count(DISTINCT g) FILTER (WHERE n = 3) AS grams_3, count(DISTINCT g) FILTER (WHERE n = 4) AS grams_4, count(DISTINCT g) FILTER (WHERE n = 5) AS grams_5
 FROM marked LEFT JOIN grams USING (page_id) GROUP BY page_id
+""",
+    "op12_ranked_search": r"""
+WITH words AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+docs AS (SELECT * FROM words WHERE len(w) > 0),
+corpus AS (SELECT count(*) AS n_docs, sum(len(w))::BIGINT AS n_terms FROM docs),
+asked AS (
+  SELECT q, item_id, term, count(*) AS k FROM (
+    SELECT q, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM (SELECT row_number() OVER () AS q, item_id, text FROM benchmark)) GROUP BY ALL),
+tf AS (
+  SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, len(w) AS n, unnest(w) AS term FROM docs)
+  WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+weight AS (SELECT term, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)::DOUBLE))::BIGINT AS weight FROM tf, corpus GROUP BY term, n_docs),
+scores AS (
+  SELECT q, item_id, r, doc_id, sum(k * weight * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms))))::BIGINT AS score
+  FROM asked JOIN weight USING (term) JOIN tf USING (term), corpus GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 10
+""",
+    "op13_jaccard_join": r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_sort(list_distinct(list_transform(range(1, greatest(len(w) - 3, 2)), lambda i: array_to_string(w[i : i + 4], ' ')))) END AS s FROM split),
+nodes AS (SELECT md5(array_to_string(s, chr(10))) AS node, any_value(s) AS s, min(doc_id) AS least FROM sets WHERE len(s) > 0 GROUP BY 1),
+items AS (SELECT node, least, len(s) AS size, unnest(s) AS shingle FROM nodes),
+links AS (
+  SELECT x.least AS a, y.least AS b FROM items x JOIN items y ON x.shingle = y.shingle AND x.node <> y.node AND 5 * least(x.size, y.size) >= 4 * greatest(x.size, y.size)
+  GROUP BY x.node, y.node, x.least, y.least, x.size, y.size HAVING 9 * count(*) >= 4 * (x.size + y.size)),
+reached AS (SELECT least AS a, least AS b FROM nodes UNION SELECT r.a, l.b FROM reached r JOIN links l ON l.a = r.b),
+lowest AS (SELECT a, min(b) AS component FROM reached GROUP BY a)
+SELECT doc_id, len(sets.s)::BIGINT AS n_shingles, coalesce(component, doc_id) AS component_id
+FROM sets LEFT JOIN nodes ON len(sets.s) > 0 AND node = md5(array_to_string(sets.s, chr(10))) LEFT JOIN lowest ON a = least
 """,
     "op3_top_k": """
 WITH clean AS (
