@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DISCRETE = 0.05
@@ -288,8 +288,8 @@ def match_summary(matches: DataFrame, groups: Sequence[str]) -> DataFrame:
     return matches.groupBy("word", "pos").agg(*[F.coalesce(F.first(F.when(F.col("grp") == g, F.array_sort("matches")), ignorenulls=True), none).alias(f"matches_{g}") for g in groups])
 
 
-def concordance(tokens: DataFrame, lexicon, context=None, before: int = 3, after: int = 2) -> DataFrame:
-    """Per word, part of speech and group: the set of highlighted snippets around (seed, word) pairs over the discrete threshold."""
+def snippets(tokens: DataFrame, lexicon, context=None, before: int = 3, after: int = 2) -> DataFrame:
+    """word, pos, grp, match: a row for each distinct highlighted snippet around (seed, word) pairs over the discrete threshold."""
     width, weight = context or continual()
     seeded = seeds(tokens, lexicon).where("agrees")
     start = F.greatest(F.col("centre") - width, F.lit(0))
@@ -301,7 +301,24 @@ def concordance(tokens: DataFrame, lexicon, context=None, before: int = 3, after
     marked = lambda i: F.concat(F.get("tokens", i)["word"], F.lit("->"), F.get("tokens", i)["word"], F.lit(":"), F.get("tokens", i)["pos"])
     core = F.when(low == high, F.concat(F.lit("«"), marked(low), F.lit("»"))).otherwise(F.concat(F.lit("[["), marked(low), F.lit("]] "), words(low + 1, high - low - 1), F.lit(" [["), marked(high), F.lit("]]")))
     snippet = F.concat(F.when(low - before > 0, "... ").otherwise(""), words(F.greatest(low - before, F.lit(0)), F.least(low, F.lit(before))), F.lit(" "), core, F.lit(" "), words(high + 1, F.lit(after)), F.when(high + before < n, " ...").otherwise(""))
-    return near.groupBy(F.col("token.word").alias("word"), F.col("token.pos").alias("pos"), "grp").agg(F.collect_set(snippet).alias("matches"))
+    return near.select(F.col("token.word").alias("word"), F.col("token.pos").alias("pos"), "grp", snippet.alias("match")).distinct()
+
+
+def concordance(tokens: DataFrame, lexicon, context=None, before: int = 3, after: int = 2, most: int | None = None) -> DataFrame:
+    """Per word, part of speech and group: the set of snippets, and n, how many there are.
+
+    A frequent word's set may be as large as the corpus: with `most`, sets hold that many of their snippets at most, those
+    that sort first, and n says how many there are; :func:`snippets` has them all as rows.
+    """
+    found = snippets(tokens, lexicon, context, before, after)
+    keys = ["word", "pos", "grp"]
+    if most is not None:
+        order = Window.partitionBy(*keys).orderBy("match")
+        first = found.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= most).groupBy(*keys).agg(F.collect_list("match").alias("matches"))
+        return found.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).join(first, keys).select(*keys, "matches", "n")
+    return found.groupBy(*keys).agg(F.collect_list("match").alias("matches"), F.count(F.lit(1)).alias("n"))
+
+
 
 
 def keyword_coverage(words: DataFrame, concepts: DataFrame, gendered: DataFrame, stems: DataFrame | None = None) -> DataFrame:

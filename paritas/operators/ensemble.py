@@ -31,10 +31,10 @@ def majority_vote(preds: Column, preferred=None) -> Column:
     return F.when(_votes(preds, F.lit(preferred)) >= best["n"], F.lit(preferred)).otherwise(best["label"])
 
 
-def scored_vote(preds: Column, scores: Sequence[float], maximize: bool = True) -> Column:
+def scored_vote(preds: Column, scores: Sequence[float] | Column, maximize: bool = True) -> Column:
     """Majority vote; ties go to the label with the best score of a classifier that chose it, then to the first met."""
     sign = 1.0 if maximize else -1.0
-    known = F.array(*[F.lit(sign * s) for s in scores])
+    known = F.transform(scores, lambda s: s * sign) if isinstance(scores, Column) else F.array(*[F.lit(sign * s) for s in scores])
 
     def key(v: Column) -> Column:
         own = F.zip_with(preds, known, lambda p, s: F.when(p == v, s))
@@ -77,6 +77,78 @@ def encode_labels(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return out.withColumns({n: F.col(n).cast("long") for n in names})
 
 
+def fourier_frequencies(n_features: int, n: int, gamma: float, seed: int = 0) -> tuple[list[list[float]], list[float]]:
+    """Seeded frequencies and phases of n random Fourier features of the Gaussian kernel exp(-gamma * |x - y|**2)."""
+    import numpy as np
+
+    if n < 1 or gamma <= 0:
+        raise ValueError("n and gamma must be positive")
+    r = np.random.default_rng(seed)
+    return (r.normal(size=(n, n_features)) * (2 * gamma) ** 0.5).tolist(), r.uniform(0, 2 * np.pi, n).tolist()
+
+
+def fourier_features(features: Sequence[str], n: int = 256, gamma: float = 1.0, seed: int = 0) -> Column:
+    """An array of n numbers whose inner products are the Gaussian kernel of the features, within about 1 / sqrt(n).
+
+    Features should be of like scale; a null counts as 0.
+    """
+    import numpy as np
+
+    frequencies, phases = fourier_frequencies(len(features), n, gamma, seed)
+    flat, shift = F.lit(np.array(frequencies).ravel()), F.lit(np.array(phases))
+    x = [F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features]
+
+    def one(k: Column) -> Column:
+        along = sum((F.get(flat, k * len(x) + j) * v for j, v in enumerate(x)), F.get(shift, k))
+        return F.cos(along) * (2 / n) ** 0.5
+
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), one)
+
+
+class KernelSVC:
+    """Support vectors with a Gaussian kernel: a linear machine over random Fourier features.
+
+    Labels are any two values; with more, one machine for each against the rest, the greatest margin wins.
+    """
+
+    def __init__(self, features: Sequence[str], n: int = 256, gamma: float = 1.0, seed: int = 0, **options):
+        self.features, self.mapped, self.options = list(features), fourier_features(features, n, gamma, seed), options
+        self.labels: list = []
+        self.models: list = []
+
+    def _vectors(self, df: DataFrame) -> DataFrame:
+        from pyspark.ml.functions import array_to_vector
+
+        return df.withColumn("__features", array_to_vector(self.mapped))
+
+    def fit(self, df: DataFrame, gold: str) -> KernelSVC:
+        """Learns from the rows with a label."""
+        known = df.where(F.col(gold).isNotNull())
+        self.labels = [r[0] for r in known.select(gold).distinct().orderBy(gold).limit(101).collect()]
+        if not 2 <= len(self.labels) <= 100:
+            raise ValueError(f"{len(self.labels)} labels: there must be 2 to 100")
+        rows = self._vectors(known).persist()
+        try:
+            for label in self.labels[1:] if len(self.labels) == 2 else self.labels:
+                one = rows.withColumn("__gold", (F.col(gold) == F.lit(label)).cast("double"))
+                self.models.append(base_model("svc", featuresCol="__features", labelCol="__gold", **self.options).fit(one))
+        finally:
+            rows.unpersist()
+        return self
+
+    def predict(self, df: DataFrame, name: str = "prediction") -> DataFrame:
+        """df with the predicted label."""
+        along = lambda m: F.aggregate(F.zip_with("__x", F.lit(m.coefficients.toArray()), lambda x, w: x * w), F.lit(float(m.intercept)), lambda total, x: total + x)
+        margins = [along(m) for m in self.models]
+        out = df.withColumn("__x", self.mapped)
+        if len(self.labels) == 2:
+            said = F.when(margins[0] > 0, F.lit(self.labels[1])).otherwise(F.lit(self.labels[0]))
+        else:
+            scores = F.array(*margins)
+            said = F.get(F.array(*map(F.lit, self.labels)), (F.array_position(scores, F.array_max(scores)) - 1).cast("int"))
+        return out.withColumn(name, said).drop("__x")
+
+
 def base_model(kind: str, **options):
     """Decision tree, logistic regression or linear support vectors as a pyspark.ml estimator."""
     from pyspark.ml.classification import DecisionTreeClassifier, LinearSVC, LogisticRegression

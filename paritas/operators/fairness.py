@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 METRICS = ("accuracy_disparity", "statistical_parity", "equal_opportunity", "false_positive_rate", "equalized_odds", "representation_disparity")
 WEIGHT, MARK = "__weight", "__mark"
+#: Target values that by_target_value takes in turn.
+MOST_TARGETS = 100
 
 
 def exploded(df: DataFrame, attrs: Sequence[str]) -> DataFrame:
@@ -191,11 +193,13 @@ def coerced(df: DataFrame, predictions: DataFrame, row_id: str = "row_id", predi
 def by_target_value(df: DataFrame, joined: str, target: str, metrics: Sequence[str] = ("statistical_parity", "representation_disparity"), values: Sequence | None = None, ndigits: int | None = 3) -> DataFrame:
     """target value, metric, value: fairness of a table whose groups are joined by ' & ', with each value of the target in turn as the positive one.
 
-    Without values, all that occur are taken: the distinct values of the target, few by nature.
+    Without values, all that occur are taken; more than MOST_TARGETS raise ValueError, since each makes eight sums.
     """
     from paritas.functions.text import split_groups
 
-    each = values if values is not None else [r[0] for r in df.select(target).distinct().where(F.col(target).isNotNull()).orderBy(target).collect()]
+    each = values if values is not None else [r[0] for r in df.select(target).distinct().where(F.col(target).isNotNull()).orderBy(target).limit(MOST_TARGETS + 1).collect()]
+    if len(each) > MOST_TARGETS:
+        raise ValueError(f"more than {MOST_TARGETS} target values")
     groups = df.select(target, F.when(F.col(joined).isNotNull(), split_groups(F.col(joined))).alias("__g"))
     pieces = exploded(groups, ["__g"])
     counts = pieces.groupBy("__g").agg(F.array(*[F.struct(F.lit(v).cast("string").alias("positive"), *count_columns(pieces, target, F.col(target), v)) for v in each]).alias("__c"))

@@ -72,8 +72,10 @@ def expected_in(df: DataFrame, values: Sequence[str], expected: str = "expected"
 
 def quartiles(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Least, quartiles (interpolated) and greatest value per group, for box plots."""
-    cut = F.percentile(value, [0.25, 0.5, 0.75])
-    return df.groupBy(*keys).agg(F.min(value).alias("low"), cut.alias("__q"), F.max(value).alias("high")).select(*keys, "low", F.col("__q")[0].alias("q1"), F.col("__q")[1].alias("median"), F.col("__q")[2].alias("q3"), "high")
+    from paritas.operators.quantiles import quantiles
+
+    found = quantiles(df, keys, value, [0.25, 0.5, 0.75])
+    return found.select(*keys, "low", *[F.col("quantiles")[i].alias(n) for i, n in enumerate(("q1", "median", "q3"))], "high")
 
 
 def feasible(df: DataFrame, accuracy: str = "accuracy", gap: str = "gap", least: float = 0.7, most: float = 0.15) -> DataFrame:

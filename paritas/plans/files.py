@@ -54,15 +54,15 @@ def read_adult(s, d):
     return readers.adult(s, train, test).select("age", "workclass", "sex", F.col("capital-gain").alias("gain"), "income", "split")
 
 
-_CODES = {f"A{i}": f"kind {i}" for i in range(0, 25, 2)}
+_WORTH = ["A61", "A62", "A63", "A64", "A65", "A66"]
 
 
-@query("SELECT CASE WHEN c_nationkey % 2 = 0 THEN 'kind ' || c_nationkey END AS purpose, c_custkey AS duration, (c_custkey % 70)::BIGINT AS age, CASE WHEN c_acctbal > 0 THEN 'good' ELSE 'bad' END AS risk FROM customer")
+@query("SELECT (['... < 100 DM', '100 <= ... < 500 DM', '500 <= ... < 1000 DM', '.. >= 1000 DM', 'unknown/ no savings account', NULL])[c_nationkey % 6 + 1] AS savings, c_custkey AS months, (c_custkey % 70)::BIGINT AS age, CASE WHEN c_acctbal > 0 THEN 'good' ELSE 'bad' END AS risk FROM customer")
 def read_german(s, d):
-    code = F.concat(F.lit("A"), F.col("c_nationkey").cast("string"))
-    cells = [F.col("c_custkey").cast("string") if n == "duration" else (F.col("c_custkey") % 70).cast("string") if n in readers.GERMAN_NUMBERS else code for n in readers.GERMAN_COLUMNS]
+    code = F.get(F.array(*map(F.lit, _WORTH)), (F.col("c_nationkey") % 6).cast("int"))
+    cells = [F.col("c_custkey").cast("string") if n == "duration in month" else (F.col("c_custkey") % 70).cast("string") if n in readers.GERMAN_NUMBERS else code for n in readers.GERMAN_COLUMNS]
     path = _lines(V.table(s, d, "customer"), "german.data", *cells, F.when(F.col("c_acctbal") > 0, "1").otherwise("2"), separator=" ")
-    return readers.german(s, path, _CODES).select("purpose", "duration", "age", "risk")
+    return readers.german(s, path).select(F.col("`savings account/bonds`").alias("savings"), F.col("duration in month").alias("months"), F.col("age in years").alias("age"), "risk")
 
 
 @query("SELECT l_orderkey AS f0, l_linenumber::BIGINT AS f1, l_quantity::BIGINT AS f2, CASE WHEN l_linestatus = 'O' THEN 'good' ELSE 'bad' END AS risk FROM lineitem")

@@ -14,10 +14,30 @@ from paritas.operators.sampling import stratified_split
 ADULT_COLUMNS = "age long, workclass string, fnlwgt long, education string, `education-num` long, `marital-status` string, occupation string, relationship string, race string, sex string, `capital-gain` long, `capital-loss` long, `hours-per-week` long, `native-country` string, income string"
 #: The 20 attributes of the credit file, in order; risk follows.
 GERMAN_COLUMNS = [
-    "checking-account", "duration", "credit-history", "purpose", "credit-amount", "savings-account", "employment-since", "installment-rate", "status-sex", "other-debtors",
-    "residence-since", "property", "age", "other-installments", "housing", "existing-credits", "job", "liable-people", "telephone", "foreign-worker",
+    "status of existing checking account", "duration in month", "credit history", "purpose", "credit amount", "savings account/bonds", "present employment since",
+    "installment rate in percentage of disposable income", "personal status and sex", "other debtors / guarantors", "present residence since", "property", "age in years",
+    "other installment plans", "housing", "number of existing credits at this bank", "job", "number of people being liable to provide maintenance for", "telephone", "foreign worker",
 ]
-GERMAN_NUMBERS = ("duration", "credit-amount", "installment-rate", "residence-since", "age", "existing-credits", "liable-people")
+GERMAN_NUMBERS = (
+    "duration in month", "credit amount", "installment rate in percentage of disposable income", "present residence since", "age in years", "number of existing credits at this bank",
+    "number of people being liable to provide maintenance for",
+)
+#: What the codes of the credit file stand for.
+GERMAN_CODES = {
+    "A11": "... < 0 DM", "A12": "0 <= ... < 200 DM", "A13": "... >= 200 DM / salary assignments for at least 1 year", "A14": "no checking account",
+    "A30": "no credits taken/ all credits paid back duly", "A31": "all credits at this bank paid back duly", "A32": "existing credits paid back duly till now",
+    "A33": "delay in paying off in the past", "A34": "critical account/ other credits existing (not at this bank)",
+    "A40": "car (new)", "A41": "car (used)", "A42": "furniture/equipment", "A43": "radio/television", "A44": "domestic appliances", "A45": "repairs", "A46": "education",
+    "A47": "(vacation - does not exist?)", "A48": "retraining", "A49": "business", "A410": "others",
+    "A61": "... < 100 DM", "A62": "100 <= ... < 500 DM", "A63": "500 <= ... < 1000 DM", "A64": ".. >= 1000 DM", "A65": "unknown/ no savings account",
+    "A71": "unemployed", "A72": "... < 1 year", "A73": "1 <= ... < 4 years", "A74": "4 <= ... < 7 years", "A75": ".. >= 7 years",
+    "A91": "male : divorced/separated", "A92": "female : divorced/separated/married", "A93": "male : single", "A94": "male : married/widowed", "A95": "female : single",
+    "A101": "none", "A102": "co-applicant", "A103": "guarantor",
+    "A121": "real estate", "A122": "if not A121 : building society savings agreement/ life insurance", "A123": "if not A121/A122 : car or other, not in attribute 6", "A124": "unknown / no property",
+    "A141": "bank", "A142": "stores", "A143": "none", "A151": "rent", "A152": "own", "A153": "for free",
+    "A171": "unemployed/ unskilled - non-resident", "A172": "unskilled - resident", "A173": "skilled employee / official", "A174": "management/ self-employed/",
+    "A191": "none", "A192": "yes, registered under the customers name", "A201": "yes", "A202": "no",
+}
 
 
 def group_list(male: Column, female: Column) -> Column:
@@ -33,8 +53,8 @@ def adult(spark: SparkSession, train: str, test: str) -> DataFrame:
     return read(train).withColumn("split", F.lit("train")).unionByName(clean.withColumn("split", F.lit("test")))
 
 
-def german(spark: SparkSession, path: str, decode: dict[str, str] | None = None) -> DataFrame:
-    """Credit rows; codes by a table code -> value (others stay null if a table is given); risk 1 good, 2 bad."""
+def german(spark: SparkSession, path: str, decode: dict[str, str] | None = GERMAN_CODES) -> DataFrame:
+    """Credit rows; codes by a table code -> value (codes that it lacks are null; without a table they stay); risk 1 good, 2 bad."""
     cells = F.split(F.trim("value"), r"\s+")
     rows = spark.read.text(path).where(F.trim("value") != "").select(cells.alias("c"))
     columns = [F.get("c", F.lit(i)).cast("long" if n in GERMAN_NUMBERS else "string").alias(n) for i, n in enumerate(GERMAN_COLUMNS)]

@@ -82,13 +82,22 @@ def append_log(rows: DataFrame, path: str, fitness: str = "fitness", under: floa
 
 
 def folder(spark, name: str) -> str:
-    """A new path in the folder that the cluster shares (spark.checkpoint.dir); in local mode a temporary one."""
+    """A new path in the folder that the cluster shares (spark.checkpoint.dir); in local mode a temporary one.
+
+    What is written there is deleted when the driver's JVM ends.
+    """
     import tempfile
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.gettempdir()
-    return f"{base.rstrip('/')}/paritas-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}/{name}"
+    own = f"{base.rstrip('/')}/paritas-{sc.applicationId}-{uuid.uuid4().hex}"
+    path = sc._jvm.org.apache.hadoop.fs.Path(own)
+    store = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    store.mkdirs(path)
+    store.deleteOnExit(path)
+    return f"{own}/{name}"

@@ -27,7 +27,10 @@ def test_german(spark, tmp_path):
     cells = ["A11", "6", "A34", "A43", "1169", "A65", "A75", "4", "A93", "A101", "4", "A121", "67", "A143", "A152", "2", "A173", "1", "A192", "A201"]
     path = put(tmp_path, "g", " ".join(cells) + " 1\n" + "  ".join(cells) + " 2\n")
     rows = readers.german(spark, path, {"A11": "negative"}).collect()
-    assert [r["risk"] for r in rows] == ["good", "bad"] and rows[0]["checking-account"] == "negative" and rows[0]["purpose"] is None and rows[0]["age"] == 67
+    assert [r["risk"] for r in rows] == ["good", "bad"] and rows[0]["status of existing checking account"] == "negative" and rows[0]["purpose"] is None and rows[0]["age in years"] == 67
+    told = readers.german(spark, path).first()
+    assert told["purpose"] == "radio/television" and told["job"] == "skilled employee / official" and told["foreign worker"] == "yes" and told["credit amount"] == 1169
+    assert readers.german(spark, path, None).first()["housing"] == "A152"
     numeric = put(tmp_path, "n", " 1 2 3 1 \n")
     assert tuple(readers.german_numeric(spark, numeric).first()) == (1, 2, 3, "good")
     cost = spark.createDataFrame([("bad", "good"), ("good", "bad"), ("bad", "bad")], "g string, p string")
