@@ -47,6 +47,18 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+@contextlib.contextmanager
+def batch_rows(spark: SparkSession, rows: int):
+    """Arrow batches of so many rows for the jobs that run inside: for rows of known, small size."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key, "10000")
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def shared_root(spark: SparkSession) -> str:
     """This application's folder in the one that driver and executors share, with its file system named.
 

@@ -15,7 +15,7 @@ member, else a tree through the tile; its links give first components.  The seco
 component yet, and at pairs from different components alone: again FEW candidates a member, or, where there are more, the
 members themselves.  Such crowded tiles meet once more with their shingles, and give links that join components.
 
-A shingle goes by a 64-bit hash of the XXH64 of its words, a set by 128 bits.  Tasks hold one tile: at most TILE shingles, or
+A shingle goes by a 64-bit hash of the 64-bit hashes of its words, a set by 128 bits.  Tasks hold one tile: at most TILE shingles, or
 one pair of texts.
 
 Defined results: null, empty or blank text has no shingles and is linked with nothing; a text of fewer words than a shingle
@@ -33,8 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paritas.llm.common import arrow_schema, batches_out, partitions, small_batches, stored, text_batches, wide_hash
-from paritas.llm.components import components
+from paritas.llm.common import ASCII_SPACE, arrow_schema, batch_rows, batches_out, partitions, small_batches, stored, text_batches, wide_hash
+from paritas.llm.components import components, merged
 
 SHINGLE = 5
 #: Similar: 5 * both >= 4 * either, that is 9 * both >= 4 * (sum of the sizes).
@@ -46,37 +46,66 @@ TABLE, CHUNK = 20, 1 << 14
 TILE, ROW, FEW, SMALL = 2_000_000, 100, 4, 16
 #: One list in so many is looked at in the first round.
 FIRST = 8
-#: Word hashes that a worker keeps.
-MOST_WORDS = 500_000
+#: Bytes that are hashed side by side, and the length from which a word goes by its XXH64.
+PART, LONG = 1 << 20, 4096
+_SPACE = np.isin(np.arange(256), list(ASCII_SPACE.encode()))
+_LETTERS = np.random.default_rng(42).integers(0, 1 << 64, 256, np.uint64)
+_BASE = 0x9E3779B97F4A7C15
+_powers: list[np.ndarray] = []
 _EMPTY = np.zeros(0, np.uint64)
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
+def _words(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Start and hash of each word: a polynomial in the base with a random number for each byte, by running sums; then mixed."""
+    if not _powers:  # of the base and of its inverse
+        _powers.extend(np.multiply.accumulate(np.array([1, *[x] * (PART - 1)], np.uint64)) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
+    a = np.frombuffer(raw, np.uint8)
+    word = np.zeros(len(a) + 2, np.int8)
+    word[1:-1] = ~_SPACE[a]
+    edge = np.diff(word)
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    out = np.empty(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):  # words that lie within PART bytes together, or one that is longer
+        first = starts[at]
+        to = max(at + 1, int(np.searchsorted(ends, first + PART, side="right")))
+        if ends[to - 1] - first <= PART:
+            part = a[first : ends[to - 1]]
+            sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_LETTERS[part] * _powers[0][: len(part)])))
+            s, e = starts[at:to] - first, ends[at:to] - first
+            out[at:to] = _mixed((sums[e] - sums[s]) * _powers[1][s] + (e - s).astype(np.uint64))
+        at = to
+    for i in np.flatnonzero(ends - starts > LONG).tolist():
         from xxhash import xxh64_intdigest
 
-        h = self[word] = xxh64_intdigest(word, 42)
-        return h
+        out[i] = xxh64_intdigest(raw[starts[i] : ends[i]], 42)
+    return starts, out
 
 
-_words = _Words()
-
-
-def shingle_set(text: str | None) -> np.ndarray:
-    """Sorted hashes of the distinct shingles."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return _EMPTY
-    if len(_words) > MOST_WORDS:
-        _words.clear()
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
-    size = min(SHINGLE, len(words))
-    n = len(words) - size + 1
-    out = np.full(n, size, np.uint64)
+def _joined(h: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all runs of size words."""
+    n = len(h) - size + 1
+    out = np.full(max(0, n), size, np.uint64)
     for i in range(size):
-        out = (out ^ h[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
+        out = (out ^ h[i : i + n]) * np.uint64(_BASE)
         out ^= out >> np.uint64(32)
-    return np.unique(out)
+    return out
+
+
+def shingle_sets(texts: list[str]) -> list[np.ndarray]:
+    """Sorted hashes of the distinct shingles of each text."""
+    raw = [t.encode().lower() for t in texts]
+    starts, h = _words(b"\n".join(raw))
+    ends = np.cumsum([len(r) + 1 for r in raw])
+    edges = [0, *np.searchsorted(starts, ends).tolist()]
+    runs = _joined(h, SHINGLE)
+    return [np.unique(runs[a : b - SHINGLE + 1]) if b - a >= SHINGLE else _joined(h[a:b], b - a) if b > a else _EMPTY for a, b in zip(edges, edges[1:])]
 
 
 def _signed(h: np.ndarray) -> np.ndarray:
@@ -101,10 +130,9 @@ def _measured(docs: DataFrame) -> DataFrame:
         counts = np.zeros(1 << TABLE, np.uint32)
         for batch in batches:
             for part, texts in text_batches(batch, "text"):
-                sizes, names = [], []
-                for text in texts:
-                    held = shingle_set(text)
-                    np.add.at(counts, _place(held), 1)
+                sizes, names, sets = [], [], shingle_sets(texts)
+                counts += np.bincount(_place(np.concatenate(sets)), minlength=len(counts)).astype(np.uint32)
+                for held in sets:
                     raw = held.astype("<u8").tobytes()
                     sizes.append(len(held))
                     names.append((xxh64_intdigest(raw, 1), xxh64_intdigest(raw, 2)))
@@ -154,8 +182,7 @@ def _posted(texts: DataFrame, levels: np.ndarray) -> DataFrame:
         for batch in batches:
             for part, some in text_batches(batch, "text"):
                 sizes, keys, bits = [], [], []
-                for text in some:
-                    held = shingle_set(text)
+                for held in shingle_sets(some):
                     order = np.argsort(sent.value[_place(held)], kind="stable")[: len(held) // 5 + 1]
                     sizes.append(len(held))
                     keys.append(_signed(held[order]))
@@ -173,7 +200,7 @@ def _sets(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, some in text_batches(batch, "text"):
-                yield batches_out({"node": part.column("node"), "held": [shingle_set(t).astype("<u8").tobytes() for t in some]}, schema)
+                yield batches_out({"node": part.column("node"), "held": [x.astype("<u8").tobytes() for x in shingle_sets(some)]}, schema)
 
     return texts.mapInArrow(run, ddl)
 
@@ -449,22 +476,26 @@ def _crowded(texts: DataFrame, more: DataFrame, roots: DataFrame, parts: int) ->
 # --- the join ---------------------------------------------------------------------------------------------------------------
 
 
-def links(texts: DataFrame, posted: DataFrame) -> DataFrame:
-    """(a, b) of nodes: enough links to give the components of all similar pairs."""
-    parts = partitions(posted)
-    members = stored(_members(posted))
-    tiles = stored(tiled(members))
-    none = tiles.select("*", F.col("node").alias("root"))
-    first = stored(_round(none.where(F.pmod(F.xxhash64("key"), F.lit(FIRST)) == 0), posted, True, parts).select("a", "b").distinct())
-    known = _verified(texts, first)
-    roots = components(known)
+def node_components(texts: DataFrame, posted: DataFrame) -> DataFrame:
+    """(node, root) of every node that isn't its component's smallest, from all similar pairs."""
+    spark, parts = posted.sparkSession, partitions(posted)
+    with batch_rows(spark, 50_000):  # of 24 bytes
+        members = stored(_members(posted))
+    tiles = tiled(members)
+    with batch_rows(spark, 5_000):
+        first = _round(tiles.where(F.pmod(F.xxhash64("key"), F.lit(FIRST)) == 0).select("*", F.col("node").alias("root")), posted, True, parts)
+        first = stored(first.select("a", "b").distinct())
+    roots = components(_verified(texts, first))
     labelled = tiles.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = labelled.groupBy("key", "t1", "t2").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key", "t1", "t2")
-    found = stored(_round(stored(labelled.join(mixed, ["key", "t1", "t2"], "left_semi")), posted, False, parts))
+    with batch_rows(spark, 5_000):
+        found = stored(_round(labelled.join(mixed, ["key", "t1", "t2"], "left_semi"), posted, False, parts))
     second = found.where("b is not null").select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
-    out = known.union(_verified(texts, stored(second)))
+    links = _verified(texts, stored(second))
     more = found.where("b is null").select("key", "t1", "t2", "side", "place", F.col("a").alias("node"))
-    return out if more.isEmpty() else out.union(_crowded(texts, more, roots, parts))
+    if not more.isEmpty():
+        links = links.union(_crowded(texts, more, roots, parts))
+    return roots if links.isEmpty() else merged(roots, links)
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -480,7 +511,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     met = hashed.join(wanted, (hashed["t1"] == wanted["t1"]) & (hashed["t2"] == wanted["t2"]) & hashed["doc_id"].eqNullSafe(wanted["__id"]))
     texts = stored(met.select("node", "text").dropDuplicates(["node"]))
     posted = stored(_posted(texts, _levels(measured)))
-    roots = components(links(texts, posted))
+    roots = node_components(texts, posted)
     labelled = roots.union(roots.select("root", "root").distinct()).join(nodes.select("node", "least"), "node")
     smallest = labelled.groupBy("root").agg(F.min("least").alias("component"))
     of = labelled.join(smallest, "root").select("node", "component")
