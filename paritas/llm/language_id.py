@@ -12,7 +12,8 @@ A prediction is that of the same map.  Since K(x, landmarks) is a matrix product
 of presence vectors, the landmark matrix, the inverse root and the regression
 weights are multiplied once on the driver; executors score a batch of texts with
 one matrix product of presences and that (n-gram buckets x languages) matrix and
-divide by the text's norm.  Its size is fixed by the parameters.
+divide by the text's norm.  Its size is fixed by the parameters and the number of
+languages; more than ``MOST_LANGUAGES`` raise ValueError rather than be dropped.
 
 Learned from: text and language of labelled documents whose crc32 of the id isn't
 held out.  Defined results: null text or text without a letter is ``und`` with
@@ -40,9 +41,13 @@ UNDETERMINED = "und"
 GRAMS, BUCKET_BITS = (1, 2, 3, 4), 14
 #: Bounds of the training sample: documents of a language, of all together, landmarks.  Each language has one of both at least.
 PER_LANGUAGE, SAMPLE, LANDMARKS = 200, 12_800, 240
+#: Languages that a model tells apart: the weights take 64 KB for each, on the driver and in each worker.
+MOST_LANGUAGES = 1000
 #: Candidates for a place in the sample, for each place.
 SPARE = 4
 RIDGE = 1e-3
+#: How far under its border the best margin of a text lies that no language takes (all margins lie at about -1 then).
+REJECTED = 0.5
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 _MULT = np.uint32(0x9E3779B1)
 
@@ -127,7 +132,9 @@ def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     narrow = labelled.select(F.col(id_col).cast("long").alias("__id"), F.col(lang_col).cast("string").alias("__lang"))
     ids = stored(narrow.groupBy("__lang").agg(F.approx_count_distinct("__id").alias("__ids")))  # its size is then known: broadcast if small, so that narrow isn't dealt by language
-    each = min(PER_LANGUAGE, max(1, SAMPLE // max(1, ids.count())))
+    if (n := ids.count()) > MOST_LANGUAGES:
+        raise ValueError(f"{n} languages are labelled, {MOST_LANGUAGES} can be learned: give a table without stray labels, or a model")
+    each = min(PER_LANGUAGE, max(1, SAMPLE // max(1, n)))
     # of a language's ids those with a small hash, about SPARE times as many as are wanted, so that the ranking is over few rows
     at = F.pmod(F.xxhash64("__id"), F.lit(1 << 40))
     few = narrow.join(ids, "__lang").where(at.cast("double") * F.col("__ids") < F.lit(float(SPARE * each)) * F.lit(float(1 << 40))).select("__id", "__lang").distinct()
@@ -166,21 +173,26 @@ def identify(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id"
 
 
 def with_language(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """docs' rows that have a language: the others (no letter, no text) go.  Columns stay as they are.
+    """docs' rows that have a language; a row whose language is null gets the predicted one, a given one stays.
 
-    Where no language could be learned, rows with a letter stay all the same.
+    Texts that are null or have no letter go, and so do those that every one of the model's one-versus-rest regressions
+    rejects by REJECTED or more (a score under (1 - REJECTED) / 2).  Where no language could be learned, rows with a letter
+    stay as they are.
     """
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model or fit_presences(*sample(docs, id_col, text_col, lang_col)))
     named = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
-    text = f"c{docs.columns.index(text_col)}"
+    text, at = f"c{docs.columns.index(text_col)}", docs.columns.index(lang_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, texts in text_batches(batch, text):
                 if shared.value.languages:
-                    keep = [n != UNDETERMINED for n in shared.value.predict(texts)[0]]
+                    names, scores = shared.value.predict(texts)
+                    keep = [n != UNDETERMINED and s >= (1 - REJECTED) / 2 for n, s in zip(names, scores)]
+                    field = rows.schema.field(at)
+                    rows = rows.set_column(at, field, pa.compute.coalesce(rows.column(at), pa.array(names, pa.string()).cast(field.type)))
                 else:
                     keep = [has_letter(t) for t in texts]
                 yield rows.filter(pa.array(keep, pa.bool_()))

@@ -306,12 +306,13 @@ def with_order(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
 
 def covered_intervals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(uid, start, end) from docs (__uid, __text): overlapping intervals of bytes to remove, stored."""
-    if length < ANCHOR + 16:
-        raise ValueError(f"length must be {ANCHOR + 16} or more")
+    if not ANCHOR + 16 <= length < 1 << 20:
+        raise ValueError(f"length must be {ANCHOR + 16} or more, and less than {1 << 20}")
     spark = docs.sparkSession
     small_batches(spark)
     parts = partitions(docs)
-    run_ddl = "key long, uid long, place long"  # place: start * 128 + strings; its complement: covered wholly
+    bits = max(7, length.bit_length())  # a run holds fewer strings than the length
+    run_ddl = "key long, uid long, place long"  # place: the run's start, and in its lowest bits its strings; its complement: covered wholly
     part_ddl = "key long, part int, uid long, place long"  # part: of a key with many runs, from 0; else -1
     run_schema, part_schema = arrow_schema(run_ddl), arrow_schema(part_ddl)
 
@@ -321,7 +322,7 @@ def covered_intervals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 uids = rows.column("__uid").to_numpy()
                 data = [t.encode() for t in texts]
                 for which, h, start, count in text_runs(data, length):
-                    place = start * 128 + count
+                    place = (start << bits) + count
                     later = later_equals(data, which, h, uids[which], start, count, length)
                     place[later] = ~place[later]
                     h[later] += np.arange(len(h))[later] * 0x9E3779B9  # anywhere: they are matched with nothing
@@ -382,12 +383,12 @@ def covered_intervals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 text = batch.column("__text")[i].as_py().encode()
                 key, part, place = (batch.column(c)[i].values.to_numpy() for c in ("keys", "parts", "places"))
                 for at in range(0, len(key), 4096):
-                    start, count = place[at : at + 4096] >> 7, place[at : at + 4096] & 127
+                    start, count = place[at : at + 4096] >> bits, place[at : at + 4096] & ((1 << bits) - 1)
                     cut = [text[a : a + c + length - 1] for a, c in zip(start.tolist(), count.tolist())]
                     content = np.array([xxh3_64_intdigest(c) for c in cut], np.uint64).view(np.int64)
                     yield batches_out({"key": key[at : at + 4096], "part": part[at : at + 4096], "content": content, "uid": np.full(len(start), batch.column("__uid")[i].as_py()), "start": start, "stretch": cut}, schema)
 
-    known = repeated.where("place < 0").select("uid", F.shiftright(F.bitwise_not("place"), 7).alias("start"), (F.shiftright(F.bitwise_not("place"), 7) + F.bitwise_not("place").bitwiseAND(127) + (length - 1)).alias("end"))
+    known = repeated.where("place < 0").select("uid", F.shiftright(F.bitwise_not("place"), bits).alias("start"), (F.shiftright(F.bitwise_not("place"), bits) + F.bitwise_not("place").bitwiseAND((1 << bits) - 1) + (length - 1)).alias("end"))
     places = repeated.where("place >= 0").groupBy("uid").agg(F.collect_list(F.struct("key", "part", "place")).alias("found")).select("uid", F.col("found.key").alias("keys"), F.col("found.part").alias("parts"), F.col("found.place").alias("places"))
     met = docs.select("__uid", "__text").join(places, F.col("__uid") == F.col("uid")).select("__uid", "__text", "keys", "parts", "places").mapInArrow(stretch, ddl)
     out_ddl = "uid long, start long, end long, h long, string binary"  # h, string: of a string that is to meet others again

@@ -16,8 +16,9 @@ in float64 while products stay under 2**53, in Python integers beyond.
 Defined results:
 - vectors that are null, empty, or hold null or non-finite components (before or
   after scaling) take no part; null ids take no part; an empty table gives no rows;
-- only vectors of one length are compared; equal (id, vector) rows count once;
-  rows with the query's own id are never its answers; ties go to the smaller id;
+- only vectors of one length are compared; each row is a candidate and, if it is
+  asked for, a query of its own, also where an id or a row is there more than once;
+  a query's own row is never its answer; ties go to the smaller id;
 - ranks follow the exact integer, whatever its size; a score that doesn't fit a
   long is given as null;
 - other columns aren't read, whatever their names; very long vectors make larger
@@ -43,12 +44,12 @@ SHARD, LEAF, BLOCK = 16_384, 128, 128
 TASKS, MOST_PARTITIONS = 4_096, 50_000
 EXACT = float(2**53)
 RESULT = "query_id long, rank int, vec_id long, score long"
-FOUND = "query_id long, vec_id long, score long, place binary"
+FOUND = "query long, query_id long, vec_id long, score long, place binary"
 _int = np.frompyfunc(int, 1, 1)
 
 
-def build(ids: np.ndarray, vectors: np.ndarray) -> dict[str, np.ndarray]:
-    """A ball tree over rows; rows of a node are contiguous after reordering, children are 2 nodes or -1."""
+def build(ids: np.ndarray, vectors: np.ndarray, rows: np.ndarray | None = None) -> dict[str, np.ndarray]:
+    """A ball tree over rows (their numbers are the ids, if not given); rows of a node are contiguous after reordering, children are 2 nodes or -1."""
     order = np.arange(len(ids))
     centres, radii, spans, children = [], [], [], []
 
@@ -73,9 +74,10 @@ def build(ids: np.ndarray, vectors: np.ndarray) -> dict[str, np.ndarray]:
 
     with np.errstate(over="ignore", invalid="ignore"):
         add(0, len(ids))
+    rows = ids[order] if rows is None else rows[order]
     ids, vectors = ids[order], vectors[order]
     least = [int(ids[a:b].min()) for a, b in spans]
-    return {"ids": ids, "vectors": vectors, "centres": np.array(centres), "radii": np.array(radii), "spans": np.array(spans), "children": np.array(children), "least": np.array(least)}
+    return {"ids": ids, "rows": rows, "vectors": vectors, "centres": np.array(centres), "radii": np.array(radii), "spans": np.array(spans), "children": np.array(children), "least": np.array(least)}
 
 
 class Best:
@@ -97,7 +99,7 @@ class Best:
             self.floor = -score
 
 
-def search(tree: dict[str, np.ndarray], query_id: int, query: np.ndarray, bounds: np.ndarray, best: Best) -> None:
+def search(tree: dict[str, np.ndarray], row: int, query: np.ndarray, bounds: np.ndarray, best: Best) -> None:
     """Branch and bound; bounds has the upper bound of every node for this query."""
     spans, children, least, bounds = tree["spans"], tree["children"], tree["least"], bounds.tolist()
     queue = [(-bounds[0], 0)]
@@ -109,7 +111,7 @@ def search(tree: dict[str, np.ndarray], query_id: int, query: np.ndarray, bounds
             a, b = spans[node]
             own = tree["ids"][a:b]
             scores = tree["vectors"][a:b] @ query
-            if (other := own != query_id).all():
+            if (other := tree["rows"][a:b] != row).all():
                 best.offer(scores, own)
             else:
                 best.offer(scores[other], own[other])
@@ -119,7 +121,7 @@ def search(tree: dict[str, np.ndarray], query_id: int, query: np.ndarray, bounds
                 heapq.heappush(queue, (-bounds[child], child))
 
 
-def search_all(tree: dict[str, np.ndarray], ids: list[int], queries: np.ndarray, best: list[Best]) -> None:
+def search_all(tree: dict[str, np.ndarray], rows: list[int], queries: np.ndarray, best: list[Best]) -> None:
     """One tree for every query of a block."""
     own, asked, centres = tree["vectors"], queries, tree["centres"]
     with np.errstate(over="ignore", invalid="ignore"):
@@ -129,8 +131,8 @@ def search_all(tree: dict[str, np.ndarray], ids: list[int], queries: np.ndarray,
         bounds = queries @ centres.T + norms * tree["radii"]
         bounds += 1 + 1e-9 * (np.abs(bounds) + norms * (1 + np.sqrt((centres**2).sum(axis=1))))
     bounds[np.isnan(bounds)] = np.inf
-    for i, query_id in enumerate(ids):
-        search(tree, query_id, asked[i], bounds[i], best[i])
+    for i, row in enumerate(rows):
+        search(tree, row, asked[i], bounds[i], best[i])
 
 
 def place(score: int) -> bytes:
@@ -180,25 +182,25 @@ def _found(spark: SparkSession, rows: DataFrame, n: int, n_queries: int, k: int)
 
     def plant(key: tuple, group: pa.Table) -> pa.Table:
         shard, dim = key[0].as_py(), key[1].as_py()
-        _put(folder, f"tree-{dim}-{shard}.npz", build(group.column("id").to_numpy(), _matrix(group, dim)))
+        _put(folder, f"tree-{dim}-{shard}.npz", build(group.column("id").to_numpy(), _matrix(group, dim), group.column("row").to_numpy()))
         return pa.table({"shard": pa.array([shard], pa.int32()), "dim": pa.array([dim], pa.int32())})
 
-    dealt = rows.select("id", "v", F.pmod(F.xxhash64("id", "v"), F.lit(shards)).cast("int").alias("shard"), F.size("v").alias("dim"))
+    dealt = rows.select("row", "id", "v", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int").alias("shard"), F.size("v").alias("dim"))
     trees: dict[int, list[int]] = {}
     for r in dealt.repartition(min(2 * shards, MOST_PARTITIONS), "shard", "dim").groupBy("shard", "dim").applyInArrow(plant, "shard int, dim int").collect():
         trees.setdefault(r["dim"], []).append(r["shard"])
 
     def begin(key: tuple, group: pa.Table) -> pa.Table:
         block, dim = key[0].as_py(), key[1].as_py()
-        ids, queries = group.column("id").to_pylist(), _matrix(group, dim)
-        best = [Best(k) for _ in ids]
+        own, queries = group.column("row").to_pylist(), _matrix(group, dim)
+        best = [Best(k) for _ in own]
         first = sorted(trees[dim])[block % len(trees[dim])]
-        search_all(_get(folder, f"tree-{dim}-{first}.npz"), ids, queries, best)
+        search_all(_get(folder, f"tree-{dim}-{first}.npz"), own, queries, best)
         floors = [str(b.floor) if len(b.rows) == k else "" for b in best]
-        _put(folder, f"block-{dim}-{block}.npz", {"ids": np.array(ids, np.int64), "queries": queries, "floors": np.array(floors), "worst": np.array([b.worst for b in best], np.int64)})
+        _put(folder, f"block-{dim}-{block}.npz", {"rows": np.array(own, np.int64), "ids": group.column("id").to_numpy(), "queries": queries, "floors": np.array(floors), "worst": np.array([b.worst for b in best], np.int64)})
         return pa.table({"block": pa.array([block], pa.int32()), "dim": pa.array([dim], pa.int32())})
 
-    asked = rows.where("q").select("id", "v", F.pmod(F.xxhash64(F.lit(7), "id", "v"), F.lit(blocks)).cast("int").alias("block"), F.size("v").alias("dim"))
+    asked = rows.where("q").select("row", "id", "v", F.pmod(F.xxhash64(F.lit(7), "row"), F.lit(blocks)).cast("int").alias("block"), F.size("v").alias("dim"))
     begun = asked.repartition(min(2 * blocks, MOST_PARTITIONS), "block", "dim").groupBy("block", "dim").applyInArrow(begin, "block int, dim int")
     begun = stored(begun)
     groups = max(1, min(max(map(len, trees.values())), -(-TASKS // blocks)))
@@ -209,13 +211,13 @@ def _found(spark: SparkSession, rows: DataFrame, n: int, n_queries: int, k: int)
         for batch in batches:
             for block, dim, part in zip(*(batch.column(c).to_pylist() for c in ("block", "dim", "part"))):
                 given = _get(folder, f"block-{dim}-{block}.npz")
-                ids = given["ids"].tolist()
+                own, ids = given["rows"].tolist(), given["ids"].tolist()
                 best = [Best(k, int(f), w) if f else Best(k) for f, w in zip(given["floors"].tolist(), given["worst"].tolist())]
                 for b in best:
                     b.worst += b.floor > -np.inf  # the answer that gave the floor may be met again
                 for shard in sorted(trees[dim])[part::groups]:
-                    search_all(_get(folder, f"tree-{dim}-{shard}.npz"), ids, given["queries"], best)
-                rows = [(q, i, -s if -(2**63) < s <= 2**63 else None, place(-s)) for q, b in zip(ids, best) for s, i in b.rows]
+                    search_all(_get(folder, f"tree-{dim}-{shard}.npz"), own, given["queries"], best)
+                rows = [(r, q, i, -s if -(2**63) < s <= 2**63 else None, place(-s)) for r, q, b in zip(own, ids, best) for s, i in b.rows]
                 if rows:
                     yield batches_out(dict(zip(schema.names, zip(*rows))), schema)
 
@@ -226,9 +228,9 @@ def _found(spark: SparkSession, rows: DataFrame, n: int, n_queries: int, k: int)
 def exact_top_k(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE) -> DataFrame:
     """query_id, rank, vec_id, score of the rows where is_query holds, against all rows."""
     spark = vectors.sparkSession
-    rows = stored(vectors.where(F.col(id_col).isNotNull() & _usable(F.col(vector_col), scale)).select(F.col(id_col).cast("long").alias("id"), _whole(F.col(vector_col), scale).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")).distinct())
+    rows = stored(vectors.where(F.col(id_col).isNotNull() & _usable(F.col(vector_col), scale)).select(F.col(id_col).cast("long").alias("id"), _whole(F.col(vector_col), scale).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"), F.monotonically_increasing_id().alias("row")))
     n, n_queries = rows.agg(F.count(F.lit(1)), F.count_if("q")).first()
     if not n_queries:
         return spark.createDataFrame([], RESULT)
-    order = Window.partitionBy("query_id").orderBy(F.desc("place"), "vec_id")
+    order = Window.partitionBy("query").orderBy(F.desc("place"), "vec_id")
     return _found(spark, rows, n, n_queries, k).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

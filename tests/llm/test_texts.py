@@ -8,6 +8,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from paritas.llm import language_id, line_dedup, quality, simhash, suffix_dedup
 from tests.llm import data
@@ -430,3 +431,38 @@ def test_very_long_texts_go_through_whole(spark):
     assert {x["doc_id"]: x["n_words"] for x in quality.quality_rules(docs).collect()} == {1: 520_000, 2: len(rows[1][1].split()), 3: 0, 4: 1}
     assert {x["row"]["doc_id"]: x["kept_text"] for x in line_dedup.dedup_lines(docs).collect()} == {i: t or "" for i, t, _ in rows}
     assert {x["doc_id"]: x["component_id"] for x in simhash.near_duplicates(docs).collect()} == {1: 1, 2: 2, 3: 3, 4: 4}
+
+
+@pytest.mark.parametrize("length", [150, 151, 200, 300])
+def test_suffix_dedup_of_long_strings_is_brute_force(spark, length):
+    r = random.Random(length)
+    passage = "".join(r.choice("abcdefg ") for _ in range(700))
+    texts = [passage[a : a + r.randint(length - 40, 500)] + "".join(r.choice("xyz ") for _ in range(r.randint(0, 90))) for a in (r.randint(0, 300) for _ in range(24))] + ["ab" * 400, "ab" * 350]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = sorted(tuple(x) for x in suffix_dedup.without_repeats(docs, length=length).collect())
+    assert got == [(i, *x) for i, x in enumerate(cut_by_hand(texts, length))] and sum(x[2] for x in got) > 1000
+    for refused in (39, 1 << 20):
+        with pytest.raises(ValueError):
+            suffix_dedup.without_repeats(docs, length=refused)
+
+
+def test_language_id_refuses_more_languages_than_it_can_hold(spark, monkeypatch):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text number "), "id").alias("text"), F.concat(F.lit("l"), F.col("id") % 200).alias("lang"))
+    assert len(set(language_id.sample(docs)[1])) == 200
+    with pytest.raises(ValueError, match="languages"):
+        language_id.sample(docs.withColumn("lang", F.concat(F.lit("l"), "doc_id")))
+
+
+def test_language_stage_needs_its_model(spark):
+    r = random.Random(3)
+    sample = {"en": "the of and that with have this from", "de": "der die und nicht mit eine von auch", "fr": "le la les des une dans pour que"}
+    rows = [(i, " ".join(r.choices(sample[lang].split(), k=30)), lang) for i in range(150) for lang in [r.choice(list(sample))]]
+    unlabelled = [(1000 + i, " ".join(r.choices(sample[lang].split(), k=30)), None) for i, lang in enumerate(sample)]
+    strange = [(2000, "ᚠᛇᚻ᛫ᛒᛦᚦ᛫ᚠᚱᚩᚠᚢᚱ " * 20, None), (2001, "12 34 !", "en"), (2002, None, "en"), (2003, "the of and", "xx")]
+    docs = spark.createDataFrame([*rows, *unlabelled, *strange], "doc_id long, text string, lang string")
+    model = language_id.fit([t for _, t, _ in rows], [lang for _, _, lang in rows])
+    got = {x["doc_id"]: x["lang"] for x in language_id.with_language(docs, model).collect()}
+    assert [got[1000 + i] for i in range(3)] == list(sample)  # no letter test can tell
+    names, scores = model.predict([t for _, t, _ in strange[:1]])
+    assert (2000 in got) == (scores[0] >= (1 - language_id.REJECTED) / 2)
+    assert 2001 not in got and 2002 not in got and got[2003] == "xx" and all(got[i] == lang for i, _, lang in rows)

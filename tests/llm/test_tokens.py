@@ -189,7 +189,8 @@ def test_top_k_is_brute_force(spark, monkeypatch):
     vectors = [(i, r.normal(size=8).round(2).tolist()) for i in range(1500)]
     vectors += [(2000 + i, vectors[0][1]) for i in range(400)]  # one vector many times: ties
     bad = [(3000, None), (3100, []), (3200, [float("nan")] * 8), (3300, [None] * 8), (3400, [float("inf")] * 8), (None, [1.0] * 8), (3600, [1.0, 2.0])]
-    df = spark.createDataFrame(vectors + bad + vectors[:5], "vec_id long, embedding array<float>")
+    vectors += vectors[:5]  # repeated rows are rows, and the first is a query, like any other
+    df = spark.createDataFrame(vectors + bad, "vec_id long, embedding array<float>")
     got = [tuple(x) for x in top_k.exact_top_k(df, F.col("vec_id") % 100 == 0).collect()]
     ids = np.array([v[0] for v in vectors])
     whole = np.floor(1024 * np.array([v[1] for v in vectors], np.float32).astype(np.float64)).astype(np.int64)
@@ -229,6 +230,21 @@ def test_top_k_over_groups_of_shards(spark, monkeypatch):
     assert got == sorted((q, n, int(k), int(scores[q, k])) for q in range(0, 900, 30) for n, k in enumerate([k for k in np.lexsort((np.arange(900), -scores[q])) if k != q][:10], 1))
 
 
+def test_top_k_of_rows_that_share_an_id_or_are_repeated(spark, monkeypatch):
+    monkeypatch.setattr(top_k, "SHARD", 40)
+    r = np.random.default_rng(11)
+    rows = [(int(i), r.integers(-3, 4, 3).astype(float).tolist()) for i in [100, 100, 100, 200, 5, 5, 7] + list(range(300, 380))]
+    rows += [rows[0], rows[4], rows[10]]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = sorted(tuple(x) for x in top_k.exact_top_k(df, F.col("vec_id") % 100 == 0).collect())
+    expected = []
+    for q, (i, v) in enumerate(rows):
+        if i % 100 == 0:
+            found = sorted((-int(sum(1024 * 1024 * x * y for x, y in zip(v, w))), k) for c, (k, w) in enumerate(rows) if c != q)
+            expected += [(i, n, k, -s) for n, (s, k) in enumerate(found[:10], 1)]
+    assert got == sorted(expected) and len(got) == 60
+
+
 def test_ball_tree_bounds_hold():
     r = np.random.default_rng(2)
     vectors, ids = r.integers(-900, 900, (2000, 6)).astype(float), np.arange(2000)
