@@ -135,3 +135,36 @@ def literal_list(cells):
         return s.map(convert)
 
     return F.pandas_udf(run, "string")(cells)
+
+
+#: Tags of a story's words, plain and full-width; N words count for nobody.
+STORY_TAGS = {"M": "male", "Ｍ": "male", "F": "female", "Ｆ": "female"}
+NEUTRAL_TAGS = ("N", "Ｎ")
+#: What parts a word from its tag: one of four marks with white space on one side of it at least.
+_TAG_MARK = r"\s?[-‑–=]\s|\s[-‑–=]\s?"
+
+
+def story_annotations(text: Column) -> Column:
+    """Lines 'word - M' of a story as (word, include, group): F and M words of a group, N words left out; other lines are dropped.
+
+    A line counts if its first mark is its only one of that kind.
+    """
+    def parsed(line: Column) -> Column:
+        mark = F.regexp_extract(line, f"({_TAG_MARK})", 1)
+        parts = F.when(mark != "", F.split(line, F.concat(F.lit(r"\Q"), mark, F.lit(r"\E")), -1))
+        two = F.size(parts) == 2
+        tag = F.when(two, F.upper(F.trim(F.get(parts, F.lit(1)))))
+        group = F.try_element_at(F.create_map(*[F.lit(x) for pair in STORY_TAGS.items() for x in pair]), tag)
+        known = group.isNotNull() | tag.isin(*NEUTRAL_TAGS)
+        return F.struct(known.alias("known"), F.trim(F.get(parts, F.lit(0))).alias("word"), group.isNotNull().alias("include"), group.alias("group"))
+
+    rows = F.filter(F.transform(F.split(text, r"\R"), parsed), lambda a: a["known"])
+    return F.transform(rows, lambda a: F.struct(a["word"].alias("word"), a["include"].alias("include"), a["group"].alias("group")))
+
+
+def skipped_annotations(text: Column) -> Column:
+    """The lines of a story that story_annotations drops, blank ones left out: what a reader would be warned of."""
+    def dropped(line: Column) -> Column:
+        return (F.size(story_annotations(line)) == 0) & (F.trim(line) != "")
+
+    return F.filter(F.split(text, r"\R"), dropped)

@@ -34,7 +34,7 @@ def paragraphs(df: DataFrame, text: str = "text", merge: bool = False) -> DataFr
     return df.select("*", F.posexplode(F.split(text, r"\R")).alias("par_id", "paragraph"))
 
 
-def regex_tokens(df: DataFrame, paragraph: str = "paragraph", pattern: str = r"[a-z]+|[0-9]+|[.,;:!?]", pos_of: Mapping[str, str] | None = None) -> DataFrame:
+def regex_tokens(df: DataFrame, paragraph: str = "paragraph", pattern: str = r"\p{L}+|[0-9]+|[.,;:!?]", pos_of: Mapping[str, str] | None = None) -> DataFrame:
     """tokens of lower-cased paragraphs; part of speech: PUNCT, NUM, that of pos_of, or X."""
     known = F.create_map(*[F.lit(x) for pair in pos_of.items() for x in pair]) if pos_of else None
 

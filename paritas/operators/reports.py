@@ -60,6 +60,28 @@ def score_summary(stats: DataFrame, confidence: DataFrame, keys: Sequence[str])
     return stats.join(confidence, list(keys), "left").select(*keys, F.coalesce("conf_mean", "mean").alias("mean"), F.coalesce("margin", F.lit(0.0)).alias("margin"))
 
 
+def named_themes(scores: DataFrame, names: DataFrame, theme: str = "theme", subtheme: str = "subtheme", expected: str = "expected") -> DataFrame:
+    """scores (model, theme, subtheme, ...) with the keys that a summary shows and the expected group.
+
+    names (model, theme, theme_name, subtheme, subtheme_name, expected) may lack any of them: a theme without a name is its
+    id alone, else 'id [name]'; a subtheme that isn't listed is expected to be neutral.  Of several rows of an id the name
+    that sorts last counts.
+    """
+    def last(key: str, value: str, name: str) -> DataFrame:
+        given = names.where(F.col(key).isNotNull()).groupBy(F.col("model").alias("__m"), F.col(key).alias("__k"))
+        return given.agg(F.max(F.when(F.col(value) != "", F.col(value))).alias(name))
+
+    def shown(key: str, name: str) -> Column:
+        return F.when(F.col(name).isNotNull(), F.concat(key, F.lit(" ["), name, F.lit("]"))).otherwise(F.col(key))
+
+    out = scores
+    for key, value, name in ((theme, "theme_name", "__theme"), (subtheme, "subtheme_name", "__subtheme"), (subtheme, "expected", "__expected")):
+        table = last("theme" if key == theme else "subtheme", value, name)
+        out = out.join(table, (out["model"] == table["__m"]) & (out[key] == table["__k"]), "left").drop("__m", "__k")
+    kept = [c for c in scores.columns if c != expected]
+    return out.select(*kept, shown(theme, "__theme").alias("theme_key"), shown(subtheme, "__subtheme").alias("subtheme_key"), F.coalesce("__expected", F.lit("neutral")).alias(expected))
+
+
 def neutral_category(df: DataFrame, keys: Sequence[str], order: str = "subtheme", expected: str = "expected", observed: str = "observed") -> DataFrame:
     """keys and the category of the first row, in order, of those that are expected to be neutral."""
     first = df.where(F.col(expected) == "neutral").groupBy(*keys).agg(F.min_by(observed, order).alias("__o"))

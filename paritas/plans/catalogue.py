@@ -297,29 +297,37 @@ def summary_ci_margin(s, d):
     return rounded(stats.confidence(_scores(s, d), "log_score"))
 
 
-@query("WITH " + V.TOK + r""", words AS (SELECT DISTINCT word FROM tok WHERE regexp_full_match(word, '[a-z]+')),
-concept AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM benchmark)
+@query("WITH " + V.TOK + r""", words AS (SELECT DISTINCT word FROM tok WHERE NOT regexp_full_match(word, '[0-9]+|[.,;:!?]')),
+concept AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '\p{L}+')) AS word FROM benchmark)
 SELECT round((SELECT avg((word IN (SELECT word FROM concept))::INT) FROM words), 6) AS covered, round((SELECT avg(s) FROM (SELECT avg((word IN (SELECT word FROM lex))::INT) AS s FROM concept GROUP BY item_id)), 6) AS gendered""")
 def keyword_coverage(s, d):
     words = bias.global_counts(V.tokens(s, d)).where(F.col("pos") == "X").select("word").distinct()
-    concepts = V.table(s, d, "benchmark").select(F.col("item_id").alias("concept_id"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)")))).alias("word"))
+    concepts = V.table(s, d, "benchmark").select(F.col("item_id").alias("concept_id"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)")))).alias("word"))
     return rounded(bias.keyword_coverage(words, concepts, s.createDataFrame([(w,) for w in bias.group_words(V.LEXICON)], "word string")))
 
 
-_ENDINGS = ["el señor/a dijo", "profesor/a", "amigo/a, jefe/a", "doctores/as y amigos/as"]
-_CATALAN = ["amic/a", "mestre/a", "director/a", "professors/as"]
+_ENDINGS = [("el señor/a dijo", "el señor / señora dijo"), ("profesor/a", "profesor / profesora"), ("amigo/a, jefe/a", "amigo / amiga, jefe / jefa"), ("doctores/as y amigos/as", "doctores / doctoras y amigos / amigas")]
+_CATALAN = [("amic/a", "amic o amica"), ("mestre/a", "mestre o mestra"), ("director/a", "director o directora"), ("professors/as", "professors o professorses")]
 
 
-@query(" UNION ALL ".join(f"SELECT {i}::BIGINT AS id, '{a}' AS before, '{b}' AS after" for i, (a, b) in enumerate(zip(_ENDINGS, ["el señor / señora dijo", "profesor / profesora", "amigo / amiga, jefe / jefa", "doctores / doctoras y amigos / amigas"]))))
+def _after_names(forms: list[tuple[str, str]]) -> str:
+    values = ", ".join(f"({k}, '{x}', '{y}')" for k, (x, y) in enumerate(forms))
+    return f"SELECT p_partkey, k::BIGINT AS id, p_name || ' ' || x AS before, p_name || ' ' || y AS after FROM part, (VALUES {values}) v(k, x, y)"
+
+
+def _names_before(s, d, forms: list[tuple[str, str]]) -> DataFrame:
+    each = F.posexplode(F.array(*[F.lit(x) for x, _ in forms])).alias("id", "form")
+    return V.table(s, d, "part").select("p_partkey", "p_name", each).select("p_partkey", F.col("id").cast("long").alias("id"), F.concat_ws(" ", "p_name", "form").alias("before"))
+
+
+@query(_after_names(_ENDINGS))
 def gender_endings_split(s, d):
-    rows = s.createDataFrame(list(enumerate(_ENDINGS)), "id long, before string")
-    return rows.select("id", "before", T.spanish_endings(F.col("before")).alias("after"))
+    return _names_before(s, d, _ENDINGS).withColumn("after", T.spanish_endings(F.col("before")))
 
 
-@query(" UNION ALL ".join(f"SELECT {i}::BIGINT AS id, '{b}' AS after" for i, b in enumerate(["amic o amica", "mestre o mestra", "director o directora", "professors o professorses"])))
+@query(_after_names(_CATALAN))
 def gender_endings_catalan(s, d):
-    rows = s.createDataFrame(list(enumerate(_CATALAN)), "id long, before string")
-    return rows.select("id", T.catalan_endings(F.col("before")).alias("after"))
+    return _names_before(s, d, _CATALAN).withColumn("after", T.catalan_endings(F.col("before")))
 
 
 # --- sensors -----------------------------------------------------------------------------------------------------------------

@@ -295,16 +295,22 @@ def write_search_log(s, d):
     return s.read.text(path).select(F.get_json_object("value", "$.ensemble").cast("long").alias("ensemble"))
 
 
-@query("SELECT row_number() OVER (ORDER BY p_retailprice, p_partkey) AS place, p_partkey FROM part")
+@query("SELECT (floor(p_retailprice / 100))::BIGINT AS step, count(*) AS n, 0::BIGINT AS out_of_order FROM part GROUP BY 1")
 def write_scores(s, d):
+    """Rows by steps of the score, and how many of them a smaller score follows in their file or an earlier file ends above."""
     path = sinks.folder(s, "scores.csv")
-    scores = V.table(s, d, "part").select("p_partkey", (F.col("p_retailprice") + F.col("p_partkey") * 1e-9).alias("log_score"), F.split("p_name", " ").alias("matches"))
-    sinks.write_scores(scores.coalesce(1), path)
+    scores = V.table(s, d, "part").select("p_partkey", F.col("p_retailprice").cast("double").alias("log_score"), F.split("p_name", " ").alias("matches"))
+    sinks.write_scores(scores, path)
     read = s.read.csv(path, header=True, schema="p_partkey long, log_score double, matches string")
-    placed = read.withColumn("__file", F.input_file_name()).withColumn("__n", F.monotonically_increasing_id())
+    placed = read.select("log_score", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("n"))
     from pyspark.sql import Window
 
-    return placed.withColumn("place", F.row_number().over(Window.orderBy("__file", "__n")).cast("long")).select("place", "p_partkey")  # the file's own order is what is compared
+    inside = placed.withColumn("before", F.lag("log_score").over(Window.partitionBy("file").orderBy("n")))
+    ends = placed.groupBy("file").agg(F.min("log_score").alias("low"), F.max("log_score").alias("high"))
+    earlier = ends.withColumn("ended", F.max("high").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1))).select("file", "ended")  # a row for each file
+    judged = inside.join(earlier, "file")
+    wrong = (F.col("log_score") < F.col("before")) | (F.col("log_score") < F.col("ended"))
+    return judged.groupBy(F.floor(F.col("log_score") / 100).cast("long").alias("step")).agg(F.count(F.lit(1)).alias("n"), F.count_if(wrong).alias("out_of_order"))
 
 
 @query("SELECT p_partkey FROM part WHERE p_retailprice > (SELECT avg(p_retailprice) FROM part)")

@@ -64,7 +64,8 @@ e AS (SELECT m, accuracy, g FROM acc JOIN (SELECT m, max(p) - min(p) AS g FROM p
 
 
 def _ensembles(s, d, front: bool) -> DataFrame:
-    rows = V.clf(s, d).join(V.doc(s, d).select("doc_id", "lang"), "doc_id")
+    preds = [F.col("n_chars") >= 500, F.col("n_chars") >= 2000, F.col("lang") == "en", F.col("toxic") == 0, F.col("doc_id") % 2 == 1]
+    rows = V.doc(s, d).select("doc_id", "lang", F.col("target").alias("gold"), F.array(*[p.cast("int") for p in preds]).alias("preds"))
     made = (search.mitigation_front if front else search.ensemble_scores)(rows, 5, ["lang"], 1)
     masks = F.array(*[F.lit(sum(1 << k for k in c)) for _, c in search.ensembles(5, kinds=("voting",))])
     return rounded(made.select(F.get(masks, F.col("candidate")).cast("long").alias("m"), "accuracy", F.col("statistical_parity").alias("g")))
@@ -204,7 +205,7 @@ _FACTORS = " ".join(f"WHEN '{c}' THEN {bias.PUNCTUATION[c]}::DOUBLE" for c in ".
 
 @query("WITH " + V.TOK + f""", logs AS (SELECT doc_id, par_id, i, word, coalesce(sum(ln(CASE word {_FACTORS} ELSE 0.95::DOUBLE END)) OVER (PARTITION BY doc_id, par_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS l,
   sum(ln(CASE word {_FACTORS} ELSE 0.95::DOUBLE END)) OVER (PARTITION BY doc_id, par_id ORDER BY i) AS after FROM tok),
-near AS (SELECT s.grp, t.word, CASE WHEN t.i < s.i THEN exp(c.l - t.after) ELSE exp(t.l - c.l) END AS w FROM seed s JOIN logs c USING (doc_id, par_id, i) JOIN logs t ON s.doc_id = t.doc_id AND s.par_id = t.par_id AND t.i BETWEEN s.i - 200 AND s.i + 200 WHERE regexp_full_match(t.word, '[a-z]+'))
+near AS (SELECT s.grp, t.word, CASE WHEN t.i < s.i THEN exp(c.l - t.after) ELSE exp(t.l - c.l) END AS w FROM seed s JOIN logs c USING (doc_id, par_id, i) JOIN logs t ON s.doc_id = t.doc_id AND s.par_id = t.par_id AND t.i BETWEEN s.i - 200 AND s.i + 200 WHERE NOT regexp_full_match(t.word, '[0-9]+|[.,;:!?]'))
 SELECT word, round(sum(CASE WHEN grp = 'male' THEN w ELSE 0 END) + 1e-7, 3) AS count_male, round(sum(CASE WHEN grp = 'female' THEN w ELSE 0 END) + 1e-7, 3) AS count_female FROM near GROUP BY word""")
 def bias_counts_punctuation(s, d):
     counts = bias.bias_counts(V.tokens(s, d), V.LEXICON, punctuation=True)
@@ -215,7 +216,7 @@ _OWN = "CASE WHEN doc_id % 2 = 0 THEN 'he' ELSE 'his' END"
 
 
 @query("WITH " + V.TOK + f""", own AS (SELECT doc_id, par_id, i, CASE WHEN word = {_OWN} THEN 'male' ELSE 'female' END AS grp FROM tok WHERE word = {_OWN} OR word = 'it' AND doc_id % 3 <> 0),
-near AS (SELECT o.grp, t.word, t.i - o.i AS d FROM own o JOIN tok t ON o.doc_id = t.doc_id AND o.par_id = t.par_id AND t.i BETWEEN o.i - 10 AND o.i + 10 WHERE regexp_full_match(t.word, '[a-z]+'))
+near AS (SELECT o.grp, t.word, t.i - o.i AS d FROM own o JOIN tok t ON o.doc_id = t.doc_id AND o.par_id = t.par_id AND t.i BETWEEN o.i - 10 AND o.i + 10 WHERE NOT regexp_full_match(t.word, '[0-9]+|[.,;:!?]'))
 SELECT word, count(*) FILTER (WHERE grp = 'male') AS discrete_male, count(*) FILTER (WHERE grp = 'female') AS discrete_female FROM near GROUP BY word""")
 def bias_own_lexicons(s, d):
     entry = lambda w, grp, include: F.struct(w.alias("word"), F.lit(grp).alias("grp"), include.alias("include"))
@@ -228,7 +229,7 @@ def bias_own_lexicons(s, d):
 
 @query("WITH " + V.TOK + r""", lexi AS (SELECT * FROM (VALUES ('male', 'his'), ('female', 'this')) v(grp, word)),
 c AS (SELECT t.doc_id, t.par_id, t.i, l.grp FROM tok t JOIN lexi l USING (word)),
-near AS (SELECT t.word, c.grp, a.t AS x, least(t.i, c.i) AS lo, greatest(t.i, c.i) AS hi FROM c JOIN tok t ON t.doc_id = c.doc_id AND t.par_id = c.par_id AND t.i BETWEEN c.i - 2 AND c.i + 2 JOIN arrays a ON a.doc_id = c.doc_id AND a.par_id = c.par_id WHERE regexp_full_match(t.word, '[a-z]+')),
+near AS (SELECT t.word, c.grp, a.t AS x, least(t.i, c.i) AS lo, greatest(t.i, c.i) AS hi FROM c JOIN tok t ON t.doc_id = c.doc_id AND t.par_id = c.par_id AND t.i BETWEEN c.i - 2 AND c.i + 2 JOIN arrays a ON a.doc_id = c.doc_id AND a.par_id = c.par_id WHERE NOT regexp_full_match(t.word, '[0-9]+|[.,;:!?]')),
 lexed AS (SELECT *, x[lo + 1] || '->' || x[lo + 1] || ':X' AS l, x[hi + 1] || '->' || x[hi + 1] || ':X' AS h FROM near),
 snip AS (SELECT word, grp, CASE WHEN lo - 3 > 0 THEN '... ' ELSE '' END || array_to_string(x[greatest(lo - 3, 0) + 1 : greatest(lo - 3, 0) + least(lo, 3)], ' ') || ' '
   || CASE WHEN lo = hi THEN '«' || l || '»' ELSE '[[' || l || ']] ' || array_to_string(x[lo + 2 : hi], ' ') || ' [[' || h || ']]' END || ' ' || array_to_string(x[hi + 2 : hi + 3], ' ') || CASE WHEN hi + 3 < len(x) THEN ' ...' ELSE '' END AS s FROM lexed)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paritas.functions import markdown, stems
 from paritas.operators import bias, debias, gazetteer, pareto, tagging
 from paritas.plans import views as V
 from paritas.plans.catalogue import query, rounded
@@ -122,3 +123,22 @@ def pareto_fronts_3d(s, d):
     points = V.table(s, d, "part").select((F.col("p_partkey") % 11).alias("x"), (F.col("p_size").cast("long") % 7).alias("y"), (F.col("p_partkey") % 5).alias("z"))
     ranked = pareto.fronts(points, ["x", "y", "z"], [True, False, True])
     return ranked.groupBy("front", "x", "y", "z").agg(F.count(F.lit(1)).alias("n")).select(F.col("front").cast("long").alias("front"), "x", "y", "z", "n")
+
+
+# --- texts ------------------------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT p_partkey, p_name || chr(10) || p_type || chr(10) || p_partkey || chr(10) || 'size' || chr(9) || 'name' || chr(10) || p_size || chr(9) || p_name || chr(10) || '# ' || p_name AS text FROM part")
+def markdown_text(s, d):
+    """A heading, a nested list, a table and a fence around each part's values."""
+    pieces = ["# ", "p_name", "\n\n- *", "p_type", "*\n  1. `", "p_partkey", "`\n\n| size | name |\n|:--|---|\n| **", "p_size", "** | [", "p_name", "](http://x.y) |\n\n```\n# ", "p_name", "\n```\n"]
+    text = F.concat(*[F.col(x).cast("string") if x.startswith("p_") else F.lit(x) for x in pieces])
+    return V.table(s, d, "part").select("p_partkey", markdown.markdown_text(text).alias("text"))
+
+
+@query()
+def stemmed_words(s, d):
+    """The distinct words of the documents and their English stems, by first letter."""
+    words = V.spread(V.table(s, d, "documents").select("text")).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"))).alias("word"))
+    made = stems.stem_table(words, "english")
+    return made.groupBy(F.substring("word", 1, 1).alias("letter")).agg(F.count(F.lit(1)).alias("words"), F.count_distinct("stem").alias("stems"))

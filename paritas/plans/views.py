@@ -70,7 +70,7 @@ def tokens(spark: SparkSession, d: str) -> DataFrame:
 
 
 TOK = r"""lines AS (SELECT doc_id, unnest(range(len(l))) AS par_id, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
-arrays AS (SELECT doc_id, par_id, regexp_extract_all(lower(line), '[a-z]+|[0-9]+|[.,;:!?]') AS t FROM lines),
+arrays AS (SELECT doc_id, par_id, regexp_extract_all(lower(line), '\p{L}+|[0-9]+|[.,;:!?]') AS t FROM lines),
 tok AS (SELECT doc_id, par_id, unnest(range(len(t))) AS i, unnest(t) AS word FROM arrays),
 lex AS (SELECT * FROM (VALUES ('male', 'he'), ('male', 'his'), ('female', 'it'), ('female', 'this')) v(grp, word)),
 seed AS (SELECT doc_id, par_id, i, grp FROM tok JOIN lex USING (word))"""
@@ -79,7 +79,7 @@ seed AS (SELECT doc_id, par_id, i, grp FROM tok JOIN lex USING (word))"""
 def pairs_sql(width: int, weight: str) -> str:
     """CTEs of context pairs and counts; weight is SQL over d, the place minus the centre's."""
     return TOK + f""",
-near AS (SELECT s.grp, t.word, t.i - s.i AS d FROM seed s JOIN tok t ON s.doc_id = t.doc_id AND s.par_id = t.par_id AND t.i BETWEEN s.i - {width} AND s.i + {width} WHERE regexp_full_match(t.word, '[a-z]+')),
+near AS (SELECT s.grp, t.word, t.i - s.i AS d FROM seed s JOIN tok t ON s.doc_id = t.doc_id AND s.par_id = t.par_id AND t.i BETWEEN s.i - {width} AND s.i + {width} WHERE NOT regexp_full_match(t.word, '[0-9]+|[.,;:!?]')),
 weighed AS (SELECT grp, word, {weight} AS w FROM near),
 counts AS (SELECT word, sum(CASE WHEN grp = 'male' THEN w ELSE 0 END) AS count_male, sum(CASE WHEN grp = 'female' THEN w ELSE 0 END) AS count_female,
   count(*) FILTER (WHERE grp = 'male' AND w > 0.05::DOUBLE) AS discrete_male, count(*) FILTER (WHERE grp = 'female' AND w > 0.05::DOUBLE) AS discrete_female FROM weighed GROUP BY word)"""

@@ -186,3 +186,23 @@ def test_too_many_target_values_are_refused(spark):
 def test_every_code_of_the_credit_file_has_a_column():
     assert len(readers.GERMAN_COLUMNS) == 20 and set(readers.GERMAN_NUMBERS) <= set(readers.GERMAN_COLUMNS) and len(readers.GERMAN_NUMBERS) == 7
     assert len({c[: -1 if len(c) < 4 else 3] if c != "A410" else "A4" for c in readers.GERMAN_CODES}) == 13
+
+
+def test_annotations_of_stories_with_any_mark(spark):
+    from paritas.functions import text as T
+
+    lines = ["doctor - M", "nurse= f", "sky –N", "day ‑ Ｍ", "well-known - F", "no mark here", "x - Q", "a - b - M", "", "rosa =Ｆ"]
+    df = spark.createDataFrame([("\n".join(lines),), (None,), ("",)], "t string")
+    rows = df.select(T.story_annotations(F.col("t")).alias("a"), T.skipped_annotations(F.col("t")).alias("s")).collect()
+    got = [(a["word"], a["include"], a["group"]) for a in rows[0]["a"]]
+    assert got == [("doctor", True, "male"), ("nurse", True, "female"), ("sky", False, None), ("day", True, "male"), ("well-known", True, "female"), ("rosa", True, "female")]
+    assert rows[0]["s"] == ["no mark here", "x - Q", "a - b - M"] and rows[1]["a"] is None and rows[2]["a"] == []
+
+
+def test_themes_are_named_with_fallbacks(spark):
+    from paritas.operators import reports
+
+    scores = spark.createDataFrame([("m", "1", "1a", 0.5), ("m", "2", "2b", 0.1), ("m", "1", "9", 0.2), ("other", "1", "1a", 0.3)], "model string, theme string, subtheme string, score double")
+    names = spark.createDataFrame([("m", "1", "Work", "1a", "Law", "male"), ("m", "2", "", "2b", None, None)], "model string, theme string, theme_name string, subtheme string, subtheme_name string, expected string")
+    got = {(r["model"], r["theme"], r["subtheme"]): (r["theme_key"], r["subtheme_key"], r["expected"], r["score"]) for r in reports.named_themes(scores, names).collect()}
+    assert got == {("m", "1", "1a"): ("1 [Work]", "1a [Law]", "male", 0.5), ("m", "2", "2b"): ("2", "2b", "neutral", 0.1), ("m", "1", "9"): ("1 [Work]", "9", "neutral", 0.2), ("other", "1", "1a"): ("1", "1a", "neutral", 0.3)}

@@ -265,3 +265,29 @@ def test_folds_are_seeded_shares(spark):
     rows = spark.range(3000).select("id", training.fold_of(F.col("id"), 5, 1).alias("f"), training.fold_of(F.col("id"), 5, 2).alias("g"))
     sizes = {r["f"]: r["count"] for r in rows.groupBy("f").count().collect()}
     assert sorted(sizes) == [0, 1, 2, 3, 4] and min(sizes.values()) > 500 and rows.where("f != g").count() > 2000
+
+
+# --- ensembles of pyspark.ml: rows that have one answer ----------------------------------------------------------------------------
+
+
+def test_stacking_and_learning_find_the_classifier_that_is_right(spark):
+    r = random.Random(8)
+    rows = [(i, g, [r.randint(0, 1), g, r.randint(0, 1)]) for i in range(200) for g in [r.randint(0, 1)]]
+    df = spark.createDataFrame(rows, "row_id long, gold int, preds array<int>")
+    from paritas.operators import ensemble
+
+    _, told = ensemble.stacking(df, 3)
+    assert told.where("stacked = gold").count() == 200
+    learnt = search.fit_ensemble(df, "learning", (0, 1), [0.5, 1.0, 0.5])(df, "said")
+    assert learnt.where("said = gold").count() == 200 and "__some" not in learnt.columns
+    blind = search.fit_ensemble(df, "learning", (0, 2), [0.5, 1.0, 0.5])(df, "said")
+    assert blind.where("said = gold").count() < 160
+
+
+def test_bagging_votes_as_the_line_that_parts_the_rows(spark):
+    rows = [(i, float(i), float(i % 7), int(i >= 60)) for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, x double, noise double, gold int")
+    from paritas.operators import ensemble
+
+    told = ensemble.bagging(df, ["x", "noise"], "gold", n_estimators=3, max_samples=0.7, seed=1)
+    assert told.columns == [*df.columns, "bagged"] and told.where("bagged = gold").count() >= 115
