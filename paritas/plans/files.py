@@ -295,7 +295,7 @@ def write_search_log(s, d):
     return s.read.text(path).select(F.get_json_object("value", "$.ensemble").cast("long").alias("ensemble"))
 
 
-@query("SELECT (floor(p_retailprice / 100))::BIGINT AS step, count(*) AS n, 0::BIGINT AS out_of_order FROM part GROUP BY 1")
+@query("SELECT floor(p_retailprice)::BIGINT AS step, count(*) AS n, 0::BIGINT AS out_of_order FROM part GROUP BY 1")
 def write_scores(s, d):
     """Rows by steps of the score, and how many of them a smaller score follows in their file or an earlier file ends above."""
     path = sinks.folder(s, "scores.csv")
@@ -310,7 +310,7 @@ def write_scores(s, d):
     earlier = ends.withColumn("ended", F.max("high").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1))).select("file", "ended")  # a row for each file
     judged = inside.join(earlier, "file")
     wrong = (F.col("log_score") < F.col("before")) | (F.col("log_score") < F.col("ended"))
-    return judged.groupBy(F.floor(F.col("log_score") / 100).cast("long").alias("step")).agg(F.count(F.lit(1)).alias("n"), F.count_if(wrong).alias("out_of_order"))
+    return judged.groupBy(F.floor("log_score").cast("long").alias("step")).agg(F.count(F.lit(1)).alias("n"), F.count_if(wrong).alias("out_of_order"))
 
 
 @query("SELECT p_partkey FROM part WHERE p_retailprice > (SELECT avg(p_retailprice) FROM part)")
