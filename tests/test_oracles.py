@@ -39,7 +39,7 @@ def test_query_matches_sql(spark, duck, name):
     assert sorted(tuple(plain(r[c]) for c in columns) for r in df.collect()) == expected
 
 
-WITHOUT_SQL = ["greedy_diversity_rank", "stacking_tree", "bagging_tree", "bias_concordance", "summary_ci_margin", "fuzzy_match", "stratified_sample", "stratified_split", "strip_markup"]
+WITHOUT_SQL = ["greedy_diversity_rank", "stacking_tree", "bagging_tree", "bias_concordance", "summary_ci_margin", "fuzzy_match", "stratified_sample", "stratified_split", "strip_markup", "fit_learning", "stemmed_words", "tagged_tokens"]
 
 
 @pytest.mark.parametrize("name", WITHOUT_SQL)
