@@ -1,9 +1,9 @@
 """Text bias scores: distance-weighted co-occurrence of words with group seeds.
 
 Tokens stay in one array per paragraph, so that a context window is a slice and
-nothing is shuffled before the aggregate.  A paragraph without a seed is dropped
-before anything is exploded; a paragraph is exploded once per seed, window by
-window.  Columns of a token table: doc_id, par_id, tokens
+nothing is shuffled before the aggregate.  A paragraph's seeds are found inside its
+array, so only they are exploded, window by window, from pieces of bounded length.
+Columns of a token table: doc_id, par_id, tokens
 (array<struct<word, pos>>; with morphology also gender, definite).
 
 A lexicon is a small literal {group: words} or {group: {pos: words}}; per-text
@@ -39,8 +39,9 @@ def regex_tokens(df: DataFrame, paragraph: str = "paragraph", pattern: str = r"\
     known = F.create_map(*[F.lit(x) for pair in pos_of.items() for x in pair]) if pos_of else None
 
     def token(w: Column) -> Column:
-        pos = F.when(w.rlike(r"^\p{Nd}+$"), "NUM").when(w.rlike(r"^\p{Punct}+$"), "PUNCT")
-        return F.struct(w.alias("word"), (pos.otherwise(F.coalesce(F.try_element_at(known, w), F.lit("X"))) if pos_of else pos.otherwise("X")).alias("pos"))
+        other = F.coalesce(F.try_element_at(known, w), F.lit("X")) if pos_of else F.lit("X")
+        latin = (w >= "a") & (w < "{")  # begins with a letter a to z, so it's neither
+        return F.struct(w.alias("word"), F.when(latin, other).when(w.rlike(r"^\p{Nd}+$"), "NUM").when(w.rlike(r"^\p{Punct}+$"), "PUNCT").otherwise(other).alias("pos"))
 
     found = F.regexp_extract_all(F.lower(paragraph), F.lit(f"({pattern})"), F.lit(0))
     return df.withColumn("tokens", F.transform(found, token))
@@ -68,11 +69,26 @@ def lexicon_rows(lexicon: Mapping[str, Sequence[str] | Mapping[str, Sequence[str
 
 def groups_of(token: Column, lexicon) -> Column:
     """The groups whose lexicon has the token, in their order."""
-    by_group: dict[str, Column] = {}
-    for group, pos, word in lexicon_rows(lexicon):
-        hit = (token["word"] == word) & (F.lit(True) if pos is None else token["pos"] == pos)
-        by_group[group] = by_group[group] | hit if group in by_group else hit
-    return F.array_compact(F.array(*[F.when(hit, F.lit(g)) for g, hit in by_group.items()]))
+    by_group: dict[str, list] = {}
+    for row in lexicon_rows(lexicon):
+        by_group.setdefault(row[0], []).append(row)
+    return F.array_compact(F.array(*[F.when(_listed(token, rows), F.lit(g)) for g, rows in by_group.items()]))
+
+
+def in_lexicon(token: Column, lexicon) -> Column:
+    """Whether any group's lexicon has the token."""
+    return _listed(token, lexicon_rows(lexicon))
+
+
+def _listed(token: Column, rows: Sequence[tuple[str, str | None, str]]) -> Column:
+    by_pos: dict[str | None, list[str]] = {}
+    for _, pos, word in rows:
+        by_pos.setdefault(pos, []).append(word)
+    hit = F.lit(False)
+    for pos, words in by_pos.items():
+        known = token["word"].isin(*dict.fromkeys(words))
+        hit = hit | (known if pos is None else known & (token["pos"] == pos))
+    return hit
 
 
 def included_words(annotation: Column) -> Column:
@@ -80,6 +96,15 @@ def included_words(annotation: Column) -> Column:
     return F.transform(F.filter(annotation, lambda a: a["include"]), lambda a: F.struct(a["word"].alias("word"), a["grp"].alias("grp")))
 
 
+def own_entries(annotation: Column, groups: Sequence[str]) -> Column:
+    """included_words of a per-text lexicon; a group that isn't one of groups stops the job."""
+    return F.transform(included_words(annotation), lambda a: F.struct(a["word"].alias("word"), _expected(a["grp"], groups).alias("grp")))
+
+
+def _expected(grp: Column, groups: Sequence[str]) -> Column:
+    return F.when(grp.isin(*groups), grp).otherwise(F.raise_error(F.concat(F.lit("a text's lexicon names an unknown group: "), grp)).cast("string"))
+
+
 def group_words(lexicon) -> list[str]:
     return list(dict.fromkeys(w for _, _, w in lexicon_rows(lexicon)))
 
@@ -127,6 +152,27 @@ def punctuated(tokens: Column, step: float = 0.95) -> Column:
 
 # --- counts ---------------------------------------------------------------------------------------------------------
 
+#: Tokens of a paragraph that are looked through for seeds at once.
+PIECE = 1024
+
+
+def pieces(tokens: DataFrame, width: int, size: int | None = None) -> DataFrame:
+    """Token table with long paragraphs cut: each row has `size` tokens whose seeds are its own, from low to high, and their neighbours within width."""
+    size = size or PIECE
+    cut = F.transform(F.sequence(F.lit(0), F.greatest(F.size("tokens") - 1, F.lit(0)), F.lit(size)), lambda at: _piece(at, width, size))
+    return tokens.select(*[c for c in tokens.columns if c != "tokens"], F.explode(cut).alias("__p")).select("*", "__p.*").drop("__p")
+
+
+def _piece(at: Column, width: int, size: int) -> Column:
+    start = F.greatest(at - width, F.lit(0))
+    return F.struct(F.slice("tokens", start + 1, at - start + size + width).alias("tokens"), (at - start).alias("low"), (at - start + size).alias("high"))
+
+
+def _places(tokens: DataFrame, hit) -> Column:
+    """Places (from 0) of the tokens that hit; of a piece, its own ones."""
+    inside = (lambda i: (i >= F.col("low")) & (i < F.col("high"))) if "low" in tokens.columns else lambda i: F.lit(True)
+    return F.array_compact(F.transform("tokens", lambda t, i: F.when(hit(t) & inside(i), i)))
+
 
 def seeds(tokens: DataFrame, lexicon, person: Column | None = None, agree: Mapping[str, str] | None = None) -> DataFrame:
     """A row per seed and group: tokens, centre (from 0), grp, agrees.
@@ -134,8 +180,8 @@ def seeds(tokens: DataFrame, lexicon, person: Column | None = None, agree: Mappi
     person: a check on the token struct column `seed`; agree: curated words' groups,
     for agreement with the words to the left (needs gender and definite in tokens).
     """
-    hit = tokens.where(F.exists("tokens", lambda t: F.size(groups_of(t, lexicon)) > 0))
-    out = hit.select("*", F.posexplode("tokens").alias("centre", "seed")).select("*", F.explode(groups_of(F.col("seed"), lexicon)).alias("grp"))
+    out = tokens.select("*", F.explode(_places(tokens, lambda t: in_lexicon(t, lexicon))).alias("centre")).withColumn("seed", F.get("tokens", F.col("centre")))
+    out = out.select("*", F.explode(groups_of(F.col("seed"), lexicon)).alias("grp"))
     if person is not None:
         out = out.where(person)
     if agree is None:
@@ -185,6 +231,8 @@ def bias_counts(tokens: DataFrame, lexicon, context=None, **options) -> DataFram
     punctuation = options.get("punctuation", False)
     if punctuation:  # once a paragraph, not once a seed
         tokens = tokens.withColumn("logs", punctuated(F.col("tokens")))
+    elif options.get("agree") is None:
+        tokens = pieces(tokens, (context or continual())[0])
     rows = contexts(seeds(tokens, lexicon, options.get("person"), options.get("agree")), context, punctuation)
     return counts_of(rows, list(dict.fromkeys(g for g, _, _ in lexicon_rows(lexicon))))
 
@@ -198,9 +246,10 @@ def counts_of(rows: DataFrame, groups: Sequence[str]) -> DataFrame:
 
 def group_counts(tokens: DataFrame, lexicon, **options) -> DataFrame:
     """Seeds of each group that is met: grp, n, ratio to the smallest."""
-    counted = seeds(tokens, lexicon, **options).groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
-    least = counted.agg(F.min("n").alias("least"))
-    return counted.crossJoin(F.broadcast(least)).select("grp", "n", (F.col("n") / F.col("least")).alias("ratio"))  # least is one row
+    cut = tokens if options.get("agree") is not None else pieces(tokens, 0)
+    counted = seeds(cut, lexicon, **options).groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
+    all_groups = Window.partitionBy(F.lit(0))  # a row for each group of the lexicon
+    return counted.select("grp", "n", (F.col("n") / F.min("n").over(all_groups)).alias("ratio"))
 
 
 def simple_scores(tokens: DataFrame, lexicon, **options) -> DataFrame:
@@ -361,7 +410,7 @@ class BiasScore:
         spark = texts.sparkSession
         table = self.token_table(texts, text)
         words = lambda some: spark.createDataFrame([(w,) for w in some], "word string") if some else None
-        found = bias_counts(table, self.lexicon, self.context, **self.options) if self.own is None else counts_of(contexts(seeds_by_text(table, self.own, self.groups), self.context), self.groups)
+        found = bias_counts(table, self.lexicon, self.context, **self.options) if self.own is None else own_counts(table, self.own, self.groups, self.context)
         counts = drop_words(found, words(self.stopwords), words(group_words(self.lexicon)) if self.drop_group_words else None, words(self.inspect))
         if self.lemmas is not None:
             counts = merge_lemmas(counts, self.lemmas, words(self.inspect))
@@ -380,15 +429,24 @@ def texts_own_lexicon(df: DataFrame, annotation: str = "annotation") -> DataFram
     return df.select("doc_id", F.explode(included_words(F.col(annotation))).alias("a")).select("doc_id", F.col("a.grp").alias("grp"), F.col("a.word").alias("word")).distinct()
 
 
-def seeds_by_text(tokens: DataFrame, own: DataFrame, groups: Sequence[str] | None = None) -> DataFrame:
-    """Like seeds(), with the lexicon of each text (doc_id, grp, word): an equi-join on the text's id.
+def seeds_by_text(tokens: DataFrame, own: DataFrame | str, groups: Sequence[str] | None = None) -> DataFrame:
+    """Like seeds(), with the lexicon of each text: rows (doc_id, grp, word), joined on the text's id, or the name of a column of
+    (word, grp) that tokens has, where nothing is shuffled.
 
     groups: the groups that are expected, in their order; a text that names another one stops the job.
     """
-    if groups is not None:
-        named = F.col("grp").isin(*groups)
-        own = own.withColumn("grp", F.when(named, F.col("grp")).otherwise(F.raise_error(F.concat(F.lit("a text's lexicon names an unknown group: "), F.col("grp"))).cast("string")))
-    lists = own.groupBy("doc_id").agg(F.collect_set(F.struct("grp", "word")).alias("__own"))
-    met = tokens.join(lists, "doc_id").select("*", F.posexplode("tokens").alias("centre", "seed"))
-    hits = F.transform(F.filter("__own", lambda o: o["word"] == F.col("seed.word")), lambda o: o["grp"])
-    return met.select("*", F.explode(F.array_sort(F.array_distinct(hits))).alias("grp")).drop("__own").withColumn("agrees", F.lit(True))
+    if not isinstance(own, str):
+        if groups is not None:
+            own = own.withColumn("grp", _expected(F.col("grp"), groups))
+        tokens, own = tokens.join(own.groupBy("doc_id").agg(F.collect_set(F.struct("word", "grp")).alias("__own")), "doc_id"), "__own"
+    here = lambda words: _places(tokens, lambda t: F.array_contains(words, t["word"]))
+    places = _let(F.transform(own, lambda o: o["word"]), here)
+    out = tokens.select("*", F.explode(places).alias("centre")).withColumn("seed", F.get("tokens", F.col("centre")))
+    hits = F.transform(F.filter(own, lambda o: o["word"] == F.col("seed.word")), lambda o: o["grp"])
+    return out.select("*", F.explode(F.array_sort(F.array_distinct(hits))).alias("grp")).drop(own).withColumn("agrees", F.lit(True))
+
+
+def own_counts(tokens: DataFrame, own: DataFrame | str, groups: Sequence[str], context=None) -> DataFrame:
+    """bias_counts with the lexicon of each text, as seeds_by_text takes it."""
+    context = context or continual()
+    return counts_of(contexts(seeds_by_text(pieces(tokens, context[0]), own, groups), context), groups)

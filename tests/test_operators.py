@@ -372,6 +372,40 @@ def test_lexicons_of_each_text(spark):
     assert bias.contexts(seeded).count() == 4
 
 
+def windows_by_hand(rows, own, width):
+    """word -> (discrete of m, discrete of f) by every seed's window."""
+    out = {}
+    for doc, words in rows:
+        for c, seed in enumerate(words):
+            for grp in {g for w, g in own[doc] if w == seed}:
+                for word in words[max(0, c - width) : c + width + 1]:
+                    out.setdefault(word, [0, 0])["mf".index(grp)] += 1
+    return {w: tuple(n) for w, n in out.items()}
+
+
+def test_own_lexicons_over_pieces_of_long_paragraphs(spark, monkeypatch):
+    monkeypatch.setattr(bias, "PIECE", 7)
+    rows = [(1, list("abcab" * 9)), (2, list("cab" * 5)), (3, []), (4, list("b" * 7)), (5, list("xyzab" * 3) + ["a"])]
+    own = {1: [("a", "m"), ("c", "f")], 2: [("b", "m"), ("b", "f")], 3: [("a", "m")], 4: [("b", "f")], 5: []}
+    made = [(d, 0, [(w, "X") for w in words], own[d]) for d, words in rows]
+    df = spark.createDataFrame(made, "doc_id long, par_id int, tokens array<struct<word:string,pos:string>>, own array<struct<word:string,grp:string>>")
+    listed = df.select("doc_id", F.explode("own").alias("o")).select("doc_id", "o.grp", "o.word")
+    for lexicons in ("own", listed):
+        got = bias.own_counts(df if lexicons == "own" else df.drop("own"), lexicons, ["m", "f"], bias.fixed(4))
+        assert {r["word"]: (r["discrete_m"], r["discrete_f"]) for r in got.collect()} == windows_by_hand(rows, own, 4)
+    with pytest.raises(Exception, match="unknown group"):
+        bias.own_counts(df.withColumn("own", bias.own_entries(F.transform("own", lambda o: F.struct(o["word"].alias("word"), o["grp"].alias("grp"), F.lit(True).alias("include"))), ["m"])), "own", ["m"]).collect()
+
+
+def test_a_long_paragraph_is_not_copied_for_each_of_its_tokens(spark):
+    """20,000 words in a line: a copy of the line for each word would be 25 GB."""
+    texts = spark.createDataFrame([(1, "he said " * 10_000)], "doc_id long, text string")
+    tokens = bias.regex_tokens(bias.paragraphs(texts)).select("doc_id", "par_id", "tokens")
+    got = bias.own_counts(tokens.withColumn("own", F.array(F.struct(F.lit("he").alias("word"), F.lit("m").alias("grp")))), "own", ["m"], bias.fixed(1))
+    assert {r["word"]: r["discrete_m"] for r in got.collect()} == {"he": 10_000, "said": 19_999}
+    assert bias.group_counts(tokens, {"m": ["he"]}).first()["n"] == 10_000
+
+
 def test_person_and_baselines(spark):
     one = lambda c: spark.range(1).select(c).first()[0]
     v = F.array(F.lit(1.0), F.lit(0.1))
