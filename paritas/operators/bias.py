@@ -205,6 +205,12 @@ def left_gender(tokens: Column, centre: Column, curated: Mapping[str, str]) -> C
     return F.aggregate(left, start, walk, lambda s: s["gender"])
 
 
+def is_counted(token: Column) -> Column:
+    """Whether a context counts the token: punctuation, numbers and symbols aren't counted."""
+    digits = token["word"].between("0", ":") | ~token["word"].between(" ", "~")  # else no digit is first
+    return ~token["pos"].isin(*CUT_POS) & ~(digits & token["word"].rlike(r"^\p{Nd}+$"))
+
+
 def contexts(seeded: DataFrame, context=None, punctuation: bool = False, step: float = 0.95) -> DataFrame:
     """A row per seed, group and counted context token: grp, word, pos, weight, d (place minus the centre's)."""
     width, weight = context or continual()
@@ -214,8 +220,6 @@ def contexts(seeded: DataFrame, context=None, punctuation: bool = False, step: f
         seeded = seeded.withColumn("logs", punctuated(F.col("tokens"), step))
     columns = ["grp", "centre", start.alias("start"), *(["logs"] if punctuation else [])]
     near = seeded.where("agrees").select(*columns, F.posexplode(window).alias("k", "token"))
-    digits = F.col("token.word").between("0", ":") | ~F.col("token.word").between(" ", "~")  # else no digit is first
-    counted = ~F.col("token.pos").isin(*CUT_POS) & ~(digits & F.col("token.word").rlike(r"^\p{Nd}+$"))
     at = F.col("start") + F.col("k")
     d = at - F.col("centre")
     if punctuation:
@@ -223,7 +227,7 @@ def contexts(seeded: DataFrame, context=None, punctuation: bool = False, step: f
         w = F.when(d < 0, F.exp(log(F.col("centre")) - log(at + 1))).otherwise(F.exp(log(at) - log(F.col("centre"))))
     else:
         w = weight(d)
-    return near.where(counted).select("grp", F.col("token.word").alias("word"), F.col("token.pos").alias("pos"), w.alias("weight"), d.alias("d"))
+    return near.where(is_counted(F.col("token"))).select("grp", F.col("token.word").alias("word"), F.col("token.pos").alias("pos"), w.alias("weight"), d.alias("d"))
 
 
 def bias_counts(tokens: DataFrame, lexicon, context=None, **options) -> DataFrame:
@@ -237,6 +241,28 @@ def bias_counts(tokens: DataFrame, lexicon, context=None, **options) -> DataFram
     return counts_of(rows, list(dict.fromkeys(g for g, _, _ in lexicon_rows(lexicon))))
 
 
+def all_counts(tokens: DataFrame, lexicon, context=None) -> DataFrame:
+    """bias_counts with global_counts beside it, from one reading of the tokens: a piece's own tokens are one more window, of no group."""
+    width, weight = context = context or continual()
+    groups = list(dict.fromkeys(g for g, _, _ in lexicon_rows(lexicon)))
+    cut = pieces(tokens, width)
+    places = _places(cut, lambda t: in_lexicon(t, lexicon))
+
+    def window(i: Column) -> Column:
+        start = F.greatest(i - width, F.lit(0))
+        return F.struct(groups_of(F.get("tokens", i), lexicon).alias("grps"), (start - i).alias("first"), F.slice("tokens", start + 1, i + width - start + 1).alias("near"))
+
+    own = F.struct(F.lit(None).cast("array<string>").alias("grps"), F.lit(0).alias("first"), F.slice("tokens", F.col("low") + 1, F.col("high") - F.col("low")).alias("near"))
+    windows = cut.select(F.explode(F.concat(F.array(own), F.transform(places, window))).alias("w")).select(F.col("w.grps").alias("grps"), F.col("w.first").alias("first"), F.posexplode("w.near").alias("k", "token"))
+    rows = windows.where(F.col("grps").isNull() | is_counted(F.col("token")))
+    rows = rows.select("grps", F.col("token.word").alias("word"), F.col("token.pos").alias("pos"), F.when(F.col("grps").isNotNull(), weight(F.col("first") + F.col("k"))).alias("weight"))
+    of = lambda g: F.coalesce(F.array_contains("grps", g), F.lit(False))
+    aggs = [F.sum(F.when(of(g), F.col("weight")).otherwise(0.0)).alias(f"count_{g}") for g in groups]
+    aggs += [F.count_if(of(g) & (F.col("weight") > DISCRETE)).alias(f"discrete_{g}") for g in groups]
+    met = F.count_if(F.col("grps").isNotNull()).alias("__met")
+    return rows.groupBy("word", "pos").agg(*aggs, F.count_if(F.col("grps").isNull()).alias("global_count"), met).where("__met > 0").drop("__met")
+
+
 def counts_of(rows: DataFrame, groups: Sequence[str]) -> DataFrame:
     """From contexts: count_<group> and discrete_<group> per word and part of speech."""
     aggs = [F.sum(F.when(F.col("grp") == g, F.col("weight")).otherwise(0.0)).alias(f"count_{g}") for g in groups]
@@ -298,9 +324,14 @@ def log_score(first: Column, second: Column, first_total: Column, second_total:
 
 
 def bias_scores(counts: DataFrame, groups: Sequence[str], discrete: bool = False) -> DataFrame:
-    """counts with count_disparity and, for two groups, log_score over the totals of the kept words."""
+    """counts with count_disparity and, for two groups, log_score over the totals of the kept words.
+
+    For two groups the counts, a row for each word, are written to the shared folder first: the totals and the rows read them.
+    """
     kind = "discrete" if discrete else "count"
     cols = [F.col(f"{kind}_{g}").cast("double") for g in groups]
+    if len(groups) == 2:
+        counts = _written(counts)
     out = counts.withColumn("count_disparity", count_disparity(cols))
     if len(groups) != 2:
         return out
@@ -308,6 +339,15 @@ def bias_scores(counts: DataFrame, groups: Sequence[str], discrete: bool = False
     return out.crossJoin(F.broadcast(totals)).withColumn("log_score", log_score(*cols, F.col("__total0"), F.col("__total1"))).drop("__total0", "__total1")  # totals is one row
 
 
+def _written(df: DataFrame) -> DataFrame:
+    """df as a table in the folder that the cluster shares; it goes with the driver's JVM."""
+    from paritas.sources import sinks
+
+    path = sinks.folder(df.sparkSession, "counts")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def mode_summary(scores: DataFrame, columns: Sequence[str]) -> DataFrame:
     """mode, mean, sample deviation of the finite values of each column; one aggregation."""
     def finite(c: str) -> Column:
@@ -410,10 +450,20 @@ class BiasScore:
         spark = texts.sparkSession
         table = self.token_table(texts, text)
         words = lambda some: spark.createDataFrame([(w,) for w in some], "word string") if some else None
-        found = bias_counts(table, self.lexicon, self.context, **self.options) if self.own is None else own_counts(table, self.own, self.groups, self.context)
+        one_pass = self.own is None and self.lemmas is None and not self.options
+        if one_pass:
+            found = all_counts(table, self.lexicon, self.context)
+        elif self.own is None:
+            found = bias_counts(table, self.lexicon, self.context, **self.options)
+        else:
+            found = own_counts(table, self.own, self.groups, self.context)
         counts = drop_words(found, words(self.stopwords), words(group_words(self.lexicon)) if self.drop_group_words else None, words(self.inspect))
         if self.lemmas is not None:
             counts = merge_lemmas(counts, self.lemmas, words(self.inspect))
+        if one_pass:
+            rest = [c for c in counts.columns if c not in ("word", "pos", "global_count")]
+            scored = bias_scores(counts, self.groups)
+            return scored.select("word", "pos", *rest, *[c for c in scored.columns if c not in counts.columns], "global_count")
         return bias_scores(counts, self.groups).join(global_counts(table), ["word", "pos"], "left")
 
     def summary(self, scores: DataFrame) -> DataFrame:

@@ -406,6 +406,18 @@ def test_a_long_paragraph_is_not_copied_for_each_of_its_tokens(spark):
     assert bias.group_counts(tokens, {"m": ["he"]}).first()["n"] == 10_000
 
 
+@pytest.mark.parametrize("lexicon", [{"m": ["a", "d"], "f": ["b", "a"]}, {"m": {"X": ["a"]}, "f": {"Y": ["a", "b"], "X": ["c"]}}])
+def test_counts_and_global_counts_of_one_reading(spark, monkeypatch, lexicon):
+    monkeypatch.setattr(bias, "PIECE", 5)
+    tagged = lambda text: [(w, "PUNCT" if w == "." else "Y" if k % 3 == 0 else "X") for k, w in enumerate(text)]
+    texts = ["abcde.1ab" * 4, "cba", "", "dddd", "xyz.zz", "9a9"]
+    tokens = spark.createDataFrame([(i, 0, tagged(x)) for i, x in enumerate(texts)], "doc_id long, par_id int, tokens array<struct<word:string,pos:string>>")
+    apart = bias.bias_counts(tokens, lexicon, bias.continual(0.5, 3)).join(bias.global_counts(tokens), ["word", "pos"], "left")
+    at_once = bias.all_counts(tokens, lexicon, bias.continual(0.5, 3)).select(*apart.columns)
+    rounded = lambda df: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.collect())
+    assert rounded(at_once) == rounded(apart) and len(rounded(apart)) > 5
+
+
 def test_person_and_baselines(spark):
     one = lambda c: spark.range(1).select(c).first()[0]
     v = F.array(F.lit(1.0), F.lit(0.1))
