@@ -406,6 +406,15 @@ def test_a_long_paragraph_is_not_copied_for_each_of_its_tokens(spark):
     assert bias.group_counts(tokens, {"m": ["he"]}).first()["n"] == 10_000
 
 
+def test_seeds_are_counted_in_one_reading(spark, tmp_path):
+    words = [f"w{i}" for i in range(300)]
+    made = [(1, 0, [("w7", "X"), ("x", "X"), ("w299", "X")]), (2, 0, [("v1", "X"), ("w7", "X")])]
+    spark.createDataFrame(made, "doc_id long, par_id int, tokens array<struct<word:string,pos:string>>").write.parquet(str(tmp_path / "t"))
+    got = bias.group_counts(spark.read.parquet(str(tmp_path / "t")), {"w": words, "v": ["v1", "w7"]})
+    assert {tuple(r) for r in got.collect()} == {("w", 3, 1.0), ("v", 3, 1.0)}
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("parquet") == 1
+
+
 @pytest.mark.parametrize("lexicon", [{"m": ["a", "d"], "f": ["b", "a"]}, {"m": {"X": ["a"]}, "f": {"Y": ["a", "b"], "X": ["c"]}}])
 def test_counts_and_global_counts_of_one_reading(spark, monkeypatch, lexicon):
     monkeypatch.setattr(bias, "PIECE", 5)
