@@ -295,22 +295,20 @@ def write_search_log(s, d):
     return s.read.text(path).select(F.get_json_object("value", "$.ensemble").cast("long").alias("ensemble"))
 
 
-@query("SELECT floor(p_retailprice)::BIGINT AS step, count(*) AS n, 0::BIGINT AS out_of_order FROM part GROUP BY 1")
+@query("SELECT row_number() OVER (ORDER BY p_retailprice, p_partkey) AS place, p_partkey FROM part")
 def write_scores(s, d):
-    """Rows by steps of the score, and how many of them a smaller score follows in their file or an earlier file ends above."""
+    """Every row and its place in the file, as it is read again: the rows before its block of a file, and those before it in the block."""
+    from pyspark.sql import Window
+
     path = sinks.folder(s, "scores.csv")
     scores = V.table(s, d, "part").select("p_partkey", F.col("p_retailprice").cast("double").alias("log_score"), F.split("p_name", " ").alias("matches"))
-    sinks.write_scores(scores, path)
+    sinks.write_scores(scores, path, ties=["p_partkey"])
     read = s.read.csv(path, header=True, schema="p_partkey long, log_score double, matches string")
-    placed = read.select("log_score", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("n"))
-    from pyspark.sql import Window
-
-    inside = placed.withColumn("before", F.lag("log_score").over(Window.partitionBy("file").orderBy("n")))
-    ends = placed.groupBy("file").agg(F.min("log_score").alias("low"), F.max("log_score").alias("high"))
-    earlier = ends.withColumn("ended", F.max("high").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1))).select("file", "ended")  # a row for each file
-    judged = inside.join(earlier, "file")
-    wrong = (F.col("log_score") < F.col("before")) | (F.col("log_score") < F.col("ended"))
-    return judged.groupBy(F.floor("log_score").cast("long").alias("step")).agg(F.count(F.lit(1)).alias("n"), F.count_if(wrong).alias("out_of_order"))
+    placed = read.select("p_partkey", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
+    blocks = placed.groupBy("file", "block").agg(F.count(F.lit(1)).alias("rows"))
+    before = blocks.select("file", "block", (F.sum("rows").over(Window.orderBy("file", "block")) - F.col("rows")).alias("before"))  # a row for each block of a file
+    inside = F.row_number().over(Window.partitionBy("file", "block").orderBy("n"))
+    return placed.withColumn("inside", inside).join(before, ["file", "block"]).select((F.col("before") + F.col("inside")).alias("place"), "p_partkey")
 
 
 @query("SELECT p_partkey FROM part WHERE p_retailprice > (SELECT avg(p_retailprice) FROM part)")

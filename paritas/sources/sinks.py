@@ -14,10 +14,10 @@ from paritas.functions import text as T
 MOST_ROWS = 100_000
 
 
-def write_scores(scores: DataFrame, path: str, score: str = "log_score") -> None:
-    """CSV in ascending order of the score."""
+def write_scores(scores: DataFrame, path: str, score: str = "log_score", ties: Sequence[str] = ()) -> None:
+    """CSV in ascending order of the score, equal scores in that of the columns ties."""
     flat = scores.select(*[F.concat_ws("|", c).alias(c) if t.startswith("array") else F.col(c) for c, t in scores.dtypes])
-    flat.orderBy(score).write.mode("overwrite").csv(path, header=True)
+    flat.orderBy(score, *ties).write.mode("overwrite").csv(path, header=True)
 
 
 def write_sibling(df: DataFrame, path: str, suffix: str) -> str:

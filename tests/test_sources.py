@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__
 from paritas.sources import readers, sinks
 from paritas.streaming.rates import windowed_rates
 
@@ -85,6 +86,14 @@ def test_files(spark, tmp_path):
     assert readers.all_data(df, None, df.limit(0)).count() == 2
 
 
+def test_scores_are_written_in_order_and_every_row_is_placed(spark, tmp_path):
+    rows = [(k, float(k % 3), f"w{k} x") for k in range(100, 0, -1)]
+    spark.createDataFrame(rows, "p_partkey long, p_retailprice double, p_name string").repartition(7).write.parquet(str(tmp_path / "part.parquet"))
+    by_hand = [k for k, score, _ in sorted(rows, key=lambda r: (r[1], r[0]))]
+    got = sorted((r["place"], r["p_partkey"]) for r in __spark_entry__.queries()["write_scores"](spark, str(tmp_path)).collect())
+    assert got == list(enumerate(by_hand, 1))
+
+
 def test_sinks(spark, tmp_path):
     scores = spark.createDataFrame([("b", 2.0, ["x", "y"]), ("a", 1.0, [])], "word string, log_score double, matches array<string>")
     sinks.write_scores(scores, str(tmp_path / "s"))
