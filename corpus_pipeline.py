@@ -34,6 +34,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near copies (five-word shingles, similarity 0.8 or more) stays, the one with the smallest id.
 
+    Candidates come from operator 9's byte-position index over SimHash fingerprints, and from bands of MinHash values beyond its reach.
     Each row is judged by its own text; repeated rows of that id stay together, and rows without an id stay if nothing with an id is in their component.
     """
     from paritas.llm.simhash import one_of_each_group

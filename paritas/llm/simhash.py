@@ -22,9 +22,10 @@ table gives no rows.  Other columns aren't read (by the stage carried), whatever
 names.
 
 The pipeline's stage (:func:`one_of_each_group`) has another rule: five-word shingles
-with a Jaccard similarity of 0.8 or more.  Such pairs differ in about ten bits of a
-fingerprint and often in 18, where no byte need be shared, so its candidates come
-from bands of MinHash values.  Of a long list only a spanning tree by SimHash
+with a Jaccard similarity of 0.8 or more.  Its first candidates come from the same index
+over the fingerprints of those shingles.  But pairs of 0.8 differ in about ten bits of a
+fingerprint and often in 18, where no byte need be shared, so bands of MinHash values
+add those that the index can't reach.  Of a long list of a band only a spanning tree by SimHash
 distances is verified at first; then, in every such list whose members aren't one
 component yet, members of different components meet if their sketches are alike.
 Each candidate is verified on its shingles.
@@ -103,19 +104,20 @@ def near(x: np.uint64, others: np.ndarray, max_bits: int) -> np.ndarray:
     return out
 
 
-def list_links(members: np.ndarray, max_bits: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Links (member, root) that join the linked members of one posting list."""
+def list_links(members: np.ndarray, max_bits: int, direct: bool = False) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Links (member, root) that join the linked members of one posting list; direct: (member, the one that it was found from)."""
     found, roots = [], []
     rest = members
     while len(rest) > 1:
         root, rest = rest[0], rest[1:]
         open_ = [root]
         while open_ and len(rest):
-            hit = near(open_.pop(), rest, max_bits)
+            at = open_.pop()
+            hit = near(at, rest, max_bits)
             if hit.any():
                 new = rest[hit]
                 found.append(new)
-                roots.append(np.full(len(new), root))
+                roots.append(np.full(len(new), at if direct else root))
                 open_.extend(new)
                 rest = rest[~hit]
     return found, roots
@@ -126,8 +128,8 @@ def _triple_keys(fp: Column) -> Column:
     return F.array(*[F.lit(k << 24).cast("long") + byte[a] * 65536 + byte[b] * 256 + byte[c] for k, (a, b, c) in enumerate(TRIPLES)])
 
 
-def links(distinct_fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """(a, b) of fingerprints: enough links to give the components of all pairs within max_bits."""
+def links(distinct_fps: DataFrame, max_bits: int = MAX_BITS, direct: bool = False) -> DataFrame:
+    """(a, b) of fingerprints: enough links to give the components of all pairs within max_bits; direct: each itself within max_bits."""
     if not 0 <= max_bits <= 4:
         raise ValueError("max_bits must be 0 to 4: the index relies on four shared bytes")
     ddl = "a long, b long"
@@ -147,7 +149,7 @@ def links(distinct_fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
             members = np.concatenate(held) if held else np.zeros(0, np.uint64)
             held = []
             if len(members) > 1:
-                f, r = list_links(members, max_bits)
+                f, r = list_links(members, max_bits, direct)
                 found.extend(f)
                 roots.extend(r)
 
@@ -255,6 +257,15 @@ def nearest(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return members, to[members]
 
 
+def index_candidates(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """From (node, fp): pairs a < b of nodes that the byte-position index joins, equal fingerprints with the least node of each."""
+    first = stored(nodes.groupBy("fp").agg(F.min("node").alias("least")))
+    equal = nodes.select("node", "fp").join(first, "fp").where("node != least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    one, other = first.select(F.col("fp").alias("a"), F.col("least").alias("x")), first.select(F.col("fp").alias("b"), F.col("least").alias("y"))
+    met = links(first, max_bits, direct=True).distinct().join(one, "a").join(other, "b")
+    return equal.union(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+
+
 def candidates(nodes: DataFrame) -> DataFrame:
     """From (node, fp, bands): pairs a < b of nodes that share a band, as `nearest` picks them from each list, and the list's
     key if it is a long one.  A task holds TREE members of a list at once."""
@@ -397,7 +408,8 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """docs with the rows of the smallest id of each component only; each row is judged by its own text.
 
     Two texts are linked if their sets of five-word shingles have a Jaccard similarity
-    of 0.8 or more.  Candidates share one of BANDS bands of ROWS MinHash values, which
+    of 0.8 or more.  Candidates are joined by the byte-position index over their
+    fingerprints or share one of BANDS bands of ROWS MinHash values, which
     a pair of exactly 0.8 does with a chance of 0.99999; each candidate is verified on
     its shingles.  Lists of more than SHORT_LIST members are first joined by spanning
     trees of nearest SimHashes, then :func:`crossing` brings the members that this left
@@ -409,7 +421,7 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows = stored(_sketched(docs, id_col, text_col))
     nodes = stored(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("size").alias("size"), F.first("bits").alias("bits"), F.min(F.struct("h1", "h2")).alias("text_hash")))
     picked = stored(candidates(nodes))
-    pairs = stored(picked.select("a", "b").distinct())
+    pairs = stored(picked.select("a", "b").union(index_candidates(nodes)).distinct())
     held = _held(docs, text_col, nodes.join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node", "left_semi"))
     roots = components(_verified(held, pairs))
     apart = crossing(docs, text_col, nodes, picked.where("key is not null").select("key").distinct(), roots)

@@ -225,6 +225,21 @@ def test_simhash_stage_loses_no_link_of_a_long_list(spark, monkeypatch, tree):
     assert len(kept) > 12
 
 
+def test_simhash_stage_takes_candidates_from_the_byte_position_index(spark, monkeypatch):
+    """With the bands giving none, near copies within the index's bits still meet, and only those that are similar are linked."""
+    monkeypatch.setattr(simhash, "candidates", lambda nodes: spark.createDataFrame([], "a long, b long, key long"))
+    base = [f"w{k}" for k in range(2000)]
+    other = [f"v{k}" for k in range(2000)]
+    rows = [(1, " ".join(base)), (2, " ".join([*base, "end"])), (3, " ".join(other)), (4, " ".join(["start", *other])), (5, "alone in the world of words")]
+    assert {x["doc_id"] for x in simhash.one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {1, 3, 5}
+    fps = [0, 1, 3, 1 << 40, (1 << 40) | 0b11111]
+    nodes = spark.createDataFrame([(10 + k, f) for k, f in enumerate(fps)] + [(99, 1)], "node long, fp long")
+    met = {tuple(r) for r in simhash.index_candidates(nodes).collect()}
+    apart = {10 + k: f for k, f in enumerate(fps)} | {99: 1}
+    assert (11, 99) in met and all(a < b and (apart[a] ^ apart[b]).bit_count() <= 4 for a, b in met)
+    assert {10, 11, 12, 13} <= {x for p in met for x in p}
+
+
 def test_simhash_stage_judges_rows_not_ids(spark):
     r = random.Random(13)
     prose = lambda: " ".join(f"w{r.randrange(10**6)}" for _ in range(60))
