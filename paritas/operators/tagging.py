@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paritas.operators.bias import _written
+
 MOST_TAGS, MOST_WORDS = 256, 200_000
 #: Letters at a word's end that stand for a word not known.
 ENDING = 3
@@ -53,6 +55,44 @@ class Tagger:
             out.append(at)
         return [self.tags[k] for k in reversed(out)]
 
+    def best_of_many(self, sentences: list[list[str]]) -> list[list[str]]:
+        """best() of each, place by place for all sentences at once; the same path, by the same sums."""
+        order = sorted((k for k, words in enumerate(sentences) if words), key=lambda k: -len(sentences[k]))
+        out: list[list[str]] = [[] for _ in sentences]
+        if not order:
+            return out
+        kinds: dict[str, int] = {}
+        codes = np.fromiter((kinds.setdefault(w, len(kinds)) for k in order for w in sentences[k]), np.int64, sum(len(sentences[k]) for k in order))
+        emission = np.stack([self.emission(w) for w in kinds])
+        lengths = np.array([len(sentences[k]) for k in order])
+        starts = np.cumsum(lengths) - lengths
+        back = np.zeros((len(codes), len(self.tags)), np.uint16)
+        score = self.first + emission[codes[starts]]
+        live = len(order)  # sentences that have a word at this place come first
+        last = np.empty_like(score)
+        for i in range(1, int(lengths[0]) + 1):
+            now = int(np.searchsorted(-lengths, -i, side="left"))  # those longer than i
+            last[now:live] = score[now:live]
+            score, live = score[:now], now
+            if not now:
+                break
+            at = starts[:now] + i
+            ways = score[:, :, None] + self.follow
+            step = ways.argmax(axis=1)
+            back[at] = step
+            score = np.take_along_axis(ways, step[:, None, :], 1)[:, 0, :] + emission[codes[at]]
+        tag = (last + self.last).argmax(axis=1)
+        path = np.empty(len(codes), np.int64)
+        path[starts + lengths - 1] = tag
+        for i in range(int(lengths[0]) - 1, 0, -1):
+            now = int(np.searchsorted(-lengths, -i, side="left"))
+            at = starts[:now] + i
+            path[at - 1] = back[at, path[at]]
+        names = np.array(self.tags, object)[path]
+        for k, a, n in zip(order, starts.tolist(), lengths.tolist()):
+            out[k] = names[a : a + n].tolist()
+        return out
+
     def score(self, words: list[str], tags: list[str]) -> float:
         """The logarithm of the chance of a path."""
         at = [self.tags.index(t) for t in tags]
@@ -71,20 +111,22 @@ def fit_tagger(tagged: DataFrame, words: str = "words", tags: str = "tags", adde
     sound = tagged.where((F.size(words) == F.size(tags)) & (F.size(words) > 0) & F.forall(words, lambda w: w.isNotNull()) & F.forall(tags, lambda t: t.isNotNull())).select(F.col(words).alias("w"), F.col(tags).alias("t"))
     edge = F.array(F.lit(None).cast("string"))
     steps = sound.select(F.explode(F.arrays_zip(F.concat(edge, "t").alias("a"), F.concat("t", edge).alias("b"))).alias("s")).select("s.*").toDF("a", "b")
-    names = [r[0] for r in steps.where("b is not null").select("b").distinct().orderBy("b").limit(MOST_TAGS + 1).collect()]
+    pairs = _written(steps.groupBy("a", "b").count())  # a row for each pair of tags
+    names = [r[0] for r in pairs.where("b is not null").select("b").distinct().orderBy("b").limit(MOST_TAGS + 1).collect()]
     if not 0 < len(names) <= MOST_TAGS:
         raise ValueError(f"{len(names)} tags: there must be 1 to {MOST_TAGS}")
     at = {t: i for i, t in enumerate(names)}
     n = len(names)
     moves = np.zeros((n + 1, n + 1))
-    for r in steps.groupBy("a", "b").count().collect():  # a row for each pair of tags
+    for r in pairs.collect():
         moves[at.get(r["a"], n), at.get(r["b"], n)] += r["count"]
     moves += added
     moves[n, n] = 0  # no sentence is empty
     with np.errstate(divide="ignore"):
         chances = np.log(moves / moves.sum(axis=1, keepdims=True))
     given = sound.select(F.explode(F.arrays_zip("w", "t")).alias("s")).select("s.w", "s.t")
-    counts = given.groupBy("w").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("t") == F.lit(t)).alias(f"c{i}") for i, t in enumerate(names)])
+    # a row for each word, read again by each of the sums below
+    counts = _written(given.groupBy("w").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("t") == F.lit(t)).alias(f"c{i}") for i, t in enumerate(names)]))
     kinds = counts.count()
     per_tag = np.array(counts.agg(*[F.sum(f"c{i}") for i in range(n)]).first(), float)
     bottom = np.log(per_tag + added * (kinds + 1))
@@ -109,7 +151,7 @@ def tag(sentences: DataFrame, tagger: Tagger, words: str = "words", name: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            best = [sent.value.best([x or "" for x in w or []]) for w in batch.column("__words").to_pylist()]
+            best = sent.value.best_of_many([[x or "" for x in w or []] for w in batch.column("__words").to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(best, pa.list_(pa.string()))], names=["row", "tags"])
 
     out = packed.mapInArrow(run, schema)

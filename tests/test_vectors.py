@@ -152,6 +152,18 @@ def tagged_rows(spark):
     return spark.createDataFrame(rows, "words array<string>, tags array<string>")
 
 
+def test_many_sentences_at_once_are_tagged_as_each_alone():
+    import numpy as np
+
+    draw = np.random.default_rng(3)
+    n, words = 5, [f"w{k}" for k in range(20)]
+    logs = lambda *shape: np.log(draw.integers(1, 4, shape) / 10)  # noqa: E731 - few values, so that paths are equal
+    model = tagging.Tagger(list("abcde"), logs(n), logs(n, n), logs(n), {w: logs(n) for w in words[:15]}, {"w16": logs(n)}, logs(n))
+    sentences = [[words[k] for k in draw.integers(0, 20, size)] for size in [0, 1, 1, 2, 7, 7, 40, 3, 0, 200]]
+    assert model.best_of_many(sentences) == [model.best(s) for s in sentences]
+    assert model.best_of_many([]) == [] and model.best_of_many([[]]) == [[]]
+
+
 def test_tagged_tokens_are_the_best_of_all_paths(spark):
     tagger = tagging.fit_tagger(tagged_rows(spark))
     assert tagger.tags == ["A", "D", "N", "P", "V"]
