@@ -36,6 +36,20 @@ def paragraphs(df: DataFrame, text: str = "text", merge: bool = False) -> DataFr
 
 def regex_tokens(df: DataFrame, paragraph: str = "paragraph", pattern: str = r"\p{L}+|[0-9]+|[.,;:!?]", pos_of: Mapping[str, str] | None = None) -> DataFrame:
     """tokens of lower-cased paragraphs; part of speech: PUNCT, NUM, that of pos_of, or X."""
+    return df.withColumn("tokens", F.transform(_found(paragraph, pattern), _token_of(pos_of)))
+
+
+def regex_rows(df: DataFrame, paragraph: str = "paragraph", pattern: str = r"\p{L}+|[0-9]+|[.,;:!?]", pos_of: Mapping[str, str] | None = None) -> DataFrame:
+    """The tokens of regex_tokens as rows, seed in the paragraph's place: for what looks at each token alone."""
+    rows = df.select(*[c for c in df.columns if c != paragraph], F.explode(_found(paragraph, pattern)).alias("__w"))
+    return rows.withColumn("seed", _token_of(pos_of)(F.col("__w"))).drop("__w")
+
+
+def _found(paragraph: str, pattern: str) -> Column:
+    return F.regexp_extract_all(F.lower(paragraph), F.lit(f"({pattern})"), F.lit(0))
+
+
+def _token_of(pos_of: Mapping[str, str] | None):
     known = F.create_map(*[F.lit(x) for pair in pos_of.items() for x in pair]) if pos_of else None
 
     def token(w: Column) -> Column:
@@ -43,8 +57,7 @@ def regex_tokens(df: DataFrame, paragraph: str = "paragraph", pattern: str = r"\
         latin = (w >= "a") & (w < "{")  # begins with a letter a to z, so it's neither
         return F.struct(w.alias("word"), F.when(latin, other).when(w.rlike(r"^\p{Nd}+$"), "NUM").when(w.rlike(r"^\p{Punct}+$"), "PUNCT").otherwise(other).alias("pos"))
 
-    found = F.regexp_extract_all(F.lower(paragraph), F.lit(f"({pattern})"), F.lit(0))
-    return df.withColumn("tokens", F.transform(found, token))
+    return token
 
 
 def lexical_form(text: Column, lower: Column, lemma: Column, pos: Column, group_words: Sequence[str], use_root: bool = True, keep_proper: bool = True) -> Column:
@@ -270,10 +283,19 @@ def counts_of(rows: DataFrame, groups: Sequence[str]) -> DataFrame:
     return rows.groupBy("word", "pos").agg(*aggs)
 
 
-def group_counts(tokens: DataFrame, lexicon, **options) -> DataFrame:
-    """Seeds of each group that is met: grp, n, ratio to the smallest."""
-    cut = tokens if options.get("agree") is not None else pieces(tokens, 0)
-    counted = seeds(cut, lexicon, **options).groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
+def group_counts(tokens: DataFrame, lexicon, person: Column | None = None, agree: Mapping[str, str] | None = None) -> DataFrame:
+    """Seeds of each group that is met: grp, n, ratio to the smallest.
+
+    tokens: a token table, or its tokens as rows (regex_rows).  person: as for seeds(); agree makes no difference, seeds are counted before it.
+    Each token is looked at alone, so no paragraph is cut or carried along; a lexicon's words are counted before their groups are listed.
+    """
+    rows = tokens if "tokens" not in tokens.columns else tokens.select(*[c for c in tokens.columns if c != "tokens"], F.explode("tokens").alias("seed"))
+    hits = rows.where(in_lexicon(F.col("seed"), lexicon))
+    if person is not None:
+        hits = hits.where(person)
+    by_word = hits.groupBy(F.col("seed.word").alias("word"), F.col("seed.pos").alias("pos")).agg(F.count(F.lit(1)).alias("n"))
+    met = by_word.select("n", F.explode(groups_of(F.struct("word", "pos"), lexicon)).alias("grp"))
+    counted = met.groupBy("grp").agg(F.sum("n").alias("n"))
     all_groups = Window.partitionBy(F.lit(0))  # a row for each group of the lexicon
     return counted.select("grp", "n", (F.col("n") / F.min("n").over(all_groups)).alias("ratio"))
 

@@ -64,9 +64,12 @@ CLF_SCORES = [0.75, 0.46, 0.61, 0.77, 0.52]
 
 
 def tokens(spark: SparkSession, d: str) -> DataFrame:
+    return bias.regex_tokens(lines(spark, d)).select("doc_id", "par_id", "tokens")
+
+
+def lines(spark: SparkSession, d: str) -> DataFrame:
     docs = spread(table(spark, d, "documents").select("doc_id", "text"))
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("par_id", "paragraph"))
-    return bias.regex_tokens(lines).select("doc_id", "par_id", "tokens")
+    return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("par_id", "paragraph"))
 
 
 TOK = r"""lines AS (SELECT doc_id, unnest(range(len(l))) AS par_id, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),

@@ -415,6 +415,22 @@ def test_seeds_are_counted_in_one_reading(spark, tmp_path):
     assert got._jdf.queryExecution().optimizedPlan().toString().count("parquet") == 1
 
 
+@pytest.mark.parametrize("lexicon", [{"m": ["he", "al"], "f": ["she", "he"]}, {"m": {"X": ["he", "12"]}, "f": {"NUM": ["12"], "X": ["she"]}}])
+def test_seed_counts_look_at_each_token_alone(spark, lexicon):
+    texts = spark.createDataFrame([(1, "He, she he\n12 al"), (2, ""), (3, None), (4, "x 12 She")], "doc_id long, text string")
+    lines = bias.paragraphs(texts).select("doc_id", "par_id", "paragraph")
+    rows = bias.regex_rows(lines)
+    tokens = bias.regex_tokens(lines).select("doc_id", "par_id", "tokens")
+    by_hand = lambda some: sorted(map(str, some.collect()))
+    assert by_hand(rows.select("seed")) == by_hand(tokens.select(F.explode("tokens").alias("seed")))
+    for person in (None, F.col("seed.word") != "she"):
+        placed = bias.seeds(tokens, lexicon, person).groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
+        for table in (rows, tokens):
+            assert by_hand(bias.group_counts(table, lexicon, person=person).select("grp", "n")) == by_hand(placed)
+    counted = bias.group_counts(rows, lexicon)._jdf.queryExecution().optimizedPlan().toString()
+    assert "slice(" not in counted and "transform(" not in counted
+
+
 @pytest.mark.parametrize("lexicon", [{"m": ["a", "d"], "f": ["b", "a"]}, {"m": {"X": ["a"]}, "f": {"Y": ["a", "b"], "X": ["c"]}}])
 def test_counts_and_global_counts_of_one_reading(spark, monkeypatch, lexicon):
     monkeypatch.setattr(bias, "PIECE", 5)
