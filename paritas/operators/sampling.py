@@ -19,20 +19,24 @@ def split(df: DataFrame, id_col: str, share: float = 0.3, seed: int = 0) -> tupl
     return df.where(at >= share), df.where(at < share)
 
 
-def _placed(df: DataFrame, id_col: str, strata: Sequence[str], seed: int) -> DataFrame:
-    """df with __place: each row's place (from 1) in its stratum in hash order, and __n: the stratum's rows.
+def _first(df: DataFrame, id_col: str, strata: Sequence[str], seed: int, sized) -> DataFrame:
+    """df with __in: whether the row is one of its stratum's first __size, in hash order.
 
-    A stratum is dealt by SLICES slices of the hash, whose counts are summed first; rows are ranked in their slice only, so no task sorts a stratum.
+    A stratum is dealt by slices of the hash, whose rows are counted first; sized adds __size to that table (strata, __n: the stratum's rows),
+    or drops strata.  A slice lies wholly before or after the size but for one in each stratum: only that one's rows are shuffled and ranked.
     """
     hashed = df.withColumn("__h", F.xxhash64(F.lit(seed), F.col(id_col))).withColumn("__slice", F.shiftright("__h", 64 - SLICE_BITS))
     counts = hashed.groupBy(*strata, "__slice").agg(F.count(F.lit(1)).alias("__c"))
     w = Window.partitionBy(*strata)
-    before = counts.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(strata)], F.col("__slice").alias("__s"), (F.sum("__c").over(w.orderBy("__slice")) - F.col("__c")).alias("__before"), F.sum("__c").over(w).alias("__n"))
+    slices = sized(counts.select(*strata, "__slice", (F.sum("__c").over(w.orderBy("__slice")) - F.col("__c")).alias("__before"), "__c", F.sum("__c").over(w).alias("__n")))
+    slices = slices.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(strata)], F.col("__slice").alias("__s"), (F.col("__size") - F.col("__before")).alias("__left"), "__c")
     same = F.col("__slice") == F.col("__s")
     for i, c in enumerate(strata):
         same = same & F.col(c).eqNullSafe(F.col(f"__k{i}"))
-    inside = F.row_number().over(Window.partitionBy(*strata, "__slice").orderBy("__h", id_col))
-    return hashed.withColumn("__inside", inside).join(before, same).withColumn("__place", F.col("__before") + F.col("__inside")).select(*df.columns, "__place", "__n")
+    cut = (F.col("__left") > 0) & (F.col("__left") < F.col("__c"))
+    whole = hashed.join(slices.where(~cut), same).select(*df.columns, (F.col("__left") > 0).alias("__in"))
+    place = F.row_number().over(Window.partitionBy(*strata).orderBy("__h", id_col))
+    return whole.unionByName(hashed.join(slices.where(cut), same).select(*df.columns, (place <= F.col("__left")).alias("__in")))
 
 
 #: Bits of the hash that deal a stratum.
@@ -41,14 +45,14 @@ SLICE_BITS = 12
 
 def stratified_split(df: DataFrame, id_col: str, strata: Sequence[str], share: float = 0.3, seed: int = 0) -> DataFrame:
     """df with split: the first rounded share of each stratum, in hash order, is test."""
-    is_test = F.col("__place") <= F.bround(F.col("__n") * share)
-    return _placed(df, id_col, strata, seed).withColumn("split", F.when(is_test, "test").otherwise("train")).select(*df.columns, "split")
+    placed = _first(df, id_col, strata, seed, lambda slices: slices.withColumn("__size", F.bround(F.col("__n") * share)))
+    return placed.withColumn("split", F.when(F.col("__in"), "test").otherwise("train")).select(*df.columns, "split")
 
 
 def stratified_sample(df: DataFrame, id_col: str, strata: Sequence[str], sizes: DataFrame, seed: int = 0) -> DataFrame:
     """The first `size` rows of each stratum in hash order; sizes: a size for some of the strata's columns."""
     keys = [c for c in sizes.columns if c != "size"]
-    return _placed(df, id_col, strata, seed).join(sizes, keys).where(F.col("__place") <= F.col("size")).select(*df.columns)
+    return _first(df, id_col, strata, seed, lambda slices: slices.join(sizes.withColumnRenamed("size", "__size"), keys)).where("__in").select(*df.columns)
 
 
 def same_data(df: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -513,8 +513,8 @@ def debias_sample_sizes(s, d):
 
 @query()
 def stratified_sample(s, d):
-    rows = V.orders(s, d).withColumn("group_set", F.concat_ws(" & ", "groups"))
-    sizes = sampling.debiased_sizes(V.orders(s, d), "target", "groups")
+    rows = V.written(V.orders(s, d).select("o_orderkey", "target", "groups", F.concat_ws(" & ", "groups").alias("group_set")))
+    sizes = sampling.debiased_sizes(rows, "target", "groups")
     return sampling.stratified_sample(rows, "o_orderkey", ["target", "group_set"], sizes).select("o_orderkey", "target", "group_set")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paritas.operators import bias
+from paritas.sources import sinks
 
 LEXICON = {"male": ["he", "his"], "female": ["it", "this"]}
 STOPWORDS = ["the", "of", "and", "to", "in"]
@@ -22,6 +23,23 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+#: Rows that one task gets of a table dealt by a key.
+PART_ROWS = 1_250_000
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by its keys into parts of about PART_ROWS rows, so that a task's memory doesn't grow with the table; the rows are counted from the files' footers."""
+    parts = -(-df.groupBy().count().first()[0] // PART_ROWS)
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, parts), *keys)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df written once to the cluster's folder and read from there, for what reads it several times."""
+    path = sinks.folder(df.sparkSession, "rows")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def li(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").select(F.col("l_returnflag").alias("grp"), F.col("l_linestatus").alias("target"), F.when(F.col("l_quantity") >= 25, "O").otherwise("F").alias("pred"))
 
@@ -38,7 +56,9 @@ DOC = "doc AS (SELECT d.doc_id, lang, source, n_chars, quality AS target, toxic,
 
 
 def orders(spark: SparkSession, d: str) -> DataFrame:
-    flags = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_set("l_returnflag").alias("g"), F.collect_set(F.when(F.col("l_quantity") >= 25, F.col("l_returnflag"))).alias("p"))
+    items = dealt(table(spark, d, "lineitem"), "l_orderkey")
+    flags = items.groupBy(F.col("l_orderkey").alias("o_orderkey"), "l_returnflag").agg(F.max(F.col("l_quantity") >= 25).alias("large"))
+    flags = flags.groupBy("o_orderkey").agg(F.collect_list("l_returnflag").alias("g"), F.collect_list(F.when(F.col("large"), F.col("l_returnflag"))).alias("p"))
     none = F.array().cast("array<string>")
     return (
         table(spark, d, "orders").select("o_orderkey", F.col("o_orderstatus").alias("target"), F.when(F.col("o_totalprice") >= 250000, "F").otherwise("O").alias("pred"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from paritas.functions import text as T
 from paritas.functions import lexicons
 from paritas.operators import bias, diversity, ensemble, fairness, labels, pareto, reports, sampling, search, sensors, stats
+from paritas.plans import views
 
 
 def near(a, b, eps=1e-6):
@@ -505,6 +506,36 @@ def test_stratified_places_are_those_of_the_whole_stratum(spark):
     assert all(r["a"] < r["b"] for r in hashed.collect())
 
 
+@pytest.mark.parametrize("bits", [1, 3, 12])
+def test_samples_are_the_first_of_each_stratum(spark, monkeypatch, bits):
+    """Rows with one id twice too; only the slice in which a size falls is ranked."""
+    monkeypatch.setattr(sampling, "SLICE_BITS", bits)
+    df = spark.range(600).select((F.col("id") % 590).alias("id"), (F.col("id") % 5).alias("g"))
+    hashes = sorted((r["g"], r["x"]) for r in df.select("g", F.xxhash64(F.lit(3), "id").alias("x")).collect())
+    wanted = {0: 0, 1: 1, 2: 57, 3: 120, 4: 500}
+    sizes = spark.createDataFrame(list(wanted.items()), "g long, size long")
+    got = sampling.stratified_sample(df, "id", ["g"], sizes, seed=3).select("g", F.xxhash64(F.lit(3), "id").alias("x"))
+    assert sorted(map(tuple, got.collect())) == [h for g, n in wanted.items() for h in [h for h in hashes if h[0] == g][:n]]
+    assert sampling._first(df, "id", ["g"], 3, lambda s: s.withColumn("__size", F.lit(9))).count() == 600
+
+
+def test_orders_are_dealt_in_parts_of_bounded_rows(spark, tmp_path, monkeypatch):
+    """A part has as many rows however large the table is."""
+    monkeypatch.setattr(views, "PART_ROWS", 100)
+    items = spark.range(3000).select((F.col("id") % 1000).alias("l_orderkey"), F.when(F.col("id") < 2500, F.element_at(F.array(F.lit("R"), F.lit("A")), (F.col("id") % 2 + 1).cast("int"))).alias("l_returnflag"), F.when(F.col("id") % 7 > 0, F.lit(20.0) + F.col("id") % 11).alias("l_quantity"))
+    items.write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.range(1001).select(F.col("id").alias("o_orderkey"), F.lit("F").alias("o_orderstatus"), F.lit(1.0).alias("o_totalprice")).write.parquet(str(tmp_path / "orders.parquet"))
+    held = {k: (set(), set()) for k in range(1001)}
+    for r in items.collect():
+        if r["l_returnflag"]:
+            held[r["l_orderkey"]][0].add(r["l_returnflag"])
+            if (r["l_quantity"] or 0) >= 25:
+                held[r["l_orderkey"]][1].add(r["l_returnflag"])
+    got = views.orders(spark, str(tmp_path))
+    assert {r["o_orderkey"]: (r["groups"], r["pred_groups"]) for r in got.collect()} == {k: (sorted(a), sorted(b)) for k, (a, b) in held.items()}
+    assert views.dealt(spark.read.parquet(str(tmp_path / "lineitem.parquet")), "l_orderkey").rdd.getNumPartitions() == 30
+
+
 def test_running_sums(spark):
     df = spark.createDataFrame([([float(i % 7) for i in range(n)],) for n in (0, 1, 127, 128, 129, 400)], "v array<double>")
     for r in df.select("v", bias.running_sums(F.col("v")).alias("s")).collect():
