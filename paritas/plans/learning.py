@@ -131,8 +131,10 @@ def read_paged(s, d):
     """Parts as pages of a hundred, as a service would answer, read by the paged source."""
     base = sinks.folder(s, "pages")
     rows = V.table(s, d, "part").select(F.floor(F.col("p_partkey") / 100).alias("page"), F.struct("p_partkey", F.col("p_name").alias("name"), F.col("p_retailprice").alias("price")).alias("row"))
-    sheets = rows.groupBy("page").agg(F.to_json(F.struct(F.collect_list("row").alias("rows"))).alias("value"))  # a hundred rows
-    sheets.write.partitionBy("page").text(base)
     n = rows.agg(F.max("page")).first()[0] + 1
+    parts = max(s.sparkContext.defaultParallelism, -(-n // 500))  # a page costs a file whatever its bytes, so they aren't what deals the pages
+    sheets = rows.repartition(parts, "page").groupBy("page").agg(F.to_json(F.struct(F.collect_list("row").alias("rows"))).alias("value"))  # a hundred rows
+    # version 2: tasks put their pages in place, else the driver moves them all, one after the other; the folder is new, and a page is one task's
+    sheets.write.partitionBy("page").option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(base)
     url = base if ":" in base else f"file://{base}"
     return paged.paged(s, "p_partkey long, name string, price double", url + "/page={page}", pages=n, items="rows")

@@ -1,4 +1,4 @@
-"""Paged answers of a web service as a table: a Python data source with one partition a page.
+"""Paged answers of a web service as a table: a Python data source whose partitions read pages, one or several.
 
     spark.dataSource.register(paged.PagedSource)
     spark.read.format("paged").schema("who string, gender string").option("url", "https://host/query?limit=100&offset={offset}") \\
@@ -7,13 +7,14 @@
 Options:
 - ``url``: with ``{page}`` (from 0) or ``{offset}`` (page times size) in it; ``file://`` paths and folders are read as well;
 - ``pages``: how many, or ``total`` (a dotted name of the whole's count in the first page), which with ``size`` tells it;
+- ``partitions``: at most so many, each with pages in a row (none given: one partition a page; a task costs far more than a short page);
 - ``items``: dotted name of the array of rows in a page (empty: the page is the array); ``value``: a name inside each cell;
 - ``headers``: JSON of request headers; ``fetch``: ``module:function`` of (url, headers) to bytes, in the place of urllib;
 - ``attempts`` and ``wait``: a request that fails with a status of 429 or 5xx, or without an answer, is made again after
   wait seconds, then twice as many, and so on; other answers that fail end the read, as does the last attempt.
 
 An empty page gives no rows, wherever it is; so does one without the array.  A cell that the schema's type can't hold is
-null.  Spark runs a page again elsewhere when its executor is lost.
+null.  Spark runs a partition's pages again elsewhere when its executor is lost.
 """
 
 from __future__ import annotations
@@ -97,8 +98,10 @@ def cell(value: object, kind: DataType) -> object:
 
 
 class Page(InputPartition):
-    def __init__(self, page: int):
-        self.page = page
+    """count pages from page on."""
+
+    def __init__(self, page: int, count: int = 1):
+        self.page, self.count = page, count
 
 
 class PagedReader(DataSourceReader):
@@ -115,10 +118,16 @@ class PagedReader(DataSourceReader):
             n = max(1, -(-int(at(fetched(self.url(0), self.options), self.options["total"]) or 0) // int(self.options["size"])))
         else:
             raise ValueError("give pages, or total and size")
-        return [Page(k) for k in range(n)]
+        parts = min(n, int(self.options.get("partitions") or n))
+        starts = [n * k // parts for k in range(parts)] + [n]
+        return [Page(a, b - a) for a, b in zip(starts, starts[1:])]
 
     def read(self, partition: Page) -> Iterator[tuple]:
-        rows = at(fetched(self.url(partition.page), self.options), self.options.get("items"))
+        for page in range(partition.page, partition.page + partition.count):
+            yield from self.rows(page)
+
+    def rows(self, page: int) -> Iterator[tuple]:
+        rows = at(fetched(self.url(page), self.options), self.options.get("items"))
         for row in rows if isinstance(rows, list) else []:
             cells = (at(row, f.name) if isinstance(row, dict) else None for f in self.schema.fields)
             if self.options.get("value"):
@@ -141,7 +150,8 @@ class PagedSource(DataSource):
 
 
 def paged(spark, schema: str, url: str, **options):
-    """A table of the pages; options as above."""
+    """A table of the pages; options as above, but for partitions, 8 for each core if not given."""
+    options.setdefault("partitions", 8 * spark.sparkContext.defaultParallelism)
     spark.dataSource.register(PagedSource)
     return spark.read.format("paged").schema(schema).options(url=url, **{k: str(v) for k, v in options.items()}).load()
 

@@ -29,6 +29,13 @@ def test_pages_come_back_equal(spark, tmp_path):
     assert got.where("id % 2 = 1").count() == 11 and got.select("name").count() == 23
 
 
+@pytest.mark.parametrize("most, parts", [(3, 3), (1, 1), (7, 6), (None, 6)])
+def test_a_partition_reads_several_pages(spark, tmp_path, most, parts):
+    url, n = pages(tmp_path, [{"x": i} for i in range(23)], 5)
+    got = paged.paged(spark, "x int", url, pages=n, items="rows", **({"partitions": most} if most else {}))
+    assert got.rdd.getNumPartitions() == parts and [r["x"] for r in got.collect()] == list(range(23))
+
+
 def test_pages_are_counted_by_the_first_one(spark, tmp_path):
     rows = [{"x": i} for i in range(11)]
     for k in range(4):
